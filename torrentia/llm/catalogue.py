@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from torrentia.llm import exact_dedup as op9
 from torrentia.llm import quality_rules as op7
+from torrentia.llm import source_mix as op8
 
 QUERIES = {
     "op7_quality_rules": op7.op7_quality_rules,
+    "op8_source_mix": op8.op8_source_mix,
+    "op9_exact_dedup": op9.op9_exact_dedup,
 }
 SQL = {
     "op7_quality_rules": op7.ORACLE_SQL,
+    "op8_source_mix": op8.ORACLE_SQL,
+    "op9_exact_dedup": op9.ORACLE_SQL,
 }
 
 
