@@ -1,0 +1,33 @@
+"""Connected components of an edge table, by joins and partial aggregates."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from torrentia.llm.common import discard, materialise
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Edges (a, b: long) to (node, label), the label being the component's least node; nodes without edges have no row.
+
+    Alternates large and small stars until the edges stay the same. Each step is one job, written to the
+    shared folder. A hub's neighbours meet in partial aggregates and in joins that Spark can split.
+    """
+    star = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    print_of = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+    seen = print_of(star)
+    while True:
+        both = star.union(star.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
+        large = both.join(least, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
+        small = large.join(least, F.col("u") == F.col("k")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"), F.col("u").alias("w"))
+        pairs = small.select("u", "v").union(small.select(F.col("w").alias("u"), "v")).where("u <> v").distinct()
+        after = materialise(pairs)
+        discard(star)
+        star, now = after, print_of(after)
+        if now == seen:
+            break
+        seen = now
+    return star.select(F.col("u").alias("node"), F.col("v").alias("label")).union(star.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
