@@ -222,18 +222,31 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
     return tokens.withColumn(text, run(F.col(ids)))
 
 
-def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_tokens, and SHA-256 of the ids and of the decoded text, of one encoding and decoding."""
+def encoded(docs: DataFrame, path: str, text: str = "text", with_ids: bool = True) -> DataFrame:
+    """docs with n_tokens, the ids (if wanted), and SHA-256 of the ids and of the decoded text, of one encoding and decoding."""
+    kind = "n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string"
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf(kind)
     def run(texts: pd.Series) -> pd.DataFrame:
-        c, out = codec(path), []
+        c, out = codec(path), {"n_tokens": [], "ids": [], "ids_sha256": [], "decoded_sha256": []}
         for t in texts:
             raw = c.encode_bytes(t)
-            out.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(c.decode_bytes(np.frombuffer(raw, "<u4"))).hexdigest()))
-        return pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+            ids = np.frombuffer(raw, "<u4")
+            out["n_tokens"].append(len(ids))
+            out["ids"].append(ids.astype(np.int32) if with_ids else None)
+            out["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(c.decode_bytes(ids)).hexdigest())
+        return pd.DataFrame(out if with_ids else {k: v for k, v in out.items() if k != "ids"})
+
+    names = [c for c in ("n_tokens", "ids", "ids_sha256", "decoded_sha256") if with_ids or c != "ids"]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(*rest, run(F.col(text)).alias("__b")).select(*rest, *[F.col(f"__b.{c}") for c in names])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), run(F.col(text)).alias("d")).select("doc_id", "d.*")
+
+def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row a document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return encoded(own, path, with_ids=False).drop("text")
 
 
 def op6_bpe_codec(spark, sf_dir):
