@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from torrentia.llm import bpe_codec as op6
 from torrentia.llm import exact_dedup as op9
+from torrentia.llm import lang_id as op4
 from torrentia.llm import near_dedup as op2
 from torrentia.llm import quality_rules as op7
 from torrentia.llm import source_mix as op8
+from torrentia.llm import substring_dedup as op5
 
 QUERIES = {
     "op2_near_dedup": op2.op2_near_dedup,
+    "op4_lang_id": op4.op4_lang_id,
+    "op5_substring_dedup": op5.op5_substring_dedup,
     "op6_bpe_codec": op6.op6_bpe_codec,
     "op7_quality_rules": op7.op7_quality_rules,
     "op8_source_mix": op8.op8_source_mix,
