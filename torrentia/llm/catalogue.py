@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from torrentia.llm import bpe_codec as op6
 from torrentia.llm import exact_dedup as op9
+from torrentia.llm import html_extract as op10
 from torrentia.llm import lang_id as op4
 from torrentia.llm import near_dedup as op2
 from torrentia.llm import quality_rules as op7
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_quality_rules": op7.op7_quality_rules,
     "op8_source_mix": op8.op8_source_mix,
     "op9_exact_dedup": op9.op9_exact_dedup,
+    "op10_html_extract": op10.op10_html_extract,
 }
 SQL = {
     "op7_quality_rules": op7.ORACLE_SQL,
