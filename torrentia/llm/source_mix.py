@@ -96,18 +96,18 @@ def _placed(sizes: DataFrame, n_rows: int) -> DataFrame:
     return inside.join(parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p_part"))).withColumn("at", F.col("at_range") + F.col("inside"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK) -> DataFrame:
-    """One row a document: rid (the row's place in docs), doc_id, size, source_size, target, taken."""
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, row_id: str | None = None) -> DataFrame:
+    """One row a document: rid (the column row_id of docs, or else the row's place), doc_id, size, source_size, target, taken."""
     key = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(SEED)))
-    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), key.alias("key"))
-    sizes = materialise(sizes.withColumn("rid", F.monotonically_increasing_id()))
+    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), key.alias("key"), (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("rid"))
+    sizes = materialise(sizes)
     targets = materialise(source_targets(sizes, block))
     slots = schedule(targets, (targets.agg(F.max("slots")).first()[0] or 0))
     uses = slots.groupBy("source", "block").agg(F.count(F.lit(1)).alias("uses"))
     uses = uses.withColumnsRenamed({"source": "b_source", "block": "b_block"})
 
-    own = targets.withColumnRenamed("source", "t_source")
-    d = _placed(sizes, sizes.count()).join(own, F.col("source").eqNullSafe(F.col("t_source")))
+    shares = targets.withColumnRenamed("source", "t_source")
+    d = _placed(sizes, sizes.count()).join(shares, F.col("source").eqNullSafe(F.col("t_source")))
     # the first `longer` blocks have a word more
     d = d.withColumns({"each": F.expr("if(blocks > 0, words div blocks, 0)"), "longer": F.expr("if(blocks > 0, words % blocks, 0)")})
     block_of = lambda p: F.expr(f"if({p} < longer * (each + 1), {p} div (each + 1), longer + ({p} - longer * (each + 1)) div each)")
@@ -123,10 +123,10 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs as the mix takes them: each document as many times as taken / size rounds to, with its own columns."""
-    spark_docs = materialise(docs.withColumn("__m_rid", F.monotonically_increasing_id()))
-    counted = mix(spark_docs, doc_id, text, source).where("size > 0")
+    own = materialise(docs.withColumn("__m_rid", F.monotonically_increasing_id()))
+    counted = mix(own, doc_id, text, source, row_id="__m_rid").where("size > 0")
     times = counted.select(F.col("rid").alias("__m_key"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__m_times")).where("__m_times > 0")
-    return spark_docs.join(times, F.col("__m_rid") == F.col("__m_key")).withColumn("__m_copy", F.explode(F.sequence(F.lit(1), F.col("__m_times")))).select(*docs.columns)
+    return own.join(times, F.col("__m_rid") == F.col("__m_key")).withColumn("__m_copy", F.explode(F.sequence(F.lit(1), F.col("__m_times")))).select(*docs.columns)
 
 
 def op8_source_mix(spark, sf_dir):
