@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from torrentia.llm.common import SPACE, WORD, materialise
+from torrentia.llm.common import SPACE, WORD, discard, materialise
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -110,8 +110,10 @@ def _floor_of(b: Column) -> Column:
 
 def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
     """The quantile sketches of each language and source: one row a measure and bucket, with its count."""
-    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), _bucket(F.col(f"__q_m.{m}")).alias("bucket")) for m in FENCES]))
-    rows = measured.where(~F.col("__q_base_failed")).select(F.col(lang).alias("lang"), F.col(source).alias("source"), cells.alias("c"))
+    cells = F.array(*[F.struct(F.lit(m).alias("measure"), _bucket(F.col(f"__q_m.{m}")).alias("bucket")) for m in FENCES])
+    # the condition stands inside the generator: a filter would be pushed below the measures and have them made twice
+    cells = F.explode_outer(F.when(~F.col("__q_base_failed"), cells))
+    rows = measured.select(F.col(lang).alias("lang"), F.col(source).alias("source"), cells.alias("c")).where("c is not null")
     return rows.groupBy("lang", "source", "c.measure", "c.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -148,7 +150,7 @@ def judge(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: st
     for f in fine[1:]:
         passed = passed & f
     # a group without thresholds has no document that passes the base rule
-    kept = ~F.col("__q_base_failed") & F.coalesce(passed, F.lit(False))
+    kept = F.when(F.col("__q_base_failed"), False).otherwise(F.coalesce(passed, F.lit(False)))  # one piece, which stays above the join
     return measured.join(limits, on, "left").withColumn("__q_kept", kept).drop(*limits.columns)
 
 
@@ -166,7 +168,9 @@ def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def filter_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that the rules keep, with their own columns."""
     own = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    limits = materialise(thresholds(sketches(measures(own))))
+    measured = materialise(measures(own).select("lang", "source", "__q_base_failed", "__q_m"))
+    limits = materialise(thresholds(sketches(measured)))
+    discard(measured)
     return judge(measures(docs, text), limits, lang, source).where("__q_kept").select(*docs.columns)
 
 
