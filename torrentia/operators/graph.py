@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from torrentia.scratch import written
+from torrentia.scratch import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,7 +20,9 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = large.join(least, F.col("u") == F.col("k"))
         up = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        star = written(up.union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        after = written(up.union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        discard(star)
+        star = after
         now = sign(star)
         if now == seen:
             return star.select(F.col("u").alias("node"), F.col("v").alias("label")).union(star.select("v", "v").distinct())
