@@ -1,60 +1,21 @@
-"""What several text operators share: scratch tables in the shared folder, and text pieces.
+"""What several text operators share: scratch tables in the shared folder (from the library), and text pieces.
 
 Words are maximal runs of characters other than the six ASCII white-space ones.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-SPACE = r"[\x20\x09-\x0D]"
-
-_local_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set (local tests)."""
-    global _local_dir
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if _local_dir is None:
-        _local_dir = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return _local_dir
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/torrentia-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch = path
-    return out
-
+from torrentia.scratch import discard
+from torrentia.scratch import written as materialise
 
-def discard(df: DataFrame) -> None:
-    """Remove a table made by materialise() that no later query reads."""
-    path = getattr(df, "_scratch", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
-
-
-def words(text: Column | str) -> Column:
-    """The text's words as an array; a null text has none."""
-    text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
+__all__ = ["SPACE", "WORD", "discard", "materialise", "mix64", "n_words", "shingle_hashes", "span_hashes", "word_hashes"]
 
+WORD = r"[^\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]"
 
 def n_words(text: Column | str) -> Column:
     text = F.col(text) if isinstance(text, str) else text
