@@ -132,6 +132,38 @@ def test_fill_leaves_no_pit_and_depressions_are_whole(spark):
     assert abs(sum(r.volume for r in terrain.depressions(filled).collect()) - (f - z).sum()) < 1e-9
 
 
+def test_dinf_follows_a_plane_and_keeps_area(spark):
+    n = 9
+    rows = [(i * n + j, i, j, 2.0 * i - 1.0 * j + 20, 0) for i in range(n) for j in range(n)]  # falls towards north-north-east
+    cells = spark.createDataFrame(rows, "cell long, row long, col long, z double, tile long")
+    p = terrain.dinf_pointer(cells)
+    inner = [r for r in p.collect() if 0 < r.cell // n < n - 1 and 0 < r.cell % n < n - 1]
+    assert all(abs(r.angle - math.atan2(2, 1)) < 1e-9 and abs(r.slope - 5**0.5) < 1e-9 for r in inner)
+    area = {r.cell: r.area for r in terrain.dinf_accumulation(cells, p).collect()}
+    assert all(a >= 1 for a in area.values()) and area[n - 1] > area[(n - 1) * n]
+
+
+def test_breach_lets_every_cell_drain(spark):
+    z, cells = surface(spark, seed=6)
+    out = terrain.breach(cells).collect()
+    b = np.empty_like(z)
+    for r in out:
+        b[r.row, r.col] = r.breached
+    assert (b <= z + 1e-12).all() and (b < z).any()
+    for i in range(1, 11):
+        for j in range(1, 11):
+            assert min(b[i + dr, j + dc] for _, dr, dc in terrain.D8) <= b[i, j]
+
+
+def test_fingerprints_and_stale_runs(spark):
+    grid = spark.createDataFrame([("P025_3h", 5.0), ("P050_3h", 5.0)], "scenario string, ks double")
+    now = rain.fingerprint(grid, ["scenario", "ks"])
+    assert rain.to_run(now, now).count() == 0 and all(len(r.print) == 12 for r in now.collect())
+    changed = rain.fingerprint(grid.withColumn("ks", F.when(F.col("scenario") == "P025_3h", 6.0).otherwise(5.0)), ["scenario", "ks"])
+    assert [r.scenario for r in rain.to_run(changed, now).collect()] == ["P025_3h"]
+    assert [r.scenario for r in rain.stale(now, grid.where("ks = 5 and scenario = 'P050_3h'")).collect()] == ["P025_3h"]
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (10, 11), (12, 11), (7, 7)], "a long, b long")
     assert {r.node: r.label for r in graph.components(e).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 10: 10, 11: 10, 12: 10}

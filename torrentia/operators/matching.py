@@ -55,3 +55,19 @@ def nearest_segment(points: DataFrame, segments: DataFrame, cell: float, reach:
 def new_only(scene: DataFrame, reference: DataFrame, on: list[str]) -> DataFrame:
     """Rows of the scene that the reference lacks."""
     return scene.join(reference, on, "left_anti")
+
+
+def line_agreement(nearest: DataFrame, group: str, within: float) -> DataFrame:
+    """Of sampled points' distances to the nearest line: median, ninth decile, and per cent within a distance."""
+    p = F.percentile("dist", F.array(F.lit(0.5), F.lit(0.9)))
+    out = nearest.groupBy(group).agg(p.alias("p"), (100 * F.avg((F.col("dist") <= within).cast("int"))).alias("pct_within"), F.count(F.lit(1)).alias("n"))
+    return out.select(group, F.col("p")[0].alias("median"), F.col("p")[1].alias("p90"), "pct_within", "n")
+
+
+def profile_kind(profile: DataFrame, key: str) -> DataFrame:
+    """profile (key, x, z, line_dist) to incision (cm, the banks' median over the bed's least height) and kind: a mapped stream within 60 m, else a channel from 50 cm on, else a swale."""
+    out = profile.groupBy(key).agg(
+        F.percentile(F.when(F.abs("x").between(100, 200), F.col("z")), 0.5).alias("bank"), F.min(F.when(F.abs("x") <= 30, F.col("z"))).alias("bed"), F.min("line_dist").alias("line_dist")
+    )
+    cm = F.when(F.col("bank").isNotNull() & F.col("bed").isNotNull(), F.greatest((F.col("bank") - F.col("bed")) * 100, F.lit(0.0)))
+    return out.select(key, cm.alias("incision_cm"), F.when(F.col("line_dist") <= 60, "stream").when(cm >= 50, "channel").otherwise("swale").alias("kind"))

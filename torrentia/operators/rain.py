@@ -25,6 +25,29 @@ def scenario_grid(levels: DataFrame, durations: DataFrame, soils: DataFrame) ->
     return out.withColumn("t_end_h", F.col("dur_h") + DRAIN_H).withColumn("shape", F.when(F.col("dur_h") > 3, "long").otherwise("short"))
 
 
+def fingerprint(scenarios: DataFrame, parts: list[str], version: int = 1) -> DataFrame:
+    """scenarios with print: twelve hex digits over what determines a run, so that runs that didn't change are reused."""
+    text = F.concat_ws("|", F.lit(str(version)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts])
+    return scenarios.withColumn("print", F.substring(F.sha1(text), 1, 12))
+
+
+def to_run(scenarios: DataFrame, done: DataFrame) -> DataFrame:
+    """Scenarios whose fingerprint has no stored run."""
+    return scenarios.join(done.select("scenario", "print"), ["scenario", "print"], "left_anti")
+
+
+def stale(stored: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """Stored runs that the grid no longer has."""
+    return stored.join(scenarios.select("scenario").distinct(), "scenario", "left_anti")
+
+
+def ensemble(chosen: DataFrame, scenarios: DataFrame, dems: DataFrame, primary_grid: str) -> DataFrame:
+    """Chosen scenarios that the grid has, with each terrain model on the primary one's grid: id {scenario}__{dem}."""
+    known = chosen.join(scenarios.select("scenario").distinct(), "scenario", "left_semi")
+    out = known.crossJoin(F.broadcast(dems.where(F.col("grid") == primary_grid)))  # a handful of models
+    return out.withColumn("run", F.concat_ws("__", "scenario", "dem"))
+
+
 def _share(x: Column, knots: tuple) -> Column:
     """Linear between knots, the first knot's value before it."""
     out = F.when(x <= knots[0][0] + 1e-12, knots[0][1])
@@ -45,7 +68,7 @@ def hyetograph(storms: DataFrame, key: str) -> DataFrame:
     s = s.withColumn("cum", cum).withColumn("top", F.max("cum").over(by)).withColumn("inc", F.col("top") - F.coalesce(F.lag("top").over(by), F.lit(0.0)))
     rank = F.row_number().over(W.partitionBy(key).orderBy(F.col("inc").desc(), "i")) - 1
     mid = F.floor(F.col("n") / 2)
-    place = F.when(rank % 2 == 1, mid - F.expr("1") * F.floor((rank + 1) / 2)).otherwise(mid + F.floor(rank / 2))
+    place = F.when(rank % 2 == 1, mid - F.floor((rank + 1) / 2)).otherwise(mid + F.floor(rank / 2))
     return s.withColumn("k", place).select(key, F.col("k").cast("int").alias("k"), F.col("inc").alias("mm"), "dt_h")
 
 

@@ -108,6 +108,78 @@ def fill(cells: DataFrame, tile: str = "tile") -> DataFrame:
     return cells.groupBy(tile).applyInPandas(run, kind)
 
 
+def dinf_pointer(cells: DataFrame, res: float = 1.0) -> DataFrame:
+    """cell, angle (radians, anticlockwise from east, NULL where nothing is lower) and slope of the steepest of the eight triangular facets."""
+    n = neighbours(cells.where("z is not null"))
+    around = n.groupBy("cell", "z").agg(*[F.max(F.when(F.col("code") == c, F.col("n_z"))).alias(f"z{c}") for c, _, _ in D8])
+    # facet: cardinal and diagonal neighbour by code, sign and start of its angle in quarter turns
+    facets = ((2, 1, 1, 0), (128, 1, -1, 1), (128, 64, 1, 1), (32, 64, -1, 2), (32, 16, 1, 2), (8, 16, -1, 3), (8, 4, 1, 3), (2, 4, -1, 4))
+    found = []
+    for side, corner, sign, turns in facets:
+        e0, e1, e2 = F.col("z"), F.col(f"z{side}"), F.col(f"z{corner}")
+        s1, s2 = (e0 - e1) / res, (e1 - e2) / res
+        r = F.atan2(s2, s1)
+        slope = F.when(r < 0, s1).when(r > np.pi / 4, (e0 - e2) / (res * 2**0.5)).otherwise(F.hypot(s1, s2))
+        angle = F.least(F.greatest(r, F.lit(0.0)), F.lit(np.pi / 4)) * sign + turns * np.pi / 2
+        found.append(F.when(e1.isNotNull() & e2.isNotNull() & (slope > 0), F.struct(slope.alias("slope"), F.lit(-len(found)).alias("k"), angle.alias("angle"))))
+    best = F.array_max(F.array(*found))
+    return around.select("cell", F.pmod(best["angle"], F.lit(2 * np.pi)).alias("angle"), best["slope"].alias("slope"))
+
+
+def dinf_accumulation(cells: DataFrame, pointers: DataFrame, tile: str = "tile") -> DataFrame:
+    """cell, area: each cell passes its area to the two neighbours that its angle lies between, highest cells first, within its tile."""
+    steps = [(0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1)]  # anticlockwise from east
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        place = {(r, c): i for i, (r, c) in enumerate(zip(pdf["row"], pdf["col"], strict=True))}
+        area, rows, cols, angles = np.ones(len(pdf)), pdf["row"].to_numpy(), pdf["col"].to_numpy(), pdf["angle"].to_numpy()
+        for i in np.argsort(-pdf["z"].to_numpy(), kind="stable"):
+            if np.isnan(angles[i]):
+                continue
+            k, part = divmod(angles[i] / (np.pi / 4), 1.0)
+            for step, share in ((int(k) % 8, 1 - part), ((int(k) + 1) % 8, part)):
+                j = place.get((rows[i] + steps[step][0], cols[i] + steps[step][1]))
+                if j is not None and share > 0:
+                    area[j] += area[i] * share
+        return pd.DataFrame({"cell": pdf["cell"], "area": area})
+
+    a = pointers.select(F.col("cell").alias("p"), "angle")
+    joined = cells.join(a, F.col("cell") == F.col("p"), "left").select("cell", "row", "col", "z", tile, "angle")
+    return joined.groupBy(tile).applyInPandas(run, "cell long, area double")
+
+
+def breach(cells: DataFrame, max_dist: int = 50, tile: str = "tile") -> DataFrame:
+    """cells with breached: from each pit the cheapest ditch (by depth dug) to a lower cell or the tile's edge, at most max_dist cells long, is dug."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        z = {(r, c): v for r, c, v in zip(pdf["row"], pdf["col"], pdf["z"], strict=True)}
+        edge = {p for p in z if any((p[0] + dr, p[1] + dc) not in z for _, dr, dc in D8)}
+        pits = sorted((p for p in z if p not in edge and all(z[p[0] + dr, p[1] + dc] >= z[p] for _, dr, dc in D8)), key=lambda p: (z[p], p))
+        for pit in pits:
+            floor, cost, back, queue, end = z[pit], {pit: 0.0}, {pit: None}, [(0.0, 0, pit)], None
+            while queue:
+                c, steps, p = heapq.heappop(queue)
+                if p != pit and (z[p] < floor or p in edge):
+                    end = p
+                    break
+                if steps == max_dist or c > cost[p]:
+                    continue
+                for _, dr, dc in D8:
+                    q = (p[0] + dr, p[1] + dc)
+                    if q in z:
+                        d = c + max(0.0, z[q] - floor)
+                        if d < cost.get(q, float("inf")):
+                            cost[q], back[q] = d, p
+                            heapq.heappush(queue, (d, steps + 1, q))
+            while end is not None:
+                z[end] = min(z[end], floor)
+                end = back[end]
+        return pdf.assign(breached=[z[r, c] for r, c in zip(pdf["row"], pdf["col"], strict=True)])
+
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema) + ", breached double"
+    return cells.groupBy(tile).applyInPandas(run, kind)
+
+
 def depressions(filled: DataFrame, res: float = 1.0) -> DataFrame:
     """The 4-connected components of filled - z > 0: label (least cell), n_cells, area, volume, deepest, mean."""
     sink = filled.withColumn("depth", F.col("filled") - F.col("z")).where("depth > 0")

@@ -192,6 +192,20 @@ def nearest_line(spark, d):
     return matching.nearest_segment(pts, segs, 10.0).withColumn("dist", F.round("dist", 6))
 
 
+def line_agreement(spark, d):
+    """How well customers' places agree with supplier lines, by nation."""
+    c = _table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    near = nearest_line(spark, d).join(c, F.col("pid") == F.col("c_custkey"))
+    return matching.line_agreement(near, "c_nationkey", 4.0).select("c_nationkey", *[F.round(x, 8).alias(x) for x in ("median", "p90", "pct_within")], "n")
+
+
+def profile_kinds(spark, d):
+    """Orders' line items as a profile across a stream: place by quantity, height by price."""
+    li = _table(spark, d, "lineitem")
+    p = li.select("l_suppkey", ((F.col("l_quantity") - 25) * 8).alias("x"), (F.col("l_extendedprice") / 10000).alias("z"), (F.col("l_suppkey") % 90).cast("double").alias("line_dist"))
+    return matching.profile_kind(p, "l_suppkey").withColumn("incision_cm", F.round("incision_cm", 5))
+
+
 def hand_uncertainty(spark, d):
     """Chances that the least height above drainage is under 0.5 and 1 m, by brand, from the spread over types."""
     p = _table(spark, d, "part").groupBy("p_brand", "p_type").agg((F.min("p_retailprice") / 1000).alias("h"))
@@ -202,7 +216,7 @@ def hand_uncertainty(spark, d):
 QUERIES = {f.__name__: f for f in (
     zonal_stats, zonal_pct_null_policies, mode_tiebreak, percentile_linear, dem_selection, class_breaks, db_transform, compass8, frame_encode, sink_and_water,
     otsu_threshold, otsu_guarded, change_detection, focal_mean_3x3, focal_mean_5x5_open, lee_filter, strict_pits, dem_roughness, certainty_ensemble, certainty_class,
-    blend_neighbours, snap_levels, lot_hourly_stats, lot_summary, spanish_numbers, return_sentences, crs_codes, degree_tiles, rain_pixels, nearest_line, hand_uncertainty,
+    blend_neighbours, snap_levels, lot_hourly_stats, lot_summary, spanish_numbers, return_sentences, crs_codes, degree_tiles, rain_pixels, nearest_line, line_agreement, profile_kinds, hand_uncertainty,
 )}
 
 CELLS = f"""c AS (SELECT l_returnflag AS raster, l_partkey % {N} AS row, l_suppkey % {N} AS col, CASE WHEN avg(l_quantity) <= 30 THEN avg(l_extendedprice) / 1000 END AS value FROM lineitem GROUP BY ALL),
@@ -304,4 +318,14 @@ SQL = {
         q AS (SELECT *, greatest(0.0, least(1.0, ((px - ax) * 7 + (py - ay) * 3) / 58.0)) AS t FROM p, s),
         r AS (SELECT *, sqrt(pow(px - (ax + t * 7), 2) + pow(py - (ay + t * 3), 2)) AS dist FROM q)
         SELECT pid, arg_min(sid, (dist, sid)) AS sid, round(min(dist), 6) AS dist FROM r WHERE dist <= 10 GROUP BY pid""",
+    "line_agreement": """WITH p AS (SELECT c_custkey AS pid, c_acctbal / 100 AS px, CAST(c_custkey % 97 AS DOUBLE) AS py FROM customer),
+        s AS (SELECT s_suppkey AS sid, s_acctbal / 100 AS ax, CAST(s_suppkey % 89 AS DOUBLE) AS ay FROM supplier),
+        q AS (SELECT *, greatest(0.0, least(1.0, ((px - ax) * 7 + (py - ay) * 3) / 58.0)) AS t FROM p, s),
+        r AS (SELECT *, sqrt(pow(px - (ax + t * 7), 2) + pow(py - (ay + t * 3), 2)) AS dist FROM q),
+        n AS (SELECT pid, round(min(dist), 6) AS dist FROM r WHERE dist <= 10 GROUP BY pid)
+        SELECT c_nationkey, round(quantile_cont(dist, 0.5), 8) AS median, round(quantile_cont(dist, 0.9), 8) AS p90, round(100 * avg(CAST(dist <= 4 AS INT)), 8) AS pct_within, count(*) AS n
+        FROM n JOIN customer ON pid = c_custkey GROUP BY c_nationkey""",
+    "profile_kinds": """WITH q AS (SELECT l_suppkey, quantile_cont(l_extendedprice / 10000, 0.5) FILTER (WHERE abs((l_quantity - 25) * 8) BETWEEN 100 AND 200) AS bank,
+          min(l_extendedprice / 10000) FILTER (WHERE abs((l_quantity - 25) * 8) <= 30) AS bed FROM lineitem GROUP BY l_suppkey), c AS (SELECT *, CASE WHEN bank IS NOT NULL AND bed IS NOT NULL THEN greatest((bank - bed) * 100, 0) END AS cm FROM q)
+        SELECT l_suppkey, round(cm, 5) AS incision_cm, CASE WHEN l_suppkey % 90 <= 60 THEN 'stream' WHEN cm >= 50 THEN 'channel' ELSE 'swale' END AS kind FROM c""",
 }

@@ -99,6 +99,39 @@ def rain_on_grid_small(spark, d):
     return rain.rain_on_grid(cells.select("tile", "row", "col", "z"), storms)
 
 
+def dinf_pointer(spark, d):
+    return terrain.dinf_pointer(_cells(spark, d)).select("cell", F.round("angle", 6).alias("angle"), F.round("slope", 6).alias("slope"))
+
+
+def dinf_accumulation(spark, d):
+    cells = _cells(spark, d)
+    return terrain.dinf_accumulation(cells, terrain.dinf_pointer(cells)).withColumn("area", F.round("area", 5))
+
+
+def breach_depressions(spark, d):
+    return terrain.breach(_cells(spark, d)).select("cell", F.round("breached", 6).alias("breached"))
+
+
+def scenario_fingerprints(spark, d):
+    """Runs still to do: parts' scenarios whose stored run (of orders' numbers) has another soil constant."""
+    grid = scenario_grid(spark, d).select("scenario", "p_mm", "dur_h", "soil").distinct().withColumn("ks", F.when(F.col("soil") == "normal", "5").otherwise("0.5"))
+    now = rain.fingerprint(grid, ["scenario", "ks"], 2)
+    before = rain.fingerprint(grid.withColumn("ks", F.when(F.col("p_mm") > 100, "5").otherwise(F.col("ks"))), ["scenario", "ks"], 2)
+    return rain.to_run(now, before).select("scenario", "print")
+
+
+def stale_runs(spark, d):
+    """Stored runs named by line quantities that the parts' grid doesn't have."""
+    stored = _table(spark, d, "lineitem").select(rain.scenario_id(F.col("l_quantity") * 6, F.lit(24.0), F.col("l_returnflag") == "R").alias("scenario")).distinct()
+    return rain.stale(stored, scenario_grid(spark, d))
+
+
+def ensemble_runs(spark, d):
+    chosen = _table(spark, d, "lineitem").select(rain.scenario_id(F.col("l_quantity") * 5, F.lit(3.0), F.lit(False)).alias("scenario")).distinct()
+    dems = _table(spark, d, "region").select(F.col("r_name").alias("dem"), F.when(F.col("r_regionkey") % 2 == 0, "g0").otherwise("g1").alias("grid"))
+    return rain.ensemble(chosen, scenario_grid(spark, d), dems, "g0").select("run", "scenario", "dem")
+
+
 def _indicators(spark, d):
     """A nation's nine indicators from its customers and suppliers; those that its suppliers lack are missing."""
     c = _table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.round(F.avg("c_acctbal"), 4).alias("a"), F.max("c_acctbal").alias("m"), F.min("c_acctbal").alias("l"), F.count(F.lit(1)).alias("n"))
@@ -124,7 +157,7 @@ def verdict_missing_inputs(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     d8_pointer, flow_accumulation, stream_cells, hand, watershed, terrain_gradients, wetness_index, fill_depressions, depressions, scenario_grid, scenario_hyetograph,
-    greenampt_point, rain_on_grid_small, indicator_rules_verdict, verdict_missing_inputs,
+    greenampt_point, dinf_pointer, dinf_accumulation, breach_depressions, scenario_fingerprints, stale_runs, ensemble_runs, rain_on_grid_small, indicator_rules_verdict, verdict_missing_inputs,
 )}
 
 CELLS = f"""c AS (SELECT p_partkey AS cell, (p_partkey - 1) // {WIDTH} AS row, (p_partkey - 1) % {WIDTH} AS col,
@@ -187,6 +220,20 @@ SQL = {
     "greenampt_point": f"""WITH RECURSIVE {HYETO}, g(p_partkey, k, f, h) AS (SELECT DISTINCT p_partkey, -1, CAST(0.1 AS DOUBLE), CAST(0 AS DOUBLE) FROM hy UNION ALL
         SELECT g.p_partkey, hy.k, f + least(5.0 * (1 + 0.22 * 1000 * 0.3 / f) * dt, h + mm), h + mm - least(5.0 * (1 + 0.22 * 1000 * 0.3 / f) * dt, h + mm) FROM g JOIN hy ON hy.p_partkey = g.p_partkey AND hy.k = g.k + 1)
         SELECT p_partkey, round(arg_max(f, k) - 0.1, 4) AS infiltrated, round(arg_max(h, k), 4) AS left_over FROM g GROUP BY p_partkey""",
+    "dinf_pointer": f"""WITH {CELLS}, a AS (SELECT cell, z, {", ".join(f"max(n_z) FILTER (WHERE code = {c}) AS z{c}" for c, _, _ in terrain.D8)} FROM nb GROUP BY ALL),
+        f(k, sd, co, sg, tn) AS (VALUES (0, 2, 1, 1, 0), (1, 128, 1, -1, 1), (2, 128, 64, 1, 1), (3, 32, 64, -1, 2), (4, 32, 16, 1, 2), (5, 8, 16, -1, 3), (6, 8, 4, 1, 3), (7, 2, 4, -1, 4)),
+        l AS (SELECT cell, code, n_z FROM nb), j AS (SELECT a.cell, a.z, k, sg, tn, s.n_z AS e1, d.n_z AS e2 FROM a CROSS JOIN f JOIN l s ON s.cell = a.cell AND s.code = sd JOIN l d ON d.cell = a.cell AND d.code = co),
+        r AS (SELECT *, atan2(e1 - e2, z - e1) AS r FROM j),
+        q AS (SELECT cell, k, CASE WHEN r < 0 THEN z - e1 WHEN r > pi() / 4 THEN (z - e2) / sqrt(2) ELSE sqrt(pow(z - e1, 2) + pow(e1 - e2, 2)) END AS slope, least(greatest(r, 0), pi() / 4) * sg + tn * pi() / 2 AS angle FROM r),
+        b AS (SELECT cell, arg_max(angle, (slope, -k)) AS angle, max(slope) AS slope FROM q WHERE slope > 0 GROUP BY cell)
+        SELECT a.cell, round(fmod(angle, 2 * pi()), 6) AS angle, round(slope, 6) AS slope FROM a LEFT JOIN b USING (cell)""",
+    "scenario_fingerprints": """WITH g AS (SELECT DISTINCT printf('P%03d_%dh', CAST(p_size * 5 AS INT), CAST(d AS INT)) || CASE WHEN s = 'saturado' THEN '_sat' ELSE '' END AS scenario, p_size * 5 AS p, s AS soil
+          FROM part, (SELECT unnest([3, 24, 72]) AS d) x, (SELECT unnest(['normal', 'saturado']) AS s) y)
+        SELECT scenario, substr(sha1('2|' || scenario || '|0.5'), 1, 12) AS print FROM g WHERE soil = 'saturado' AND p > 100""",
+    "stale_runs": """WITH s AS (SELECT DISTINCT printf('P%03d_24h', CAST(l_quantity * 6 AS INT)) || CASE WHEN l_returnflag = 'R' THEN '_sat' ELSE '' END AS scenario FROM lineitem)
+        SELECT scenario FROM s WHERE scenario NOT IN (SELECT printf('P%03d_24h', CAST(p_size * 5 AS INT)) || x FROM part, (SELECT unnest(['', '_sat']) AS x) y)""",
+    "ensemble_runs": """WITH s AS (SELECT DISTINCT printf('P%03d_3h', CAST(l_quantity * 5 AS INT)) AS scenario FROM lineitem)
+        SELECT scenario || '__' || r_name AS run, scenario, r_name AS dem FROM s, region WHERE r_regionkey % 2 = 0 AND scenario IN (SELECT printf('P%03d_3h', CAST(p_size * 5 AS INT)) FROM part)""",
     "indicator_rules_verdict": f"WITH {IND}, {_verdict('ind')} SELECT k, component, {NAMES}[rank + 1] AS level, reasons, missing, {NAMES}[max(rank) OVER (PARTITION BY k) + 1] AS overall FROM pr",
     "verdict_missing_inputs": f"""WITH {IND}, held AS (SELECT k, indicator, CASE WHEN (length(indicator) + k) % 3 <> 0 THEN value END AS value FROM ind), {_verdict("held")}
         SELECT k, component, {NAMES}[rank + 1] AS level, missing FROM pr""",
