@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 #: Characters that str.split() drops and the vocabulary's pattern for white space doesn't.
 _CONTROL = regex.compile("[\x1c-\x1f]")
 _SPACES = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -123,7 +123,7 @@ class Codec:
         key = (left, right)
         out = self.compatible.get(key)
         if out is None:
-            if len(self.compatible) >= 4 * CACHE_ENTRIES:
+            if len(self.compatible) >= 2 * CACHE_ENTRIES:
                 self.compatible.clear()
             out = self.compatible[key] = self._stays_apart(left, right)
         return out
