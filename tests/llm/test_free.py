@@ -139,6 +139,22 @@ def test_near_classes_against_all_pairs(spark):
     assert near_dedup.classes(df.limit(0)).count() == 0
 
 
+def test_small_families_under_a_shared_header(spark):
+    """Pairs whose shared groups are all large: in such a group every pair across components counts, not only those of pivots."""
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    header = " ".join(word() for _ in range(29))
+    texts = []
+    for _ in range(60):
+        body = [word() for _ in range(6)]
+        texts += [" ".join([header, *body]), " ".join([header, *body[:3], *[word() for _ in range(3)]])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    k = [shingle_hashes(word_hashes(t), 5) for t in texts]
+    assert all((near_dedup.similarity(k[i], k[j]) > 0) == (i // 2 == j // 2) for j in range(120) for i in range(j))
+    got = {x.doc_id: (x.class_id, x.class_size) for x in near_dedup.classes(df).collect()}
+    assert got == {i: (i // 2 * 2, 2) for i in range(120)}
+
+
 def test_repeated_passages(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(r.randint(3, 9)))

@@ -13,9 +13,10 @@ pair at exactly 0.8 is missed with a probability of about 2e-4, at 0.9 of 1e-10.
 Texts equal in words are one class first. In the group of texts that share a sketch, all are aligned with three
 pivots: the most central text (the one whose groups are largest in sum, so a large group's original rather than a
 copy), and the first and the last by a hash. As a text is in up to 32 groups, it meets many pivots, while a group of
-n copies costs about n alignments. Then, in groups of up to WHOLE texts that still fall into several components,
-all pairs across components are aligned. So groups that small lose no link; in larger ones a link is missed
-where none of the pivots of any shared group has both texts in its component (README gives measured recall).
+n copies costs about n alignments. Then all pairs of a group's texts that are still in different components are
+aligned, whatever the group's size, but for those that can't reach 0.8: by size, or as their k-mers differ in too many
+places. Of PARITY bits each is the parity of a text's k-mers that hash to it; a k-mer that only one text has changes one
+bit, so at 0.8 at most (n + m) / 9 bits differ. So no candidate pair across components is left unchecked.
 Classes are connected components.
 
 Null text counts as empty; texts without words are equal to each other. Repeated rows are in one class.
@@ -40,7 +41,8 @@ SIMILARITY = 0.8
 SHORT = (12, 2)  # sketches, k-mers in each
 LONG = (32, 6)
 SHORT_MOST, LONG_LEAST = 40, 32
-WHOLE = 8
+PARITY = 512  # bits
+CELL = 512
 
 
 def _labelled(kmers: np.ndarray) -> np.ndarray:
@@ -92,6 +94,12 @@ def sketch_keys(kmers: np.ndarray) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def parities(kmers: np.ndarray) -> np.ndarray:
+    """PARITY bits, each the parity of the number of k-mers that hash to it: two texts differ in at least as many k-mers as bits."""
+    odd = (np.bincount((kmers % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """The longest common subsequence of a and b whose matches lie at most `band` off the diagonal.
 
@@ -152,7 +160,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, th (hash of the text as it is), digest of the words, n (k-mers), keys."""
+    """rid, doc_id, th (hash of the text as it is), digest of the words, n (k-mers), keys, parity."""
 
     def run(batches):
         for pdf in batches:
@@ -160,14 +168,37 @@ def _features(docs: DataFrame) -> DataFrame:
             for t in pdf["text"]:
                 w = word_hashes(t)
                 k = shingle_hashes(w, WIDTH)
-                rows.append((hashlib.blake2b(w.tobytes(), digest_size=16).digest(), len(k), sketch_keys(k).view(np.int64)))
-            out = pd.DataFrame(rows, columns=["digest", "n", "keys"], index=pdf.index)
+                rows.append((hashlib.blake2b(w.tobytes(), digest_size=16).digest(), len(k), sketch_keys(k).view(np.int64), parities(k)))
+            out = pd.DataFrame(rows, columns=["digest", "n", "keys", "parity"], index=pdf.index)
             yield pd.concat([pdf[["doc_id", "th"]], out], axis=1)
 
-    found = docs.mapInPandas(run, "doc_id long, th long, digest binary, n long, keys array<long>")
+    found = docs.mapInPandas(run, "doc_id long, th long, digest binary, n long, keys array<long>, parity array<long>")
     return materialise(found.withColumn("rid", F.monotonically_increasing_id()))
 
 
+def _unchecked(members: DataFrame, nodes: DataFrame, label: DataFrame, done: DataFrame) -> DataFrame:
+    """The candidate pairs (a, b) across components that aren't done, less those that sizes or parities rule out.
+
+    A group of more than CELL members is dealt into cells, and each member goes to the pairs of cells that its own is in.
+    """
+    at = members.join(label, F.col("rid") == F.col("node"), "left").select("key", "rid", "size", F.coalesce("label", "rid").alias("label"))
+    at = materialise(at)
+    split = at.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select(F.col("key").alias("k"))
+    parts = F.expr(f"(size + {CELL - 1}) div {CELL}")
+    at = at.join(materialise(split), F.col("key") == F.col("k")).withColumn("parts", parts).withColumn("cell", F.pmod(F.xxhash64("rid"), "parts"))
+    sides = nodes.select(F.col("rid").alias("r"), "n", "parity")
+    at = materialise(at.join(sides, F.col("rid") == F.col("r")).select("key", "rid", "label", "n", "parity", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")))
+    at = at.select("key", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "rid", "label", "n", *[F.col("parity")[w].alias(f"w{w}") for w in range(PARITY // 64)])
+    x, y = at.alias("x"), at.alias("y")
+    differ = sum((F.bit_count(F.col(f"x.w{w}").bitwiseXOR(F.col(f"y.w{w}"))) for w in range(PARITY // 64)), F.lit(0))
+    near = (F.least("x.n", "y.n") >= SIMILARITY * F.greatest("x.n", "y.n")) & (differ <= (1 - SIMILARITY) / (1 + SIMILARITY) * (F.col("x.n") + F.col("y.n")) + 1e-9)
+    once = (F.col("x.i") == F.col("x.j")) | (F.col("x.cell") != F.col("y.cell"))
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    pairs = x.join(y, same & (F.col("x.rid") < F.col("y.rid")) & (F.col("x.label") != F.col("y.label")) & once & near)
+    pairs = pairs.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
+    return materialise(pairs.join(done, ["a", "b"], "left_anti"))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are similar."""
 
@@ -202,7 +233,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     own = _own(docs, doc_id, text)
     rows = _features(own)
     first = F.min(F.struct("doc_id", "th", "rid")).alias("f")
-    nodes = materialise(rows.groupBy("digest").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("size")).select("digest", "f.doc_id", "f.th", "f.rid", "n", "keys", "size"))
+    nodes = materialise(rows.groupBy("digest").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("parity").alias("parity"), F.count(F.lit(1)).alias("size")).select("digest", "f.doc_id", "f.th", "f.rid", "n", "keys", "parity", "size"))
     keyed = nodes.select("rid", F.explode("keys").alias("key"))
     shared = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("key", "k"))
     members = materialise(keyed.join(shared, F.col("key") == F.col("k")).select("key", "rid", "size"))
@@ -217,10 +248,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     slim = nodes.select("rid", "doc_id", "th", "n")
     links = _verified(done, slim, own)
     label = materialise(components(links))
-    at = members.where((F.col("size") > 3) & (F.col("size") <= WHOLE)).join(label, F.col("rid") == F.col("node"), "left").select("key", "rid", F.coalesce("label", "rid").alias("label"))
-    groups = at.groupBy("key").agg(F.collect_list(F.struct("rid", "label")).alias("g")).where(F.size(F.array_distinct("g.label")) > 1)
-    pair = groups.select(F.explode("g").alias("x"), "g").select("x", F.explode("g").alias("y")).where("x.label <> y.label and x.rid < y.rid")
-    more = _verified(pair.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), slim, own)
+    more = _verified(_unchecked(members, nodes, label, done), slim, own)
     if more.count():
         label = materialise(components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)))
     lab = nodes.join(label, F.col("rid") == F.col("node"), "left").select("digest", "doc_id", "th", "rid", "size", F.coalesce("label", "rid").alias("label"))
