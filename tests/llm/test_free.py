@@ -251,3 +251,12 @@ def test_article_text(spark, open_, close):
         assert got[i].text == f"Title {i} One&two {i} more bold Second para {i}" and got[i].n_chars == len(got[i].text)
     assert got[100].text == got[101].text == "" and got[102].text == "plain text" and got[103].text == "deep"
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("wrap", ["class='content-sidebar-wrap'", "class='has-sidebar no-menu'", "id='search-page'", "class='sidebar'", "role='search'"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_wrappers_named_like_menus_keep_the_text(wrap, tag):
+    html = f"<html><body><nav>Home</nav><div {wrap}><{tag}><p>The text</p></{tag}></div></body></html>"
+    dom = html_extract.Dom(html)
+    assert [t for _, t in dom.blocks] == ["The text"]
+    assert html_extract.aligned_blocks(html, html_extract.fold(dom))[0][0][0] >= 0

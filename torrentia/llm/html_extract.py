@@ -6,7 +6,8 @@ tree matching then pairs a page's nodes with the reference's: roots must agree,
 so that the number of pairs is largest. Over a host's pages, a node whose text is the same in nearly all of
 them is template; one whose text varies is a slot, and so is what has no partner. Slots are content,
 without those that hold menus, headers, footers, side bars, notices, adverts, forms, scripts or comments by tag,
-class, id or role. Inside an article or main element a repeated text stays, since pages may be copies;
+class, id or role. A class, id or role counts by its whole tokens ("menu", not "no-menu"), and leaves out no element
+that holds an article or main; where all text of a page would go that way, none does. Inside an article or main element a repeated text stays, since pages may be copies;
 where a page has such elements, what lies outside of them is left out.
 
 The reference is joined to the pages by host; counts of equal texts are partial sums by host and node. So a
@@ -17,7 +18,6 @@ without a host in their url form one group. Repeated rows are pages of their own
 from __future__ import annotations
 
 import hashlib
-import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -45,15 +45,15 @@ SKIP_WORDS = frozenset(
     "ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar "
     "navigation newsletter notice popup promo promoted related reply replies search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
-_WORDS = re.compile(r"[a-z0-9]+")
-_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("article", "children", "label", "skip", "tag", "texts")
+    __slots__ = ("article", "children", "hard", "holds", "label", "main", "named", "skip", "tag", "texts", "top", "up")
 
-    def __init__(self, tag: str, label: str, skip: bool, article: bool):
-        self.tag, self.label, self.skip, self.article = tag, label, skip, article
+    def __init__(self, tag: str, label: str, up: Node | None = None, hard: bool = False, named: bool = False, top: bool = False, main: bool = False):
+        """hard: left out by element, its parts too; named: by a word in class, id or role; top: a header; main: an article or main element."""
+        self.tag, self.label, self.up, self.hard, self.named, self.top, self.main = tag, label, up, hard, named, top, main
+        self.holds = self.skip = self.article = False
         self.children: list[Node] = []
         self.texts: list[int] = []
 
@@ -63,31 +63,51 @@ class Dom(HTMLParser):
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.root = Node("", "", False, False)
-        self.stack, self.blocks, self.open, self.owner = [self.root], [], [], self.root
+        self.root = Node("", "")
+        self.stack, self.nodes, self.runs, self.open = [self.root], [], [], []
         self.feed(html)
         self.close()
         self.flush()
+        for n in self.nodes:
+            if n.main and not n.named and not n.hard:
+                up = n.up
+                while up and not up.holds:
+                    up.holds, up = True, up.up
+        self.blocks = self._kept(True)
+        if not self.blocks:  # the words took all the text there is
+            self.blocks = self._kept(False)
+
+    def _kept(self, by_name: bool) -> list[tuple[Node, str]]:
+        """Sets skip, article and texts; an element that holds an article or main is never left out by its name."""
+        for n in self.nodes:  # parents first
+            n.skip = n.up.skip or n.hard or (by_name and not n.holds and (n.named or (n.top and not n.up.article)))
+            n.article = n.up.article or (n.main and not n.skip)
+        out = []
+        for run in self.runs:
+            run = [(at, data) for at, data in run if not at.skip]
+            text = " ".join("".join(data for _, data in run).split())
+            if text:
+                owner = run[0][0]
+                while owner.tag not in BLOCK and owner is not self.root:
+                    owner = owner.up
+                owner.texts.append(len(out))
+                out.append((owner, text))
+        return out
 
     def flush(self) -> None:
         """Ends the block of text that is open."""
-        text = " ".join("".join(self.open).split())
-        self.open = []
-        if text and not self.owner.skip:
-            self.owner.texts.append(len(self.blocks))
-            self.blocks.append((self.owner, text))
+        if self.open:
+            self.runs.append(self.open)
+            self.open = []
 
     def handle_data(self, data: str) -> None:
         at = self.stack[-1]
-        if at.skip:
-            return
-        if not self.open:
-            self.owner = next(n for n in reversed(self.stack) if n.tag in BLOCK or n is self.root)
-        self.open.append(data)
+        if not at.hard:
+            self.open.append((at, data))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "br":
-            self.open.append(" ")
+            self.handle_data(" ")
             return
         block = tag in BLOCK
         if block:
@@ -98,13 +118,12 @@ class Dom(HTMLParser):
                 for other in CLOSES[tag]:
                     self._close(other, HOLDS[tag])
         parent, named = self.stack[-1], dict(attrs)
-        words = {w for k in ("class", "id", "role") for w in _WORDS.findall(_CAMEL.sub(" ", named.get(k) or "").lower())}
-        skip = parent.skip or tag in SKIP_TAGS or "hidden" in named
-        if not skip and tag not in ("html", "body", "main"):
-            skip = bool(words & SKIP_WORDS) and not (tag == "article" and not words & {"comment", "comments", "reply", "ad", "related", "promo", "sponsored"})
-        if not skip and (tag == "header" or "header" in words) and tag not in ("html", "body", "article", "main"):
-            skip = not parent.article
-        node = Node(tag, f"{tag}.{named.get('class') or ''}" if block else tag, skip, parent.article or (not skip and (tag in ("article", "main") or named.get("role") == "main")))
+        words = {w for k in ("class", "id", "role") for w in (named.get(k) or "").lower().split()}
+        hard = parent.hard or tag in SKIP_TAGS or "hidden" in named
+        by_name = tag not in ("html", "body", "main") and bool(words & SKIP_WORDS) and not (tag == "article" and not words & {"comment", "comments", "reply", "ad", "related", "promo", "sponsored"})
+        top = (tag == "header" or "header" in words) and tag not in ("html", "body", "article", "main")
+        node = Node(tag, f"{tag}.{named.get('class') or ''}" if block else tag, parent, hard, by_name, top, tag in ("article", "main") or named.get("role") == "main")
+        self.nodes.append(node)
         if block:
             parent.children.append(node)
         if tag not in VOID:
