@@ -5,15 +5,18 @@ bytes only. A chunk ends where the top bits of h are zero; so equal passages are
 stand, and an insertion moves the cuts near it only. Chunks have MIN_CHUNK bytes at least (a nearer cut is
 passed over) and about MAX_CHUNK at most; a cut inside a character moves to its end. A digest
 (128 bits) covers a chunk and the one after it, since a lone chunk of a few common words repeats by chance. Where
-a digest occurs twice or more, the first one, by the row's place in the table and the start, stays.
+a digest occurs twice or more, the first one stays: by doc_id (null first), then, where rows share one, by the row's
+place in the table as it is read, then by the start.
 
 `repeats` returns, for each document, the maximal runs of neighbouring repeated chunks that have
 MIN_SPAN_WORDS words or more together, with the doc_id of the earliest row that has part of them. With these sizes a
 few in a hundred repeated passages of 51 words, and fewer of longer ones, fall short of a run. `deduplicate` removes from
-each text the chunks, in such runs, that aren't first occurrences.
+each text the chunks, in such runs, that aren't first occurrences, and keeps all other columns as they are.
 
-Null and empty texts have no chunks. Repeated rows are documents of their own, so a copy of a row repeats it.
-An empty table gives an empty result; extra columns play no part.
+Rows are numbered once, and the numbers are written with what is derived from them, so a table that comes out of a
+shuffle gives the same result as one that is read. Null and empty texts have no chunks and stay as they are. Repeated rows
+are documents of their own, so a copy of a row repeats it. Very long texts are hashed in pieces of PIECE bytes. An empty
+table gives an empty result; extra columns play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from torrentia.llm.common import materialise, mix64
+from torrentia.llm.common import discard, materialise, mix64
 
 MASK_BITS = 5
 MIN_CHUNK = 16
@@ -71,7 +74,7 @@ def cuts(data: np.ndarray) -> list[int]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """rid and text to one row a chunk: rid, start (byte), word (words that begin before it), meta, digest.
+    """rid, doc_id and text to one row a chunk: rid, doc_id, start (byte), word (words that begin before it), meta, digest.
 
     meta and digest are of the chunk with its successor: seq, words that begin in them, bytes (32 + 16 + 16 bits).
     """
@@ -79,8 +82,8 @@ def chunks(docs: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
             for k in range(0, len(pdf), 256):
-                rids, starts_, words_, metas, digests = [], [], [], [], []
-                for rid, text in pdf.iloc[k : k + 256][["rid", "text"]].itertuples(index=False):
+                rids, ids, starts_, words_, metas, digests = [], [], [], [], [], []
+                for rid, doc_id, text in pdf.iloc[k : k + 256][["rid", "doc_id", "text"]].astype({"doc_id": "Int64"}).itertuples(index=False):
                     if not text:
                         continue
                     raw = text.encode("utf-8")
@@ -91,23 +94,23 @@ def chunks(docs: DataFrame) -> DataFrame:
                     space = (data == 32) | ((data >= 9) & (data <= 13))
                     before = np.concatenate([[0], np.cumsum(~space & np.concatenate([[True], space[:-1]]))])
                     rids.append(np.full(len(ends), rid))
+                    ids += [doc_id] * len(ends)
                     words_.append(before[starts])
                     starts_.append(starts)
                     metas.append((np.arange(len(ends)) << 32) | ((before[ends] - before[starts]) << 16) | (ends - starts))
                     digests += [hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
                 if digests:
-                    yield pd.DataFrame({"rid": np.concatenate(rids), "start": np.concatenate(starts_), "word": np.concatenate(words_), "meta": np.concatenate(metas), "digest": digests})
+                    yield pd.DataFrame({"rid": np.concatenate(rids), "doc_id": pd.array(ids, "Int64"), "start": np.concatenate(starts_), "word": np.concatenate(words_), "meta": np.concatenate(metas), "digest": digests})
 
-    return docs.select("rid", "text").mapInPandas(run, "rid long, start long, word long, meta long, digest binary")
+    return docs.select("rid", "doc_id", "text").mapInPandas(run, "rid long, doc_id long, start long, word long, meta long, digest binary")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """The chunks that occur twice or more, with first (rid, start of the first occurrence) and n."""
-    every = materialise(chunks(docs))
-    twice = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "start")).alias("first")).where("n > 1")
+def repeated_chunks(every: DataFrame) -> DataFrame:
+    """Of written chunks, those that occur twice or more, with first (doc_id, rid, start of the first occurrence) and n."""
+    twice = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "rid", "start")).alias("first")).where("n > 1")
     twice = materialise(twice.withColumnRenamed("digest", "d"))  # as a table, so that a hot chunk's rows can be split in the join
     found = every.join(twice, F.col("digest") == F.col("d"))
-    return found.select("rid", "start", "word", F.expr("meta >> 32").alias("seq"), F.expr("(meta >> 16) & 65535").alias("n_words"), F.expr("meta & 65535").alias("size"), "n", "first")
+    return found.select("rid", "doc_id", "start", "word", F.expr("meta >> 32").alias("seq"), F.expr("(meta >> 16) & 65535").alias("n_words"), F.expr("meta & 65535").alias("size"), "n", "first")
 
 
 def _later():
@@ -118,32 +121,32 @@ def spans(repeated: DataFrame) -> DataFrame:
     """The runs of neighbouring repeated chunks of a document, long enough to count."""
     runs = repeated.withColumn("run", F.col("seq") - F.row_number().over(W.partitionBy("rid").orderBy("seq")))
     out = runs.groupBy("rid", "run").agg(
-        F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), (F.max(F.col("word") + F.col("n_words")) - F.min("word")).alias("n_words"),
-        F.count(F.lit(1)).alias("n_chunks"), F.max("n").alias("n_copies"), F.min("first.rid").alias("first_rid"), F.bool_or(_later()).alias("has_later"),
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), (F.max(F.col("word") + F.col("n_words")) - F.min("word")).alias("n_words"),
+        F.count(F.lit(1)).alias("n_chunks"), F.max("n").alias("n_copies"), F.min(F.struct("first.doc_id", "first.rid")).alias("first"), F.bool_or(_later()).alias("has_later"),
     )
     return out.where(F.col("n_words") >= MIN_SPAN_WORDS).drop("run")
 
 
 def _own(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Only for one job that writes what it derives: the plan numbers its rows anew each time it runs."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text).alias("text"))
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a repeated passage of a document: doc_id, start and end (bytes), n_words, n_chunks, n_copies, first_doc_id, has_later (some of it was seen before)."""
-    own = _own(docs, doc_id, text)
-    found = spans(repeated_chunks(own))
-    ids = materialise(own.select("rid", "doc_id"))
-    found = found.join(ids, "rid").join(ids.select(F.col("rid").alias("first_rid"), F.col("doc_id").alias("first_doc_id")), "first_rid")
-    return found.select("doc_id", "start", "end", "n_words", "n_chunks", "n_copies", "first_doc_id", "has_later")
+    found = spans(repeated_chunks(materialise(chunks(_own(docs, doc_id, text)))))
+    return found.select("doc_id", "start", "end", "n_words", "n_chunks", "n_copies", F.col("first.doc_id").alias("first_doc_id"), "has_later")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and text, without the repeated chunks that aren't first occurrences."""
-    own = materialise(_own(docs, doc_id, text))
-    repeated = materialise(repeated_chunks(own))
+    """docs with the repeated chunks that aren't first occurrences cut out of the text."""
+    rows = materialise(docs.withColumn("__s_rid", F.monotonically_increasing_id()))
+    every = materialise(chunks(rows.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("__s_rid").alias("rid"), F.col(text).alias("text"))))
+    repeated = materialise(repeated_chunks(every))
+    discard(every)
     long_enough = spans(repeated).select(F.col("rid").alias("s_rid"), F.col("start").alias("s_start"), "end")
     gone = repeated.where(_later()).join(long_enough, (F.col("rid") == F.col("s_rid")) & (F.col("start") >= F.col("s_start")) & (F.col("start") < F.col("end")))
-    gone = gone.groupBy(F.col("rid").alias("g_rid")).agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("gone"))
+    gone = gone.groupBy(F.col("rid").alias("__s_of")).agg(F.sort_array(F.collect_list(F.struct("start", "size"))).alias("__s_gone"))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, where: pd.Series) -> pd.Series:
@@ -159,7 +162,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             out.append(b"".join([*parts, raw[last:]]).decode("utf-8"))
         return pd.Series(out)
 
-    return own.join(gone, F.col("rid") == F.col("g_rid"), "left").select("doc_id", cut("text", "gone").alias("text"))
+    joined = rows.join(gone, F.col("__s_rid") == F.col("__s_of"), "left")
+    return joined.withColumn(text, cut(F.col(text), F.col("__s_gone"))).select(*docs.columns)
 
 
 def op5_substring_dedup(spark, sf_dir):
