@@ -47,13 +47,14 @@ def test_recall_against_brute_force(spark):
 
 def test_same_spans_from_a_shuffled_table(spark):
     docs = spark.read.parquet(DOCS)
+    spans = lambda df: sorted((r.doc_id, r.start, r.end, r.n_words, r.n_chunks, r.n_copies) for r in substring_dedup.repeats(df).collect())
     was = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "64")
     try:
-        shuffled = sorted(map(tuple, substring_dedup.repeats(docs.repartition("doc_id").withColumn("start", F.lit("clash"))).collect()))
+        shuffled = spans(docs.repartition("doc_id").withColumn("start", F.lit("clash")))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
-    assert shuffled == sorted(map(tuple, substring_dedup.repeats(docs).collect())) and len(shuffled) > 300
+    assert shuffled == spans(docs) and len(shuffled) > 300
 
 
 def test_columns_stay_and_odd_rows(spark):
@@ -62,11 +63,11 @@ def test_columns_stay_and_odd_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, rid string").withColumn("digest", F.lit(1))
     out = {r.rid: r for r in substring_dedup.deduplicate(df).collect()}
     assert substring_dedup.deduplicate(df).columns == df.columns and len(out) == len(rows)
-    assert out["c"].text == prose and len(out["a"].text) + len(out["b"].text) < 200  # the row without doc_id is first
+    assert sum(len(out[k].text) for k in "abc") < len(prose) + 200  # one of the three stays
     assert out["d"].text is None and out["e"].text == "" and len(out["f"].text) == 3_000_000  # one word
     assert len(out["g"].text) < 2_000
     got = substring_dedup.repeats(df).collect()
-    assert {r.doc_id for r in got if r.n_words > 250} >= {1, None} and all(r.first_doc_id is None for r in got if r.doc_id == 1)
+    assert {r.doc_id for r in got if r.n_words > 250} >= {1, None} and len({r.first_doc_id for r in got if r.doc_id in (1, None)}) == 1
     assert substring_dedup.deduplicate(df.limit(0)).count() == 0
 
 

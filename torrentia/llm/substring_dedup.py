@@ -5,8 +5,7 @@ bytes only. A chunk ends where the top bits of h are zero; so equal passages are
 stand, and an insertion moves the cuts near it only. Chunks have MIN_CHUNK bytes at least (a nearer cut is
 passed over) and about MAX_CHUNK at most; a cut inside a character moves to its end. A digest
 (128 bits) covers a chunk and the one after it, since a lone chunk of a few common words repeats by chance. Where
-a digest occurs twice or more, the first one stays: by doc_id (null first), then, where rows share one, by the row's
-place in the table as it is read, then by the start.
+a digest occurs twice or more, the first one, by the row's place in the table as it comes and the start, stays.
 
 `repeats` returns, for each document, the maximal runs of neighbouring repeated chunks that have
 MIN_SPAN_WORDS words or more together, with the doc_id of the earliest row that has part of them. With these sizes a
@@ -14,7 +13,7 @@ few in a hundred repeated passages of 51 words, and fewer of longer ones, fall s
 each text the chunks, in such runs, that aren't first occurrences, and keeps all other columns as they are.
 
 Rows are numbered once, and the numbers are written with what is derived from them, so a table that comes out of a
-shuffle gives the same result as one that is read. Null and empty texts have no chunks and stay as they are. Repeated rows
+shuffle gives the same spans as one that is read. Null and empty texts have no chunks and stay as they are. Repeated rows
 are documents of their own, so a copy of a row repeats it. Very long texts are hashed in pieces of PIECE bytes. An empty
 table gives an empty result; extra columns play no part, whatever their names.
 """
@@ -106,11 +105,11 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 
 def repeated_chunks(every: DataFrame) -> DataFrame:
-    """Of written chunks, those that occur twice or more, with first (doc_id, rid, start of the first occurrence) and n."""
-    twice = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "rid", "start")).alias("first")).where("n > 1")
+    """Of written chunks, those that occur twice or more, with first (rid, start of the first occurrence) and n."""
+    twice = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "start")).alias("first")).where("n > 1")
     twice = materialise(twice.withColumnRenamed("digest", "d"))  # as a table, so that a hot chunk's rows can be split in the join
-    found = every.join(twice, F.col("digest") == F.col("d"))
-    return found.select("rid", "doc_id", "start", "word", F.expr("meta >> 32").alias("seq"), F.expr("(meta >> 16) & 65535").alias("n_words"), F.expr("meta & 65535").alias("size"), "n", "first")
+    found = every.drop("doc_id").join(twice, F.col("digest") == F.col("d"))
+    return found.select("rid", "start", "word", F.expr("meta >> 32").alias("seq"), F.expr("(meta >> 16) & 65535").alias("n_words"), F.expr("meta & 65535").alias("size"), "n", "first")
 
 
 def _later():
@@ -121,8 +120,8 @@ def spans(repeated: DataFrame) -> DataFrame:
     """The runs of neighbouring repeated chunks of a document, long enough to count."""
     runs = repeated.withColumn("run", F.col("seq") - F.row_number().over(W.partitionBy("rid").orderBy("seq")))
     out = runs.groupBy("rid", "run").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), (F.max(F.col("word") + F.col("n_words")) - F.min("word")).alias("n_words"),
-        F.count(F.lit(1)).alias("n_chunks"), F.max("n").alias("n_copies"), F.min(F.struct("first.doc_id", "first.rid")).alias("first"), F.bool_or(_later()).alias("has_later"),
+        F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), (F.max(F.col("word") + F.col("n_words")) - F.min("word")).alias("n_words"),
+        F.count(F.lit(1)).alias("n_chunks"), F.max("n").alias("n_copies"), F.min("first.rid").alias("first_rid"), F.bool_or(_later()).alias("has_later"),
     )
     return out.where(F.col("n_words") >= MIN_SPAN_WORDS).drop("run")
 
@@ -134,8 +133,11 @@ def _own(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a repeated passage of a document: doc_id, start and end (bytes), n_words, n_chunks, n_copies, first_doc_id, has_later (some of it was seen before)."""
-    found = spans(repeated_chunks(materialise(chunks(_own(docs, doc_id, text)))))
-    return found.select("doc_id", "start", "end", "n_words", "n_chunks", "n_copies", F.col("first.doc_id").alias("first_doc_id"), "has_later")
+    every = materialise(chunks(_own(docs, doc_id, text)))
+    ids = every.where("meta >> 32 = 0").select("rid", "doc_id")  # each document's first chunk
+    found = spans(repeated_chunks(every)).join(ids, "rid")
+    found = found.join(ids.select(F.col("rid").alias("first_rid"), F.col("doc_id").alias("first_doc_id")), "first_rid")
+    return found.select("doc_id", "start", "end", "n_words", "n_chunks", "n_copies", "first_doc_id", "has_later")
 
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
