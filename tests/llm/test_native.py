@@ -1,7 +1,10 @@
 """Quality rules, source mix, exact dedup and licence scan: brute force, and odd inputs."""
 
+import collections
 import hashlib
+import random
 import re
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,13 +49,89 @@ def test_quality_counts(odd):
     assert quality_rules.filter_quality(odd).columns == odd.columns
 
 
+def prose(rnd, n, mark, rate):
+    """n invented words, a share of which ends with the mark."""
+    return " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9))) + (mark if rnd.random() < rate else "") for _ in range(n))
+
+
 def test_quality_fences_follow_their_group(spark):
-    plain = [(i, " ".join(f"abc{(i * 7 + k) % 997}" for k in range(80)), "en", "s", 0) for i in range(400)]
-    junk = [(1000 + i, " ".join(f"abc{(i + k) % 997}%%%" for k in range(80)), "en", "s", 0) for i in range(20)]
+    rnd = random.Random(6)
+    plain = [(i, prose(rnd, 80, ".", 0.1), "en", "s", 0) for i in range(400)]
+    junk = [(1000 + i, prose(rnd, 80, "%%%", 1), "en", "s", 0) for i in range(20)]
     # where symbols are the rule, they are no outliers
-    code = [(2000 + i, " ".join(f"v{(i * 3 + k) % 997}<>" for k in range(80)), "en", "code", 0) for i in range(400)]
+    code = [(2000 + i, prose(rnd, 80, "<>", 1), "en", "code", 0) for i in range(400)]
     kept = {r.doc_id for r in quality_rules.quality_report(spark.createDataFrame(plain + junk + code, SCHEMA)).where("kept").collect()}
-    assert kept == {r[0] for r in plain + code}
+    assert not kept & {r[0] for r in junk} and len(kept) >= 0.97 * 800
+
+
+def test_quality_thresholds_come_from_the_sketches(spark):
+    """Groups that differ have different fences, one document is judged by its group, and the quartiles' distance decides."""
+    rnd = random.Random(3)
+    rows = [(i, prose(rnd, 120, ".", 0.1), "en", "news", 0) for i in range(400)] + [(1000 + i, prose(rnd, 120, ";", 0.9), "en", "code", 0) for i in range(400)]
+    same = prose(rnd, 120, ";", 0.9)
+    rows += [(5000, same, "en", "news", 0), (5001, same, "en", "code", 0)]
+    measured = quality_rules.measures(spark.createDataFrame(rows, SCHEMA))
+    sketch = quality_rules.sketches(measured)
+    limits = {r.source: r for r in quality_rules.thresholds(sketch).collect()}
+    for m in ("other_pm", "repeat_pm", "word_len10"):
+        assert limits["news"][f"hi_{m}"] is not None
+    assert limits["code"].hi_other_pm > 1.5 * limits["news"].hi_other_pm
+    kept = {r.doc_id for r in quality_rules.judge(measured, quality_rules.thresholds(sketch)).where("__q_kept").collect()}
+    assert 5001 in kept and 5000 not in kept and len(kept) > 760
+    narrow = {m: (lo, hi, 0) for m, (lo, hi, _) in quality_rules.FENCES.items()}
+    fewer = quality_rules.judge(measured, quality_rules.thresholds(sketch, fences=narrow)).where("__q_kept").count()
+    assert fewer < 0.8 * len(kept)
+
+
+def test_quality_smoothing_by_weight(spark):
+    """A group of one document has its parent's fences; a large one hardly moves. Checked against sums in plain Python."""
+    rnd = random.Random(4)
+    rows = [(i, prose(rnd, 60 + i % 40, ".", rnd.random() / 3), "en" if i % 3 else "de", f"s{i % 2}", 0) for i in range(300)] + [(900, prose(rnd, 80, "!", 0.9), "fr", "tiny", 0)]
+    sketch = quality_rules.sketches(quality_rules.measures(spark.createDataFrame(rows, SCHEMA)))
+    cells = [tuple(r) for r in sketch.collect()]
+    for prior in (1, 200, 10**6):
+        got = {(r.lang, r.source): r for r in quality_rules.thresholds(sketch, prior).collect()}
+        for lang, source in {(c[0], c[1]) for c in cells}:
+            for m, (lo, hi, reach) in quality_rules.FENCES.items():
+                of = [c for c in cells if c[2] == m]
+                corpus, n_all = collections.Counter(), sum(c[4] for c in of)
+                for c in of:
+                    corpus[c[3]] += Fraction(c[4], n_all)
+                dist = corpus
+                for group in ([c for c in of if c[0] == lang], [c for c in of if c[:2] == (lang, source)]):
+                    n, own = sum(c[4] for c in group), collections.Counter()
+                    for c in group:
+                        own[c[3]] += c[4]
+                    dist = {b: (own[b] + prior * dist[b]) / (n + prior) for b in dist}
+
+                def at(q):
+                    total = Fraction(0)
+                    for b in sorted(dist):
+                        total += dist[b]
+                        if total * 100 >= q:
+                            b += q > 50
+                            e = max(0, b // 64 - 1)
+                            return (b if b < 128 else (b - e * 64) << e) - (q > 50)
+
+                span = (at(75) - at(25)) * reach
+                assert hi is None or got[lang, source][f"hi_{m}"] == at(hi) + span
+                assert lo is None or got[lang, source][f"lo_{m}"] == at(lo) - span
+
+
+def test_quality_clashing_names_ties_and_repeats(spark):
+    rnd = random.Random(5)
+    rows = [(i, prose(rnd, 80, ".", 0.2), None if i % 4 == 0 else "en", None if i % 5 == 0 else "s", 0) for i in range(60)]
+    rows += rows[:5] + [(70, prose(rnd, 150_000, ".", 0.2), "en", "s", 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    clash = df
+    for m in [*quality_rules.FENCES, "measure", "bucket", "n", "w", "hi_upper_pm", "c", "symbols_pm", "base_failed"]:
+        clash = clash.withColumn(m, F.lit("clash"))
+    key = lambda r: tuple(map(str, r))
+    assert sorted(quality_rules.quality_report(clash).collect(), key=key) == sorted(quality_rules.quality_report(df).collect(), key=key)
+    out = quality_rules.filter_quality(clash)
+    assert out.columns == clash.columns and out.count() == quality_rules.quality_report(df).where("kept").count() > 50
+    same = spark.createDataFrame([(i, rows[1][1], "en", "s", 0) for i in range(30)], SCHEMA)  # all at their fences
+    assert quality_rules.filter_quality(same).count() == 30
 
 
 def test_empty_tables(empty):

@@ -3,13 +3,21 @@
 Every document gets integer measures. A log-bucket histogram of each measure, kept for each
 language and source, is the quantile sketch: it has a bounded number of buckets, a relative error of
 1/64, and sketches merge by adding counts, so a language's or the whole corpus's sketch is the sum of
-the finer ones. Thresholds are Tukey fences on the sketched quartiles of the document's own group, of
-its language where the group has under `min_rows` documents, or else of the whole corpus. They are
-joined back to the documents, which are then filtered. No cutoff but the base rule's is fixed.
+the finer ones. A group's sketch is smoothed towards its language's, and that towards the corpus's: the
+parent's distribution is added with the weight of PRIOR documents, so a small group leans on its
+parent, a large one hardly, and nothing switches at a size. The weights are whole numbers, so SQL can
+repeat them exactly.
+
+Thresholds are read off the smoothed sketches and nothing else. Measures that spread in any prose (share of
+characters that aren't letters, share of capitals, word length) have Tukey fences,
+REACH times the distance of the quartiles beyond them. Measures that are zero in most prose
+(repeated lines, repeated words) have their TAIL percentile. They are joined back to the documents, which are
+then filtered. No cutoff but the base rule's is fixed.
 
 Null text has no words. Null language or source form groups of their own. A document that fails the
-base rule (too few words, or mostly repeated words) feeds no sketch and isn't kept. An empty table
-gives an empty result; extra columns of the input play no part, whatever their names.
+base rule (too few words, or mostly repeated words) feeds no sketch and isn't kept. Repeated rows count
+and are judged each for itself; a value equal to its threshold is kept. Very long texts are measured whole. An empty table
+gives an empty result; extra columns of the input play no part, whatever their names, unless these begin with `__q_` or `__t_`.
 """
 
 from __future__ import annotations
@@ -22,17 +30,17 @@ from torrentia.llm.common import SPACE, WORD, discard, materialise
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: Measure -> (least width of the fence beyond a quartile, whether low values are outliers as well).
+#: Measure -> (lower percentile, upper percentile, REACH or 0): outliers lie beyond a percentile by REACH times the quartiles' distance.
+REACH, TAIL = 4, 99
 FENCES = {
-    "symbols_pm": (150, False),
-    "marks_pm": (250, False),
-    "upper_pm": (250, False),
-    "dup_lines_pm": (500, False),
-    "repeat_pm": (300, False),
-    "word_len10": (20, True),
+    "other_pm": (None, 75, REACH),
+    "upper_pm": (None, 75, REACH),
+    "word_len10": (25, 75, REACH),
+    "dup_lines_pm": (None, TAIL, 0),
+    "repeat_pm": (None, TAIL, 0),
 }
-MIN_ROWS = 200
-REACH = 3
+PRIOR = 200
+OTHER = r"[\x21-\x40\x5B-\x60\x7B-\x7E]"
 
 
 def _share(part: Column, whole: Column, by: int = 1000) -> Column:
@@ -54,7 +62,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "__q_words": F.regexp_count(t, F.lit(WORD)).cast("long"),
             "__q_chars": (F.length(t) - F.regexp_count(t, F.lit(SPACE))).cast("long"),
             "__q_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
-            "__q_marks": F.regexp_count(t, F.lit(r"[!?=_~^@\\{}\[\]+]")).cast("long"),
+            "__q_other": F.regexp_count(t, F.lit(OTHER)).cast("long"),
             "__q_upper": F.regexp_count(t, F.lit(r"[A-Z]")).cast("long"),
             "__q_lines": lines,
             "__q_hashes": F.transform(F.filter(F.split(t, SPACE + "+"), lambda w: w != ""), lambda w: F.xxhash64(w)),
@@ -85,15 +93,16 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumns(
         {
             "__q_base_failed": (n < MIN_WORDS) | (F.col("__q_repeat") * 100 > n * MAX_REPEAT_PERCENT),
-            "symbols_pm": _share(F.col("__q_symbols"), n),
-            "marks_pm": _share(F.col("__q_marks"), n),
-            "upper_pm": _share(F.col("__q_upper"), c),
-            "dup_lines_pm": _share(F.col("__q_dup_lines"), F.col("__q_n_lines")),
-            "repeat_pm": _share(F.col("__q_repeat"), n),
-            "word_len10": _share(c, n, 10),
+            "__q_m": F.struct(
+                _share(F.col("__q_other"), c).alias("other_pm"),
+                _share(F.col("__q_upper"), c).alias("upper_pm"),
+                _share(c, n, 10).alias("word_len10"),
+                _share(F.col("__q_dup_lines"), F.col("__q_n_lines")).alias("dup_lines_pm"),
+                _share(F.col("__q_repeat"), n).alias("repeat_pm"),
+            ),
         }
     )
-    return out.withColumn("__q_m", F.struct(*FENCES)).drop("__q_lines", "__q_hashes", "__q_windows", "__q_sorted", "__q_at", *FENCES)
+    return out.drop("__q_lines", "__q_hashes", "__q_windows", "__q_sorted", "__q_at")
 
 
 def _bucket(v: Column) -> Column:
@@ -117,26 +126,46 @@ def sketches(measured: DataFrame, lang: str = "lang", source: str = "source") ->
     return rows.groupBy("lang", "source", "c.measure", "c.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def thresholds(sketch: DataFrame, min_rows: int = MIN_ROWS, reach: int = REACH) -> DataFrame:
-    """One row a language and source, with lo and hi of each measure, from the finest sketch that has enough documents."""
-
-    def quartiles(s: DataFrame, by: list[str], tag: str) -> DataFrame:
-        key = W.partitionBy(*by, "measure")
-        s = s.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
-        s = s.withColumns({"upto": F.sum("n").over(key.orderBy("bucket")), "all": F.sum("n").over(key)})
-        least = lambda q: _floor_of(F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("bucket"))))
-        return s.groupBy(*by, "measure").agg(F.max("all").alias(f"{tag}_n"), least(1).alias(f"{tag}_q1"), least(3).alias(f"{tag}_q3"))
-
-    fine, mid, top = quartiles(sketch, ["lang", "source"], "s"), quartiles(sketch, ["lang"], "l"), quartiles(sketch, [], "a")
-    mid = mid.withColumnsRenamed({"lang": "l_lang", "measure": "l_measure"})
-    all_ = fine.join(mid, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_measure")), "left").join(top, "measure", "left")
-    pick = lambda q: F.when(F.col("s_n") >= min_rows, F.col(f"s_{q}")).when(F.col("l_n") >= min_rows, F.col(f"l_{q}")).otherwise(F.col(f"a_{q}"))
-    out = all_.select("lang", "source", "measure", pick("q1").alias("q1"), pick("q3").alias("q3"))
-    span = lambda m: F.greatest((F.col("q3") - F.col("q1")) * reach, F.lit(FENCES[m][0]))
+def smoothed(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """The sketch of each language and source with its parents' weight: lang, source, measure, bucket, w (a whole number)."""
+    whole = lambda c: c.cast("decimal(38,0)")
+    measure = sketch.groupBy("measure", "bucket").agg(F.sum("n").alias("n"))
+    total = sketch.groupBy("measure").agg(F.sum("n").alias("all_n")).withColumnRenamed("measure", "a_measure")
+    top = measure.join(total, F.col("measure") == F.col("a_measure")).select(F.col("measure").alias("c_measure"), F.col("bucket").alias("c_bucket"), F.col("n").alias("c_n"), "all_n")
+
+    def under(counts: DataFrame, by: list[str], parent: DataFrame, on: Column) -> DataFrame:
+        """w = own count * the parent's weight in all + prior * the parent's weight, for every bucket of the parent."""
+        own = counts.groupBy(*by, "measure").agg(F.sum("n").alias("own_n")).join(parent, on)
+        b = {c: f"b_{c}" for c in [*by, "measure", "bucket", "n"]}
+        same = F.col("measure") == F.col("b_measure")
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"b_{c}"))
+        joined = own.join(counts.withColumnsRenamed(b), same & (F.col("p_bucket") == F.col("b_bucket")), "left")
+        w = whole(F.coalesce(F.col("b_n"), F.lit(0))) * F.col("p_all") + whole(F.lit(prior)) * F.col("p_w")
+        return joined.select(*by, "measure", F.col("p_bucket").alias("bucket"), whole(w).alias("w"), whole((whole(F.col("own_n")) + prior) * F.col("p_all")).alias("w_all"))
+
+    root = top.select(F.col("c_measure").alias("p_measure"), F.col("c_bucket").alias("p_bucket"), whole(F.col("c_n")).alias("p_w"), whole(F.col("all_n")).alias("p_all"))
+    by_lang = under(sketch.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n")), ["lang"], root, F.col("measure") == F.col("p_measure"))
+    mid = by_lang.select(F.col("lang").alias("p_lang"), F.col("measure").alias("p_measure"), F.col("bucket").alias("p_bucket"), F.col("w").alias("p_w"), F.col("w_all").alias("p_all"))
+    return under(sketch, ["lang", "source"], mid, F.col("lang").eqNullSafe(F.col("p_lang")) & (F.col("measure") == F.col("p_measure"))).drop("w_all")
+
+
+def thresholds(sketch: DataFrame, prior: int = PRIOR, fences: dict = FENCES) -> DataFrame:
+    """One row a language and source, with lo and hi of each measure where it has such a fence."""
+    key = W.partitionBy("lang", "source", "measure")
+    s = smoothed(sketch, prior).withColumns({"upto": F.sum("w").over(key.orderBy("bucket")), "all": F.sum("w").over(key)})
+
+    def at(q: int) -> Column:  # a lower percentile is its bucket's least number, an upper one its largest
+        bucket = F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("bucket")))
+        return _floor_of(bucket) if q < 50 else _floor_of(bucket + 1) - 1
+
+    marks = sorted({q for lo, hi, reach in fences.values() for q in (lo, hi, 25 if reach else None, 75 if reach else None) if q})
+    out = s.groupBy("lang", "source", "measure").agg(*[at(q).alias(f"q{q}") for q in marks])
+    span = lambda reach: (F.col("q75") - F.col("q25")) * reach if reach else F.lit(0)
     of = lambda m, v: F.max(F.when(F.col("measure") == m, v))
     return out.groupBy("lang", "source").agg(
-        *[of(m, F.col("q3") + span(m)).alias(f"hi_{m}") for m in FENCES],
-        *[of(m, F.col("q1") - span(m)).alias(f"lo_{m}") for m, (_, low) in FENCES.items() if low],
+        *[of(m, F.col(f"q{hi}") + span(reach)).alias(f"hi_{m}") for m, (_, hi, reach) in fences.items() if hi],
+        *[of(m, F.col(f"q{lo}") - span(reach)).alias(f"lo_{m}") for m, (lo, _, reach) in fences.items() if lo],
     )
 
 
@@ -144,11 +173,10 @@ def judge(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: st
     """measured with __q_kept, by the thresholds joined on language and source."""
     limits = limits.withColumnsRenamed({c: f"__t_{c}" for c in limits.columns})
     on = F.col(lang).eqNullSafe(F.col("__t_lang")) & F.col(source).eqNullSafe(F.col("__t_source"))
-    fine = [F.col(f"__q_m.{m}") <= F.col(f"__t_hi_{m}") for m in FENCES]
-    fine += [F.col(f"__q_m.{m}") >= F.col(f"__t_lo_{m}") for m, (_, low) in FENCES.items() if low]
-    passed = fine[0]
-    for f in fine[1:]:
-        passed = passed & f
+    passed = F.lit(True)
+    for c in limits.columns[2:]:
+        side, m = c[len("__t_") :].split("_", 1)
+        passed = passed & ((F.col(f"__q_m.{m}") <= F.col(c)) if side == "hi" else (F.col(f"__q_m.{m}") >= F.col(c)))
     # a group without thresholds has no document that passes the base rule
     kept = F.when(F.col("__q_base_failed"), False).otherwise(F.coalesce(passed, F.lit(False)))  # one piece, which stays above the join
     return measured.join(limits, on, "left").withColumn("__q_kept", kept).drop(*limits.columns)
@@ -166,12 +194,10 @@ def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def filter_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
-    own = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    measured = materialise(measures(own).select("lang", "source", "__q_base_failed", "__q_m"))
-    limits = materialise(thresholds(sketches(measured)))
-    discard(measured)
-    return judge(measures(docs, text), limits, lang, source).where("__q_kept").select(*docs.columns)
+    """The documents that the rules keep, with their own columns. The measures are made once, and written beside the documents."""
+    measured = measures(docs, text)
+    measured = materialise(measured.select(*docs.columns, "__q_base_failed", "__q_m"))
+    return judge(measured, materialise(thresholds(sketches(measured, lang, source))), lang, source).where("__q_kept").select(*docs.columns)
 
 
 def op7_quality_rules(spark, sf_dir):
@@ -179,26 +205,23 @@ def op7_quality_rules(spark, sf_dir):
 
 
 def _sql() -> str:
+    share = lambda part, whole, by=1000: f"CASE WHEN {whole} > 0 THEN {part} * {by} // {whole} ELSE 0 END"
     m = {
-        "symbols_pm": "CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words ELSE 0 END",
-        "marks_pm": "CASE WHEN n_words > 0 THEN n_marks * 1000 // n_words ELSE 0 END",
-        "upper_pm": "CASE WHEN word_chars > 0 THEN n_upper * 1000 // word_chars ELSE 0 END",
-        "dup_lines_pm": "CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines ELSE 0 END",
-        "repeat_pm": "CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words ELSE 0 END",
-        "word_len10": "CASE WHEN n_words > 0 THEN word_chars * 10 // n_words ELSE 0 END",
+        "other_pm": share("n_other", "word_chars"),
+        "upper_pm": share("n_upper", "word_chars"),
+        "word_len10": share("word_chars", "n_words", 10),
+        "dup_lines_pm": share("n_dup_lines", "n_lines"),
+        "repeat_pm": share("n_repeat_words", "n_words"),
     }
     cells = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, CAST({v} AS BIGINT) AS v FROM base WHERE NOT base_failed" for k, v in m.items())
     floor_of = "CASE WHEN {b} < 128 THEN {b} ELSE ({b} - ({b} // 64 - 1) * 64) * CAST(pow(2, {b} // 64 - 1) AS BIGINT) END"
-
-    def quart(name: str, by: str) -> str:
-        first = f"{by}, " if by else ""
-        q = lambda k: floor_of.format(b=f"min(bucket) FILTER (WHERE upto * 4 >= total * {k})")
-        return f"""{name} AS (SELECT {first}measure, max(total) AS n, {q(1)} AS q1, {q(3)} AS q3 FROM (
-          SELECT {first}measure, bucket, sum(n) OVER (PARTITION BY {first}measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {first}measure) AS total
-          FROM (SELECT {first}measure, bucket, count(*) AS n FROM cells GROUP BY ALL)) GROUP BY {first}measure)"""
-
-    values = ", ".join(f"('{k}', {f}, {str(low).lower()})" for k, (f, low) in FENCES.items())
-    verdict = " AND ".join(f"coalesce(bool_and({m[k]} <= q3 + span AND (NOT low OR {m[k]} >= q1 - span)) FILTER (WHERE l.measure = '{k}'), false)" for k in FENCES)
+    least = "(min(bucket) FILTER (WHERE upto * 100 >= total * {q}) + {k})"
+    at = lambda q: floor_of.format(b=least.format(q=q, k=0)) if q < 50 else floor_of.format(b=least.format(q=q, k=1)) + " - 1"
+    marks = ", ".join(f"{at(q)} AS q{q}" for q in (25, 75, TAIL))
+    verdict = []
+    for k, (lo, hi, reach) in FENCES.items():
+        parts = [f"{m[k]} <= q{hi} + {reach} * (q75 - q25)"] * bool(hi) + [f"{m[k]} >= q{lo} - {reach} * (q75 - q25)"] * bool(lo)
+        verdict.append(f"coalesce(bool_and({' AND '.join(parts)}) FILTER (WHERE l.measure = '{k}'), false)")
     return rf"""
     WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
     w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
@@ -206,21 +229,25 @@ def _sql() -> str:
     g2 AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS n FROM g),
     r AS (SELECT rid, count(DISTINCT p) AS n_repeat FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g2 WHERE n >= 2) GROUP BY rid),
     c AS (SELECT w.rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
-        CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(text, '[^!?=_~^@\\{{}}\[\]+]', '', 'g')) AS BIGINT) AS n_marks,
+        CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(text, '[^\x21-\x40\x5B-\x60\x7B-\x7E]', '', 'g')) AS BIGINT) AS n_other,
         CAST(length(regexp_replace(text, '[^A-Z]', '', 'g')) AS BIGINT) AS n_upper, CAST(len(ls) AS BIGINT) AS n_lines,
         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN r USING (rid)),
     base AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c),
     raw AS ({cells}),
     cells AS (SELECT lang, source, measure, greatest(length(bin(v)) - 7, 0) * 64 + v // CAST(pow(2, greatest(length(bin(v)) - 7, 0)) AS BIGINT) AS bucket FROM raw),
-    {quart("qs", "lang, source")}, {quart("ql", "lang")}, {quart("qa", "")},
-    f(measure, least, low) AS (VALUES {values}),
-    l AS (SELECT qs.lang, qs.source, qs.measure, low,
-        CASE WHEN qs.n >= {MIN_ROWS} THEN qs.q1 WHEN ql.n >= {MIN_ROWS} THEN ql.q1 ELSE qa.q1 END AS q1,
-        CASE WHEN qs.n >= {MIN_ROWS} THEN qs.q3 WHEN ql.n >= {MIN_ROWS} THEN ql.q3 ELSE qa.q3 END AS q3,
-        greatest({REACH} * (CASE WHEN qs.n >= {MIN_ROWS} THEN qs.q3 - qs.q1 WHEN ql.n >= {MIN_ROWS} THEN ql.q3 - ql.q1 ELSE qa.q3 - qa.q1 END), least) AS span
-        FROM qs JOIN ql ON qs.lang IS NOT DISTINCT FROM ql.lang AND qs.measure = ql.measure JOIN qa ON qa.measure = qs.measure JOIN f ON f.measure = qs.measure)
+    fine AS (SELECT lang, source, measure, bucket, count(*)::HUGEINT AS n FROM cells GROUP BY ALL),
+    mid AS (SELECT lang, measure, bucket, sum(n)::HUGEINT AS n FROM fine GROUP BY ALL),
+    corpus AS (SELECT measure, bucket, sum(n)::HUGEINT AS w, (sum(sum(n)) OVER (PARTITION BY measure))::HUGEINT AS w_all FROM fine GROUP BY measure, bucket),
+    mid_w AS (SELECT o.lang, o.measure, p.bucket, coalesce(mid.n, 0) * p.w_all + {PRIOR} * p.w AS w, (o.n + {PRIOR}) * p.w_all AS w_all
+        FROM (SELECT lang, measure, sum(n)::HUGEINT AS n FROM mid GROUP BY ALL) o JOIN corpus p ON o.measure = p.measure
+        LEFT JOIN mid ON mid.lang IS NOT DISTINCT FROM o.lang AND mid.measure = o.measure AND mid.bucket = p.bucket),
+    fine_w AS (SELECT o.lang, o.source, o.measure, p.bucket, coalesce(fine.n, 0) * p.w_all + {PRIOR} * p.w AS w
+        FROM (SELECT DISTINCT lang, source, measure FROM fine) o JOIN mid_w p ON o.lang IS NOT DISTINCT FROM p.lang AND o.measure = p.measure
+        LEFT JOIN fine ON fine.lang IS NOT DISTINCT FROM o.lang AND fine.source IS NOT DISTINCT FROM o.source AND fine.measure = o.measure AND fine.bucket = p.bucket),
+    l AS (SELECT lang, source, measure, {marks} FROM (SELECT *, (sum(w) OVER (PARTITION BY lang, source, measure ORDER BY bucket))::HUGEINT AS upto,
+        (sum(w) OVER (PARTITION BY lang, source, measure))::HUGEINT AS total FROM fine_w) GROUP BY lang, source, measure)
     SELECT any_value(doc_id) AS doc_id, any_value(n_words) AS n_words, any_value(word_chars) AS word_chars, any_value(n_symbols) AS n_symbols, any_value(n_dup_lines) AS n_dup_lines,
-        any_value(n_repeat_words) AS n_repeat_words, any_value(base_failed) AS base_failed, NOT any_value(base_failed) AND {verdict} AS kept
+        any_value(n_repeat_words) AS n_repeat_words, any_value(base_failed) AS base_failed, NOT any_value(base_failed) AND {" AND ".join(verdict)} AS kept
     FROM base LEFT JOIN l ON base.lang IS NOT DISTINCT FROM l.lang AND base.source IS NOT DISTINCT FROM l.source GROUP BY rid"""
 
 
