@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from torrentia.llm import bpe_codec, chat_format, html_extract, lang_id, near_dedup, substring_dedup
+from torrentia.llm import bpe_codec, chat_format, lang_id, near_dedup, substring_dedup
 from torrentia.llm.common import shingle_hashes, word_hashes
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
@@ -232,31 +232,3 @@ def test_bpe_columns(spark, tokenizer):
     assert got[1].ids == [] == got[2].ids and got[3].ids == ids and got[3].decoded == tokenizer.decode(ids, skip_special_tokens=False) and got[1].decoded == ""
     assert sorted(r.n_tokens for r in bpe_codec.digests(df, p).collect()) == sorted([0, 0, len(ids), len(ids)])
     assert bpe_codec.digests(df.limit(0), p).count() == 0
-
-
-PAGE = (
-    "<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style></head><body class='has-sidebar'><nav><ul><li>Home<li>{nav}</ul></nav><div class='top'><span>Site motto</span></div>"
-    "<div class=ad>Buy {nav}</div>{open}<h1>Title {i}</h1><p>One&amp;two&nbsp;{i}<br>more <b>bo</b>ld<p>Second\n para {i}</p>{close}<aside>side</aside><section id='comments'><article class='comment'><p>nice {i}</article></section>"
-    "<form><p>mail</p></form><script>var t='</p>';</script><footer>&copy; x</footer></body></html>"
-)
-
-
-@pytest.mark.parametrize(("open_", "close"), [("<article>", "</article>"), ("<div class='c'>", "</div>")])
-def test_article_text(spark, open_, close):
-    rows = [(i, "https://h.example.com/a", PAGE.format(i=i, nav=f"n{i % 3}", open=open_, close=close)) for i in range(12)]
-    rows += [(100, None, None), (101, "no url", ""), (102, "http://x.org", "plain <b>text"), (103, "http://x.org", "<p>" * 3000 + "deep" + "</div>" * 50), (3, *rows[3][1:])]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
-    got = {r.page_id: r for r in html_extract.extract(df).collect()}
-    for i in range(12):
-        assert got[i].text == f"Title {i} One&two {i} more bold Second para {i}" and got[i].n_chars == len(got[i].text)
-    assert got[100].text == got[101].text == "" and got[102].text == "plain text" and got[103].text == "deep"
-    assert html_extract.extract(df.limit(0)).count() == 0
-
-
-@pytest.mark.parametrize("wrap", ["class='content-sidebar-wrap'", "class='has-sidebar no-menu'", "id='search-page'", "class='sidebar'", "role='search'"])
-@pytest.mark.parametrize("tag", ["article", "main", "div"])
-def test_wrappers_named_like_menus_keep_the_text(wrap, tag):
-    html = f"<html><body><nav>Home</nav><div {wrap}><{tag}><p>The text</p></{tag}></div></body></html>"
-    dom = html_extract.Dom(html)
-    assert [t for _, t in dom.blocks] == ["The text"]
-    assert html_extract.aligned_blocks(html, html_extract.fold(dom))[0][0][0] >= 0
