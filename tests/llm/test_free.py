@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from torrentia.llm import bpe_codec, chat_format, lang_id, near_dedup, substring_dedup
-from torrentia.llm.common import shingle_hashes, word_hashes
+from torrentia.llm.common import word_hashes
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
 
@@ -118,7 +118,7 @@ def test_near_classes_against_all_pairs(spark):
     texts += [None, "", "  ", "one two", "One  two", "x " * 500, " ".join(word() for _ in range(20000))]
     rows = [(i, t, "c") for i, t in enumerate(texts)] + [(3, texts[3], "c")]
     df = spark.createDataFrame(rows, "doc_id long, text string, class_id string")
-    k = [shingle_hashes(word_hashes(t), 5) for _, t, _ in rows]
+    k = [word_hashes(t) for _, t, _ in rows]
     par = list(range(len(rows)))
     find = lambda x: x if par[x] == x else find(par[x])
     for i in range(len(rows)):
@@ -147,14 +147,42 @@ def test_small_families_under_a_shared_header(spark):
     texts = []
     for _ in range(60):
         body = [word() for _ in range(6)]
-        texts += [" ".join([header, *body]), " ".join([header, *body[:3], *[word() for _ in range(3)]])]
+        texts += [" ".join([header, *body]), " ".join([header, *body[:4], *[word() for _ in range(2)]])]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    k = [shingle_hashes(word_hashes(t), 5) for t in texts]
+    k = [word_hashes(t) for t in texts]
     assert all((near_dedup.similarity(k[i], k[j]) > 0) == (i // 2 == j // 2) for j in range(120) for i in range(j))
     got = {x.doc_id: (x.class_id, x.class_size) for x in near_dedup.classes(df).collect()}
     assert got == {i: (i // 2 * 2, 2) for i in range(120)}
 
 
+def test_near_recall_by_words(spark):
+    """Pairs of the given documents whose words align to 0.8 or more, by all pairs, against the classes."""
+    rows = spark.read.parquet(DOCS.replace("sf0.001", "sf0.01")).collect()
+    cls = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows)).collect()}
+    w = [word_hashes(r.text) for r in rows]
+    bits = np.array([near_dedup.parities(x) for x in w]).view(np.uint64)
+    size = np.array([len(x) for x in w])
+    n = found = 0
+    for i in range(len(rows)):
+        near = np.flatnonzero((np.minimum(size, size[i]) >= 0.8 * np.maximum(size, size[i])) & (np.bitwise_count(bits ^ bits[i]).sum(1) <= (size + size[i]) / 9 + 1e-9))
+        for j in near[near < i]:
+            if near_dedup.similarity(w[i], w[j]) > 0:
+                n += 1
+                found += cls[rows[i].doc_id] == cls[rows[j].doc_id]
+    assert n > 150 and found >= 0.95 * n
+
+
+def test_near_odd_rows(spark):
+    long = " ".join(f"w{i * 7919 % 99991}" for i in range(150_000))
+    rows = [(None, "a b c d e f g h", 1), (None, "a b c d e f g h", 1), (5, "a b c d e f g h", 2), (7, long, 3), (8, long.replace("w5 ", "changed "), 3), (9, None, 4), (9, None, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest long").withColumns({"n": F.lit("clash"), "keys": F.lit(1), "label": F.lit(2)})
+    found = near_dedup.classes(df).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.class_size, r.kept) for r in found if r.doc_id in (None, 5))[-1][2] == 3
+    assert {r.class_id for r in found if r.doc_id in (7, 8)} == {7} and sum(r.kept for r in found) == 3
+    out = near_dedup.deduplicate(df)
+    assert out.columns == df.columns and out.count() == 3
+
+
 def test_repeated_passages(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(r.randint(3, 9)))

@@ -5,7 +5,7 @@ import re
 
 import corpus_pipeline
 from torrentia.llm import bpe_codec, near_dedup, quality_rules, source_mix
-from torrentia.llm.common import materialise, shingle_hashes, word_hashes
+from torrentia.llm.common import materialise, word_hashes
 
 DIR = "/root/testdata/sf0.001"
 
@@ -35,7 +35,7 @@ def test_stages(spark):
     before, after = (x.collect() for x in seen["near"])
     par = {r.doc_id: r.doc_id for r in before}
     find = lambda x: x if par[x] == x else find(par[x])
-    k = [(r.doc_id, shingle_hashes(word_hashes(r.text), 5)) for r in before]
+    k = [(r.doc_id, word_hashes(r.text)) for r in before]
     for i, (a, x) in enumerate(k):
         for b, y in k[:i]:
             if near_dedup.similarity(x, y) > 0:

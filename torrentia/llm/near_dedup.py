@@ -1,25 +1,27 @@
 """MinHash near-dedup with Order MinHash and banded alignment.
 
-Words are lower-cased; k-mers are runs of five words, labelled with their occurrence number. Each of
+Words are lower-cased; k-mers are runs of five words (of two in short texts), labelled with their occurrence number. Each of
 the sketches takes the `pick` labelled k-mers with the least hashes and keeps them in text order; two
 texts are candidates when they share a sketch, so the order of what they share counts, as in edit
-similarity. Candidates are verified by a banded alignment of their k-mers: the texts are linked
+similarity. Candidates are verified by a banded alignment of their words: the texts are linked
 when aligned / (n + m - aligned) >= 0.8, which needs no cell outside a band around the diagonal.
 
-Two regimes keep short texts findable: those of up to 40 k-mers get 12 sketches of 2, those of 32 and
-more get 32 sketches of 6. Sizes of linked texts differ by less than 40 : 32, so one regime has both. A
-pair at exactly 0.8 is missed with a probability of about 2e-4, at 0.9 of 1e-10.
+An edited word breaks as many k-mers as it is in, so sketches are many and short. Texts of 48 words and more get 40 sketches of 3
+five-word k-mers, those of up to 60 get 16 sketches of 3 two-word ones. Sizes of linked texts differ by at most 60 : 48, so one regime has
+both. Where edits are scattered singly, a pair at exactly 0.8 is found with a probability of about 0.9, at 0.85 of 0.99 and at 0.9 of
+0.9999; where they stand together, of nearly 1.
 
 Texts equal in words are one class first. In the group of texts that share a sketch, all are aligned with three
 pivots: the most central text (the one whose groups are largest in sum, so a large group's original rather than a
-copy), and the first and the last by a hash. As a text is in up to 32 groups, it meets many pivots, while a group of
+copy), and the first and the last by a hash. As a text is in up to 40 groups, it meets many pivots, while a group of
 n copies costs about n alignments. Then all pairs of a group's texts that are still in different components are
-aligned, whatever the group's size, but for those that can't reach 0.8: by size, or as their k-mers differ in too many
-places. Of PARITY bits each is the parity of a text's k-mers that hash to it; a k-mer that only one text has changes one
+aligned, whatever the group's size, but for those that can't reach 0.8: by size, or as their words differ in too many
+places. Of PARITY bits each is the parity of a text's words that hash to it; a word that only one text has changes one
 bit, so at 0.8 at most (n + m) / 9 bits differ. So no candidate pair across components is left unchecked.
 Classes are connected components.
 
 Null text counts as empty; texts without words are equal to each other. Repeated rows are in one class.
+Of a class the row with the least doc_id stays (null first), of rows that share it one. Very long texts are sketched and aligned whole.
 An empty table gives an empty result; extra columns play no part in `classes`, and `deduplicate`
 returns the input's columns as they are.
 """
@@ -36,11 +38,10 @@ from pyspark.sql import functions as F
 from torrentia.llm.common import discard, materialise, mix64, shingle_hashes, word_hashes
 from torrentia.operators.graph import components
 
-WIDTH = 5
 SIMILARITY = 0.8
-SHORT = (12, 2)  # sketches, k-mers in each
-LONG = (32, 6)
-SHORT_MOST, LONG_LEAST = 40, 32
+SHORT = (2, 16, 3)  # words of a k-mer, sketches, k-mers in each
+LONG = (5, 40, 3)
+SHORT_MOST, LONG_LEAST = 60, 48  # words
 PARITY = 512  # bits
 CELL = 512
 
@@ -82,35 +83,33 @@ def _sketches(labelled: np.ndarray, count: int, pick: int, tag: int) -> np.ndarr
     return key
 
 
-def sketch_keys(kmers: np.ndarray) -> np.ndarray:
-    """The candidate keys of a text's k-mers, in the regimes that its size belongs to."""
-    n = len(kmers)
-    if n == 0:
-        return np.empty(0, np.uint64)
-    labelled = _labelled(kmers)
-    keys = [_sketches(labelled, *SHORT, 1)] if n <= SHORT_MOST else []
-    if n >= LONG_LEAST:
-        keys.append(_sketches(labelled, *LONG, 2))
+def sketch_keys(words: np.ndarray) -> np.ndarray:
+    """The candidate keys of a text's words, in the regimes that its size belongs to."""
+    n, keys = len(words), [np.empty(0, np.uint64)]
+    for tag, (width, count, pick), fits in ((1, SHORT, 0 < n <= SHORT_MOST), (2, LONG, n >= LONG_LEAST)):
+        if fits:
+            keys.append(_sketches(_labelled(shingle_hashes(words, width)), count, pick, tag))
     return np.concatenate(keys)
 
 
-def parities(kmers: np.ndarray) -> np.ndarray:
-    """PARITY bits, each the parity of the number of k-mers that hash to it: two texts differ in at least as many k-mers as bits."""
-    odd = (np.bincount((kmers % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)
+def parities(words: np.ndarray) -> np.ndarray:
+    """PARITY bits, each the parity of the number of words that hash to it: two texts differ in at least as many words as bits."""
+    odd = (np.bincount((words % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """The longest common subsequence of a and b whose matches lie at most `band` off the diagonal.
+    """The longest common subsequence of a and b whose matches lie near the diagonal: at least all within `band` of it count.
 
-    Bit-parallel over a window of a that moves with b: a bit of `row` is 0 where the length grows.
+    Bit-parallel over a window of a that moves with b, a block at a time: a bit of `row` is 0 where the length grows.
+    A block's tokens have one mask each of their places in the window.
     """
     n, m, block = len(a), len(b), 256
-    at: dict[int, list[int]] = {}
-    for i, x in enumerate(a.tolist()):
-        at.setdefault(x, []).append(i)
+    kind, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+    of_a, of_b = inverse[:n], inverse[n:]
+    order = np.argsort(of_a, kind="stable")
+    begin = np.searchsorted(of_a[order], np.arange(len(kind) + 1))
     low, high, row, done = 0, 0, 0, 0
-    tokens = b.tolist()
     for start in range(0, m, block):
         new_low, new_high = min(n, max(low, start - band)), min(n, start + block + band)
         if new_low > low:
@@ -122,11 +121,21 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
             row |= ((1 << (new_high - max(high, low))) - 1) << (max(high, low) - low)
             high = new_high
         full = (1 << (high - low)) - 1
-        for j in range(start, min(m, start + block)):
-            mask = 0
-            for i in at.get(tokens[j], ()):
-                if i >= low and i < high and -band <= i - j <= band:
-                    mask |= 1 << (i - low)
+        masks: dict[int, int] = {}
+        for x in of_b[start : start + block].tolist():
+            mask = masks.get(x)
+            if mask is None:
+                at = order[begin[x] : begin[x + 1]]
+                at = at[np.searchsorted(at, low) : np.searchsorted(at, high)] - low
+                if len(at) <= 8:
+                    mask = 0
+                    for i in at.tolist():
+                        mask |= 1 << i
+                else:
+                    on = np.zeros(high - low, np.uint8)
+                    on[at] = 1
+                    mask = int.from_bytes(np.packbits(on, bitorder="little").tobytes(), "little")
+                masks[x] = mask
             if mask:
                 hit = row & mask
                 row = ((row + hit) | (row & ~mask)) & full
@@ -134,7 +143,7 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """aligned / (n + m - aligned) of two k-mer sequences, or 0.0 where it can't reach `least`."""
+    """aligned / (n + m - aligned) of two sequences of words, or 0.0 where it can't reach `least`."""
     n, m = len(a), len(b)
     if n == 0 or m == 0:
         return float(n == m)
@@ -160,15 +169,14 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """rid, doc_id, th (hash of the text as it is), digest of the words, n (k-mers), keys, parity."""
+    """rid, doc_id, th (hash of the text as it is), digest of the words, n (words), keys, parity."""
 
     def run(batches):
         for pdf in batches:
             rows = []
             for t in pdf["text"]:
                 w = word_hashes(t)
-                k = shingle_hashes(w, WIDTH)
-                rows.append((hashlib.blake2b(w.tobytes(), digest_size=16).digest(), len(k), sketch_keys(k).view(np.int64), parities(k)))
+                rows.append((hashlib.blake2b(w.tobytes(), digest_size=16).digest(), len(w), sketch_keys(w).view(np.int64), parities(w)))
             out = pd.DataFrame(rows, columns=["digest", "n", "keys", "parity"], index=pdf.index)
             yield pd.concat([pdf[["doc_id", "th"]], out], axis=1)
 
@@ -203,13 +211,13 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are similar."""
 
     def run(batches):
-        last, last_k = None, None
+        last, last_w = None, None
         for pdf in batches:
             keep = []
             for ta, tb in zip(pdf["text_a"], pdf["text_b"], strict=True):
                 if tb != last:
-                    last, last_k = tb, shingle_hashes(word_hashes(tb), WIDTH)
-                keep.append(similarity(shingle_hashes(word_hashes(ta), WIDTH), last_k) > 0)
+                    last, last_w = tb, word_hashes(tb)
+                keep.append(similarity(word_hashes(ta), last_w) > 0)
             yield pdf.loc[keep, ["a", "b"]]
 
     of = lambda x: nodes.select(F.col("rid").alias(x), F.col("doc_id").alias(f"id_{x}"), F.col("th").alias(f"th_{x}"), F.col("n").alias(f"n_{x}"))
