@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,3 +68,97 @@ def largest(rings: Column) -> Column:
 def mercator(lon: Column, lat: Column) -> Column:
     """Web Mercator metres."""
     return F.struct((F.radians(lon) * EARTH_M).alias("x"), (F.log(F.tan(F.lit(math.pi / 4) + F.radians(lat) / 2)) * EARTH_M).alias("y"))
+
+
+def clipped(ring: Column, window: Column) -> Column:
+    """The part of a ring inside a convex window, whose points run anticlockwise: one side of the window cuts after the other."""
+
+    def cut(points: Column, side: Column) -> Column:
+        a, b = side["a"], side["b"]
+        left_of = lambda p: (b["x"] - a["x"]) * (p["y"] - a["y"]) - (b["y"] - a["y"]) * (p["x"] - a["x"])
+
+        def kept(p: Column, q: Column) -> Column:
+            dp, dq = left_of(p), left_of(q)
+            t = dp / F.nullif(dp - dq, F.lit(0.0))
+            met = F.struct((p["x"] + t * (q["x"] - p["x"])).alias("x"), (p["y"] + t * (q["y"] - p["y"])).alias("y"))
+            crosses = ((dp >= 0) != (dq >= 0)) & t.isNotNull()
+            return F.concat(F.when(crosses, F.array(met)).otherwise(F.slice(F.array(met), 1, 0)), F.when(dq >= 0, F.array(q)).otherwise(F.slice(F.array(q), 1, 0)))
+
+        after = F.concat(F.slice(points, 2, F.size(points)), F.slice(points, 1, 1))
+        return F.flatten(F.zip_with(points, after, kept))
+
+    none = F.slice(ring, 1, 0)
+    return F.aggregate(edges(window), ring, lambda points, side: F.when(F.size(points) > 0, cut(points, side)).otherwise(none))
+
+
+def overlap_area(ring: Column, window: Column) -> Column:
+    """The area that a ring shares with a convex window."""
+    part = clipped(ring, window)
+    return F.when(F.size(part) > 2, area(part)).otherwise(F.lit(0.0))
+
+
+def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return F.array(p(x0, y0), p(x1, y0), p(x1, y1), p(x0, y1))
+
+
+def rotated_rectangle(ring: Column) -> Column:
+    """struct(long, short): the sides of the smallest rectangle round the ring. It has the direction of some two of the points."""
+
+    def along(a: Column, b: Column) -> Column:
+        ux, uy = (b["x"] - a["x"]) / F.hypot(b["x"] - a["x"], b["y"] - a["y"]), (b["y"] - a["y"]) / F.hypot(b["x"] - a["x"], b["y"] - a["y"])
+        s, t = F.transform(ring, lambda p: p["x"] * ux + p["y"] * uy), F.transform(ring, lambda p: p["y"] * ux - p["x"] * uy)
+        w, h = F.array_max(s) - F.array_min(s), F.array_max(t) - F.array_min(t)
+        return F.struct((w * h).alias("area"), F.greatest(w, h).alias("long"), F.least(w, h).alias("short"))
+
+    pairs = F.flatten(F.transform(ring, lambda a: F.transform(F.filter(ring, lambda b: (a["x"] != b["x"]) | (a["y"] != b["y"])), lambda b: along(a, b))))
+    best = F.array_min(pairs)
+    return F.struct(best["long"].alias("long"), best["short"].alias("short"))
+
+
+def simplified(line: Column, tolerance: float) -> Column:
+    """The line without points that lie within tolerance of the chord between points that stay (the farthest one stays first)."""
+
+    @F.pandas_udf("array<struct<x:double,y:double>>")
+    def run(lines: pd.Series) -> pd.Series:
+        def keep(points) -> list | None:
+            if points is None:
+                return None
+            xy = np.array([(p["x"], p["y"]) for p in points]).reshape(-1, 2)
+            stays, todo = np.zeros(len(xy), bool), [(0, len(xy) - 1)] if len(xy) else []
+            while todo:
+                i, j = todo.pop()
+                stays[[i, j]] = True
+                if j - i < 2:
+                    continue
+                d, v = xy[i + 1 : j] - xy[i], xy[j] - xy[i]
+                n = np.hypot(*v)
+                away = np.abs(d[:, 0] * v[1] - d[:, 1] * v[0]) / n if n else np.hypot(d[:, 0], d[:, 1])
+                k = int(away.argmax())
+                if away[k] > tolerance:
+                    todo += [(i, i + 1 + k), (i + 1 + k, j)]
+            return [{"x": float(x), "y": float(y)} for x, y in xy[stays]]
+
+        return lines.map(keep)
+
+    return run(line)
+
+
+# The ellipsoid GRS 80, and the UTM scale on the central meridian.
+FLATTENING, SCALE = 1 / 298.257222101, 0.9996
+
+
+def transverse_mercator(lon: Column, lat: Column, meridian: Column, false_east: float = 500000.0, false_north: float = 0.0, scale: float = SCALE) -> Column:
+    """struct(x, y) in metres, by Kruger's series to the third order."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = EARTH_M / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    terms = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * math.sqrt(n) / (1 + n)
+    s = F.sin(F.radians(lat))
+    t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
+    away = F.radians(lon - meridian)
+    xi, eta = F.atan2(t, F.cos(away)), F.atanh(F.sin(away) / F.sqrt(1 + t * t))
+    x, y = eta, xi
+    for j, a in enumerate(terms, 1):
+        x, y = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta), y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+    return F.struct((false_east + scale * radius * x).alias("x"), (false_north + scale * radius * y).alias("y"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 #: Least certainty, in per cent, of each class.
 CERTAINTY = ((70, "probable"), (30, "posible"), (5, "poco"))
@@ -21,6 +22,23 @@ def finite(v: Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) != float("inf")), v)
 
 
+def cleaned(df: DataFrame) -> DataFrame:
+    """df with NaN and infinities as NULL at any depth of structs, arrays and map values."""
+
+    def walk(c: Column, kind: DataType) -> Column:
+        if isinstance(kind, (DoubleType, FloatType)):
+            return finite(c)
+        if isinstance(kind, ArrayType):
+            return F.transform(c, lambda x: walk(x, kind.elementType))
+        if isinstance(kind, MapType):
+            return F.transform_values(c, lambda _, v: walk(v, kind.valueType))
+        if isinstance(kind, StructType):
+            return F.when(c.isNotNull(), F.struct(*[walk(c[f.name], f.dataType).alias(f.name) for f in kind]))
+        return c
+
+    return df.select(*[walk(F.col(f.name), f.dataType).alias(f.name) for f in df.schema])
+
+
 def nodata(v: Column, mark: float) -> Column:
     return F.nullif(v, F.lit(mark))
 
@@ -134,12 +152,16 @@ def snap(values: Column, p: Column) -> Column:
     return F.when(n == 0, p).when(even, stepped_).otherwise(near)
 
 
-def return_sentence(p: Column, longest: Column, t_a: Column, t_b: Column) -> Column:
-    """How often a rain of p falls, by two sources' return periods; t may be infinite."""
+def duration_unit(hours: Column) -> Column:
+    return F.when(hours <= 3, "chaparrón de 3 h").when(hours <= 24, "día").otherwise("temporal de 3 días")
+
+
+def return_sentence(p: Column, longest: Column, t_a: Column, t_b: Column, hours: Column, since: Column) -> Column:
+    """How often a rain of p in so many hours falls, by the record since a year and two sources' return periods; t may be infinite."""
     years = lambda t: F.when(t > MAX_YEARS, F.lit(f"más de {MAX_YEARS}")).otherwise(spanish_number(t, 0))
     apart = (t_b > 0) & ((t_b / t_a > 2) | (t_a / F.nullif(t_b, F.lit(0.0)) > 2))
     return (
-        F.when(p > longest, "Más de lo que llovió en el registro.")
+        F.when(p > longest, F.concat(F.lit("Más de lo que llovió en cualquier "), duration_unit(hours), F.lit(" desde "), F.coalesce(since, F.lit(1940)).cast("string"), F.lit(".")))
         .when(t_a.isNull(), "")
         .when(t_a > MAX_YEARS, f"Una lluvia así es más rara que una vez cada {MAX_YEARS} años.")
         .when(t_a < 1.5, "Una lluvia así pasa casi todos los años.")

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from torrentia.functions import geometry
+from torrentia.operators.graph import components
+from torrentia.scratch import written
+
 
 def _merged(events: DataFrame, scenes: DataFrame, key: str) -> DataFrame:
     """Both in one table, so that windows over it stand in for range joins: no pairs are made."""
@@ -39,17 +45,85 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     return F.hypot(px - (ax + t * dx), py - (ay + t * dy))
 
 
-def nearest_segment(points: DataFrame, segments: DataFrame, cell: float, reach: int = 1) -> DataFrame:
-    """points (pid, px, py) with the nearest segment (sid, ax, ay, bx, by) within `reach` cells of a grid, and its distance.
+def nearest_segment(points: DataFrame, segments: DataFrame, cell: float) -> DataFrame:
+    """points (pid, px, py) with the nearest segment (sid, ax, ay, bx, by), the least sid on ties, and its distance, however far.
 
-    Segments are registered in the cells of their bounding boxes grown by reach, so the join is by cell.
+    Segments are registered in the cells of a grid that they pass, and in the cells around; so a segment nearer than the cell's
+    size is met by an equi-join. Points that meet none so near go to the next round, whose cells are twice as large. Without
+    segments sid and dist are NULL.
+    """
+    ends = segments.agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("ax", "ay", "bx", "by")]).first()
+    here = points.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
+    if ends[0] is None or here[0] is None:
+        return points.select("pid", F.lit(None).cast(segments.schema["sid"].dataType).alias("sid"), F.lit(None).cast("double").alias("dist"))
+    span = max(max(ends[k] for k in range(4, 8)), here[1], here[3]) - min(min(ends[k] for k in range(4)), here[0], here[2])
+    found, left = [], points
+    while True:
+        last = cell > 2 * span  # so large that all meet
+        grown = (F.least("ay", "by") - cell, F.greatest("ay", "by") + cell)
+        rows = segments.withColumn("cy", F.explode(F.sequence(F.floor(grown[0] / cell), F.floor(grown[1] / cell))))
+        dy = F.nullif(F.col("by") - F.col("ay"), F.lit(0.0))
+        at = lambda y: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (y - F.col("ay")) / dy))  # noqa: B023, E731
+        low, high = at((F.col("cy") - 1) * cell), at((F.col("cy") + 2) * cell)  # the part of the segment in this row of cells and the two beside it
+        xs = [F.col("ax") + F.coalesce(t, F.lit(float(k))) * (F.col("bx") - F.col("ax")) for k, t in enumerate((low, high))]
+        cells = rows.withColumn("cx", F.explode(F.sequence(F.floor(F.least(*xs) / cell) - 1, F.floor(F.greatest(*xs) / cell) + 1)))
+        met = left.withColumns({"cx": F.floor(F.col("px") / cell), "cy": F.floor(F.col("py") / cell)}).join(cells, ["cx", "cy"], "left")
+        met = met.withColumn("dist", segment_distance(*[F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")]))
+        near = written(met.groupBy("pid", "px", "py").agg(F.min(F.when(F.col("sid").isNotNull(), F.struct("dist", "sid"))).alias("m")))
+        sure = F.lit(True) if last else F.coalesce(F.col("m.dist") <= cell, F.lit(False))
+        found.append(near.where(sure).select("pid", "m.sid", "m.dist"))
+        left = near.where(~sure).select("pid", "px", "py")
+        if last or not left.limit(1).count():
+            return reduce(lambda a, b: a.union(b), found)
+        cell *= 2
+
+
+def in_order(rows: DataFrame, keys: list[str], contains: str, area: str, tie: str) -> DataFrame:
+    """Of each key's frames the one that contains the place, else the largest; the least tie of equals."""
+    best = F.min(F.struct((~F.col(contains)).alias("no"), (-F.col(area)).alias("a"), F.col(tie).alias("t"), F.struct(*rows.columns).alias("row")))
+    return rows.groupBy(*keys).agg(best.alias("b")).select("b.row.*")
+
+
+def match_radar(storms: DataFrame, radar: DataFrame, key: str, days: int = 3) -> DataFrame:
+    """storms (key, event_id, day) with the radar event of the same id, else the one at most so many days away, and by which of both.
+
+    radar: key, seq (its order), radar_event, event_day or else scene_day less days_since. Of equally near ones the first in order.
     """
-    cells = segments.withColumn("cx", F.explode(F.sequence(F.floor(F.least("ax", "bx") / cell) - reach, F.floor(F.greatest("ax", "bx") / cell) + reach)))
-    cells = cells.withColumn("cy", F.explode(F.sequence(F.floor(F.least("ay", "by") / cell) - reach, F.floor(F.greatest("ay", "by") / cell) + reach)))
-    here = points.withColumn("cx", F.floor(F.col("px") / cell)).withColumn("cy", F.floor(F.col("py") / cell))
-    met = here.join(cells, ["cx", "cy"]).withColumn("dist", segment_distance(*[F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")]))
-    met = met.where(F.col("dist") <= reach * cell)
-    return met.groupBy("pid").agg(F.min(F.struct("dist", "sid")).alias("m")).select("pid", "m.sid", "m.dist")
+    r = radar.withColumn("day", F.coalesce("event_day", F.expr("date_sub(scene_day, days_since)")))
+    ids = r.select(F.col("radar_event").alias("same")).distinct()
+    out = storms.join(ids, F.col("event_id") == F.col("same"), "left")
+    first = r.where("day is not null").groupBy(key, "day").agg(F.min(F.struct("seq", "radar_event")).alias("r"))
+    at = F.datediff("day", F.lit("1970-01-01").cast("date"))
+    both = out.select(key, "event_id", "day", "same", F.lit(None).cast(first.schema["r"].dataType).alias("r"), F.lit(True).alias("storm"))
+    both = both.unionByName(first.select(key, F.lit(None).cast("long").alias("event_id"), "day", F.lit(None).cast("long").alias("same"), "r", F.lit(False).alias("storm"))).withColumn("d", at)
+    by, scene = W.partitionBy(key).orderBy("d"), F.when(~F.col("storm"), F.struct("d", "r"))
+    both = both.withColumns({"before": F.max(scene).over(by.rangeBetween(-days, 0)), "after": F.min(scene).over(by.rangeBetween(0, days))})
+    near = F.array_min(F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.d") - F.col("d")).alias("away"), F.col(f"{c}.r").alias("r"))) for c in ("before", "after")]), lambda x: x.isNotNull()))
+    matched = F.coalesce(F.col("same"), near["r"]["radar_event"])
+    how = F.when(F.col("same").isNotNull(), "id").when(near.isNotNull(), "day")
+    return both.where("storm").select(key, "event_id", "day", matched.alias("radar_event"), how.alias("matched_by"))
+
+
+def overlap_share(sheets: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
+    """sheets (sid, ring) and areas (aid, ring, convex) that overlap, with the per cent of the area that the sheet covers. They meet in the cells of a grid."""
+
+    def gridded(df: DataFrame, name: str) -> DataFrame:
+        of = lambda f, c: F.floor(f(F.transform("ring", lambda p: p[c])) / cell)
+        df = df.withColumnRenamed("ring", name).withColumn("ring", F.col(name))
+        df = df.withColumn("gx", F.explode(F.sequence(of(F.array_min, "x"), of(F.array_max, "x")))).withColumn("gy", F.explode(F.sequence(of(F.array_min, "y"), of(F.array_max, "y"))))
+        return df.drop("ring")
+
+    met = gridded(sheets, "sheet").join(gridded(areas, "area"), ["gx", "gy"]).drop("gx", "gy").dropDuplicates(["sid", "aid"])
+    share = 100 * geometry.overlap_area(F.col("sheet"), F.col("area")) / geometry.area(F.col("area"))
+    return met.select("sid", "aid", share.alias("pct")).where("pct > 0")
+
+
+def merged_lines(lines: DataFrame) -> DataFrame:
+    """lines (sid, a, b: their end nodes) with the line that each becomes part of (its least sid): lines are merged where just two meet."""
+    ends = lines.select("sid", F.explode(F.array("a", "b")).alias("node"))
+    joints = ends.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("sid").alias("a"), F.max("sid").alias("b")).where("n = 2 and a <> b")
+    label = components(joints.select("a", "b"))
+    return lines.join(label, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("label", "sid").alias("line"))
 
 
 def new_only(scene: DataFrame, reference: DataFrame, on: list[str]) -> DataFrame:

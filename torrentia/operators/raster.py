@@ -29,7 +29,12 @@ def mode(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def select_dem(scores: DataFrame, forced: str | None = None) -> DataFrame:
-    """scores(area, dem, bare, score) to one dem an area: the least score, or the bare-earth one if its score is within 1.5 times that."""
+    """scores(area, dem, bare, osm, rough) to one dem an area: the least score, or the bare-earth one if its score is within 1.5 times that.
+
+    The score is the distance from mapped streams where all DEMs of the area have one, else the roughness.
+    """
+    mapped = scores.groupBy("area").agg((F.count("osm") == F.count(F.lit(1))).alias("mapped"))
+    scores = scores.join(mapped, "area").withColumn("score", F.when(F.col("mapped"), F.col("osm")).otherwise(F.col("rough")))
     out = scores.groupBy("area").agg(F.min(F.struct("score", "dem")).alias("b"), F.min(F.when(F.col("bare"), F.struct("score", "dem"))).alias("e"), F.bool_or(F.col("dem") == F.lit(forced)).alias("f"))
     chosen = F.when(F.col("e.score") <= 1.5 * F.col("b.score"), F.col("e.dem")).otherwise(F.col("b.dem"))
     return out.select("area", F.when(F.col("f"), F.lit(forced)).otherwise(chosen).alias("dem"))

@@ -37,3 +37,8 @@ def verdict(indicators: DataFrame, rules: DataFrame, key: str) -> DataFrame:
     top = per.groupBy(key).agg(F.max("rank").alias("top"))
     name = lambda c: F.element_at(F.array(*map(F.lit, LEVELS)), F.col(c) + 1)
     return per.join(top, key).select(key, "component", name("rank").alias("level"), "reasons", "missing", name("top").alias("overall"))
+
+
+def cuts(rules, indicator: str, last: float) -> tuple[float, ...]:
+    """The class limits of an indicator: its thresholds in order, then last."""
+    return (*sorted(float(t) for _, i, _, steps in rules if i == indicator for t in steps.values()), last)

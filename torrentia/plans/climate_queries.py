@@ -95,7 +95,7 @@ def full_outer_two_sources(spark, d):
 
 def _events_scenes(spark, d):
     e = _table(spark, d, "events").select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"))
-    return e.where("event_type = 'purchase'"), e.where("event_type <> 'purchase' and event_id % 7 = 0")
+    return e.where("event_type = 'purchase'"), e.where("event_type <> 'purchase'")
 
 
 def event_scene_prepost(spark, d):
@@ -124,7 +124,7 @@ fit AS (SELECT o_orderpriority, avg(mm) - 0.5772156649 * 0.7796968012336761 * st
 an AS (SELECT o_orderpriority, year(t) AS year, max(roll) AS mm, arg_min(CAST(t AS DATE), (-roll, t)) AS day FROM dr GROUP BY ALL HAVING count(mm) >= 300 AND max(roll) IS NOT NULL)"""
 ROLL = "SELECT event_type, t, round({}, 6) AS roll FROM h WINDOW w AS (PARTITION BY event_type ORDER BY t ROWS {} PRECEDING)"
 SCENES = """e AS (SELECT event_id, user_id, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase'),
-s AS (SELECT user_id, CAST(ts AS DATE) AS scene FROM events WHERE event_type <> 'purchase' AND event_id % 7 = 0)"""
+s AS (SELECT user_id, CAST(ts AS DATE) AS scene FROM events WHERE event_type <> 'purchase')"""
 
 SQL = {
     "series_hourly_resample": f"WITH {HOURLY} SELECT event_type, t, round(mm, 6) AS mm FROM h",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from torrentia.functions import scalars as S
-from torrentia.operators import matching, raster
+from torrentia.operators import matching, raster, rules
 
 N = 40
 #: Means of few decimals often end in an exact 5, where two engines' last bits decide the rounding; this moves them off.
@@ -48,12 +48,14 @@ def percentile_linear(spark, d):
 
 
 def dem_selection(spark, d):
-    s = _table(spark, d, "part").groupBy(F.col("p_brand").alias("area"), F.col("p_type").alias("dem")).agg(F.round(F.avg("p_retailprice"), 6).alias("score"))
+    """Brands as areas, types as DEMs: price as roughness, mean size as distance from mapped streams, missing for some."""
+    osm = F.when(F.min("p_size") > 3, F.round(F.avg("p_size"), 6))
+    s = _table(spark, d, "part").groupBy(F.col("p_brand").alias("area"), F.col("p_type").alias("dem")).agg(F.round(F.avg("p_retailprice"), 6).alias("rough"), osm.alias("osm"))
     return raster.select_dem(s.withColumn("bare", F.length("dem") % 2 == 0))
 
 
 def class_breaks(spark, d):
-    return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.class_of(F.col("l_quantity") / 8, S.HAND_CUTS).alias("hand_class"))
+    return _table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.class_of(F.col("l_quantity") / 8, rules.cuts(rules.RULES, "hand_min_m", 5.0)).alias("hand_class"))
 
 
 def db_transform(spark, d):
@@ -164,7 +166,8 @@ def spanish_numbers(spark, d):
 def return_sentences(spark, d):
     p = _table(spark, d, "part")
     a, b = F.col("p_retailprice") / 100, F.when(F.col("p_size") % 4 != 0, F.col("p_size") * 3.0)
-    return p.select("p_partkey", S.return_sentence(F.col("p_size").cast("double"), F.lit(48.0), a - 8.5, b).alias("sentence"))
+    hours, since = F.element_at(F.array(F.lit(3.0), F.lit(24.0), F.lit(72.0)), (F.col("p_partkey") % 3 + 1).cast("int")), F.when(F.col("p_partkey") % 2 == 0, 1981)
+    return p.select("p_partkey", S.return_sentence(F.col("p_size").cast("double"), F.lit(46.0), a - 8.5, b, hours, since).alias("sentence"))
 
 
 def _places(spark, d):
@@ -252,7 +255,8 @@ SQL = {
     "zonal_pct_null_policies": f"WITH {CELLS} SELECT zone, round(100 * avg(CAST(coalesce(value <= 36, false) AS INT)), 6) AS of_all, round(100 * avg(CAST(value <= 36 AS INT)), 6) AS of_valid FROM z GROUP BY zone",
     "mode_tiebreak": "SELECT p_brand, p_size, n FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_size) AS k FROM (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL)) WHERE k = 1",
     "percentile_linear": "SELECT p_brand, " + ", ".join(f"round(quantile_cont(p_retailprice, {q}), 6) AS {n}" for q, n in ((0.02, "p2"), (0.5, "p50"), (0.9, "p90"))) + " FROM part GROUP BY p_brand",
-    "dem_selection": """WITH s AS (SELECT p_brand AS area, p_type AS dem, round(avg(p_retailprice), 6) AS score, length(p_type) % 2 = 0 AS bare FROM part GROUP BY ALL),
+    "dem_selection": """WITH s0 AS (SELECT p_brand AS area, p_type AS dem, round(avg(p_retailprice), 6) AS rough, CASE WHEN min(p_size) > 3 THEN round(avg(p_size), 6) END AS osm, length(p_type) % 2 = 0 AS bare FROM part GROUP BY ALL),
+        s AS (SELECT *, CASE WHEN count(osm) OVER (PARTITION BY area) = count(*) OVER (PARTITION BY area) THEN osm ELSE rough END AS score FROM s0),
         b AS (SELECT area, min(score) AS score, arg_min(dem, (score, dem)) AS dem, min(score) FILTER (WHERE bare) AS bs, arg_min(dem, (score, dem)) FILTER (WHERE bare) AS bd FROM s GROUP BY area)
         SELECT area, CASE WHEN bs <= 1.5 * score THEN bd ELSE dem END AS dem FROM b""",
     "class_breaks": "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_quantity / 8 < 0.5 THEN 0 WHEN l_quantity / 8 < 1 THEN 1 WHEN l_quantity / 8 < 2 THEN 2 WHEN l_quantity / 8 < 5 THEN 3 END AS INT) AS hand_class FROM lineitem",
@@ -305,7 +309,7 @@ SQL = {
     "return_sentences": f"""WITH q AS (SELECT p_partkey, p_size AS p, p_retailprice / 100 - 8.5 AS a, CASE WHEN p_size % 4 <> 0 THEN p_size * 3.0 END AS b FROM part),
         y AS (SELECT *, CASE WHEN least(a, b) > 100 THEN 'más de 100' ELSE {NUM.format(0, "least(a, b)")} END AS lo, CASE WHEN greatest(a, b) > 100 THEN 'más de 100' ELSE {NUM.format(0, "CAST(greatest(a, b) AS DOUBLE)")} END AS hi,
           {NUM.format(0, "a")} AS own FROM q)
-        SELECT p_partkey, CASE WHEN p > 48 THEN 'Más de lo que llovió en el registro.' WHEN a > 100 THEN 'Una lluvia así es más rara que una vez cada 100 años.'
+        SELECT p_partkey, CASE WHEN p > 46 THEN 'Más de lo que llovió en cualquier ' || ['chaparrón de 3 h', 'día', 'temporal de 3 días'][p_partkey % 3 + 1] || ' desde ' || CASE WHEN p_partkey % 2 = 0 THEN '1981.' ELSE '1940.' END WHEN a > 100 THEN 'Una lluvia así es más rara que una vez cada 100 años.'
           WHEN a < 1.5 THEN 'Una lluvia así pasa casi todos los años.' WHEN b > 0 AND (b / a > 2 OR a / b > 2) THEN 'Una lluvia así pasa cada ' || lo || ' a ' || hi || ' años según la fuente.'
           ELSE 'Una lluvia así pasa cada ~' || own || ' años.' END AS sentence FROM y""",
     "crs_codes": """WITH q AS (SELECT c_custkey, c_acctbal / 60 - 60 AS lon, c_custkey % 140 - 70 + 0.25 AS lat FROM customer)
@@ -319,12 +323,12 @@ SQL = {
         s AS (SELECT s_suppkey AS sid, s_acctbal / 100 AS ax, CAST(s_suppkey % 89 AS DOUBLE) AS ay FROM supplier),
         q AS (SELECT *, greatest(0.0, least(1.0, ((px - ax) * 7 + (py - ay) * 3) / 58.0)) AS t FROM p, s),
         r AS (SELECT *, sqrt(pow(px - (ax + t * 7), 2) + pow(py - (ay + t * 3), 2)) AS dist FROM q)
-        SELECT pid, arg_min(sid, (dist, sid)) AS sid, round(min(dist), 6) AS dist FROM r WHERE dist <= 10 GROUP BY pid""",
+        SELECT pid, arg_min(sid, (dist, sid)) AS sid, round(min(dist), 6) AS dist FROM r GROUP BY pid""",
     "line_agreement": """WITH p AS (SELECT c_custkey AS pid, c_acctbal / 100 AS px, CAST(c_custkey % 97 AS DOUBLE) AS py FROM customer),
         s AS (SELECT s_suppkey AS sid, s_acctbal / 100 AS ax, CAST(s_suppkey % 89 AS DOUBLE) AS ay FROM supplier),
         q AS (SELECT *, greatest(0.0, least(1.0, ((px - ax) * 7 + (py - ay) * 3) / 58.0)) AS t FROM p, s),
         r AS (SELECT *, sqrt(pow(px - (ax + t * 7), 2) + pow(py - (ay + t * 3), 2)) AS dist FROM q),
-        n AS (SELECT pid, round(min(dist), 6) AS dist FROM r WHERE dist <= 10 GROUP BY pid)
+        n AS (SELECT pid, round(min(dist), 6) AS dist FROM r GROUP BY pid)
         SELECT c_nationkey, round(quantile_cont(dist, 0.5), 8) AS median, round(quantile_cont(dist, 0.9), 8) AS p90, round(100 * avg(CAST(dist <= 4 AS INT)), 8) AS pct_within, count(*) AS n
         FROM n JOIN customer ON pid = c_custkey GROUP BY c_nationkey""",
     "profile_kinds": """WITH q AS (SELECT l_suppkey, quantile_cont(l_extendedprice / 10000, 0.5) FILTER (WHERE abs((l_quantity - 25) * 8) BETWEEN 100 AND 200) AS bank,
