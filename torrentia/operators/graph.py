@@ -29,17 +29,82 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+MAX_ROUNDS = 64  # of doubling: ways of up to 2**64 steps; a longer one runs in a circle
+
+
+def roots(pointers: DataFrame) -> DataFrame:
+    """pointers (cell, next or NULL) to (cell, root): the last cell of the way, by pointer doubling."""
+    at = written(pointers.select("cell", F.coalesce("next", "cell").alias("to")))
+    for _ in range(MAX_ROUNDS):
+        ahead = at.select(F.col("cell").alias("j"), F.col("to").alias("then"))
+        after = written(at.join(ahead, F.col("to") == F.col("j")).select("cell", F.col("then").alias("to"), (F.col("then") != F.col("to")).alias("moved")))
+        discard(at)
+        if not after.where("moved").limit(1).count():
+            return after.select("cell", F.col("to").alias("root"))
+        at = after.drop("moved")
+        at._scratch = after._scratch
+    raise ValueError("the pointers run in a circle")
+
+
+def paths(pointers: DataFrame, starts: DataFrame) -> DataFrame:
+    """starts (start) to (start, step, cell): all cells on the way down from each start, by pointer doubling."""
+    jump = written(pointers.where("next is not null").select("cell", "next"))
+    way = starts.select("start", F.lit(0).cast("long").alias("step"), F.col("start").alias("cell"))
+    for k in range(MAX_ROUNDS):
+        if not jump.limit(1).count():
+            return way
+        far = way.join(jump.select(F.col("cell").alias("j"), "next"), F.col("cell") == F.col("j"))
+        way = written(way.unionByName(far.select("start", (F.col("step") + 2**k).alias("step"), F.col("next").alias("cell"))))
+        twice = jump.join(jump.select(F.col("cell").alias("j"), F.col("next").alias("then")), F.col("next") == F.col("j"))
+        jump = written(twice.select("cell", F.col("then").alias("next")))
+    raise ValueError("the pointers run in a circle")
+
+
+def spread(shares: DataFrame, weights: DataFrame, doublings: int = 4) -> DataFrame:
+    """shares (cell, to, share) and weights (cell, weight) to (cell, total): each cell passes what it has and gets on by its shares.
+
+    The shares of 2, 4, ... 2**doublings steps are products of the table with itself; then rounds of so many steps add what still arrives.
+    """
+    step, total = written(shares.where("share > 0")), written(weights.select("cell", F.col("weight").cast("double").alias("total")))
+
+    def onward(have: DataFrame) -> DataFrame:
+        moved = have.join(step.select(F.col("cell").alias("j"), "to", "share"), F.col("cell") == F.col("j"))
+        return moved.groupBy(F.col("to").alias("cell")).agg(F.sum(F.col("total") * F.col("share")).alias("total"))
+
+    for _ in range(doublings):
+        after = written(total.unionByName(onward(total)).groupBy("cell").agg(F.sum("total").alias("total")))
+        b = step.select(F.col("cell").alias("j"), F.col("to").alias("then"), F.col("share").alias("then_share"))
+        twice = step.join(b, F.col("to") == F.col("j")).groupBy("cell", F.col("then").alias("to")).agg(F.sum(F.col("share") * F.col("then_share")).alias("share"))
+        twice = written(twice)
+        discard(total)
+        discard(step)
+        step, total = twice, after
+    delta = total
+    while True:
+        delta = written(onward(delta))
+        if not delta.limit(1).count():
+            return total
+        total = written(total.unionByName(delta).groupBy("cell").agg(F.sum("total").alias("total")))
+
+
 def accumulate(pointers: DataFrame) -> DataFrame:
     """pointers (cell, next or NULL, weight) to (cell, total): the weight of all cells that flow into a cell, and its own.
 
     Pointer doubling: after k rounds a cell has what lies within 2**k - 1 steps above it; rounds end when no pointer is left.
     """
     state = written(pointers.select("cell", "next", F.col("weight").cast("double").alias("total")))
+    rounds = 0
     while state.where("next is not null").limit(1).count():
+        rounds += 1
+        if rounds > MAX_ROUNDS:
+            raise ValueError("the pointers run in a circle")
+        before = state
         into = state.where("next is not null").groupBy(F.col("next").alias("k")).agg(F.sum("total").alias("more"))
         onward = state.select(F.col("cell").alias("j"), F.col("next").alias("then"))
         state = state.join(into, F.col("cell") == F.col("k"), "left").join(onward, F.col("next") == F.col("j"), "left")
-        state = written(state.select("cell", F.col("then").alias("next"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")))
+        after = written(state.select("cell", F.col("then").alias("next"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")))
+        discard(before)
+        state = after
     return state.select("cell", "total")
 
 
@@ -48,14 +113,18 @@ def follow(pointers: DataFrame, stops: DataFrame) -> DataFrame:
     marks = stops.select(F.col("cell").alias("s")).distinct()
     at = pointers.join(marks, F.col("cell") == F.col("s"), "left")
     at = written(at.select("cell", F.when(F.col("s").isNotNull(), F.col("cell")).otherwise(F.col("next")).alias("to"), F.when(F.col("s").isNotNull(), 0.0).otherwise(F.col("length")).alias("way"), F.col("s").isNotNull().alias("is_stop")))
-    while True:
+    for rounds in range(MAX_ROUNDS + 1):
+        if rounds == MAX_ROUNDS:
+            raise ValueError("the pointers run in a circle")
         ahead = at.select(F.col("cell").alias("j"), F.col("to").alias("then"), F.col("way").alias("more"), F.col("is_stop").alias("done"))
         joined = at.join(ahead, F.col("to") == F.col("j"), "left")
         moved = joined.agg(F.count_if(F.col("j").isNotNull() & ~F.col("done") & ~F.col("is_stop"))).first()[0]
         if not moved:
             break
         go = F.col("j").isNotNull() & ~F.col("done") & ~F.col("is_stop")
-        at = written(joined.select("cell", F.when(go, F.col("then")).otherwise(F.col("to")).alias("to"), F.when(go, F.col("way") + F.col("more")).otherwise(F.col("way")).alias("way"), "is_stop"))
+        after = written(joined.select("cell", F.when(go, F.col("then")).otherwise(F.col("to")).alias("to"), F.when(go, F.col("way") + F.col("more")).otherwise(F.col("way")).alias("way"), "is_stop"))
+        discard(at)
+        at = after
     ends = marks.withColumnRenamed("s", "e")
     out = at.join(ends, F.col("to") == F.col("e"), "left")
     return out.select("cell", F.col("e").alias("stop"), F.when(F.col("e").isNotNull(), F.col("way")).alias("length"))

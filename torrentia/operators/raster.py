@@ -1,7 +1,7 @@
 """Raster operators over cell tables (raster, row, col, value): zonal, focal, thresholds, certainty.
 
-Focal sums explode each cell to the windows that hold it and add up by partial aggregation, so neither a
-halo exchange nor a window over whole rows is needed; edges are reflected or constant by how the cell is dealt out.
+Focal sums deal each cell to the window centres along its row, add up by partial aggregation, and do the same along
+columns: 2 k rows a cell instead of k * k, and no halo exchange. Edges are reflected or open by how the cell is dealt out.
 """
 
 from __future__ import annotations
@@ -68,28 +68,25 @@ def otsu_guarded(cells: DataFrame, keys: list[str], value: str, ceiling: float,
     return share.select(*keys, F.when(bad, F.lit(fixed)).otherwise(F.col("threshold")).alias("threshold"), bad.alias("is_fixed"))
 
 
-def _dealt(cells: DataFrame, k: int, edge: str) -> DataFrame:
-    """Each cell with each window (row, col of the centre) that holds it, as often as reflection repeats it."""
-    half = k // 2
-    size = cells.groupBy("raster").agg(F.max("row").alias("r1"), F.max("col").alias("c1"), F.min("row").alias("r0"), F.min("col").alias("c0"))
-    out = cells.join(size, "raster")
-    for axis, lo, hi in (("row", "r0", "r1"), ("col", "c0", "c1")):
-        at = F.explode(F.sequence(F.col(axis) - half, F.col(axis) + half))
-        inside = [F.col(axis).alias(f"src_{axis}"), at.alias(f"to_{axis}")]
-        direct = out.select("*", *inside)
-        if edge == "reflect":  # the cell before the edge is the edge cell again
-            low = out.where(F.col(axis) - F.col(lo) < half).select("*", F.col(axis).alias(f"src_{axis}"), F.explode(F.sequence(2 * F.col(lo) - 1 - F.col(axis) - half, 2 * F.col(lo) - 1 - F.col(axis) + half)).alias(f"to_{axis}"))
-            high = out.where(F.col(hi) - F.col(axis) < half).select("*", F.col(axis).alias(f"src_{axis}"), F.explode(F.sequence(2 * F.col(hi) + 1 - F.col(axis) - half, 2 * F.col(hi) + 1 - F.col(axis) + half)).alias(f"to_{axis}"))
-            direct = direct.union(low).union(high)
-        out = direct.where(F.col(f"to_{axis}").between(F.col(lo), F.col(hi)))
-    return out
+def _targets(at: str, lo: str, hi: str, half: int, edge: str) -> Column:
+    """Window centres along an axis that the cell counts for, as often as reflection repeats it; the cell before the edge is the edge cell again."""
+    around = lambda c: F.sequence(c - half, c + half)
+    found = around(F.col(at))
+    if edge == "reflect":
+        none = F.slice(found, 1, 0)
+        low = F.when(F.col(at) - F.col(lo) < half, around(2 * F.col(lo) - 1 - F.col(at))).otherwise(none)
+        found = F.concat(found, low, F.when(F.col(hi) - F.col(at) < half, around(2 * F.col(hi) + 1 - F.col(at))).otherwise(none))
+    return F.filter(found, lambda t: t.between(F.col(lo), F.col(hi)))
 
 
 def focal_sums(cells: DataFrame, k: int, edge: str = "reflect") -> DataFrame:
-    """raster, row, col with n (valid cells of the window), s and s2 (sum and sum of squares)."""
-    d = _dealt(cells, k, edge)
+    """raster, row, col with n (valid cells of the window), s and s2 (sum and sum of squares): sums along rows, then of these along columns."""
+    size = cells.groupBy(F.col("raster").alias("r")).agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"))
     v = F.col("value")
-    return d.groupBy("raster", F.col("to_row").alias("row"), F.col("to_col").alias("col")).agg(F.count("value").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("s2"))
+    one = cells.join(size, F.col("raster") == F.col("r")).withColumn("to", F.explode(_targets("col", "c0", "c1", k // 2, edge)))
+    one = one.groupBy("raster", "row", F.col("to").alias("col")).agg(F.count("value").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("s2"), F.first("r0").alias("r0"), F.first("r1").alias("r1"))
+    two = one.withColumn("to", F.explode(_targets("row", "r0", "r1", k // 2, edge)))
+    return two.groupBy("raster", F.col("to").alias("row"), "col").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("s2").alias("s2"))
 
 
 def focal_mean(cells: DataFrame, k: int, edge: str = "reflect") -> DataFrame:
@@ -98,12 +95,18 @@ def focal_mean(cells: DataFrame, k: int, edge: str = "reflect") -> DataFrame:
 
 
 def lee(cells: DataFrame, k: int = 7) -> DataFrame:
-    """Speckle filter: m + w (x - m) with w = var / (var + noise), noise being the raster's variance."""
-    noise = cells.groupBy("raster").agg(F.var_pop("value").alias("noise"))
-    f = focal_sums(cells, k).withColumn("m", F.col("s") / F.col("n")).withColumn("var", F.greatest(F.col("s2") / F.col("n") - F.col("m") * F.col("m"), F.lit(0.0)))
-    out = cells.join(f, KEY).join(noise, "raster")
+    """Speckle filter: m + w (x - m) with w = var / (var + noise), noise being the variance of the raster.
+
+    Cells without a value above zero count as the mean of the others, and have none afterwards.
+    """
+    ok = F.col("value") > 0
+    mean = cells.groupBy(F.col("raster").alias("r")).agg(F.avg(F.when(ok, F.col("value"))).alias("mean"))
+    x = cells.join(mean, F.col("raster") == F.col("r")).select(*KEY, F.coalesce(ok, F.lit(False)).alias("ok"), F.when(ok, F.col("value")).otherwise(F.col("mean")).alias("value"))
+    noise = x.groupBy(F.col("raster").alias("r")).agg(F.var_pop("value").alias("noise"))
+    f = focal_sums(x, k).withColumn("m", F.col("s") / F.col("n")).withColumn("var", F.greatest(F.col("s2") / F.col("n") - F.col("m") * F.col("m"), F.lit(0.0)))
+    out = x.join(f, KEY).join(noise, F.col("raster") == F.col("r"))
     w = F.col("var") / (F.col("var") + F.col("noise") + 1e-12)
-    return out.select(*KEY, (F.col("m") + w * (F.col("value") - F.col("m"))).alias("value"))
+    return out.select(*KEY, F.when(F.col("ok"), F.col("m") + w * (F.col("value") - F.col("m"))).alias("value"))
 
 
 def strict_pits(cells: DataFrame) -> DataFrame:

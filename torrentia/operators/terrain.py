@@ -1,12 +1,13 @@
 """Terrain hydrology over cell tables (cell, row, col, z): gradients, D8 flow, drainage height, watersheds, depressions.
 
-Neighbourhoods are an equi-join: each cell is dealt to its eight neighbours' places. Filling is the one step that
-is sequential by nature; it runs for each raster tile in one NumPy kernel.
+Neighbourhoods are an equi-join: each cell is dealt to its eight neighbours' places. Filling, draining flats and spreading
+flow run over the whole raster as joins: no result depends on tiles. Breaching alone works tile by tile.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from torrentia.operators import graph
+from torrentia.operators.graph import roots
+from torrentia.scratch import discard, written
 
 #: D8 codes clockwise from north-east = 1 to north = 128, with the steps in row (downwards) and column.
 D8 = ((1, -1, 1), (2, 0, 1), (4, 1, 1), (8, 1, 0), (16, 1, -1), (32, 0, -1), (64, -1, -1), (128, -1, 0))
@@ -81,31 +84,71 @@ def wetness(area, slope_deg):
     return F.log(area / F.tan(F.radians(F.greatest(slope_deg, F.lit(0.01)))))
 
 
-def fill(cells: DataFrame, tile: str = "tile") -> DataFrame:
-    """cells with filled: the least height from which water leaves the tile without rising (priority flood)."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = (pdf[k].to_numpy() - pdf[k].min() for k in ("row", "col"))
-        z = np.full((r.max() + 3, c.max() + 3), np.nan)
-        z[r + 1, c + 1] = pdf["z"]
-        out, open_ = z.copy(), []
-        closed = np.isnan(z)
-        for i, j in zip(r + 1, c + 1, strict=True):
-            if not closed[i, j] and np.isnan(z[i - 1 : i + 2, j - 1 : j + 2]).any():
-                heapq.heappush(open_, (z[i, j], i, j))
-                closed[i, j] = True
-        while open_:
-            level, i, j = heapq.heappop(open_)
-            for _, dr, dc in D8:
-                y, x = i + dr, j + dc
-                if not closed[y, x]:
-                    closed[y, x] = True
-                    out[y, x] = max(z[y, x], level)
-                    heapq.heappush(open_, (out[y, x], y, x))
-        return pdf.assign(filled=out[r + 1, c + 1])
-
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema) + ", filled double"
-    return cells.groupBy(tile).applyInPandas(run, kind)
+def fill(cells: DataFrame) -> DataFrame:
+    """cells with filled: the least height from which water leaves the raster without rising. Cells beside a missing one or the edge are outlets.
+
+    Each cell runs down to a pit; cells of a pit are a basin. Basins meet at the lowest of their passes, outlets being passes to the
+    outside. In each round every basin not yet joined to the outside rises to its lowest pass and merges with what lies beyond; a basin's
+    level is the highest pass on its way. Rounds at least halve the basins.
+    """
+    valid = written(cells.where("z is not null"))
+    pairs = written(neighbours(valid).select("cell", "z", "n_cell", "n_z"))
+    down = pairs.where("n_z < z").groupBy(F.col("cell").alias("k")).agg(F.min(F.struct("n_z", "n_cell"))["n_cell"].alias("next"))
+    basin = written(roots(valid.select("cell").join(down, F.col("cell") == F.col("k"), "left").select("cell", "next")))
+    open_ = valid.select("cell", "z").join(pairs.groupBy(F.col("cell").alias("k")).count().where("count = 8"), F.col("cell") == F.col("k"), "left_anti")
+    outside = F.lit(-(2**63)).cast("long")
+    one, two = basin.select(F.col("cell").alias("i"), F.col("root").alias("a")), basin.select(F.col("cell").alias("j"), F.col("root").alias("b"))
+    passes = pairs.join(one, F.col("cell") == F.col("i")).join(two, F.col("n_cell") == F.col("j")).where("a < b").select("a", "b", F.greatest("z", "n_z").alias("w"))
+    outlets = open_.join(one, F.col("cell") == F.col("i")).select(outside.alias("a"), F.col("a").alias("b"), F.col("z").alias("w"))
+    passes = written(passes.unionByName(outlets).groupBy("a", "b").agg(F.min("w").alias("w")))
+    level = written(basin.select(F.col("root").alias("basin")).distinct().select("basin", F.col("basin").alias("comp"), F.lit(float("-inf")).alias("level")))
+    while passes.limit(1).count():
+        ends = passes.select("a", "b", "w").union(passes.select("b", "a", "w")).where(F.col("a") != outside)
+        # passes are told apart by height, then by their ends, so that two basins at most choose each other
+        pick = ends.groupBy("a").agg(F.min(F.struct("w", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "b")).alias("p"))
+        pick = written(pick.select(F.col("a").alias("comp"), F.col("p.b").alias("to"), F.col("p.w").alias("w")))
+        back = pick.select(F.col("comp").alias("j"), F.col("to").alias("back"))
+        mutual = (F.col("back") == F.col("comp")) & (F.col("comp") < F.col("to"))
+        step = pick.join(back, F.col("to") == F.col("j"), "left").select(F.col("comp").alias("cell"), F.when(mutual.isNull() | ~mutual, F.col("to")).alias("next"))
+        out = pick.select(outside.alias("cell"), F.lit(None).cast("long").alias("next")).limit(1)
+        root = written(roots(step.unionByName(out)))
+        name = lambda c: root.select(F.col("cell").alias(f"of_{c}"), F.col("root").alias(f"new_{c}"))  # noqa: B023, E731
+        rise = pick.select(F.col("comp").alias("k"), "w")
+        after = level.join(rise, F.col("comp") == F.col("k"), "left").join(name("comp"), F.col("comp") == F.col("of_comp"), "left")
+        after = written(after.select("basin", F.coalesce("new_comp", "comp").alias("comp"), F.greatest("level", F.coalesce("w", F.lit(float("-inf")))).alias("level")))
+        merged = passes.join(name("a"), F.col("a") == F.col("of_a")).join(name("b"), F.col("b") == F.col("of_b")).where("new_a <> new_b")
+        merged = merged.groupBy(F.least("new_a", "new_b").alias("a"), F.greatest("new_a", "new_b").alias("b")).agg(F.min("w").alias("w"))
+        merged = written(merged)
+        for t in (level, passes, pick, root):
+            discard(t)
+        level, passes = after, merged
+    lift = basin.join(level, F.col("root") == F.col("basin")).select(F.col("cell").alias("k"), "level")
+    out = cells.join(lift, F.col("cell") == F.col("k"), "left")
+    return written(out.select(*cells.columns, F.when(F.col("z").isNotNull(), F.greatest("z", "level")).alias("filled")))
+
+
+def drainage(filled: DataFrame, height: str = "filled", res: float = 1.0) -> DataFrame:
+    """D8 pointers (cell, next, code, length) of a filled surface; in flats towards the nearest cell that drains or is an outlet, the least code on ties."""
+    surface = written(filled.select("cell", "row", "col", F.col(height).alias("z")).where("z is not null"))
+    down = written(d8_pointer(surface, res))
+    n = written(neighbours(surface))
+    full = n.groupBy(F.col("cell").alias("k")).count().where("count = 8")
+    stuck = written(down.where("next is null").select("cell").join(full, F.col("cell") == F.col("k"), "left_semi"))
+    level = n.where("z = n_z").join(stuck.select(F.col("cell").alias("k")), F.col("cell") == F.col("k"), "left_semi")
+    level = written(level.select("cell", "n_cell", "code", F.when((F.col("dr") != 0) & (F.col("dc") != 0), res * 2**0.5).otherwise(res).alias("length")))
+    front, found = down.select("cell").join(stuck, "cell", "left_anti"), []
+    while True:
+        via = level.join(front.select(F.col("cell").alias("f")), F.col("n_cell") == F.col("f"), "left_semi")
+        now = written(via.groupBy("cell").agg(F.min(F.struct("code", F.col("n_cell").alias("next"), "length")).alias("b")).select("cell", "b.next", "b.code", "b.length"))
+        if not now.limit(1).count():
+            break
+        found.append(now)
+        level = written(level.join(now.select(F.col("cell").alias("k")), F.col("cell") == F.col("k"), "left_anti"))
+        front = now.select("cell")
+    out = down.join(stuck, "cell", "left_anti")
+    for now in found:
+        out = out.unionByName(now)
+    return out.unionByName(stuck.join(reduce(lambda a, b: a.union(b), [x.select("cell") for x in found]), "cell", "left_anti").select("cell", F.lit(None).cast("long").alias("next"), F.lit(None).cast("int").alias("code"), F.lit(None).cast("double").alias("length"))) if found else out
 
 
 def dinf_pointer(cells: DataFrame, res: float = 1.0) -> DataFrame:
@@ -126,26 +169,23 @@ def dinf_pointer(cells: DataFrame, res: float = 1.0) -> DataFrame:
     return around.select("cell", F.pmod(best["angle"], F.lit(2 * np.pi)).alias("angle"), best["slope"].alias("slope"))
 
 
-def dinf_accumulation(cells: DataFrame, pointers: DataFrame, tile: str = "tile") -> DataFrame:
-    """cell, area: each cell passes its area to the two neighbours that its angle lies between, highest cells first, within its tile."""
-    steps = [(0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1)]  # anticlockwise from east
+def dinf_accumulation(cells: DataFrame, pointers: DataFrame, cell_area: float = 1.0) -> DataFrame:
+    """cell, area: each cell passes its area to the two neighbours that its angle lies between, by their nearness; over the whole raster."""
+    turn = F.col("angle") / (np.pi / 4)
+    k = F.floor(turn)
+    # anticlockwise from east, in eighths of a turn
+    dr, dc = (F.array(*map(F.lit, d)) for d in ((0, -1, -1, -1, 0, 1, 1, 1), (1, 1, 0, -1, -1, -1, 0, 1)))
+    to = lambda i, share: F.struct(F.pmod(i, F.lit(8)).cast("int").alias("k"), share.alias("share"))
+    at = cells.select("cell", "row", "col").join(pointers.where("angle is not null").select(F.col("cell").alias("p"), "angle"), F.col("cell") == F.col("p"))
+    s = at.select("cell", "row", "col", F.explode(F.array(to(k, 1 - (turn - k)), to(k + 1, turn - k))).alias("s")).where("s.share > 0")
+    s = s.select("cell", (F.col("row") + F.get(dr, F.col("s.k"))).alias("row"), (F.col("col") + F.get(dc, F.col("s.k"))).alias("col"), "s.share")
+    s = s.join(cells.where("z is not null").select(F.col("cell").alias("to"), "row", "col"), ["row", "col"]).select("cell", "to", "share")
+    return graph.spread(s, cells.where("z is not null").select("cell", F.lit(cell_area).alias("weight"))).withColumnRenamed("total", "area")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        place = {(r, c): i for i, (r, c) in enumerate(zip(pdf["row"], pdf["col"], strict=True))}
-        area, rows, cols, angles = np.ones(len(pdf)), pdf["row"].to_numpy(), pdf["col"].to_numpy(), pdf["angle"].to_numpy()
-        for i in np.argsort(-pdf["z"].to_numpy(), kind="stable"):
-            if np.isnan(angles[i]):
-                continue
-            k, part = divmod(angles[i] / (np.pi / 4), 1.0)
-            for step, share in ((int(k) % 8, 1 - part), ((int(k) + 1) % 8, part)):
-                j = place.get((rows[i] + steps[step][0], cols[i] + steps[step][1]))
-                if j is not None and share > 0:
-                    area[j] += area[i] * share
-        return pd.DataFrame({"cell": pdf["cell"], "area": area})
-
-    a = pointers.select(F.col("cell").alias("p"), "angle")
-    joined = cells.join(a, F.col("cell") == F.col("p"), "left").select("cell", "row", "col", "z", tile, "angle")
-    return joined.groupBy(tile).applyInPandas(run, "cell long, area double")
+
+def flow_paths(pointers: DataFrame, starts: DataFrame) -> DataFrame:
+    """start, step, cell: the ways down from the starts (start)."""
+    return graph.paths(pointers, starts)
 
 
 def breach(cells: DataFrame, max_dist: int = 50, tile: str = "tile") -> DataFrame:
@@ -180,12 +220,20 @@ def breach(cells: DataFrame, max_dist: int = 50, tile: str = "tile") -> DataFram
     return cells.groupBy(tile).applyInPandas(run, kind)
 
 
-def depressions(filled: DataFrame, res: float = 1.0) -> DataFrame:
-    """The 4-connected components of filled - z > 0: label (least cell), n_cells, area, volume, deepest, mean."""
-    sink = filled.withColumn("depth", F.col("filled") - F.col("z")).where("depth > 0")
-    edges = neighbours(sink.select("cell", "row", "col", "z", "tile")).where("dr = 0 or dc = 0").select(F.col("cell").alias("a"), F.col("n_cell").alias("b"))
+def depressions(filled: DataFrame, res: float = 1.0, area: DataFrame | None = None, lot: DataFrame | None = None) -> DataFrame:
+    """The 4-connected components of filled - z > 0: label (least cell), n_cells, area, volume, deepest, mean, and whether it touches the lot (cell).
+
+    With an area (cell), components that have no cell in it are left out; the others are measured whole.
+    """
+    sink = written(filled.withColumn("depth", F.col("filled") - F.col("z")).where("depth > 0"))
+    edges = neighbours(sink.select("cell", "row", "col", "z")).where("dr = 0 or dc = 0").select(F.col("cell").alias("a"), F.col("n_cell").alias("b"))
     label = graph.components(edges).withColumnRenamed("node", "k")
     named = sink.join(label, F.col("cell") == F.col("k"), "left").withColumn("label", F.coalesce("label", "cell"))
-    return named.groupBy("label").agg(
-        F.count(F.lit(1)).alias("n_cells"), (F.count(F.lit(1)) * res * res).alias("area"), (F.sum("depth") * res * res).alias("volume"), F.max("depth").alias("deepest"), F.avg("depth").alias("mean")
+    for name, zone in (("in_area", area), ("in_lot", lot)):
+        inside = None if zone is None else zone.select(F.col("cell").alias(name)).distinct()
+        named = named.withColumn(name, F.lit(None).cast("long")) if inside is None else named.join(inside, F.col("cell") == F.col(name), "left")
+    out = named.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_cells"), (F.count(F.lit(1)) * res * res).alias("area"), (F.sum("depth") * res * res).alias("volume"), F.max("depth").alias("deepest"), F.avg("depth").alias("mean"),
+        F.bool_or(F.col("in_lot").isNotNull()).alias("touches_lot"), F.bool_or(F.col("in_area").isNotNull()).alias("touches"),
     )
+    return (out if area is None else out.where("touches")).drop("touches")

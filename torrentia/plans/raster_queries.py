@@ -104,7 +104,7 @@ def focal_mean_5x5_open(spark, d):
 
 
 def lee_filter(spark, d):
-    return raster.lee(_cells(spark, d).where("value is not null")).withColumn("value", F.round("value", 5))
+    return raster.lee(_cells(spark, d)).withColumn("value", F.round("value", 5))
 
 
 def strict_pits(spark, d):
@@ -274,9 +274,9 @@ SQL = {
     "change_detection": f"WITH {CELLS} SELECT row, col FROM c WHERE raster = 'N' AND value > 37 EXCEPT SELECT row, col FROM c WHERE raster = 'R' AND value > 37",
     "focal_mean_3x3": f"WITH {CELLS}, {_focal(3)} SELECT raster, row, col, round(s / n + {OFF_TIES}, 6) AS mean FROM fs WHERE m > 0",
     "focal_mean_5x5_open": f"WITH {CELLS}, {_focal(5, reflect=False)} SELECT raster, row, col, round(s / n + {OFF_TIES}, 6) AS mean FROM fs WHERE m > 0",
-    "lee_filter": f"""WITH {CELLS}, v AS (SELECT * FROM c WHERE value IS NOT NULL), {_focal(7, "v")}, k AS (SELECT raster, var_pop(value) AS noise FROM v GROUP BY raster),
-        q AS (SELECT v.raster, v.row, v.col, value, s / n AS m, greatest(s2 / n - (s / n) * (s / n), 0) AS var FROM v JOIN fs USING (raster, row, col))
-        SELECT raster, row, col, round(m + var / (var + noise + 1e-12) * (value - m), 5) AS value FROM q JOIN k USING (raster)""",
+    "lee_filter": f"""WITH {CELLS}, v AS (SELECT raster, row, col, coalesce(value, avg(value) OVER (PARTITION BY raster)) AS value, value IS NOT NULL AS ok FROM c), {_focal(7, "v")}, k AS (SELECT raster, var_pop(value) AS noise FROM v GROUP BY raster),
+        q AS (SELECT v.raster, v.row, v.col, value, ok, s / n AS m, greatest(s2 / n - (s / n) * (s / n), 0) AS var FROM v JOIN fs USING (raster, row, col))
+        SELECT raster, row, col, CASE WHEN ok THEN round(m + var / (var + noise + 1e-12) * (value - m), 5) END AS value FROM q JOIN k USING (raster)""",
     "strict_pits": f"""WITH {CELLS} SELECT a.raster, a.row, a.col, round(any_value(a.value), 9) AS value FROM c a LEFT JOIN c b ON a.raster = b.raster AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1
         AND (a.row <> b.row OR a.col <> b.col) WHERE a.value IS NOT NULL GROUP BY a.raster, a.row, a.col HAVING coalesce(any_value(a.value) < min(b.value), true)""",
     "dem_roughness": f"""WITH {CELLS}, {_focal(5)}, p AS (SELECT raster, count(*) AS pits FROM (SELECT a.raster, a.row, a.col FROM c a LEFT JOIN c b ON a.raster = b.raster AND abs(a.row - b.row) <= 1

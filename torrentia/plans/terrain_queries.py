@@ -21,6 +21,11 @@ def _cells(spark, d):
     return p.select(F.col("p_partkey").alias("cell"), row.alias("row"), col.alias("col"), z.alias("z")).withColumn("tile", F.expr(f"(row div {TILE}) * 1000 + col div {TILE}"))
 
 
+def _coarse(spark, d):
+    """Whole heights, so that there are flats."""
+    return _cells(spark, d).withColumn("z", F.floor(F.col("z") * 4).cast("double"))
+
+
 def d8_pointer(spark, d):
     return terrain.d8_pointer(_cells(spark, d)).select("cell", "next", "code", F.round("length", 6).alias("length"))
 
@@ -55,9 +60,10 @@ def terrain_gradients(spark, d):
 
 
 def wetness_index(spark, d):
+    """From the area that D-infinity brings."""
     cells = _cells(spark, d)
-    area = terrain.flow_accumulation(terrain.d8_pointer(cells)).withColumnRenamed("cell", "c")
-    return terrain.gradients(cells).join(area, F.col("cell") == F.col("c")).select("cell", F.round(terrain.wetness(F.col("area"), F.col("slope")), 6).alias("twi"))
+    area = terrain.dinf_accumulation(cells, terrain.dinf_pointer(cells)).withColumnRenamed("cell", "c")
+    return terrain.gradients(cells).join(area, F.col("cell") == F.col("c")).select("cell", F.round(terrain.wetness(F.col("area"), F.col("slope")), 5).alias("twi"))
 
 
 def fill_depressions(spark, d):
@@ -65,8 +71,30 @@ def fill_depressions(spark, d):
 
 
 def depressions(spark, d):
-    x = terrain.depressions(terrain.fill(_cells(spark, d)))
-    return x.select("label", "n_cells", *[F.round(c, 6).alias(c) for c in ("area", "volume", "deepest", "mean")])
+    """Those that touch the parts of size 20 and more; the lot is the parts of size 45 and more."""
+    p = _table(spark, d, "part")
+    zone = lambda least: p.where(F.col("p_size") >= least).select(F.col("p_partkey").alias("cell"))
+    x = terrain.depressions(terrain.fill(_cells(spark, d)), area=zone(20), lot=zone(45))
+    return x.select("label", "n_cells", *[F.round(c, 6).alias(c) for c in ("area", "volume", "deepest", "mean")], "touches_lot")
+
+
+def conditioned_pointer(spark, d):
+    p = terrain.drainage(terrain.fill(_coarse(spark, d)))
+    return p.select("cell", "next", "code", F.round("length", 6).alias("length"))
+
+
+def conditioned_hand(spark, d):
+    """Drainage height over the filled surface, from streams of the flow over it."""
+    filled = terrain.fill(_coarse(spark, d))
+    p = terrain.drainage(filled)
+    h = terrain.hand(filled.select("cell", F.col("filled").alias("z")), p, _streams(p))
+    return h.select("cell", F.round("hand", 6).alias("hand"), F.round("way", 6).alias("way"))
+
+
+def flow_paths(spark, d):
+    """The ways down from parts of size 49 and more."""
+    starts = _table(spark, d, "part").where("p_size >= 49").select(F.col("p_partkey").alias("start"))
+    return terrain.flow_paths(terrain.d8_pointer(_cells(spark, d)), starts)
 
 
 def _levels(spark, d):
@@ -156,7 +184,7 @@ def verdict_missing_inputs(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    d8_pointer, flow_accumulation, stream_cells, hand, watershed, terrain_gradients, wetness_index, fill_depressions, depressions, scenario_grid, scenario_hyetograph,
+    d8_pointer, flow_accumulation, stream_cells, hand, watershed, terrain_gradients, wetness_index, fill_depressions, depressions, conditioned_pointer, conditioned_hand, flow_paths, scenario_grid, scenario_hyetograph,
     greenampt_point, dinf_pointer, dinf_accumulation, breach_depressions, scenario_fingerprints, stale_runs, ensemble_runs, rain_on_grid_small, indicator_rules_verdict, verdict_missing_inputs,
 )}
 
@@ -173,6 +201,34 @@ GRAD = """gr AS (SELECT cell, sum(dc * CASE WHEN dr = 0 THEN 2 ELSE 1 END * n_z)
 LX, LY, LZ = "sin(radians(315)) * cos(radians(35))", "cos(radians(315)) * cos(radians(35))", "sin(radians(35))"
 
 
+DINF = f"""a AS (SELECT cell, z, {", ".join(f"max(n_z) FILTER (WHERE code = {c}) AS z{c}" for c, _, _ in terrain.D8)} FROM nb GROUP BY ALL),
+f(k, sd, co, sg, tn) AS (VALUES (0, 2, 1, 1, 0), (1, 128, 1, -1, 1), (2, 128, 64, 1, 1), (3, 32, 64, -1, 2), (4, 32, 16, 1, 2), (5, 8, 16, -1, 3), (6, 8, 4, 1, 3), (7, 2, 4, -1, 4)),
+l AS (SELECT cell, code, n_z FROM nb), j AS (SELECT a.cell, a.z, k, sg, tn, s.n_z AS e1, d.n_z AS e2 FROM a CROSS JOIN f JOIN l s ON s.cell = a.cell AND s.code = sd JOIN l d ON d.cell = a.cell AND d.code = co),
+r AS (SELECT *, atan2(e1 - e2, z - e1) AS r FROM j),
+q AS (SELECT cell, k, CASE WHEN r < 0 THEN z - e1 WHEN r > pi() / 4 THEN (z - e2) / sqrt(2) ELSE sqrt(pow(z - e1, 2) + pow(e1 - e2, 2)) END AS slope, least(greatest(r, 0), pi() / 4) * sg + tn * pi() / 2 AS angle FROM r),
+b AS (SELECT cell, arg_max(angle, (slope, -k)) AS angle, max(slope) AS slope FROM q WHERE slope > 0 GROUP BY cell),
+dp AS (SELECT a.cell, fmod(angle, 2 * pi()) AS angle, slope FROM a LEFT JOIN b USING (cell))"""
+# area passed on step by step, summed at each step
+SPREAD = """sh AS (SELECT dp.cell, CAST(floor(angle / (pi() / 4)) AS INT) AS k, angle / (pi() / 4) - floor(angle / (pi() / 4)) AS part FROM dp WHERE angle IS NOT NULL),
+sx AS (SELECT cell, k % 8 AS k, 1 - part AS share FROM sh UNION ALL SELECT cell, (k + 1) % 8, part FROM sh),
+se AS (SELECT sx.cell, n_cell, share FROM sx JOIN nb ON nb.cell = sx.cell AND nb.code = [2, 1, 128, 64, 32, 16, 8, 4][k + 1] WHERE share > 0),
+sp AS (SELECT 0 AS i, cell, CAST(1 AS DOUBLE) AS area FROM c UNION ALL SELECT i + 1, n_cell, sum(area * share) FROM sp JOIN se ON se.cell = sp.cell GROUP BY i, n_cell)"""
+# heights come down from above until they rest, a step a round
+FILL = """bd AS (SELECT c.cell FROM c LEFT JOIN (SELECT cell FROM nb GROUP BY cell HAVING count(*) = 8) i USING (cell) WHERE i.cell IS NULL),
+nx AS (SELECT cell, n_cell FROM nb UNION ALL SELECT cell, cell FROM c),
+fr AS (SELECT 0 AS i, cell, CASE WHEN cell IN (SELECT cell FROM bd) THEN z ELSE 1e9 END AS f FROM c
+  UNION ALL SELECT i + 1, nx.cell, greatest(min(fr.f), any_value(c.z)) FROM fr JOIN nx ON nx.n_cell = fr.cell JOIN c ON c.cell = nx.cell WHERE i < 150 GROUP BY i, nx.cell),
+fl AS (SELECT cell, f FROM fr WHERE i = 150)"""
+COARSE = CELLS.replace("p_size * CAST(0.01 AS DOUBLE), 6) AS z FROM part)", "p_size * CAST(0.01 AS DOUBLE), 6) AS z0, CAST(floor(z0 * 4) AS DOUBLE) AS z FROM part)")
+FLATS = """fn AS (SELECT nb.cell, n_cell, code, length, x.f AS z, y.f AS n_z FROM nb JOIN fl x ON x.cell = nb.cell JOIN fl y ON y.cell = n_cell),
+fd AS (SELECT cell, arg_max(n_cell, ((z - n_z) / length, -code)) AS next, arg_max(code, ((z - n_z) / length, -code)) AS code, arg_max(length, ((z - n_z) / length, -code)) AS length FROM fn WHERE n_z < z GROUP BY cell),
+fo AS (SELECT cell, 0 AS d FROM c WHERE cell IN (SELECT cell FROM fd) OR cell IN (SELECT cell FROM bd)),
+fw AS (SELECT * FROM fo UNION SELECT fn.cell, d + 1 FROM fw JOIN fn ON fn.n_cell = fw.cell AND fn.z = fn.n_z WHERE d < 40 AND fn.cell NOT IN (SELECT cell FROM fo)),
+fk AS (SELECT cell, min(d) AS d FROM fw GROUP BY cell),
+fm AS (SELECT fn.cell, arg_min(n_cell, code) AS next, min(code) AS code, arg_min(length, code) AS length FROM fn JOIN fk a ON a.cell = fn.cell JOIN fk b ON b.cell = n_cell WHERE a.d > 0 AND b.d = a.d - 1 AND z = n_z GROUP BY fn.cell),
+cp AS (SELECT c.cell, coalesce(fd.next, fm.next) AS next, coalesce(fd.code, fm.code) AS code, coalesce(fd.length, fm.length) AS length FROM c LEFT JOIN fd USING (cell) LEFT JOIN fm USING (cell))"""
+
+
 def _curve(knots) -> str:
     out = f"CASE WHEN x < {knots[0][0]!r} - 1e-12 THEN {knots[0][1]} * f1 / {knots[0][0]!r} WHEN x <= {knots[0][0]!r} + 1e-12 THEN {knots[0][1]}"
     for (a, ra), (b, rb) in zip(knots, knots[1:], strict=False):
@@ -212,7 +268,8 @@ SQL = {
     "watershed": f"WITH RECURSIVE {CELLS}, {WAYS} SELECT wy.cell, arg_min(pos, way) AS outlet FROM wy JOIN part ON p_partkey = pos WHERE p_size >= 45 GROUP BY ALL",
     "terrain_gradients": f"""WITH {CELLS}, {GRAD} SELECT cell, round(degrees(atan(sqrt(gx * gx + gy * gy))), 6) AS slope, round(fmod(degrees(atan2(-gx, gy)) + 360, 360.0), 6) AS aspect,
         round(greatest(0.0, (-gx * 8 * {LX} + gy * 8 * {LY} + {LZ}) / sqrt(64 * gx * gx + 64 * gy * gy + 1)), 6) AS shade FROM gr""",
-    "wetness_index": f"WITH RECURSIVE {CELLS}, {WAYS}, {GRAD} SELECT cell, round(ln(area / tan(radians(greatest(degrees(atan(sqrt(gx * gx + gy * gy))), 0.01)))), 6) AS twi FROM gr JOIN ac USING (cell)",
+    "wetness_index": f"""WITH RECURSIVE {CELLS}, {DINF}, {SPREAD}, {GRAD}, ac AS (SELECT cell, sum(area) AS area FROM sp GROUP BY cell)
+        SELECT cell, round(ln(area / tan(radians(greatest(degrees(atan(sqrt(gx * gx + gy * gy))), 0.01)))), 5) AS twi FROM gr JOIN ac USING (cell)""",
     "scenario_grid": """SELECT p_partkey, printf('P%03d_%dh', CAST(p_size * 5 AS INT), CAST(d AS INT)) || CASE WHEN s = 'saturado' THEN '_sat' ELSE '' END AS scenario, CAST(p_size * 5 AS DOUBLE) AS p_mm, CAST(d AS DOUBLE) AS dur_h, s AS soil,
         CASE WHEN s = 'saturado' THEN CAST(0.5 AS DOUBLE) ELSE CAST(5 AS DOUBLE) END AS ks_mm_h, CASE WHEN d >= 6 THEN CAST(1 AS DOUBLE) ELSE CAST(0.166667 AS DOUBLE) END AS dt_h, CAST(d + 24 AS DOUBLE) AS t_end_h,
         CASE WHEN d > 3 THEN 'long' ELSE 'short' END AS shape FROM part, (SELECT unnest([3, 24, 72]) AS d) x, (SELECT unnest(['normal', 'saturado']) AS s) y""",
@@ -220,13 +277,18 @@ SQL = {
     "greenampt_point": f"""WITH RECURSIVE {HYETO}, g(p_partkey, k, f, h) AS (SELECT DISTINCT p_partkey, -1, CAST(0.1 AS DOUBLE), CAST(0 AS DOUBLE) FROM hy UNION ALL
         SELECT g.p_partkey, hy.k, f + least(5.0 * (1 + 0.22 * 1000 * 0.3 / f) * dt, h + mm), h + mm - least(5.0 * (1 + 0.22 * 1000 * 0.3 / f) * dt, h + mm) FROM g JOIN hy ON hy.p_partkey = g.p_partkey AND hy.k = g.k + 1)
         SELECT p_partkey, round(arg_max(f, k) - 0.1, 4) AS infiltrated, round(arg_max(h, k), 4) AS left_over FROM g GROUP BY p_partkey""",
-    "dinf_pointer": f"""WITH {CELLS}, a AS (SELECT cell, z, {", ".join(f"max(n_z) FILTER (WHERE code = {c}) AS z{c}" for c, _, _ in terrain.D8)} FROM nb GROUP BY ALL),
-        f(k, sd, co, sg, tn) AS (VALUES (0, 2, 1, 1, 0), (1, 128, 1, -1, 1), (2, 128, 64, 1, 1), (3, 32, 64, -1, 2), (4, 32, 16, 1, 2), (5, 8, 16, -1, 3), (6, 8, 4, 1, 3), (7, 2, 4, -1, 4)),
-        l AS (SELECT cell, code, n_z FROM nb), j AS (SELECT a.cell, a.z, k, sg, tn, s.n_z AS e1, d.n_z AS e2 FROM a CROSS JOIN f JOIN l s ON s.cell = a.cell AND s.code = sd JOIN l d ON d.cell = a.cell AND d.code = co),
-        r AS (SELECT *, atan2(e1 - e2, z - e1) AS r FROM j),
-        q AS (SELECT cell, k, CASE WHEN r < 0 THEN z - e1 WHEN r > pi() / 4 THEN (z - e2) / sqrt(2) ELSE sqrt(pow(z - e1, 2) + pow(e1 - e2, 2)) END AS slope, least(greatest(r, 0), pi() / 4) * sg + tn * pi() / 2 AS angle FROM r),
-        b AS (SELECT cell, arg_max(angle, (slope, -k)) AS angle, max(slope) AS slope FROM q WHERE slope > 0 GROUP BY cell)
-        SELECT a.cell, round(fmod(angle, 2 * pi()), 6) AS angle, round(slope, 6) AS slope FROM a LEFT JOIN b USING (cell)""",
+    "dinf_pointer": f"WITH {CELLS}, {DINF} SELECT cell, round(angle, 6) AS angle, round(slope, 6) AS slope FROM dp",
+    "dinf_accumulation": f"WITH RECURSIVE {CELLS}, {DINF}, {SPREAD} SELECT cell, round(sum(area), 5) AS area FROM sp GROUP BY cell",
+    "fill_depressions": f"WITH RECURSIVE {CELLS}, {FILL} SELECT cell, round(f, 6) AS filled FROM fl",
+    "depressions": f"""WITH RECURSIVE {CELLS}, {FILL}, sk AS (SELECT fl.cell, f - z AS depth FROM fl JOIN c USING (cell) WHERE f > z),
+        ed AS (SELECT nb.cell AS a, n_cell AS b FROM nb JOIN sk s ON s.cell = nb.cell JOIN sk t ON t.cell = n_cell WHERE dr = 0 OR dc = 0),
+        re AS (SELECT cell, cell AS label FROM sk UNION SELECT b, label FROM re JOIN ed ON a = cell), lb AS (SELECT cell, min(label) AS label FROM re GROUP BY cell)
+        SELECT label, count(*) AS n_cells, CAST(count(*) AS DOUBLE) AS area, round(sum(depth), 6) AS volume, round(max(depth), 6) AS deepest, round(avg(depth), 6) AS mean, bool_or(p_size >= 45) AS touches_lot
+        FROM lb JOIN sk USING (cell) JOIN part ON p_partkey = cell GROUP BY label HAVING bool_or(p_size >= 20)""",
+    "conditioned_pointer": f"WITH RECURSIVE {COARSE}, {FILL}, {FLATS} SELECT cell, next, CAST(code AS INT) AS code, round(length, 6) AS length FROM cp",
+    "conditioned_hand": f"""WITH RECURSIVE {COARSE}, {FILL}, {FLATS}, {WAYS.replace("JOIN p ON p.cell", "JOIN cp p ON p.cell")}, fst AS (SELECT wy.cell, arg_min(pos, way) AS stop, min(way) AS way FROM wy JOIN ac ON ac.cell = wy.pos WHERE area >= 12 GROUP BY ALL)
+        SELECT c.cell, round(a.f - s.f, 6) AS hand, round(way, 6) AS way FROM c JOIN fl a USING (cell) LEFT JOIN fst ON c.cell = fst.cell LEFT JOIN fl s ON s.cell = fst.stop""",
+    "flow_paths": f"WITH RECURSIVE {CELLS}, w AS (SELECT p_partkey AS start, CAST(0 AS BIGINT) AS step, p_partkey AS cell FROM part WHERE p_size >= 49 UNION ALL SELECT start, step + 1, p.next FROM w JOIN p ON p.cell = w.cell WHERE p.next IS NOT NULL) SELECT * FROM w",
     "scenario_fingerprints": """WITH g AS (SELECT DISTINCT printf('P%03d_%dh', CAST(p_size * 5 AS INT), CAST(d AS INT)) || CASE WHEN s = 'saturado' THEN '_sat' ELSE '' END AS scenario, p_size * 5 AS p, s AS soil
           FROM part, (SELECT unnest([3, 24, 72]) AS d) x, (SELECT unnest(['normal', 'saturado']) AS s) y)
         SELECT scenario, substr(sha1('2|' || scenario || '|0.5'), 1, 12) AS print FROM g WHERE soil = 'saturado' AND p > 100""",
