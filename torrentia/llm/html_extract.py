@@ -17,7 +17,7 @@ down to the one element that holds nearly all slot text. Text of a page's only a
 and no rule. Slots in the region are the result. Pages may be copies, or share a title, so in a page's only article just constant texts
 are template, and no more than half of it; nor does the template take all text of a page.
 
-The references are joined to the pages by host; counts are partial sums by host and node. So a
+The references are joined to the pages by host: broadcast if they have BROADCAST bytes at most, else by a shuffle. Counts are partial sums by host and node. So a
 host with most of the pages is split over tasks. Null html counts as empty, and its text is empty. Pages
 without a host in their url form one group. Repeated rows are pages of their own in the result and one page in the counts.
 Of parts with equal text the first is the region's. An empty table gives an empty result; extra columns play no part.
@@ -41,6 +41,7 @@ from torrentia.llm.common import discard, materialise
 REFERENCES = 3
 VARIED, CONSTANT, Z = 0.5, 0.7, 1.96  # shares, and the width of their intervals
 NEARLY, MOST, ARTICLE = 0.9, 0.8, 40
+BROADCAST = 32 << 20  # most bytes of references that are broadcast
 
 # Fixed values of HTML: elements without content, and elements that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -355,6 +356,10 @@ def parsed(pages: DataFrame) -> DataFrame:
     references = F.array_distinct(F.array(*[F.min(F.struct(F.xxhash64(F.lit(k), "html"), "html"))["html"] for k in range(REFERENCES)]))
     refs = materialise(pages.where("html <> ''").groupBy("host").agg(references.alias("references")).withColumnRenamed("host", "r_host"))
 
+    size = refs.agg(F.sum(F.aggregate("references", F.lit(0).cast("long"), lambda n, r: n + F.octet_length(r)))).first()[0] or 0
+    if size <= BROADCAST:  # else they meet by a shuffle, in which hot hosts are split
+        refs = F.broadcast(refs)
+
     def run(batches):
         matcher, known = Matcher(), {}
         for pdf in batches:
@@ -417,10 +422,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
     own = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), host.alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = materialise(parsed(own))
-    induced = template(rows)
-    found = materialise(content(rows, induced))
-    discard(rows)
-    discard(induced)
+    found = content(rows, template(rows))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
