@@ -190,11 +190,28 @@ def test_mix_of_odd_rows(odd):
 
 
 def test_schedule_is_spread_evenly(spark):
-    targets = spark.createDataFrame([("a", 6, 600, 1000, 0.0, 0.6), ("b", 4, 400, 1000, 0.6, 1.0)], "source string, blocks long, quota long, slots long, lo double, hi double")
-    slots = sorted((r.slot, r.source, r.block) for r in source_mix.schedule(targets, 1000).collect())
+    targets = spark.createDataFrame([("a", 6, 600, 1000, 0, 600), ("b", 4, 399, 1000, 600, 999), (None, 1, 1, 1000, 999, 1000)], "source string, blocks long, quota long, slots long, lo long, hi long")
+    slots = sorted((r.slot, r.source or "", r.block) for r in source_mix.schedule(targets, 1000).collect())
+    assert collections.Counter(s for _, s, _ in slots) == {"a": 600, "b": 399, "": 1}  # exactly the quotas
     for k in range(0, 900, 100):
-        n = sum(s == "a" for _, s, _ in slots[k : k + 100])
-        assert 57 <= n <= 63
+        assert 55 <= sum(s == "a" for _, s, _ in slots[k : k + 100]) <= 65
+    back = lambda i, bits: int(format(i, f"0{bits}b")[::-1], 2)
+    want = [x for x in (back(i, 10) for i in range(1024)) if x < 1000]
+    assert [s for _, s, _ in slots] == ["a" if x < 600 else "b" if x < 999 else "" for x in want]
+
+
+def test_mix_of_tiny_sources_beside_a_large_one_and_of_hot_rows(spark):
+    rows = [(i, "w " * 60, "en", "big", 0) for i in range(2000)] + [(5000 + k, "w " * (30 + k), "en", f"tiny{k:02}", 0) for k in range(12)]
+    rows += [(None, "w " * (10 + i % 3), "en", "hot", 0) for i in range(900)] + [(7, "w w w", "en", "hot", 0)] * 600
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"size": F.lit("clash"), "key": F.lit(1), "place": F.lit(2)})
+    got = source_mix.mix(df).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 3 * r.size for r in got)
+    for r in got:
+        if r.doc_id and r.doc_id >= 5000:
+            assert abs(r.taken - r.target) <= 0.5 * r.size + 1
+    again = source_mix.mix(df.repartition(5)).collect()
+    key = lambda r: (str(r.doc_id), r.size, r.taken)
+    assert sorted(map(key, got)) == sorted(map(key, again))
 
 
 def dice(a, b):

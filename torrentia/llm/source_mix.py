@@ -4,18 +4,21 @@ Targets: sources in code-point order (null last) weigh 5, 2, 1, repeating, and s
 No target exceeds MAX_EPOCHS times its source's words; the excess is shared again by weight, which is
 water-filling: sort sources by the level that fills them, then one running sum.
 
-Schedule: slot i stands at the point frac((i + 0.5) / golden ratio). Each source owns an interval of
-[0, 1) as long as its share of slots, and a slot belongs to the source whose interval holds its point, so
-every stretch of the schedule has the sources near their shares. Slots are ranked within their source:
+Schedule: point i of the van der Corput sequence is i with its binary digits in reverse. Of the first 2**b points, the least such
+number not below the slots, those below the slots are taken, in order; so each whole number below the slots comes up
+once. Each source owns a stretch of these numbers as long as its quota, and a point belongs to the source whose stretch
+holds it: every stretch of the schedule has the sources near their shares, each source gets exactly its quota, and
+all is whole numbers. Slots are ranked within their source:
 counts of (chunk, source) first, their running sum next, then ranks inside chunks of a bounded size.
 
 Blocks: a source's documents, in the order of a seeded hash, form one run of words, cut in blocks of
-equal size (to one word). The slot ranked r takes block r mod blocks; a slot beyond the source's quota
-is skipped. A document's taken words are its words in blocks times the slots that take them.
+equal size (to one word). The slot ranked r takes block r mod blocks. A document's taken words are its words in blocks times the slots that take them.
 
 Where a document stands in its source's run comes from running sums over hash ranges (two levels) and
-then inside a range, so no task gets a source whole. Null text has size 0; nothing is taken of it.
-Repeated rows are documents of their own. An empty table gives an empty result.
+then inside a range, so no task gets a source whole. Documents that share a doc_id and a size (repeated rows, or null ids) stand
+together; they are dealt to CELLS places by their row, with the places' sums run first. Null text has size 0; nothing is taken of it.
+Repeated rows are documents of their own. Sources are told apart by their text alone, so there are no ties among them.
+An empty table gives an empty result; extra columns play no part in `mix`, and `mixed_documents` returns the input's columns as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +36,6 @@ CHUNK = 8192
 CELLS = 1024
 RANGE_ROWS = 1024
 SEED = "mix-1"
-GOLDEN = 0.6180339887498949
 
 
 def source_targets(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -56,27 +58,25 @@ def source_targets(sizes: DataFrame, block: int = BLOCK) -> DataFrame:
     quota = F.when(F.col("words") > 0, F.floor(F.col("target") * F.col("blocks") / F.col("words") + 0.5)).otherwise(0).cast("long")
     s = s.withColumn("quota", quota).withColumn("slots", F.sum("quota").over(every))
     upto = F.sum("quota").over(order)
-    return s.select(
-        "source", "words", "target", "blocks", "quota", "slots",
-        F.when(F.col("slots") > 0, (upto - F.col("quota")) / F.col("slots")).alias("lo"), F.when(F.col("slots") > 0, upto / F.col("slots")).alias("hi"),
-    )
+    return s.select("source", "words", "target", "blocks", "quota", "slots", (upto - F.col("quota")).alias("lo"), upto.alias("hi"))
 
 
 def schedule(targets: DataFrame, n_slots: int) -> DataFrame:
     """The slots in use: slot, source, rank in the source (from 0), and the block taken."""
     spark = targets.sparkSession
-    x = (F.col("slot") + 0.5) * F.lit(GOLDEN)
-    points = spark.range(0, n_slots + n_slots // 10 + 16 if n_slots else 0).withColumnRenamed("id", "slot").withColumn("x", x - F.floor(x))
-    points = points.withColumn("cell", F.floor(F.col("x") * CELLS)).withColumn("chunk", F.expr(f"slot div {CHUNK}"))
-    own = targets.where("quota > 0").withColumn("t_cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
+    bits, width = max(0, n_slots - 1).bit_length(), -(-n_slots // CELLS) or 1
+    points = spark.range(0, (1 << bits) if n_slots else 0).withColumnRenamed("id", "slot")
+    points = points.withColumn("x", F.conv(F.reverse(F.lpad(F.bin("slot"), bits, "0")), 2, 10).cast("long") if bits else F.lit(0).cast("long")).where(F.col("x") < n_slots)
+    points = points.withColumn("cell", F.expr(f"x div {width}")).withColumn("chunk", F.expr(f"slot div {CHUNK}"))
+    own = targets.where("quota > 0").withColumn("t_cell", F.explode(F.sequence(F.expr(f"lo div {width}"), F.expr(f"(hi - 1) div {width}"))))
     placed = points.join(own, (F.col("cell") == F.col("t_cell")) & (F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi")))
-    placed = placed.select("slot", "chunk", "source", "blocks", "quota")
+    placed = placed.select("slot", "chunk", "source", "blocks")
     counts = placed.groupBy("chunk", "source").agg(F.count(F.lit(1)).alias("c"))
     earlier = F.coalesce(F.sum("c").over(W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(F.col("chunk").alias("p_chunk"), F.col("source").alias("p_source"), earlier.alias("earlier"))
     ranked = placed.join(counts, (F.col("chunk") == F.col("p_chunk")) & F.col("source").eqNullSafe(F.col("p_source")))
     rank = F.col("earlier") + F.row_number().over(W.partitionBy("chunk", "source").orderBy("slot")) - 1
-    return ranked.withColumn("rank", rank).where("rank < quota").select("slot", "source", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
+    return ranked.withColumn("rank", rank).select("slot", "source", "rank", (F.col("rank") % F.col("blocks")).alias("block"))
 
 
 def _placed(sizes: DataFrame, n_rows: int) -> DataFrame:
@@ -92,7 +92,17 @@ def _placed(sizes: DataFrame, n_rows: int) -> DataFrame:
     parts = parts.withColumn("at_part", before(["source", "upper"], ["part"])).drop("size")
     parts = parts.join(uppers, F.col("source").eqNullSafe(F.col("u_source")) & (F.col("upper") == F.col("u_upper")))
     parts = parts.select(F.col("source").alias("p_source"), F.col("part").alias("p_part"), (F.col("at_part") + F.col("at_upper")).alias("at_range"))
-    inside = sizes.withColumn("inside", before(["source", "part"], ["key", "doc_id", "size", "rid"]))
+    sizes = sizes.withColumn("place", F.pmod(F.xxhash64("rid"), F.lit(CELLS)))
+    alike = ["source", "part", "key", "doc_id", "size", "place"]
+    cells = sizes.groupBy(*alike).agg(F.sum("size").alias("sum"), F.count(F.lit(1)).alias("rows"))
+    cells = cells.withColumn("at_cell", F.coalesce(F.sum("sum").over(W.partitionBy("source", "part").orderBy("key", "doc_id", "size", "place").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    cells = cells.select(*[F.col(c).alias(f"k_{c}") for c in alike], "at_cell", "rows")
+    on = F.lit(True)
+    for c in alike:
+        on = on & F.col(c).eqNullSafe(F.col(f"k_{c}"))
+    inside = sizes.join(cells, on)
+    nth = F.row_number().over(W.partitionBy(*alike).orderBy("rid")) - 1
+    inside = inside.withColumn("inside", F.col("at_cell") + F.col("size") * nth)
     return inside.join(parts, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("part") == F.col("p_part"))).withColumn("at", F.col("at_range") + F.col("inside"))
 
 
@@ -145,9 +155,10 @@ g AS (SELECT *, round(CASE WHEN {MAX_EPOCHS} * words / weight <= lev THEN CAST({
     CASE WHEN words > 0 THEN CAST(greatest(1, round(words / {BLOCK})) AS BIGINT) ELSE 0 END AS blocks FROM l),
 q AS (SELECT *, CASE WHEN words > 0 THEN CAST(floor(target * blocks / words + 0.5) AS BIGINT) ELSE 0 END AS quota FROM g),
 s AS (SELECT *, CAST(sum(quota) OVER () AS BIGINT) AS slots, CAST(sum(quota) OVER (ORDER BY source IS NULL, source) AS BIGINT) AS upto FROM q),
-x AS (SELECT i AS slot, (i + 0.5) * CAST({GOLDEN} AS DOUBLE) - floor((i + 0.5) * CAST({GOLDEN} AS DOUBLE)) AS x FROM (SELECT unnest(range(0, (SELECT max(slots) + max(slots) // 10 + 16 FROM s))) AS i)),
-r AS (SELECT source, blocks, quota, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM x JOIN s ON x >= (upto - quota) / slots AND x < upto / slots),
-u AS (SELECT source, rank % blocks AS block, count(*) AS uses FROM r WHERE rank < quota GROUP BY ALL),
+n0 AS (SELECT CAST(max(slots) AS BIGINT) AS slots, CASE WHEN max(slots) > 1 THEN length(bin(CAST(max(slots) - 1 AS BIGINT))) ELSE 0 END AS bits FROM s),
+x AS (SELECT i AS slot, list_sum(list_transform(range(bits), lambda k: ((i >> k) & 1) << (bits - 1 - k))) AS x FROM (SELECT unnest(range(CASE WHEN slots > 0 THEN 1 << bits ELSE 0 END)) AS i, bits FROM n0)),
+r AS (SELECT source, blocks, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM x JOIN s ON coalesce(x, 0) >= upto - quota AND coalesce(x, 0) < upto),
+u AS (SELECT source, rank % blocks AS block, count(*) AS uses FROM r GROUP BY ALL),
 o AS (SELECT d.*, words, target, blocks, CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id, size, rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos,
     words // nullif(blocks, 0) AS each, words % nullif(blocks, 0) AS longer FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
 n AS (SELECT *, CASE WHEN pos < longer * (each + 1) THEN pos // (each + 1) ELSE longer + (pos - longer * (each + 1)) // each END AS b0,
