@@ -9,8 +9,10 @@ is linear in the word. The result equals that of applying the merges in order.
 Decoding: the tokens' texts lie in one buffer with an offset table; ids gather their spans.
 
 Texts are cut at special tokens, then at white space, and the ids of each piece are cached (bounded).
-A null text counts as empty and has no ids. The vocabulary's path is a parameter. Letters and digits are
-those of the regex module's Unicode version, which knows some scripts that the tokenizers library's doesn't.
+A null text counts as empty and has no ids; repeated rows are encoded alike; an empty table gives an empty result; extra columns
+stay, but for those of the new columns' names. The vocabulary's path is a parameter. Letters and digits are those of Unicode 16, as
+the tokenizers library has them: what the regex module knows beyond counts as other characters.
+A word of any length is encoded in pieces of WINDOW characters of matches, so memory is a few bytes a character.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import hashlib
 import json
 import struct
 import unicodedata
+from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -29,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CACHE_ENTRIES = 200_000
+STRETCH = 1 << 17  # tokens decoded at once
+WINDOW = 1 << 14  # characters whose matches are held at once in long words
 #: Characters that str.split() drops and the vocabulary's pattern for white space doesn't.
 _CONTROL = regex.compile("[\x1c-\x1f]")
 _SPACES = regex.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -46,6 +51,53 @@ def _byte_alphabet() -> list[str]:
     return out
 
 
+# Fixed values of Unicode 16: its letters and digits that version 15.1 (Python's) doesn't have, first and last of each range.
+LETTERS_16 = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+    (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x1611D),
+    (0x16130, 0x16139), (0x16D40, 0x16D6C), (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+)
+# Fixed values of Unicode 16 and 17: first and last capital, and the first small letter.
+LOWER_17 = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB),
+    (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+_LOWER = {a + k: small + k for a, b, small in LOWER_17 for k in range(b - a + 1)}
+_LOWER[0x3A3] = 0x3C3  # no final sigma: letter by letter
+
+
+@lru_cache(maxsize=1)
+def _later_scripts() -> str:
+    """The regex module's letters and digits that Unicode 16 hasn't assigned, as ranges for a character class."""
+    known = {c for a, b in LETTERS_16 for c in range(a, b + 1)}
+    free = "".join(chr(c) for c in range(0x110000) if c not in known and unicodedata.category(chr(c)) == "Cn")
+    out: list[list[int]] = []
+    for c in map(ord, regex.findall(r"[\p{L}\p{N}]", free)):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+
+
+class _Window:
+    """The automaton's matches at the places of a long text, for a stretch of it at a time."""
+
+    def __init__(self, automaton, text: str, longest: int):
+        self.automaton, self.text, self.longest = automaton, text, longest
+        self.low, self.at = 0, []
+
+    def __getitem__(self, pos: int) -> list[tuple[int, int]]:
+        if not self.low <= pos < self.low + len(self.at):
+            self.low = max(0, pos - WINDOW // 2)  # a dead end may go back a little
+            high = min(len(self.text), self.low + WINDOW)
+            self.at = [[] for _ in range(high - self.low)]
+            for end, (token, length) in self.automaton.iter(self.text, self.low, min(len(self.text), high + self.longest)):
+                if self.low <= end + 1 - length < high:
+                    self.at[end + 1 - length - self.low].append((token, length))
+        return self.at[pos - self.low]
+
+
 class _Pieces(dict):
     """Piece of text -> its ids as bytes; forgets everything when full."""
 
@@ -73,7 +125,10 @@ class Codec:
         self.special = added
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.pattern = regex.compile(pattern.replace(r"\s", _SPACES.pattern[1:-2]))
+        pattern = pattern.replace(r"\s", _SPACES.pattern[1:-2])
+        if later := _later_scripts():
+            pattern = pattern.replace(r"\p{L}", rf"[\p{{L}}--[{later}]]").replace(r"\p{N}", rf"[\p{{N}}--[{later}]]")
+        self.pattern = regex.compile("(?V1)" + pattern)
         self.bytes = _byte_alphabet()
 
         size = max([*vocab.values(), *added.values()]) + 1
@@ -89,6 +144,7 @@ class Codec:
             if self.parts[i] is None or self._stays_apart(*self.parts[i], joined=True):
                 self.automaton.add_word(inner[t], (i, len(inner[t])))
         self.automaton.make_automaton()
+        self.longest = max(len(t) for t in inner.values())
 
         texts = [b""] * size
         for t, i in [*vocab.items(), *added.items()]:
@@ -131,10 +187,13 @@ class Codec:
     def _word(self, word: str) -> bytes:
         text = "".join([self.bytes[b] for b in word.encode("utf-8")]) + self.END
         n = len(text)
-        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (token, length) in self.automaton.iter(text):
-            at[end + 1 - length].append((token, length))  # ascending in length for each start
-        ids, taken, dead, pos = [], [], bytearray(n + 1), 0
+        if n > WINDOW:
+            at, ids, taken_at, taken_k = _Window(self.automaton, text, self.longest), array("I"), array("q"), array("i")
+        else:
+            at, ids, taken_at, taken_k = [[] for _ in range(n)], [], [], []
+            for end, (token, length) in self.automaton.iter(text):
+                at[end + 1 - length].append((token, length))  # ascending in length for each start
+        dead, pos = bytearray(n + 1), 0
         k = len(at[0]) - 1
         while pos < n:
             options = at[pos]
@@ -145,19 +204,18 @@ class Codec:
                 k -= 1
             if k >= 0:
                 ids.append(token)
-                taken.append((pos, k))
+                taken_at.append(pos)
+                taken_k.append(k)
                 pos += length
                 k = len(at[pos]) - 1 if pos < n else -1
             else:
                 dead[pos] = 1
                 ids.pop()
-                pos, k = taken.pop()
-                k -= 1
-        return struct.pack(f"<{len(ids)}I", *ids)
+                pos, k = taken_at.pop(), taken_k.pop() - 1
+        return np.array(ids, "<u4").tobytes() if n > WINDOW else struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
-        # no final sigma: letter by letter
-        text = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+        text = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).translate(_LOWER).lower()
         if text.isascii() and text.isalpha():
             return self.words[text]
         return b"".join([self.words[w] for w in self.pattern.findall(text)])
@@ -183,9 +241,12 @@ class Codec:
         if len(ids) == 0:
             return b""
         lengths = self.lengths[ids]
-        upto = np.cumsum(lengths)
-        where = np.arange(upto[-1]) + np.repeat(self.starts[ids] - (upto - lengths), lengths)
-        return self.buffer[where[:-1]].tobytes()
+        out = []
+        for i in range(0, len(ids), STRETCH):
+            some, n = self.starts[ids[i : i + STRETCH]], lengths[i : i + STRETCH]
+            upto = np.cumsum(n)
+            out.append(self.buffer[np.arange(upto[-1]) + np.repeat(some - (upto - n), n)].tobytes())
+        return b"".join(out)[:-1]
 
 
 @lru_cache(maxsize=4)
