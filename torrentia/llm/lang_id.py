@@ -3,13 +3,14 @@
 Texts are lower-cased; runs of anything but letters become one space. Each 1-, 2- and 3-gram is hashed into
 one of `BUCKETS` buckets. Training adds bucket counts by language over all training documents: each task
 sums its own documents into a matrix and emits its rows, which are then summed by language and bucket; so
-no group is collected. The log-probability matrix is broadcast: its size is BUCKETS x languages x 4 bytes,
-and languages beyond MAX_LANGS (the least frequent) aren't learned, which bounds it. Scoring is sparse: a
-text's distinct buckets and their counts times the matrix rows, in numpy.
+no group is collected. The log-probability matrix is broadcast in parts of GROUP languages, each of which has a bounded
+size (BUCKETS x GROUP x 4 bytes, 8 MB); any number of languages is learned. Scoring is sparse: a
+text's distinct buckets and their counts times the matrix rows, in numpy; the parts' posteriors are then put together.
 
 A text is null or has no letter: `und`, score 0. Otherwise the prediction is the language with the highest
 posterior (the first by name on ties) and the score its probability. Without any training document every
-prediction is `und`. Repeated rows are predicted alike; extra columns play no part.
+prediction is `und`. Repeated rows are predicted alike; texts of any length are read whole, in pieces. An empty table gives an
+empty result; extra columns stay, but for `lang_pred` and `score`, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from torrentia.llm.common import materialise
+from torrentia.llm.common import discard, materialise
 
 BUCKETS = 1 << 15
-MAX_LANGS = 256
+GROUP = 64
 SMOOTHING = 0.5
 PIECE = 1 << 20
 _OTHER = regex.compile(r"[^\p{L}]+")
@@ -54,8 +55,8 @@ def buckets(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return found, total[found]
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Language names and the matrix of log probabilities, a row for each bucket; the last row has the log priors."""
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[list[str], np.ndarray]]:
+    """The languages in parts, by name: names and the matrix of log probabilities, a row for each bucket; the last row has the log priors."""
     own = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def run(batches):
@@ -67,7 +68,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
                     row = sums.setdefault(name, np.zeros(BUCKETS + 1, np.int64))
                     row[at] += n
                     row[BUCKETS] += 1
-            if len(sums) > MAX_LANGS:
+            if len(sums) > GROUP:
                 yield from tables(sums)
                 sums = {}
         yield from tables(sums)
@@ -78,32 +79,41 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list
             yield pd.DataFrame({"lang": name, "bucket": at, "n": row[at]})
 
     counts = materialise(own.mapInPandas(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
-    heads = counts.where(F.col("bucket") == BUCKETS).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGS)
-    names = sorted(r.lang for r in heads.select("lang").collect())
-    table = np.zeros((BUCKETS + 1, len(names)), np.int64)
-    for at, name, n in counts.where(F.col("lang").isin(names)).select("bucket", "lang", "n").toPandas().itertuples(index=False) if names else ():
-        table[at, names.index(name)] = n
-    grams, priors = table[:BUCKETS] + SMOOTHING, table[BUCKETS]
-    logs = np.log(grams / grams.sum(axis=0)) if names else grams
-    return names, np.vstack([logs, np.log(priors / max(1, priors.sum()))[None, :]]).astype(np.float32)
-
-
-def predict(docs: DataFrame, names: list[str], logs: np.ndarray, text: str = "text") -> DataFrame:
+    priors = {r.lang: r.n for r in counts.where(F.col("bucket") == BUCKETS).select("lang", "n").collect()}  # a row a language
+    names, every, model = sorted(priors), max(1, sum(priors.values())), []
+    for i in range(0, len(names), GROUP):
+        part = names[i : i + GROUP]
+        grams = np.full((BUCKETS, len(part)), SMOOTHING)
+        rows = counts.where(F.col("lang").isin(part) & (F.col("bucket") < BUCKETS)).groupBy("lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n"))
+        for r in rows.toLocalIterator():  # a row a language, BUCKETS entries at most
+            grams[np.array(r.at), part.index(r.lang)] += np.array(r.n)
+        prior = np.log(np.array([priors[n] for n in part]) / every)
+        model.append((part, np.vstack([np.log(grams / grams.sum(axis=0)), prior[None, :]]).astype(np.float32)))
+    discard(counts)
+    return model
+
+
+def predict(docs: DataFrame, model: list[tuple[list[str], np.ndarray]], text: str = "text") -> DataFrame:
     """docs with lang_pred and score (which replace columns of those names)."""
-    shared = docs.sparkSession.sparkContext.broadcast((names, logs))
+    shared = [docs.sparkSession.sparkContext.broadcast(part) for part in model]
 
     @F.pandas_udf("lang_pred string, score double")
     def run(texts: pd.Series) -> pd.DataFrame:
-        labels, matrix = shared.value
-        out = []
-        for t in texts:
-            at, n = buckets(t)
-            if not len(at) or not labels:
-                out.append(("und", 0.0))
-                continue
-            s = n @ matrix[at].astype(np.float64) + matrix[-1]
-            best = int(np.argmax(s))
-            out.append((labels[best], float(1 / np.exp(s - s[best]).sum())))
+        grams = [buckets(t) for t in texts]
+        best = [("und", float("-inf"))] * len(grams)  # name, log score
+        total = [0.0] * len(grams)  # sum of all scores over the best one
+        for part in shared:
+            labels, matrix = part.value
+            for i, (at, n) in enumerate(grams):
+                if not len(at):
+                    continue
+                s = n @ matrix[at].astype(np.float64) + matrix[-1]
+                k = int(np.argmax(s))
+                top = max(best[i][1], s[k])
+                total[i] = total[i] * np.exp(best[i][1] - top) + np.exp(s - top).sum()
+                if s[k] > best[i][1]:
+                    best[i] = (labels[k], s[k])
+        out = [(name, float(1 / t) if t else 0.0) for (name, _), t in zip(best, total, strict=True)]
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
     return docs.withColumn("__l", run(F.col(text))).withColumns({"lang_pred": F.col("__l.lang_pred"), "score": F.col("__l.score")}).drop("__l")
@@ -111,6 +121,6 @@ def predict(docs: DataFrame, names: list[str], logs: np.ndarray, text: str = "te
 
 def op4_lang_id(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    names, logs = train(docs.where(~held_out(F.col("doc_id"))))
+    model = train(docs.where(~held_out(F.col("doc_id"))))
     own = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return predict(own, names, logs).select("doc_id", "held_out", "lang_pred", "score")
+    return predict(own, model).select("doc_id", "held_out", "lang_pred", "score")
