@@ -13,8 +13,11 @@ Turns are put in order (turn, null last, then role, text) by a range shuffle, wh
 conversation of any length; blocks of BLOCK rows of that order are worked on apart. Where a conversation spans blocks,
 each block first gives its least costs from any state to any other, a small matrix; running over the matrices
 gives each block's states at its borders, with which it is solved. So the optimum is exact and no task
-gets a whole long conversation. A null conv_id is a conversation of its own; repeated rows are turns of their own;
-null text is empty. Extra columns play no part.
+gets a whole long conversation. Only the roles are worked on in Python: the texts stay in Spark's rows, however long they are.
+
+Markers are `<|name|>`. In a turn's text `<|` is written `<\\|`, with one backslash more for those that stand there already, so no text
+forges a turn; `unescaped` gives the text back. A null conv_id is a conversation of its own; repeated rows are turns of their own;
+null text is empty. An empty table gives an empty result. Extra columns play no part.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from torrentia.llm.common import materialise
@@ -140,16 +143,23 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
         entry, leave = (0, None) if pd.isna(entry) else (int(entry), int(leave))
         steps, _ = repair(part["state"].tolist(), entry, leave)
         before = entry
-        for (x, action, inserted), text, last in zip(steps, part["text"], part["is_last"], strict=True):
-            piece = "" if not before else ("\n" if action == "merge" else "<|end|>\n")
+        for (x, action, inserted), seq in zip(steps, part["seq"], strict=True):
+            head = "" if not before else ("\n" if action == "merge" else "<|end|>\n")
             if inserted:
-                piece += f"<|{ROLES[inserted - 1]}|>\n<|end|>\n"
+                head += f"<|{ROLES[inserted - 1]}|>\n<|end|>\n"
             if action != "merge":
-                piece += f"<|{ROLES[x - 1]}|>\n"
-            rows.append((ROLES[x - 1], action, ROLES[inserted - 1] if inserted else None, piece + text + ("<|end|>\n" if last else "")))
+                head += f"<|{ROLES[x - 1]}|>\n"
+            rows.append((seq, ROLES[x - 1], action, ROLES[inserted - 1] if inserted else None, head))
             before = x
-    out = pdf[["conv_id", "seq", "turn", "role"]].reset_index(drop=True)
-    return pd.concat([out, pd.DataFrame(rows, columns=["new_role", "action", "inserted", "rendered"])], axis=1)
+    return pd.DataFrame(rows, columns=["s_seq", "new_role", "action", "inserted", "head"])
+
+
+def escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def unescaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"<\\(\\*)\|", r"<$1|")
 
 
 def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -170,10 +180,10 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     borders = costs.groupBy("conv").applyInPandas(_borders, "conv string, block long, entry int, leave int")
     borders = materialise(borders.select(F.col("conv").alias("o_conv"), F.col("block").alias("o_block"), "entry", "leave"))
     rows = rows.join(borders, (F.col("conv") == F.col("o_conv")) & (F.col("block") == F.col("o_block")), "left")
-    cols = ["conv_id", "conv", "block", "seq", "turn", "role", "state", "text", "is_last", "entry", "leave"]
-    types = {f.name: f.dataType.simpleString() for f in placed.schema}
-    kind = f"conv_id {types['conv_id']}, seq long, turn {types['turn']}, role string, new_role string, action string, inserted string, rendered string"
-    return rows.select(*cols).groupBy("block").applyInPandas(_solve, kind)
+    solved = rows.select("conv", "block", "seq", "state", "entry", "leave").groupBy("block").applyInPandas(_solve, "s_seq long, new_role string, action string, inserted string, head string")
+    done = rows.drop("entry", "leave", "o_conv", "o_block").join(materialise(solved), F.col("seq") == F.col("s_seq"))
+    rendered = F.concat("head", escaped(F.col("text")), F.when(F.col("is_last"), "<|end|>\n").otherwise(""))
+    return done.select("conv_id", "seq", "turn", "role", "new_role", "action", "inserted", rendered.alias("rendered"))
 
 
 def op1_chat_format(spark, sf_dir):
