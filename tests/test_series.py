@@ -1,6 +1,7 @@
 """Rain series and extremes: the literal cases that the behaviour is pinned by."""
 
 import datetime as dt
+import random
 import math
 
 import numpy as np
@@ -49,6 +50,25 @@ def test_declustering_keeps_separated_peaks(spark):
     assert got == [day(9, 1), day(3, 1), day(6, 1)]
 
 
+def test_declustering_against_a_greedy_pass(spark):
+    rnd = random.Random(2)
+    start = dt.datetime(2000, 1, 1)
+    rows = [(g, start + dt.timedelta(hours=h), float(rnd.randint(0, 9))) for g in ("a", "b", None) for h in range(0, 400, 1 if g else 5)]
+    rows += [("ramp", start + dt.timedelta(hours=h), float(h)) for h in range(60)] + [("dry", start, 0.0)]
+    df = rain(spark, rows).withColumnRenamed("mm", "roll")
+    for n, gap in ((4, 24), (50, 5)):
+        got = sorted((str(r.g), r.rank, r.t, r.roll) for r in series.decluster(df, ["g"], n, gap).collect())
+        want = []
+        for g in {r[0] for r in rows}:
+            kept = []
+            for _, t, v in sorted((r for r in rows if r[0] == g and r[2] > 0), key=lambda r: (-r[2], r[1])):
+                if len(kept) < n and all(abs(t - u) >= dt.timedelta(hours=gap) for u, _ in kept):
+                    kept.append((t, v))
+            want += [(str(g), k + 1, t, v) for k, (t, v) in enumerate(kept)]
+        assert got == sorted(want)
+    assert series.decluster(df.limit(0), ["g"], 3, 24).count() == 0
+
+
 def test_gaps_and_upsert(spark):
     df = rain(spark, [("a", dt.datetime(2000, 1, d), 1.0) for d in (1, 2, 5)])
     assert [r.t.day for r in series.missing_steps(df, ["g"]).orderBy("t").collect()] == [3, 4]

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from torrentia.scratch import discard, written
+
 STEPS = {"hour": "1 hour", "day": "1 day"}
 
 
@@ -53,19 +55,30 @@ def annual_maxima(series: DataFrame, keys: list[str], hours: int, step_h: int, m
 def decluster(series: DataFrame, keys: list[str], n: int, separation_h: int, value: str = "roll") -> DataFrame:
     """The n largest values (above 0) that are separation_h apart, largest first, earliest first among equals.
 
-    Greedy: acceptance depends on what is accepted, so it is a fold over each key's values in order.
+    In each round the values that nothing larger is near to are taken, and what is near them goes. Of what is left, only values that
+    can still be among the n largest stay for the next round.
     """
-    seconds = F.unix_seconds(F.col("t").cast("timestamp"))
-    found = series.where(F.col(value) > 0).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col(value)).alias("v"), seconds.alias("s")))).alias("all"))
-    empty = F.array().cast("array<struct<v:double,s:bigint>>")
     gap = separation_h * 3600
-
-    def take(acc: Column, x: Column) -> Column:
-        free = F.forall(acc, lambda a: F.abs(a["s"] - x["s"]) >= gap)
-        return F.when((F.size(acc) < n) & free, F.array_append(acc, F.struct(x["v"].cast("double").alias("v"), x["s"].alias("s")))).otherwise(acc)
-
-    picked = found.select(*keys, F.posexplode(F.aggregate("all", empty, take)).alias("rank", "p"))
-    return picked.select(*keys, (F.col("rank") + 1).alias("rank"), F.timestamp_seconds("p.s").cast("timestamp_ntz").alias("t"), (-F.col("p.v")).alias(value))
+    left = series.where(F.col(value) > 0).groupBy(*keys, F.unix_seconds(F.col("t").cast("timestamp")).alias("s")).agg(F.max(value).cast("double").alias("v"))
+    left, taken = written(left), None
+    around = W.partitionBy(*keys).orderBy("s").rangeBetween(1 - gap, gap - 1)
+    order = W.partitionBy(*keys).orderBy(F.col("v").desc(), "s")
+    while left.limit(1).count():
+        here = F.struct("v", (-F.col("s")).alias("neg"))
+        seen = left.withColumn("pick", here == F.max(here).over(around)).withColumn("gone", F.max(F.col("pick").cast("int")).over(around) == 1)
+        seen = written(seen)
+        new = seen.where("pick").select(*keys, "s", "v")
+        best = written((new if taken is None else taken.drop("rank").unionByName(new)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n))
+        full = best.groupBy(*[F.col(k).alias(f"f_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("f_n"), F.min("v").alias("f_v")).where(F.col("f_n") == n)
+        on = F.lit(True)
+        for k in keys:
+            on = on & F.col(k).eqNullSafe(F.col(f"f_{k}"))
+        after = written(seen.where("not gone").join(full, on, "left").where("f_v is null or v >= f_v").select(*keys, "s", "v"))
+        for t in (left, seen, *([taken] if taken is not None else [])):
+            discard(t)
+        left, taken = after, best
+    rows = left.withColumn("rank", F.lit(1)) if taken is None else taken
+    return rows.select(*keys, F.col("rank").cast("int").alias("rank"), F.timestamp_seconds("s").cast("timestamp_ntz").alias("t"), F.col("v").alias(value))
 
 
 def storm_context(series: DataFrame, keys: list[str], slice_steps: int = 72, day_steps: int = 24) -> DataFrame:
