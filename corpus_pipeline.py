@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the
 last return the columns of documents. The last has a row for each copy that the mix takes.
+
+Nulls, empty and very long texts, ties, repeated rows and extra columns (whatever their names) are what the stage's operator makes
+of them: null text counts as empty, which fails the base rule of quality; null languages and sources are groups of their own; of
+equal rows one stays after the second stage; extra columns pass through all stages. Empty tables pass through as empty.
 """
 
 from __future__ import annotations
@@ -13,27 +17,27 @@ from torrentia.llm.common import materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; a value equal to its threshold is kept."""
     return quality_rules.filter_quality(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text: the one with most code points, then the least doc_id; of rows that agree in all, one."""
     return exact_dedup.deduplicate(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the least doc_id."""
     return near_dedup.deduplicate(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them: round(taken / size) times, halves up; empty ones never."""
     return source_mix.mixed_documents(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and digests of them and of the decoded text."""
+    """Token ids of each document, and digests of them and of the decoded text; columns of these names are replaced."""
     return bpe_codec.encoded(docs, bpe_codec.default_vocabulary()).drop("text", "n_chars")
 
 
