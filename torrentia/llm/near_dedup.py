@@ -11,10 +11,9 @@ five-word k-mers, those of up to 60 get 16 sketches of 3 two-word ones. Sizes of
 both. Where edits are scattered singly, a pair at exactly 0.8 is found with a probability of about 0.9, at 0.85 of 0.99 and at 0.9 of
 0.9999; where they stand together, of nearly 1.
 
-Texts equal in words are one class first. In the group of texts that share a sketch, all are aligned with three
+Texts equal in words are one class first. In the group of texts that share a sketch, all are aligned with two
 pivots: the most central text (the one whose groups are largest in sum, so a large group's original rather than a
-copy), and the first and the last by a hash. As a text is in up to 40 groups, it meets many pivots, while a group of
-n copies costs about n alignments. Then all pairs of a group's texts that are still in different components are
+copy), and the first by a hash. Groups of the same copies have the same pivots mostly, so n copies cost a few n alignments. Then all pairs of a group's texts that are still in different components are
 aligned, whatever the group's size, but for those that can't reach 0.8: by size, or as their words differ in too many
 places. Of PARITY bits each is the parity of a text's words that hash to it; a word that only one text has changes one
 bit, so at 0.8 at most (n + m) / 9 bits differ. So no candidate pair across components is left unchecked.
@@ -29,6 +28,7 @@ returns the input's columns as they are.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -44,6 +44,7 @@ LONG = (5, 40, 3)
 SHORT_MOST, LONG_LEAST = 60, 48  # words
 PARITY = 512  # bits
 CELL = 512
+SHORT_ROW = 1024  # words that are aligned in one window
 
 
 def _labelled(kmers: np.ndarray) -> np.ndarray:
@@ -105,10 +106,19 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     A block's tokens have one mask each of their places in the window.
     """
     n, m, block = len(a), len(b), 256
-    kind, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    of_a, of_b = inverse[:n], inverse[n:]
-    order = np.argsort(of_a, kind="stable")
-    begin = np.searchsorted(of_a[order], np.arange(len(kind) + 1))
+    if n <= SHORT_ROW:  # one window
+        masks: dict[int, int] = {}
+        for i, x in enumerate(a.tolist()):
+            masks[x] = masks.get(x, 0) | 1 << i
+        row = full = (1 << n) - 1
+        for x in b.tolist():
+            if x in masks:
+                hit = row & masks[x]
+                row = ((row + hit) | (row - hit)) & full
+        return n - row.bit_count()
+    at: dict[int, list[int]] = {}
+    for i, x in enumerate(a.tolist()):
+        at.setdefault(x, []).append(i)
     low, high, row, done = 0, 0, 0, 0
     for start in range(0, m, block):
         new_low, new_high = min(n, max(low, start - band)), min(n, start + block + band)
@@ -121,20 +131,20 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
             row |= ((1 << (new_high - max(high, low))) - 1) << (max(high, low) - low)
             high = new_high
         full = (1 << (high - low)) - 1
-        masks: dict[int, int] = {}
-        for x in of_b[start : start + block].tolist():
+        masks = {}
+        for x in b[start : start + block].tolist():
             mask = masks.get(x)
             if mask is None:
-                at = order[begin[x] : begin[x + 1]]
-                at = at[np.searchsorted(at, low) : np.searchsorted(at, high)] - low
-                if len(at) <= 8:
-                    mask = 0
-                    for i in at.tolist():
-                        mask |= 1 << i
-                else:
+                places, mask = at.get(x, ()), 0
+                if len(places) > 64:  # a frequent word: its places in the window at once
+                    inside = np.array(places[bisect_left(places, low) : bisect_left(places, high)], np.int64) - low
                     on = np.zeros(high - low, np.uint8)
-                    on[at] = 1
+                    on[inside] = 1
                     mask = int.from_bytes(np.packbits(on, bitorder="little").tobytes(), "little")
+                else:
+                    for i in places:
+                        if low <= i < high:
+                            mask |= 1 << (i - low)
                 masks[x] = mask
             if mask:
                 hit = row & mask
@@ -142,8 +152,48 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return done + (high - low) - row.bit_count()
 
 
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many words the two have in common, in whatever order: of the sorted words of both, those next to an equal one of the other."""
+    word = np.concatenate([x, y])
+    order = np.argsort(word, kind="stable")  # x's before y's
+    word = word[order]
+    edge = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1], [True]]))
+    of_x = np.concatenate([[0], np.cumsum(order < len(x))])[edge]
+    from_x, every = np.diff(of_x), np.diff(edge)
+    return int(np.minimum(from_x, every - from_x).sum())
+
+
+def anchored(x: np.ndarray, y: np.ndarray, width: int = 4) -> int:
+    """A number of words that surely align: those of runs of `width` words that each of the two has once, the longest chain in the order of both."""
+    if min(len(x), len(y)) < width:
+        return 0
+    once = []
+    for t in (x, y):
+        kind, at, n = np.unique(shingle_hashes(t, width), return_index=True, return_counts=True)
+        once.append((kind[n == 1], at[n == 1]))
+    (kx, ax), (ky, ay) = once
+    _, ix, iy = np.intersect1d(kx, ky, assume_unique=True, return_indices=True)
+    i, j = ax[ix], ay[iy]
+    order = np.argsort(i)
+    i, j = i[order], j[order]
+    if len(i) == 0:
+        return 0
+    if (np.diff(j) <= 0).any():
+        tops, top_at, before = [], [], np.full(len(j), -1)
+        for k, v in enumerate(j.tolist()):
+            p = bisect_left(tops, v)
+            tops[p : p + 1], top_at[p : p + 1] = [v], [k]
+            before[k] = top_at[p - 1] if p else -1
+        chain, k = [], top_at[-1]
+        while k >= 0:
+            chain.append(k)
+            k = before[k]
+        i, j = i[chain[::-1]], j[chain[::-1]]
+    return width + int(np.minimum(np.minimum(np.diff(i), np.diff(j)), width).sum())
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """aligned / (n + m - aligned) of two sequences of words, or 0.0 where it can't reach `least`."""
+    """aligned / (n + m - aligned) of two sequences of words (a lower bound of it, where that suffices), or 0.0 where it can't reach `least`."""
     n, m = len(a), len(b)
     if n == 0 or m == 0:
         return float(n == m)
@@ -157,11 +207,10 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     x, y = a[head : n - tail], b[head : m - tail]
     need = least * (n + m) / (1 + least) - head - tail  # least number aligned
     if len(x) and len(y):
-        (ux, cx), (uy, cy) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
-        _, ix, iy = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
-        if np.minimum(cx[ix], cy[iy]).sum() < need - 1e-9:
+        if _common(x, y) < need - 1e-9:
             return 0.0
-        both = head + tail + aligned(x, y, max(1, int(len(x) + len(y) - 2 * need) + 1))
+        sure = anchored(x, y) if len(x) > SHORT_ROW else 0
+        both = head + tail + (sure if sure >= need else aligned(x, y, max(1, int(len(x) + len(y) - 2 * need) + 1)))
     else:
         both = head + tail
     out = both / (n + m - both)
@@ -246,10 +295,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     shared = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("key", "k"))
     members = materialise(keyed.join(shared, F.col("key") == F.col("k")).select("key", "rid", "size"))
     central = members.groupBy("rid").agg(F.sum("size").alias("score")).withColumnRenamed("rid", "c")
-    hashed = F.struct(F.xxhash64("rid", "key").alias("h"), F.col("rid"))
+    hashed = F.struct(F.xxhash64("rid").alias("h"), F.col("rid"))
     scored = members.join(central, F.col("rid") == F.col("c"))
-    pivots = scored.groupBy("key").agg(F.max(F.struct("score", "rid")).alias("a"), F.min(hashed).alias("b"), F.max(hashed).alias("c"))
-    pivots = materialise(pivots.select(F.col("key").alias("k"), F.array("a.rid", "b.rid", "c.rid").alias("p")))
+    pivots = scored.groupBy("key").agg(F.max(F.struct("score", "rid")).alias("a"), F.min(hashed).alias("b"))
+    pivots = materialise(pivots.select(F.col("key").alias("k"), F.array("a.rid", "b.rid").alias("p")))
     met = members.join(pivots, F.col("key") == F.col("k")).select("rid", F.explode(F.array_distinct("p")).alias("p")).where("rid <> p")
     done = materialise(met.select(F.least("rid", "p").alias("a"), F.greatest("rid", "p").alias("b")).distinct())
 
