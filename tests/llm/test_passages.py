@@ -13,13 +13,13 @@ WORDS = 51
 
 
 def passages(rows):
-    """Of each row, the maximal byte ranges in which every run of WORDS words stands elsewhere too."""
+    """Of each row, the maximal byte ranges in which every run of WORDS words stands in another row too."""
     at, seen = [], collections.Counter()
     for _, text in rows:
         raw = (text or "").encode()
         words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
         runs = [hash(raw[words[i][0] : words[i + WORDS - 1][1]]) for i in range(len(words) - WORDS + 1)]
-        seen.update(runs)
+        seen.update(set(runs))
         at.append((words, runs))
     out = []
     for n, (words, runs) in enumerate(at):
@@ -42,7 +42,7 @@ def test_recall_against_brute_force(spark):
         found[r.doc_id].append((r.start, r.end))
     want = passages(rows)
     hit = sum(any(a < e and s < b for a, b in found[rows[n][0]]) for n, s, e in want)
-    assert len(want) > 200 and hit >= 0.95 * len(want)
+    assert len(want) > 100 and hit >= 0.95 * len(want)
 
 
 def test_same_spans_from_a_shuffled_table(spark):
