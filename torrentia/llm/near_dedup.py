@@ -15,8 +15,9 @@ Texts equal in words are one class first. In the group of texts that share a ske
 pivots: the most central text (the one whose groups are largest in sum, so a large group's original rather than a
 copy), and the first by a hash. Groups of the same copies have the same pivots mostly, so n copies cost a few n alignments. Then all pairs of a group's texts that are still in different components are
 aligned, whatever the group's size, but for those that can't reach 0.8: by size, or as their words differ in too many
-places. Of PARITY bits each is the parity of a text's words that hash to it; a word that only one text has changes one
-bit, so at 0.8 at most (n + m) / 9 bits differ. So no candidate pair across components is left unchecked.
+places. Of PARITY bits each is the parity of a text's words that hash to it; a word that doesn't align changes one
+bit, so at 0.8 at most (n + m) / 9 bits differ; and as it breaks three pairs of neighbouring words at most (two of its own text's and
+one of the other's), at most (n + m) / 3 of as many bits for pairs. Pairs with pivots are ruled out alike. So no candidate pair across components is left unchecked.
 Classes are connected components.
 
 Null text counts as empty; texts without words are equal to each other. Repeated rows are in one class.
@@ -32,7 +33,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from torrentia.llm.common import discard, materialise, mix64, shingle_hashes, word_hashes
@@ -94,9 +95,21 @@ def sketch_keys(words: np.ndarray) -> np.ndarray:
 
 
 def parities(words: np.ndarray) -> np.ndarray:
-    """PARITY bits, each the parity of the number of words that hash to it: two texts differ in at least as many words as bits."""
-    odd = (np.bincount((words % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64)
+    """PARITY bits, each the parity of the number of words that hash to it, and as many of the pairs of neighbouring words.
+
+    Two texts differ in at least as many words, or pairs, as bits.
+    """
+    odd = [np.bincount((x % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1 for x in (words, shingle_hashes(words, 2))]
+    return np.packbits(np.concatenate(odd).astype(np.uint8)).view(np.int64)
+
+
+def _may_link(n: tuple[Column, Column], parity: tuple[list[Column], list[Column]]) -> Column:
+    """Whether sizes and parities leave it open that two texts are similar."""
+    half, total = PARITY // 64, n[0] + n[1]
+    most = (1 - SIMILARITY) / (1 + SIMILARITY) * total + 1e-9  # words that don't align
+    differ = [F.bit_count(a.bitwiseXOR(b)) for a, b in zip(*parity, strict=True)]
+    words, pairs = (sum(d[1:], d[0]) for d in (differ[:half], differ[half:]))
+    return (F.least(*n) >= SIMILARITY * F.greatest(*n)) & (words <= most) & (pairs <= 3 * most)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -245,10 +258,10 @@ def _unchecked(members: DataFrame, nodes: DataFrame, label: DataFrame, done: Dat
     at = at.join(materialise(split), F.col("key") == F.col("k")).withColumn("parts", parts).withColumn("cell", F.pmod(F.xxhash64("rid"), "parts"))
     sides = nodes.select(F.col("rid").alias("r"), "n", "parity")
     at = materialise(at.join(sides, F.col("rid") == F.col("r")).select("key", "rid", "label", "n", "parity", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")))
-    at = at.select("key", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "rid", "label", "n", *[F.col("parity")[w].alias(f"w{w}") for w in range(PARITY // 64)])
+    bits = [f"w{w}" for w in range(2 * PARITY // 64)]
+    at = at.select("key", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "rid", "label", "n", *[F.col("parity")[w].alias(b) for w, b in enumerate(bits)])
     x, y = at.alias("x"), at.alias("y")
-    differ = sum((F.bit_count(F.col(f"x.w{w}").bitwiseXOR(F.col(f"y.w{w}"))) for w in range(PARITY // 64)), F.lit(0))
-    near = (F.least("x.n", "y.n") >= SIMILARITY * F.greatest("x.n", "y.n")) & (differ <= (1 - SIMILARITY) / (1 + SIMILARITY) * (F.col("x.n") + F.col("y.n")) + 1e-9)
+    near = _may_link((F.col("x.n"), F.col("y.n")), tuple([F.col(f"{t}.{b}") for b in bits] for t in "xy"))
     once = (F.col("x.i") == F.col("x.j")) | (F.col("x.cell") != F.col("y.cell"))
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
     pairs = x.join(y, same & (F.col("x.rid") < F.col("y.rid")) & (F.col("x.label") != F.col("y.label")) & once & near)
@@ -269,8 +282,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(similarity(word_hashes(ta), last_w) > 0)
             yield pdf.loc[keep, ["a", "b"]]
 
-    of = lambda x: nodes.select(F.col("rid").alias(x), F.col("doc_id").alias(f"id_{x}"), F.col("th").alias(f"th_{x}"), F.col("n").alias(f"n_{x}"))
-    named = pairs.join(of("a"), "a").join(of("b"), "b").where(F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b"))
+    of = lambda x: nodes.select(F.col("rid").alias(x), *[F.col(c).alias(f"{t}_{x}") for c, t in (("doc_id", "id"), ("th", "th"), ("n", "n"), ("parity", "p"))])
+    bits = tuple([F.col(f"p_{x}")[w] for w in range(2 * PARITY // 64)] for x in "ab")
+    named = pairs.join(of("a"), "a").join(of("b"), "b").where(_may_link((F.col("n_a"), F.col("n_b")), bits)).drop("p_a", "p_b")
     named = materialise(named)  # as a table, so that the pairs of a hot text can be split in the joins
     one = named.join(docs, F.col("id_a").eqNullSafe(F.col("doc_id")) & (F.col("th_a") == F.col("th")))
     one = one.select("a", "b", "id_b", "th_b", F.col("text").alias("text_a"))
@@ -302,7 +316,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     met = members.join(pivots, F.col("key") == F.col("k")).select("rid", F.explode(F.array_distinct("p")).alias("p")).where("rid <> p")
     done = materialise(met.select(F.least("rid", "p").alias("a"), F.greatest("rid", "p").alias("b")).distinct())
 
-    slim = nodes.select("rid", "doc_id", "th", "n")
+    slim = nodes.select("rid", "doc_id", "th", "n", "parity")
     links = _verified(done, slim, own)
     label = materialise(components(links))
     more = _verified(_unchecked(members, nodes, label, done), slim, own)
