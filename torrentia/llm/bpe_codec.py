@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 50_000
 STRETCH = 1 << 17  # tokens decoded at once
 WINDOW = 1 << 14  # characters whose matches are held at once in long words
 #: Characters that str.split() drops and the vocabulary's pattern for white space doesn't.
