@@ -6,13 +6,13 @@ Words are maximal runs of characters other than the six ASCII white-space ones.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from torrentia.scratch import discard
 from torrentia.scratch import written as materialise
 
-__all__ = ["SPACE", "WORD", "discard", "materialise", "mix64", "n_words", "shingle_hashes", "span_hashes", "word_hashes"]
+__all__ = ["SPACE", "WORD", "col", "discard", "materialise", "mix64", "n_words", "quoted", "shingle_hashes", "span_hashes", "unused", "without", "word_hashes"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
@@ -73,3 +73,29 @@ def shingle_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
         for k in range(width):
             out = mix64(out * np.uint64(0x100000001B3) + tokens[k : k + n])
     return out
+
+
+def quoted(name: str) -> str:
+    """A column's name for expressions, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def col(name: str) -> Column:
+    return F.col(quoted(name))
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores added until none equals a column's name, capitals or not, or one of the others."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def without(docs: DataFrame, *names: str) -> list[Column]:
+    """The columns of docs but those of the names, capitals or not."""
+    gone = {n.lower() for n in names}
+    return [col(c) for c in docs.columns if c.lower() not in gone]
