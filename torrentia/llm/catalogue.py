@@ -9,6 +9,7 @@ from torrentia.llm import html_extract as op10
 from torrentia.llm import lang_id as op4
 from torrentia.llm import licence_scan as op3
 from torrentia.llm import near_dedup as op2
+from torrentia.llm import periodic_runs as op12
 from torrentia.llm import piece_codec as op13
 from torrentia.llm import quality_rules as op7
 from torrentia.llm import source_mix as op8
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_source_mix": op8.op8_source_mix,
     "op9_exact_dedup": op9.op9_exact_dedup,
     "op10_html_extract": op10.op10_html_extract,
+    "op12_periodic_runs": op12.op12_periodic_runs,
     "op13_piece_codec": op13.op13_piece_codec,
 }
 SQL = {
