@@ -14,6 +14,7 @@ from torrentia.llm import piece_codec as op13
 from torrentia.llm import quality_rules as op7
 from torrentia.llm import source_mix as op8
 from torrentia.llm import substring_dedup as op5
+from torrentia.llm import token_alignment as op11
 
 QUERIES = {
     "op1_chat_format": op1.op1_chat_format,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_source_mix": op8.op8_source_mix,
     "op9_exact_dedup": op9.op9_exact_dedup,
     "op10_html_extract": op10.op10_html_extract,
+    "op11_token_alignment": op11.op11_token_alignment,
     "op12_periodic_runs": op12.op12_periodic_runs,
     "op13_piece_codec": op13.op13_piece_codec,
 }
