@@ -162,3 +162,84 @@ def transverse_mercator(lon: Column, lat: Column, meridian: Column, false_east:
     for j, a in enumerate(terms, 1):
         x, y = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta), y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return F.struct((false_east + scale * radius * x).alias("x"), (false_north + scale * radius * y).alias("y"))
+
+
+def inverse_transverse_mercator(x: Column, y: Column, meridian: Column, false_east: float = 500000.0, false_north: float = 0.0, scale: float = SCALE) -> Column:
+    """struct(lon, lat) in degrees of metres, by Kruger's inverse series to the fourth order: with transverse_mercator there and back within a millimetre."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = EARTH_M / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    back = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
+    to_lat = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
+    xi0, eta0 = (y - false_north) / (scale * radius), (x - false_east) / (scale * radius)
+    xi, eta = xi0, eta0
+    for j, b in enumerate(back, 1):
+        xi, eta = xi - b * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0), eta - b * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    lat = chi
+    for j, d in enumerate(to_lat, 1):
+        lat = lat + d * F.sin(2 * j * chi)
+    return F.struct((meridian + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))).alias("lon"), F.degrees(lat).alias("lat"))
+
+
+def inverse_mercator(x: Column, y: Column) -> Column:
+    """struct(lon, lat) of Web Mercator metres."""
+    return F.struct(F.degrees(x / EARTH_M).alias("lon"), F.degrees(2 * F.atan(F.exp(y / EARTH_M)) - math.pi / 2).alias("lat"))
+
+
+def _tm_of(epsg: int) -> tuple[float, float, float, float] | None:
+    """Meridian, false east, false north and scale of a transverse Mercator code: UTM zones, and the national belts, whose northings count from the pole."""
+    if 32601 <= epsg <= 32660 or 32701 <= epsg <= 32760:
+        return 6.0 * (epsg % 100) - 183, 500000.0, 1e7 if epsg > 32700 else 0.0, SCALE
+    if 5343 <= epsg <= 5349:
+        n, belt = FLATTENING / (2 - FLATTENING), epsg - 5342
+        quarter = EARTH_M / (1 + n) * (1 + n**2 / 4 + n**4 / 64) * math.pi / 2  # from the equator to the pole
+        return -75.0 + 3 * belt, 1e6 * belt + 500000.0, quarter, 1.0
+    return None
+
+
+def to_degrees(epsg: int, x: Column, y: Column) -> Column:
+    """struct(lon, lat) of a point in 4326, 3857, a UTM zone or a national belt. Their datums agree within centimetres and count as one."""
+    if epsg == 4326:
+        return F.struct(x.alias("lon"), y.alias("lat"))
+    if epsg == 3857:
+        return inverse_mercator(x, y)
+    if (tm := _tm_of(epsg)) is None:
+        raise ValueError(f"unknown reference system {epsg}")
+    return inverse_transverse_mercator(x, y, F.lit(tm[0]), *tm[1:])
+
+
+def from_degrees(epsg: int, lon: Column, lat: Column) -> Column:
+    """struct(x, y) of a place in degrees."""
+    if epsg == 4326:
+        return F.struct(lon.alias("x"), lat.alias("y"))
+    if epsg == 3857:
+        return mercator(lon, lat)
+    if (tm := _tm_of(epsg)) is None:
+        raise ValueError(f"unknown reference system {epsg}")
+    return transverse_mercator(lon, lat, F.lit(tm[0]), *tm[1:])
+
+
+def reproject(points: Column, source: int, target: int) -> Column:
+    """A ring or line in another reference system, point by point; NULL stays."""
+
+    def one(p: Column) -> Column:
+        d = F.transform(F.array(to_degrees(source, p["x"], p["y"])), lambda d: from_degrees(target, d["lon"], d["lat"]))
+        return F.get(d, F.lit(0))
+
+    return points if source == target else F.transform(points, one)
+
+
+def box_of(points: Column) -> Column:
+    """struct(x0, y0, x1, y1), the envelope."""
+    of = lambda f, c: f(F.transform(points, lambda p: p[c]))
+    return F.struct(of(F.array_min, "x").alias("x0"), of(F.array_min, "y").alias("y0"), of(F.array_max, "x").alias("x1"), of(F.array_max, "y").alias("y1"))
+
+
+def reproject_box(box: Column, source: int, target: int, pieces: int = 21) -> Column:
+    """The envelope of a box in another reference system, with so many pieces a side, since its sides bend."""
+    k = F.sequence(F.lit(0), F.lit(pieces))
+    at = lambda a, b, i: a + (b - a) * i / pieces
+    side = lambda x, y: F.transform(k, lambda i: F.struct(x(i).alias("x"), y(i).alias("y")))
+    across, up = (lambda i: at(box["x0"], box["x1"], i)), (lambda i: at(box["y0"], box["y1"], i))
+    sides = [side(across, lambda i: box["y0"] + 0 * i), side(across, lambda i: box["y1"] + 0 * i), side(lambda i: box["x0"] + 0 * i, up), side(lambda i: box["x1"] + 0 * i, up)]
+    return box_of(reproject(F.flatten(F.array(*sides)), source, target))

@@ -128,3 +128,45 @@ def follow(pointers: DataFrame, stops: DataFrame) -> DataFrame:
     ends = marks.withColumnRenamed("s", "e")
     out = at.join(ends, F.col("to") == F.col("e"), "left")
     return out.select("cell", F.col("e").alias("stop"), F.when(F.col("e").isNotNull(), F.col("way")).alias("length"))
+
+
+def chains(links: DataFrame) -> DataFrame:
+    """links (cell, next or NULL, length), in which a cell is next to one other at most, to (cell, chain, closed, seq, before, length, total).
+
+    A chain runs from a first cell to a last, or is a circle, which is opened before its least cell. seq counts from 0, before is the length
+    of the cells before. Pointer doubling: a cell knows how many follow within 2**k steps, how long they are and which is the
+    least of them; in an open chain fewer cells have an onward pointer each round, in a circle the least settles.
+    """
+    base = written(links.select("cell", "next", F.col("length").cast("double").alias("length")))
+
+    def doubled(of: DataFrame) -> DataFrame:
+        onward = of.select(F.col("cell").alias("j"), F.col("length").alias("then"))
+        at = of.join(onward, F.col("next") == F.col("j"), "left")
+        at = at.select("cell", F.col("next").alias("to"), F.col("cell").alias("tail"), F.col("cell").alias("least"), F.col("next").isNotNull().cast("long").alias("hops"), F.coalesce("then", F.lit(0.0)).alias("after"), F.lit(True).alias("new"))
+        at, before = written(at), None
+        for _ in range(2 * MAX_ROUNDS):
+            going = at.where("to is not null").agg(F.count(F.lit(1)), F.count_if("new")).first()
+            if going[0] == 0 or (going[0] == before and going[1] == 0):
+                return at
+            before = going[0]
+            ahead = at.select(F.col("cell").alias("j"), F.col("to").alias("to_"), F.col("tail").alias("tail_"), F.col("least").alias("least_"), F.col("hops").alias("hops_"), F.col("after").alias("after_"))
+            moved = at.where("to is not null").join(ahead, F.col("to") == F.col("j"))
+            moved = moved.select("cell", F.col("to_").alias("to"), F.col("tail_").alias("tail"), F.least("least", "least_").alias("least"), (F.col("hops") + F.col("hops_")).alias("hops"), (F.col("after") + F.col("after_")).alias("after"), (F.col("least_") < F.col("least")).alias("new"))
+            after = written(moved.unionByName(at.where("to is null")))
+            discard(at)
+            at = after
+        raise ValueError("a cell is next to several others")
+
+    found = doubled(base)
+    done = found.where("to is null").select("cell", F.col("tail").alias("chain"), F.lit(False).alias("closed"), "hops", "after")
+    circles = found.where("to is not null").select(F.col("cell").alias("c"), "least")
+    if circles.limit(1).count():
+        opened = base.join(circles, F.col("cell") == F.col("c"))
+        opened = opened.select("cell", F.when(F.col("next") != F.col("least"), F.col("next")).alias("next"), "length")
+        again = doubled(opened).drop("least").join(circles, F.col("cell") == F.col("c"))
+        done = done.unionByName(again.select("cell", F.col("least").alias("chain"), F.lit(True).alias("closed"), "hops", "after"))
+    own = base.select(F.col("cell").alias("c"), "length")
+    at = written(done.join(own, F.col("cell") == F.col("c")).drop("c"))
+    whole = at.groupBy(F.col("chain").alias("k")).agg(F.max("hops").alias("last"), F.max_by(F.col("after") + F.col("length"), "hops").alias("total"))
+    out = at.join(whole, F.col("chain") == F.col("k"))
+    return out.select("cell", "chain", "closed", (F.col("last") - F.col("hops")).alias("seq"), (F.col("total") - F.col("after") - F.col("length")).alias("before"), "length", "total")

@@ -5,6 +5,8 @@ A raster is a table (raster, row, col, value). On disk it is partitioned by tile
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +65,79 @@ def mosaic(cells: DataFrame, rank: str) -> DataFrame:
     return cells.groupBy("row", "col").agg(first.alias("f")).select("row", "col", F.col("f.v").alias("value"))
 
 
+def grid_cells(spark: SparkSession, rows: int, cols: int) -> DataFrame:
+    """All places (row, col) of a grid."""
+    at = spark.range(rows * cols)
+    return at.select(F.expr(f"id div {cols}").alias("row"), F.expr(f"id % {cols}").alias("col"))
+
+
+def web_grid(bounds: tuple[float, float, float, float], res: float, lat: float) -> tuple[float, float, float, int, int]:
+    """(res, left, top, rows, cols) of the Web Mercator grid over bounds (x0, y0, x1, y1 in its metres) whose cells are `res` metres on the ground at that latitude."""
+    wide = res / math.cos(math.radians(lat))
+    return wide, bounds[0], bounds[3], math.ceil((bounds[3] - bounds[1]) / wide), math.ceil((bounds[2] - bounds[0]) / wide)
+
+
+def _quads(cells: DataFrame) -> DataFrame:
+    """row, col and v00, v01, v10, v11: the values at a place, to its right, below and below right, where one of them is there."""
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for k, (dr, dc) in enumerate(((0, 0), (0, 1), (1, 0), (1, 1)))])
+    dealt = cells.where("value is not null").select("row", "col", "value", F.explode(steps).alias("s"))
+    dealt = dealt.select((F.col("row") - F.col("s.dr")).alias("row"), (F.col("col") - F.col("s.dc")).alias("col"), "s.k", "value")
+    return dealt.groupBy("row", "col").agg(*[F.max(F.when(F.col("k") == k, F.col("value"))).alias(f"v{k // 2}{k % 2}") for k in range(4)])
+
+
+def resample(targets: DataFrame, cells: DataFrame, grid: tuple[float, float, float], method: str = "bilinear", size: tuple[int, int] | None = None) -> DataFrame:
+    """targets (other columns, x, y: places in the cells' reference system) with the value there of cells (row, col, value) on grid (res, left, top).
+
+    nearest: the value of the cell that the place lies in. bilinear: of the four cells with the nearest centres, weighted by the distance along
+    rows and columns; missing cells have no weight, and the weights of the others are made up to 1. NULL where all that have a weight are missing, and
+    with size (rows, cols) also off the raster, whose outer half cells take the value of what is there. One row a target; the cells meet the targets in one equi-join.
+    """
+    res, left, top = grid
+    if method == "nearest":
+        return sample(targets, cells, res, left, top)
+    if method != "bilinear":
+        raise ValueError(f"unknown method {method}")
+    fr, fc = (F.lit(top) - F.col("y")) / res - 0.5, (F.col("x") - left) / res - 0.5
+    at = targets.withColumns({"__row": F.floor(fr), "__col": F.floor(fc), "__fr": fr - F.floor(fr), "__fc": fc - F.floor(fc)})
+    quads = _quads(cells).withColumnsRenamed({"row": "__row", "col": "__col"})
+    met = at.join(quads, ["__row", "__col"], "left")
+    weight = lambda k: (F.col("__fr") if k // 2 else 1 - F.col("__fr")) * (F.col("__fc") if k % 2 else 1 - F.col("__fc"))
+    used = [F.when(F.col(f"v{k // 2}{k % 2}").isNotNull(), weight(k)).otherwise(0.0) for k in range(4)]
+    total = used[0] + used[1] + used[2] + used[3]
+    value = sum((u * F.coalesce(f"v{k // 2}{k % 2}", F.lit(0.0)) for k, u in enumerate(used)), F.lit(0.0)) / F.when(total > 1e-9, total)
+    if size:
+        inside = (F.col("x") >= left) & (F.col("x") < left + res * size[1]) & (F.col("y") <= top) & (F.col("y") > top - res * size[0])
+        value = F.when(inside, value)
+    return met.select(*targets.columns, value.alias("value"))
+
+
+def averaged(cells: DataFrame, grid: tuple[float, float, float], onto: tuple[float, float, float], size: tuple[int, int]) -> DataFrame:
+    """cells on a coarser grid `onto` of size (rows, cols) in the same reference system: bilinear with weights that fall off over one coarse cell.
+
+    So no source cell is passed over, as it would be with the four nearest. Each source cell goes to the coarse cells whose centre it is nearer than one coarse cell to;
+    partial sums are added up before the shuffle. Missing cells have no weight; a coarse cell that none reaches is absent.
+    """
+    (res, left, top), (wide, o_left, o_top) = grid, onto
+    x, y = centre(F.col("row"), F.col("col"), res, left, top)
+    fr, fc = (F.lit(o_top) - y) / wide - 0.5, (x - o_left) / wide - 0.5  # in coarse cells, 0 at the centre of the first
+    near = cells.where("value is not null").select("value", fr.alias("fr"), fc.alias("fc"))
+    near = near.withColumn("r", F.explode(F.array(F.floor("fr"), F.floor("fr") + 1))).withColumn("c", F.explode(F.array(F.floor("fc"), F.floor("fc") + 1)))
+    weight = (1 - F.abs(F.col("r") - F.col("fr"))) * (1 - F.abs(F.col("c") - F.col("fc")))
+    near = near.where(F.col("r").between(0, size[0] - 1) & F.col("c").between(0, size[1] - 1)).withColumn("w", weight).where("w > 0")
+    return near.groupBy(F.col("r").alias("row"), F.col("c").alias("col")).agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
+
+
+def warp(spark: SparkSession, cells: DataFrame, grid: tuple[float, float, float], source: int, onto: tuple[float, float, float, int, int], target: int, method: str = "bilinear", size: tuple[int, int] | None = None) -> DataFrame:
+    """(row, col, value) on the grid onto (res, left, top, rows, cols) of another reference system: each target cell's centre is mapped back to the cells' system."""
+    wide, left, top, rows, cols = onto
+    at = grid_cells(spark, rows, cols)
+    x, y = centre(F.col("row"), F.col("col"), wide, left, top)
+    back = G.to_degrees(target, x, y)
+    at = at.withColumn("__d", back).withColumn("__p", G.from_degrees(source, F.col("__d.lon"), F.col("__d.lat"))) if source != target else at.withColumn("__p", F.struct(x.alias("x"), y.alias("y")))
+    at = at.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("__p.x").alias("x"), F.col("__p.y").alias("y"))
+    return resample(at, cells, grid, method, size).select(F.col("r").alias("row"), F.col("c").alias("col"), "value")
+
+
 def in_zone(cells: DataFrame, zone: DataFrame) -> DataFrame:
     """Cells that the zone (row, col) has."""
     return cells.join(zone.select("row", "col"), ["row", "col"], "left_semi")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from torrentia.plans import climate_queries, flood_queries, geometry_queries, raster_queries, terrain_queries
+from torrentia.plans import climate_queries, flood_queries, geometry_queries, raster_queries, terrain_queries, vector_queries
 
-MODULES = (climate_queries, raster_queries, terrain_queries, geometry_queries, flood_queries)
+MODULES = (climate_queries, raster_queries, terrain_queries, geometry_queries, flood_queries, vector_queries)
 
 
 def queries() -> dict:
