@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from torrentia.scratch import discard
 from torrentia.scratch import written as materialise
 
-__all__ = ["SPACE", "WORD", "col", "discard", "materialise", "mix64", "n_words", "quoted", "shingle_hashes", "span_hashes", "unused", "without", "word_hashes"]
+__all__ = ["Memo", "SPACE", "WORD", "col", "discard", "materialise", "mix64", "n_words", "quoted", "shingle_hashes", "span_hashes", "unused", "without", "word_hashes"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
@@ -99,3 +99,25 @@ def without(docs: DataFrame, *names: str) -> list[Column]:
     """The columns of docs but those of the names, capitals or not."""
     gone = {n.lower() for n in names}
     return [col(c) for c in docs.columns if c.lower() not in gone]
+
+
+class Memo(dict):
+    """Makes what is asked for and keeps it among the last entries: a full generation becomes the old one, and what is asked for again moves on.
+
+    Keys are texts or pairs of bytes; longer ones than `longest` aren't kept.
+    """
+
+    def __init__(self, make, longest: int, entries: int):
+        self.make, self.longest, self.entries, self.old = make, longest, entries, {}
+
+    def __missing__(self, key):
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+            if (len(key) if isinstance(key, str) else len(key[0]) + len(key[1])) > self.longest:
+                return out
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self[key] = out
+        return out

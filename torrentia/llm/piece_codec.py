@@ -32,11 +32,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from torrentia.llm.common import col, unused, without
+from torrentia.llm.common import Memo, col, unused, without
 
 MARK = "▁"
 STRETCH = 1 << 19  # characters whose chunks are held at once
-TABLE_ENTRIES = 200_000
+TABLE_ENTRIES = 120_000  # of a generation; twice as many are kept
 TABLE_CHUNK = 64  # characters of the longest chunk that the table keeps
 BRIEF = 24  # symbols that are searched through for each merge
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces in the file
@@ -65,21 +65,6 @@ def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield tag >> 3, value
 
 
-class _Table(dict):
-    """Chunk -> its ids as bytes; forgets everything when full, and doesn't keep long chunks."""
-
-    def __init__(self, segment):
-        self.segment = segment
-
-    def __missing__(self, chunk: str) -> bytes:
-        out = self.segment(chunk)
-        if len(chunk) <= TABLE_CHUNK:
-            if len(self) >= TABLE_ENTRIES:
-                self.clear()
-            self[chunk] = out
-        return out
-
-
 class PieceCodec:
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -114,7 +99,7 @@ class PieceCodec:
         same, other = f"[{kin}]", f"[^ {MARK}{line}{kin}]"
         self.chunk_at = re.compile(f"{space}+(?:{same}+|{other}*)|{same}+|{other}+" + "|\n+" * bool(line))
         self.cut_at = re.compile(f"(?<!{space}){space}")
-        self.table = _Table(self._segmented)
+        self.table = Memo(self._segmented, TABLE_CHUNK, TABLE_ENTRIES)
 
     def _kin(self) -> set[str]:
         """The letter a and all characters that stand next to each other in pieces, next to those, and so on: the others never join with them."""
@@ -228,6 +213,11 @@ class PieceCodec:
         none = np.empty(0, "<u4")
         return [none if not x else x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
+    def encode_each(self, text: str | None) -> bytes:
+        """The ids of one text as bytes, chunk by chunk: shorter where the table has most chunks."""
+        stretches = self._stretches(" " + text) if text else ()
+        return b"".join([b"".join(map(self.table.__getitem__, self.chunk_at.findall(s))) for s in stretches])
+
     def enclosed(self, ids: np.ndarray) -> np.ndarray:
         return np.concatenate([[self.begin], ids, [self.end]]).astype("<u4")
 

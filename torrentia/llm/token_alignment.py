@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' tokens over each text: groups of tokens that cover the same bytes, and counts of linked ids.
 
 Texts are tokenised whole by both: a space and the text by the byte-level vocabulary A, the text by the piece vocabulary B, which adds
-the space itself. A space-marked token (one that begins with a space) of each is an anchor where the tokens before them end at the same byte, which is
+the space itself. A space-marked token (one that begins with a space or a line end) of each is an anchor where the tokens before them end at the same byte, which is
 verified. Anchors split a text into windows of token ids. A window's alignment depends on its ids alone, so it is memoised by the tuple of both: its
 groups (the least stretches of tokens that end together) and its links (the last A token and the last B token of each group).
 
@@ -20,6 +20,8 @@ import hashlib
 import json
 import os
 import re
+import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -29,28 +31,16 @@ from pyspark.sql import functions as F
 
 from torrentia.llm import piece_codec
 from torrentia.llm.bpe_codec import _byte_alphabet
-from torrentia.llm.common import col, materialise
+from torrentia.llm.common import Memo, col, materialise
 
 HOT_PAIRS = 1 << 18  # rows of a broadcast table, some 20 MB
-MEMO_ENTRIES = 100_000
+WORDS, WINDOWS = 120_000, 80_000  # entries of a generation of the memos
 MEMO_TOKENS = 32  # of the longest window that is kept
 ROWS = 512  # documents at once
 _MARKED = re.compile(r"(?<=\S) (?=\S)")
-
-
-class _Memo(dict):
-    """Forgets everything when full, and doesn't keep what is long."""
-
-    def __init__(self, make, longest: int):
-        self.make, self.longest = make, longest
-
-    def __missing__(self, key):
-        out = self.make(key)
-        if len(key) <= self.longest if isinstance(key, str) else len(key[0]) + len(key[1]) <= 4 * self.longest:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[key] = out
-        return out
+_LATIN = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
+_LETTERS = re.compile(_LATIN + "+")
+_PARTS = re.compile("(?<=" + _LATIN + r")(?=[!-/:-@\[-`{-~\n])")
 
 
 class _Bytes:
@@ -60,7 +50,7 @@ class _Bytes:
         self.buffer = np.frombuffer(b"".join(texts), np.uint8)
         self.lengths = np.array([len(t) for t in texts])
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.marked = np.array([t[:1] == b" " for t in texts])
+        self.marked = np.array([t[:1] in (b" ", b"\n") for t in texts])
 
     def equal(self, ids: np.ndarray, ends: np.ndarray, data: np.ndarray) -> bool:
         """Whether the tokens, which end at `ends`, join to the data."""
@@ -70,10 +60,14 @@ class _Bytes:
 
 
 class ByteLevel:
-    """The byte-level vocabulary: ids of a text by the tokenizers library, words with a space before them being tokenised once."""
+    """The byte-level vocabulary: ids of a text by the tokenizers library, words with a space before them being tokenised once.
+
+    Words of Latin letters, which are one piece of the vocabulary's pattern, take a shorter way to the same ids: merges by the ids' order.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has its own core
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -85,11 +79,24 @@ class ByteLevel:
         for t, i in spec["model"]["vocab"].items():
             texts[i] = bytes(to_byte.get(c, 63) for c in t)
         self.bytes = _Bytes(texts)
-        self.words = _Memo(lambda w: np.array(self.tokenizer.encode(" " + w, add_special_tokens=False).ids, "<u4").tobytes(), 64)
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of a space and the text. A space between two characters that aren't white space begins a word of its own, so the text is cut there."""
-        return np.frombuffer(b"".join(map(self.words.__getitem__, _MARKED.split(text))), "<u4")
+        ranks = {texts[i]: i for i in spec["model"]["vocab"].values() if i != next(iter(t["id"] for t in spec["added_tokens"]), None)}
+        self.merges = tiktoken.Encoding("letters", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+        self.marked, self.plain = Memo(lambda w: self._cut(w, " "), 64, WORDS), Memo(lambda w: self._cut(w, ""), 64, WORDS // 4)
+
+    def _cut(self, word: str, before: str) -> bytes:
+        """The ids of a word that isn't kept. Letters are never in one token with the punctuation or line end after them, so what stands before and after is looked up alone."""
+        head, *rest = _PARTS.split(word)
+        if rest:
+            return (self.marked if before else self.plain)[head] + b"".join(map(self.plain.__getitem__, rest))
+        if _LETTERS.fullmatch(word):  # one piece of the vocabulary's pattern: its merges alone
+            ids = self.merges.encode_ordinary(before + word)
+        else:
+            ids = self.tokenizer.encode(before + word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids of a space and the text, as little-endian unsigned 32-bit integers. A space between two characters that aren't white space begins a word of its own, so the text is cut there."""
+        return b"".join(map(self.marked.__getitem__, _MARKED.split(text)))
 
 
 class Aligner:
@@ -98,23 +105,40 @@ class Aligner:
         c = self.b
         pieces = [c.buffer[s : s + n].tobytes() for s, n in zip(c.starts.tolist(), c.lengths.tolist(), strict=True)]
         self.bytes_b = _Bytes(pieces)
-        self.windows = _Memo(self._window, MEMO_TOKENS)
-
-    def _window(self, key: tuple[bytes, bytes]) -> tuple[str, bytes, int]:
-        """The groups as text, the links (A id * 2**32 + B id) and their number."""
-        a, b = (np.frombuffer(k, "<u4") for k in key)
-        ends_a, ends_b = np.cumsum(self.a.bytes.lengths[a]), np.cumsum(self.bytes_b.lengths[b])
-        _, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        links = (a[at_a].astype(np.int64) << 32) | b[at_b].astype(np.int64)
-        list_a, list_b, parts, i, j = a.tolist(), b.tolist(), [], 0, 0
-        for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-            parts.append(",".join(map(str, list_a[i:x])) + "|" + ",".join(map(str, list_b[j:y])))
-            i, j = x, y
-        return ";".join(parts), links.tobytes(), len(links)
-
-    def align(self, text: str, b: np.ndarray) -> tuple[int, int, str, bytes] | None:
-        """n_a, n_b, the groups as text and the links of a text whose B ids are b; None where it counts as without tokens."""
-        a = self.a.encode(text)
+        self.sizes_a, self.sizes_b = self.a.bytes.lengths.tolist(), self.bytes_b.lengths.tolist()
+        self.names = [str(i) for i in range(max(len(self.sizes_a), len(self.sizes_b)))]
+        self.more = ["," + n for n in self.names]
+        self.windows = Memo(self._window, 4 * MEMO_TOKENS, WINDOWS)
+
+    def _window(self, key: tuple[bytes, bytes]) -> tuple[str, bytes]:
+        """The groups as text and the links (A id * 2**32 + B id)."""
+        b = memoryview(key[1]).cast("I").tolist()
+        size_a, size_b, names, more = self.sizes_a, self.sizes_b, self.names, self.more
+        parts, links = [], array("q")
+        y, j, end_a, group_a = b[0], 0, 0, ""
+        end_b, group_b = size_b[y], names[y]
+        for x in memoryview(key[0]).cast("I"):
+            end_a += size_a[x]
+            group_a = group_a + more[x] if group_a else names[x]
+            while end_b < end_a:
+                j += 1
+                y = b[j]
+                end_b += size_b[y]
+                group_b += more[y]
+            if end_b == end_a:
+                links.append(x << 32 | y)
+                parts.append(f"{group_a}|{group_b}")
+                group_a, j = "", j + 1
+                if j < len(b):
+                    y = b[j]
+                    end_b += size_b[y]
+                    group_b = names[y]
+        return ";".join(parts), links.tobytes()
+
+    def align(self, text: str) -> tuple[int, int, str, bytes] | None:
+        """n_a, n_b, the groups as text and the links of a text; None where it counts as without tokens."""
+        raw_a, raw_b = self.a.encode_bytes(text), self.b.encode_each(text)
+        a, b = np.frombuffer(raw_a, "<u4"), np.frombuffer(raw_b, "<u4")
         data = np.frombuffer((" " + text).encode("utf-8", "surrogatepass"), np.uint8)
         ends_a, ends_b = np.cumsum(self.a.bytes.lengths[a]), np.cumsum(self.bytes_b.lengths[b])
         if not self.a.bytes.equal(a, ends_a, data) or not self.bytes_b.equal(b, ends_b, data):
@@ -124,7 +148,7 @@ class Aligner:
         ended[0, ends_a[before_a - 1]] = ended[1, ends_b[before_b - 1]] = True
         cut_a = [0, *(4 * before_a[ended[1, ends_a[before_a - 1]]]).tolist(), 4 * len(a)]
         cut_b = [0, *(4 * before_b[ended[0, ends_b[before_b - 1]]]).tolist(), 4 * len(b)]
-        raw_a, raw_b, memo = a.tobytes(), b.tobytes(), self.windows
+        memo = self.windows
         found = [memo[raw_a[w:x], raw_b[y:z]] for w, x, y, z in zip(cut_a[:-1], cut_a[1:], cut_b[:-1], cut_b[1:], strict=True)]
         return len(a), len(b), ";".join([f[0] for f in found]), b"".join([f[1] for f in found])
 
@@ -150,8 +174,8 @@ def alignments(docs: DataFrame, paths: tuple[str, str], doc_id: str = "doc_id",
         for pdf in batches:
             for k in range(0, len(pdf), ROWS):
                 part, rows = pdf.iloc[k : k + ROWS], []
-                for t, b in zip(part["text"], c.b.encode(part["text"].tolist()), strict=True):
-                    n_a, n_b, groups, links = (c.align(t, b) if t else None) or (0, 0, "", b"")
+                for t in part["text"]:
+                    n_a, n_b, groups, links = (c.align(t) if t else None) or (0, 0, "", b"")
                     sha = hashlib.sha256(groups.encode()).hexdigest() if n_a else ""
                     rows.append((n_a, n_b, len(links) // 8, sha, np.frombuffer(links, np.int64), groups)[: len(names)])
                 yield pd.concat([part[["doc_id"]], pd.DataFrame(rows, columns=names, index=part.index)], axis=1)
