@@ -369,3 +369,15 @@ def test_bpe_columns(spark, tokenizer):
     assert got[1].ids == [] == got[2].ids and got[3].ids == ids and got[3].decoded == tokenizer.decode(ids, skip_special_tokens=False) and got[1].decoded == ""
     assert sorted(r.n_tokens for r in bpe_codec.digests(df, p).collect()) == sorted([0, 0, len(ids), len(ids)])
     assert bpe_codec.digests(df.limit(0), p).count() == 0
+
+
+def test_bpe_on_combining_marks(tokenizer):
+    """Every combining mark beside ones of four classes and beside marks of later versions, in both orders; random texts of marks and letters."""
+    codec = bpe_codec.codec(bpe_codec.default_vocabulary())
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    beside = ["̴", "̣", "̀", "ͅ", "࣒", "\U00011839", "᜕", "᷶"]
+    texts = [f"q{x}{y}" for m in marks for b in beside for x, y in ((m, b), (b, m))]
+    rnd = random.Random(3)
+    texts += ["".join(rnd.choice(marks) if rnd.random() < 0.7 else rnd.choice("aeé가\U00011935\U00011930") for _ in range(8)) for _ in range(5000)]
+    for t, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert codec.encode(t).tolist() == e.ids, ascii(t)

@@ -11,7 +11,7 @@ Decoding: the tokens' texts lie in one buffer with an offset table; ids gather t
 Texts are cut at special tokens, then at white space, and the ids of each piece are cached (bounded).
 A null text counts as empty and has no ids; repeated rows are encoded alike; an empty table gives an empty result; extra columns
 stay, but for those of the new columns' names. The vocabulary's path is a parameter. Letters and digits are those of Unicode 16, as
-the tokenizers library has them: what the regex module knows beyond counts as other characters.
+the tokenizers library has them: what the regex module knows beyond counts as other characters. Texts are composed (NFC) with the combining marks of Unicode 9, as that library does.
 A word of any length is encoded in pieces of WINDOW characters of matches, so memory is a few bytes a character.
 """
 
@@ -31,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from torrentia.llm.common import col, unused, without
+
 CACHE_ENTRIES = 50_000
 STRETCH = 1 << 17  # tokens decoded at once
 WINDOW = 1 << 14  # characters whose matches are held at once in long words
@@ -66,6 +68,16 @@ _LOWER = {a + k: small + k for a, b, small in LOWER_17 for k in range(b - a + 1)
 _LOWER[0x3A3] = 0x3C3  # no final sigma: letter by letter
 
 
+# First and last of each range of the combining marks that Unicode got after version 9, and the letter and marks of its one new composition.
+LATER_MARKS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10D24, 0x10D27),
+    (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x11935, 0x11935),
+    (0x11938, 0x11938), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97),
+    (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
+_LATER_MARK = regex.compile("([" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in LATER_MARKS) + "])")
+
+
 @lru_cache(maxsize=1)
 def _later_scripts() -> str:
     """The regex module's letters and digits that Unicode 16 hasn't assigned, as ranges for a character class."""
@@ -98,6 +110,11 @@ class _Window:
         return self.at[pos - self.low]
 
 
+def _composed(text: str) -> str:
+    """NFC as the library has it, to which later marks are letters like others."""
+    return "".join([p if k % 2 else unicodedata.normalize("NFC", p) for k, p in enumerate(_LATER_MARK.split(text))])
+
+
 class _Pieces(dict):
     """Piece of text -> its ids as bytes; forgets everything when full."""
 
@@ -215,7 +232,7 @@ class Codec:
         return np.array(ids, "<u4").tobytes() if n > WINDOW else struct.pack(f"<{len(ids)}I", *ids)
 
     def _piece(self, piece: str) -> bytes:
-        text = piece.lower() if piece.isascii() else unicodedata.normalize("NFC", piece).translate(_LOWER).lower()
+        text = piece.lower() if piece.isascii() else _composed(piece).translate(_LOWER).lower()
         if text.isascii() and text.isalpha():
             return self.words[text]
         return b"".join([self.words[w] for w in self.pattern.findall(text)])
@@ -269,7 +286,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         c = codec(path)
         return pd.Series([c.encode(t).astype(np.int32) for t in texts])
 
-    return docs.withColumn(ids, run(F.col(text)))
+    return docs.select(*without(docs, ids), run(col(text)).alias(ids))
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -280,7 +297,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
         c = codec(path)
         return pd.Series([c.decode_bytes(np.asarray(r, np.int64) if r is not None else np.empty(0, np.int64)).decode("utf-8") for r in rows])
 
-    return tokens.withColumn(text, run(F.col(ids)))
+    return tokens.select(*without(tokens, text), run(col(ids)).alias(text))
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text", with_ids: bool = True) -> DataFrame:
@@ -300,13 +317,14 @@ def encoded(docs: DataFrame, path: str, text: str = "text", with_ids: bool = Tru
         return pd.DataFrame(out if with_ids else {k: v for k, v in out.items() if k != "ids"})
 
     names = [c for c in ("n_tokens", "ids", "ids_sha256", "decoded_sha256") if with_ids or c != "ids"]
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    return docs.select(*rest, run(F.col(text)).alias("__b")).select(*rest, *[F.col(f"__b.{c}") for c in names])
+    rest = without(docs, *names)
+    (new,) = unused(docs.columns, "codes")
+    return docs.select(*rest, run(col(text)).alias(new)).select(*rest, *[F.col(f"{new}.{c}") for c in names])
 
 
 def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    own = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
     return encoded(own, path, with_ids=False).drop("text")
 
 

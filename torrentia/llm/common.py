@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from torrentia.scratch import discard
 from torrentia.scratch import written as materialise
 
-__all__ = ["Memo", "SPACE", "WORD", "col", "discard", "materialise", "mix64", "n_words", "quoted", "shingle_hashes", "span_hashes", "unused", "without", "word_hashes"]
+__all__ = ["Memo", "SPACE", "WORD", "col", "discard", "materialise", "mix64", "n_words", "quoted", "renamed", "shingle_hashes", "span_hashes", "unused", "without", "word_hashes"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
@@ -95,6 +95,16 @@ def unused(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def renamed(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """docs with its columns named c0, c1 and so on, which clash with nothing and need no quotes, and the new names of those asked for.
+
+    The result of what is done there gets the old names back by toDF(*docs.columns).
+    """
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    alike = {c.lower(): v for c, v in at.items()}
+    return docs.toDF(*at.values()), [at[n] if n in at else alike[n.lower()] for n in names]
+
+
 def without(docs: DataFrame, *names: str) -> list[Column]:
     """The columns of docs but those of the names, capitals or not."""
     gone = {n.lower() for n in names}

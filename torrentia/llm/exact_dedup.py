@@ -20,14 +20,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from torrentia.llm.common import SPACE, discard, materialise
+from torrentia.llm.common import SPACE, col, discard, materialise, renamed
 
 MAX_FILTER_BYTES = 64 << 20
 SEGMENT_BITS = 1 << 19
 
 
 def _normalised(text: str) -> Column:
-    return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE + "+", "")
+    return F.regexp_replace(F.coalesce(col(text), F.lit("")), SPACE + "+", "")
 
 
 def _positions(h: str, bits: int) -> list[Column]:
@@ -69,7 +69,7 @@ def maybe_repeated(df: DataFrame, h: str, bloom: np.ndarray) -> Column:
 
 def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document, dropped ones too: doc_id, keep_id, group_size, kept, text_sha256."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("cp"), F.unhex(F.sha2(_normalised(text), 256)).alias("sha"))
+    own = docs.select(col(doc_id).alias("doc_id"), F.length(F.coalesce(col(text), F.lit(""))).alias("cp"), F.unhex(F.sha2(_normalised(text), 256)).alias("sha"))
     own = materialise(own.withColumn("h", F.xxhash64("sha")).withColumn("rid", F.monotonically_increasing_id()))
     bloom = repeated_filter(own.select("h"), own.count())
     marked = own.withColumn("maybe", maybe_repeated(own, "h", bloom))
@@ -85,14 +85,15 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with their own columns. Of a repeated text, partial aggregation keeps one row in each task before the shuffle."""
-    hashed = docs.withColumn("__x_sha", F.unhex(F.sha2(_normalised(text), 256))).withColumn("__x_h", F.xxhash64("__x_sha"))
+    own, (doc_id, text) = renamed(docs, doc_id, text)
+    hashed = own.withColumn("__x_sha", F.unhex(F.sha2(_normalised(text), 256))).withColumn("__x_h", F.xxhash64("__x_sha"))
     hashes = materialise(hashed.select(F.col("__x_h").alias("h")))
     bloom = repeated_filter(hashes, hashes.count())
     discard(hashes)
     marked = hashed.withColumn("__x_maybe", maybe_repeated(hashed, "__x_h", bloom))
     order = F.struct(F.length(F.coalesce(F.col(text), F.lit(""))), -F.col(doc_id), F.col(text))
-    best = marked.where("__x_maybe").groupBy("__x_sha").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("__x_row"))
-    return marked.where("not __x_maybe").select(*docs.columns).union(best.select("__x_row.*"))
+    best = marked.where("__x_maybe").groupBy("__x_sha").agg(F.max_by(F.struct(*own.columns), order).alias("__x_row"))
+    return marked.where("not __x_maybe").select(*own.columns).union(best.select("__x_row.*")).toDF(*docs.columns)
 
 
 def op9_exact_dedup(spark, sf_dir):

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from torrentia.llm.common import discard, materialise
+from torrentia.llm.common import col, discard, materialise, unused, without
 
 BUCKETS = 1 << 15
 GROUP = 64
@@ -57,7 +57,7 @@ def buckets(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[tuple[list[str], np.ndarray]]:
     """The languages in parts, by name: names and the matrix of log probabilities, a row for each bucket; the last row has the log priors."""
-    own = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    own = docs.where(col(lang).isNotNull()).select(col(lang).alias("lang"), col(text).alias("text"))
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -116,7 +116,9 @@ def predict(docs: DataFrame, model: list[tuple[list[str], np.ndarray]], text: st
         out = [(name, float(1 / t) if t else 0.0) for (name, _), t in zip(best, total, strict=True)]
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return docs.withColumn("__l", run(F.col(text))).withColumns({"lang_pred": F.col("__l.lang_pred"), "score": F.col("__l.score")}).drop("__l")
+    rest = without(docs, "lang_pred", "score")
+    (new,) = unused(docs.columns, "found")
+    return docs.select(*rest, run(col(text)).alias(new)).select(*rest, F.col(f"{new}.lang_pred"), F.col(f"{new}.score"))
 
 
 def op4_lang_id(spark, sf_dir):

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from torrentia.llm.common import discard, materialise, mix64, shingle_hashes, word_hashes
+from torrentia.llm.common import col, discard, materialise, mix64, renamed, shingle_hashes, word_hashes
 from torrentia.operators.graph import components
 
 SIMILARITY = 0.8
@@ -295,8 +295,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _own(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("text"))
+    t = F.coalesce(col(text), F.lit(""))
+    return docs.select(col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("text"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -332,9 +332,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class, with its own columns."""
     kept = materialise(classes(docs, doc_id, text).where("kept").select(F.col("doc_id").alias("__n_id"), F.col("th").alias("__n_th")))
-    here = docs.withColumn("__n_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    on = F.col(doc_id).cast("long").eqNullSafe(F.col("__n_id")) & (F.col("__n_hash") == F.col("__n_th"))
-    return here.join(kept, on).dropDuplicates([doc_id, "__n_hash"]).select(*docs.columns)
+    own, (own_id, own_text) = renamed(docs, doc_id, text)
+    here = own.withColumn("__n_hash", F.xxhash64(F.coalesce(F.col(own_text), F.lit(""))))
+    on = F.col(own_id).cast("long").eqNullSafe(F.col("__n_id")) & (F.col("__n_hash") == F.col("__n_th"))
+    return here.join(kept, on).dropDuplicates([own_id, "__n_hash"]).select(*own.columns).toDF(*docs.columns)
 
 
 def op2_near_dedup(spark, sf_dir):

@@ -17,7 +17,7 @@ then filtered. No cutoff but the base rule's is fixed.
 Null text has no words. Null language or source form groups of their own. A document that fails the
 base rule (too few words, or mostly repeated words) feeds no sketch and isn't kept. Repeated rows count
 and are judged each for itself; a value equal to its threshold is kept. Very long texts are measured whole. An empty table
-gives an empty result; extra columns of the input play no part, whatever their names, unless these begin with `__q_` or `__t_`.
+gives an empty result; extra columns of the input play no part in the report and stay as they are in `filter_quality`, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from torrentia.llm.common import SPACE, WORD, discard, materialise
+from torrentia.llm.common import SPACE, WORD, col, discard, materialise, renamed
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -184,7 +184,7 @@ def judge(measured: DataFrame, limits: DataFrame, lang: str = "lang", source: st
 
 def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """One row a document: its counts, whether the base rule failed, and the verdict."""
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    own = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"), col(lang).alias("lang"), col(source).alias("source"))
     measured = materialise(measures(own).drop("text"))
     judged = judge(measured, materialise(thresholds(sketches(measured))))
     return judged.select(
@@ -195,9 +195,10 @@ def quality_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def filter_quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The documents that the rules keep, with their own columns. The measures are made once, and written beside the documents."""
-    measured = measures(docs, text)
-    measured = materialise(measured.select(*docs.columns, "__q_base_failed", "__q_m"))
-    return judge(measured, materialise(thresholds(sketches(measured, lang, source))), lang, source).where("__q_kept").select(*docs.columns)
+    own, (text, lang, source) = renamed(docs, text, lang, source)
+    measured = measures(own, text)
+    measured = materialise(measured.select(*own.columns, "__q_base_failed", "__q_m"))
+    return judge(measured, materialise(thresholds(sketches(measured, lang, source))), lang, source).where("__q_kept").select(*own.columns).toDF(*docs.columns)
 
 
 def op7_quality_rules(spark, sf_dir):

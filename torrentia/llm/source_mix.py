@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from torrentia.llm.common import materialise, n_words
+from torrentia.llm.common import col, materialise, n_words, renamed
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -108,8 +108,8 @@ def _placed(sizes: DataFrame, n_rows: int) -> DataFrame:
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = BLOCK, row_id: str | None = None) -> DataFrame:
     """One row a document: rid (the column row_id of docs, or else the row's place), doc_id, size, source_size, target, taken."""
-    key = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(SEED)))
-    sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(text).alias("size"), key.alias("key"), (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("rid"))
+    key = F.md5(F.concat(F.coalesce(col(doc_id).cast("string"), F.lit("")), F.lit(SEED)))
+    sizes = docs.select(col(doc_id).alias("doc_id"), col(source).alias("source"), n_words(col(text)).alias("size"), key.alias("key"), (col(row_id) if row_id else F.monotonically_increasing_id()).alias("rid"))
     sizes = materialise(sizes)
     targets = materialise(source_targets(sizes, block))
     slots = schedule(targets, (targets.agg(F.max("slots")).first()[0] or 0))
@@ -133,10 +133,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """docs as the mix takes them: each document as many times as taken / size rounds to, with its own columns."""
-    own = materialise(docs.withColumn("__m_rid", F.monotonically_increasing_id()))
+    safe, (doc_id, text, source) = renamed(docs, doc_id, text, source)
+    own = materialise(safe.withColumn("__m_rid", F.monotonically_increasing_id()))
     counted = mix(own, doc_id, text, source, row_id="__m_rid").where("size > 0")
     times = counted.select(F.col("rid").alias("__m_key"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__m_times")).where("__m_times > 0")
-    return own.join(times, F.col("__m_rid") == F.col("__m_key")).withColumn("__m_copy", F.explode(F.sequence(F.lit(1), F.col("__m_times")))).select(*docs.columns)
+    return own.join(times, F.col("__m_rid") == F.col("__m_key")).withColumn("__m_copy", F.explode(F.sequence(F.lit(1), F.col("__m_times")))).select(*safe.columns).toDF(*docs.columns)
 
 
 def op8_source_mix(spark, sf_dir):

@@ -3,7 +3,8 @@
 A gear hash rolls over the text's bytes: h = 2h + gear[byte], modulo 2**16, so it depends on the last 16
 bytes only. A chunk ends where the top bits of h are zero; so equal passages are cut alike wherever they
 stand, and an insertion moves the cuts near it only. Chunks have MIN_CHUNK bytes at least (a nearer cut is
-passed over) and about MAX_CHUNK at most; a cut inside a character moves to its end. A digest
+passed over) and about MAX_CHUNK at most: where no cut comes by then, as in a run of one word, the first place of the least h so far is one,
+which stands alike in all runs of that word. A cut inside a character moves to its end. A digest
 (128 bits) covers a chunk and the one after it, since a lone chunk of a few common words repeats by chance. Where
 a digest occurs twice or more, the first one, by the row's place in the table as it comes and the start, stays.
 
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from torrentia.llm.common import discard, materialise, mix64
+from torrentia.llm.common import col, discard, materialise, mix64, renamed
 
 MASK_BITS = 5
 MIN_CHUNK = 16
 SPAN = 16
-MAX_CHUNK = 512
+MAX_CHUNK = 128
 MIN_SPAN_WORDS = 12
 PIECE = 1 << 22
 GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
@@ -61,8 +62,12 @@ def cuts(data: np.ndarray) -> list[int]:
         found = found + ((found < n) & ((data[np.minimum(found, n - 1)] & 0xC0) == 0x80))
     out, last = [], 0
     for m in [*found.tolist(), n] if n else []:
+        first, h = last, np.empty(0, np.uint16)
         while m - last > MAX_CHUNK:
-            last += MAX_CHUNK
+            if last + MAX_CHUNK > first + len(h):
+                back = max(0, last - SPAN + 1)
+                first, h = last, gear_hashes(data[back : min(m, last + PIECE)])[last - back :]
+            last += MIN_CHUNK + int(h[last + MIN_CHUNK - 1 - first : last + MAX_CHUNK - first].argmin())
             while last < m and data[last] & 0xC0 == 0x80:
                 last += 1
             out.append(last)
@@ -128,7 +133,7 @@ def spans(repeated: DataFrame) -> DataFrame:
 
 def _own(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Only for one job that writes what it derives: the plan numbers its rows anew each time it runs."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text).alias("text"))
+    return docs.select(col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), col(text).alias("text"))
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,7 +147,8 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the repeated chunks that aren't first occurrences cut out of the text."""
-    rows = materialise(docs.withColumn("__s_rid", F.monotonically_increasing_id()))
+    safe, (doc_id, text) = renamed(docs, doc_id, text)
+    rows = materialise(safe.withColumn("__s_rid", F.monotonically_increasing_id()))
     every = materialise(chunks(rows.select(F.col(doc_id).cast("long").alias("doc_id"), F.col("__s_rid").alias("rid"), F.col(text).alias("text"))))
     repeated = materialise(repeated_chunks(every))
     discard(every)
@@ -165,7 +171,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         return pd.Series(out)
 
     joined = rows.join(gone, F.col("__s_rid") == F.col("__s_of"), "left")
-    return joined.withColumn(text, cut(F.col(text), F.col("__s_gone"))).select(*docs.columns)
+    return joined.withColumn(text, cut(F.col(text), F.col("__s_gone"))).select(*safe.columns).toDF(*docs.columns)
 
 
 def op5_substring_dedup(spark, sf_dir):
