@@ -1,12 +1,13 @@
 """Exact dedup: two-pass Bloom filtering, so that only possibly repeated hashes shuffle.
 
-Pass one hashes each normalised text (white space deleted) and counts the filter positions that the
-hashes set, two for each; a position set twice or more is kept in the filter. Pass two tests each hash:
+Pass one hashes each normalised text (white space deleted); a hash sets two filter positions. Each task adds up its own, so that what shuffles are two planes
+for each segment of the filter (the positions set once, and those set twice or more), not rows; planes of a segment are merged,
+and a position set twice or more is kept in the filter. Pass two tests each hash:
 only rows whose both positions are kept can have an equal, and only they shuffle, by their SHA-256.
 All the others pass straight through as unique. False positives merely shuffle; results are exact.
 
 The filter has 8 bits a row, to the next power of two, up to `MAX_FILTER_BYTES`, which is the proven
-bound of what is broadcast. Beyond 64 million rows it fills up, so more rows shuffle; results don't change.
+bound of what is broadcast. Beyond 256 million rows it fills up, so more rows shuffle; results don't change.
 
 Null text counts as empty. Of equal texts, the row with the most code points in the original text, then
 the smallest doc_id (null last) stays; of rows that also agree in these, one. An empty table gives an
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 
 from torrentia.llm.common import SPACE, col, discard, materialise, renamed
 
-MAX_FILTER_BYTES = 64 << 20
+MAX_FILTER_BYTES = 256 << 20
+HELD = 1 << 20  # hashes whose positions a task adds up at once
 SEGMENT_BITS = 1 << 19
 
 
@@ -30,8 +32,10 @@ def _normalised(text: str) -> Column:
     return F.regexp_replace(F.coalesce(col(text), F.lit("")), SPACE + "+", "")
 
 
-def _positions(h: str, bits: int) -> list[Column]:
-    return [F.col(h).bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(F.col(h), 32).bitwiseAND(F.lit(bits - 1))]
+def _places(h: np.ndarray, mask: int) -> np.ndarray:
+    """The two filter positions of each hash, a row each."""
+    v = h.astype(np.int64).view(np.uint64)
+    return np.stack([v & np.uint64(mask), (v >> np.uint64(32)) & np.uint64(mask)])
 
 
 def repeated_filter(hashes: DataFrame, n_rows: int, max_bytes: int = MAX_FILTER_BYTES) -> np.ndarray:
@@ -39,13 +43,39 @@ def repeated_filter(hashes: DataFrame, n_rows: int, max_bytes: int = MAX_FILTER_
     bits = min(max(1 << 16, 1 << (8 * max(n_rows, 1) - 1).bit_length()), 8 * max_bytes)
     seg = min(SEGMENT_BITS, bits)
 
-    def bitmap(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        on = np.zeros(seg, np.uint8)
-        on[pdf["p"].to_numpy() % seg] = 1
-        return pd.DataFrame({"seg": [key[0]], "data": [np.packbits(on, bitorder="little").tobytes()]})
+    def planes(batches):
+        """Of so many hashes at once, for each segment the places set once and those set twice or more, as sorted numbers."""
+        held, size = [], 0
+
+        def rows() -> pd.DataFrame:
+            place, times = np.unique(np.concatenate([p.ravel() for p in held]), return_counts=True)
+            number = place // seg
+            cut = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+            place = (place % seg).astype(np.uint32)
+            parts = [(p[t == 1].tobytes(), p[t > 1].tobytes()) for p, t in zip(np.split(place, cut[1:]), np.split(times, cut[1:]), strict=True)]
+            return pd.DataFrame({"seg": number[cut].astype(np.int64), "once": [a for a, _ in parts], "twice": [b for _, b in parts]})
+
+        for pdf in batches:
+            held.append(_places(pdf["h"].to_numpy(), bits - 1))
+            size += len(pdf)
+            if size >= HELD:
+                yield rows()
+                held, size = [], 0
+        if size:
+            yield rows()
 
-    twice = hashes.select(F.explode(F.array(*_positions("h", bits))).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    segments = twice.select("p", F.expr(f"p div {seg}").alias("seg")).groupBy("seg").applyInPandas(bitmap, "seg long, data binary")
+    def bitmap(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        once, on = np.zeros(seg, bool), np.zeros(seg, bool)
+        for a, b in zip(pdf["once"], pdf["twice"], strict=True):
+            a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+            on[a[once[a]]] = True
+            on[b] = True
+            once[a] = True
+            once[b] = True
+        return pd.DataFrame({"seg": [key[0]], "data": [np.packbits(on.view(np.uint8), bitorder="little").tobytes()]})
+
+    set_ = hashes.select("h").mapInPandas(planes, "seg long, once binary, twice binary")
+    segments = set_.groupBy("seg").applyInPandas(bitmap, "seg long, data binary")
     out = np.zeros(bits // 8, np.uint8)
     for row in segments.collect():  # at most max_bytes in all
         out[row.seg * seg // 8 : (row.seg + 1) * seg // 8] = np.frombuffer(row.data, np.uint8)
@@ -58,9 +88,8 @@ def maybe_repeated(df: DataFrame, h: str, bloom: np.ndarray) -> Column:
 
     @F.pandas_udf("boolean")
     def test(x: pd.Series) -> pd.Series:
-        v = x.to_numpy().astype(np.int64).view(np.uint64)
-        found = np.ones(len(v), bool)
-        for p in (v & np.uint64(mask), (v >> np.uint64(32)) & np.uint64(mask)):
+        found = np.ones(len(x), bool)
+        for p in _places(x.to_numpy(), mask):
             found &= (shared.value[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return pd.Series(found)
 
