@@ -27,13 +27,16 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from torrentia.llm.common import col, unused, without
+from torrentia.llm.common import col, renamed, without
 
 CACHE_ENTRIES = 50_000
+ROWS = 256  # whose ids are held at once
 STRETCH = 1 << 17  # tokens decoded at once
 WINDOW = 1 << 14  # characters whose matches are held at once in long words
 #: Characters that str.split() drops and the vocabulary's pattern for white space doesn't.
@@ -300,32 +303,41 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
     return tokens.select(*without(tokens, text), run(col(ids)).alias(text))
 
 
-def encoded(docs: DataFrame, path: str, text: str = "text", with_ids: bool = True) -> DataFrame:
-    """docs with n_tokens, the ids (if wanted), and SHA-256 of the ids and of the decoded text, of one encoding and decoding."""
-    kind = "n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string"
-
-    @F.pandas_udf(kind)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        c, out = codec(path), {"n_tokens": [], "ids": [], "ids_sha256": [], "decoded_sha256": []}
-        for t in texts:
-            raw = c.encode_bytes(t)
-            ids = np.frombuffer(raw, "<u4")
-            out["n_tokens"].append(len(ids))
-            out["ids"].append(ids.astype(np.int32) if with_ids else None)
-            out["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(c.decode_bytes(ids)).hexdigest())
-        return pd.DataFrame(out if with_ids else {k: v for k, v in out.items() if k != "ids"})
+def encoded(docs: DataFrame, path: str, text: str = "text", with_ids: bool = True, drop: tuple[str, ...] = ()) -> DataFrame:
+    """docs, less the columns to drop, with n_tokens, the ids (if wanted), and SHA-256 of the ids and of the decoded text, of one encoding and decoding.
 
+    Rows come back ROWS at a time, so that no more ids are held; other columns pass as Arrow data, whatever their types.
+    """
     names = [c for c in ("n_tokens", "ids", "ids_sha256", "decoded_sha256") if with_ids or c != "ids"]
-    rest = without(docs, *names)
-    (new,) = unused(docs.columns, "codes")
-    return docs.select(*rest, run(col(text)).alias(new)).select(*rest, *[F.col(f"{new}.{c}") for c in names])
+    gone = {c.lower() for c in (*names, *drop)}
+    safe, (text,) = renamed(docs, text)
+    rest = [k for k, c in enumerate(docs.columns) if c.lower() not in gone]
+    at, kept = safe.columns.index(text), [safe.columns[i] for i in rest]
+
+    def run(batches):
+        c = codec(path)
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                raws = [c.encode_bytes(t) for t in part.column(at).to_pylist()]
+                ids = [np.frombuffer(r, "<u4") for r in raws]
+                columns = {
+                    "n_tokens": pa.array([len(i) for i in ids], pa.int64()),
+                    "ids": pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)], dtype=np.int32), np.frombuffer(b"".join(raws), "<i4")),
+                    "ids_sha256": pa.array([hashlib.sha256(r).hexdigest() for r in raws]),
+                    "decoded_sha256": pa.array([hashlib.sha256(c.decode_bytes(i)).hexdigest() for i in ids]),
+                }
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in rest], *[columns[n] for n in names]], [*kept, *names])
+
+    kinds = {"n_tokens": T.LongType(), "ids": T.ArrayType(T.IntegerType())}
+    schema = T.StructType([*[T.StructField(safe.columns[i], safe.schema[i].dataType) for i in rest], *[T.StructField(n, kinds.get(n, T.StringType())) for n in names]])
+    return safe.mapInArrow(run, schema).toDF(*[docs.columns[i] for i in rest], *names)
 
 
 def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     own = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"))
-    return encoded(own, path, with_ids=False).drop("text")
+    return encoded(own, path, with_ids=False, drop=("text",))
 
 
 def op6_bpe_codec(spark, sf_dir):
