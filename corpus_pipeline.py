@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from torrentia.llm import bpe_codec, exact_dedup, near_dedup, quality_rules, source_mix
-from torrentia.llm.common import materialise
+from torrentia.llm.common import discard, materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of them and of the decoded text; columns of these names are replaced."""
-    return bpe_codec.encoded(docs, bpe_codec.default_vocabulary()).drop("text", "n_chars")
+    return bpe_codec.encoded(docs, bpe_codec.default_vocabulary(), drop=("text", "n_chars"))
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mixing", mixing), ("encoding", encoding)]
@@ -50,5 +50,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
