@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' tokens over each text: groups of tokens that cover the same bytes, and counts of linked ids.
 
 Texts are tokenised whole by both: a space and the text by the byte-level vocabulary A, the text by the piece vocabulary B, which adds
-the space itself. A space-marked token (one that begins with a space or a line end) of each is an anchor where the tokens before them end at the same byte, which is
+the space itself. A place where both have a space-marked token is an anchor if the tokens before it end at the same byte, which is
 verified. Anchors split a text into windows of token ids. A window's alignment depends on its ids alone, so it is memoised by the tuple of both: its
 groups (the least stretches of tokens that end together) and its links (the last A token and the last B token of each group).
 
@@ -34,7 +34,7 @@ from torrentia.llm.bpe_codec import _byte_alphabet
 from torrentia.llm.common import Memo, col, materialise
 
 HOT_PAIRS = 1 << 18  # rows of a broadcast table, some 20 MB
-WORDS, WINDOWS = 120_000, 80_000  # entries of a generation of the memos
+WORDS, WINDOWS = 40_000, 100_000  # entries of a generation of the memos
 MEMO_TOKENS = 32  # of the longest window that is kept
 ROWS = 512  # documents at once
 _MARKED = re.compile(r"(?<=\S) (?=\S)")
@@ -43,22 +43,6 @@ _LETTERS = re.compile(_LATIN + "+")
 _PARTS = re.compile("(?<=" + _LATIN + r")(?=[!-/:-@\[-`{-~\n])")
 
 
-class _Bytes:
-    """Tokens' bytes in one buffer with an offset table."""
-
-    def __init__(self, texts: list[bytes]):
-        self.buffer = np.frombuffer(b"".join(texts), np.uint8)
-        self.lengths = np.array([len(t) for t in texts])
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.marked = np.array([t[:1] in (b" ", b"\n") for t in texts])
-
-    def equal(self, ids: np.ndarray, ends: np.ndarray, data: np.ndarray) -> bool:
-        """Whether the tokens, which end at `ends`, join to the data."""
-        if (int(ends[-1]) if len(ends) else 0) != len(data):
-            return False
-        return bool(np.array_equal(self.buffer[np.arange(len(data)) + np.repeat(self.starts[ids] - (ends - self.lengths[ids]), self.lengths[ids])], data))
-
-
 class ByteLevel:
     """The byte-level vocabulary: ids of a text by the tokenizers library, words with a space before them being tokenised once.
 
@@ -78,7 +62,7 @@ class ByteLevel:
         texts = [b""] * (max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])]) + 1)
         for t, i in spec["model"]["vocab"].items():
             texts[i] = bytes(to_byte.get(c, 63) for c in t)
-        self.bytes = _Bytes(texts)
+        self.texts = texts
         ranks = {texts[i]: i for i in spec["model"]["vocab"].values() if i != next(iter(t["id"] for t in spec["added_tokens"]), None)}
         self.merges = tiktoken.Encoding("letters", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         self.marked, self.plain = Memo(lambda w: self._cut(w, " "), 64, WORDS), Memo(lambda w: self._cut(w, ""), 64, WORDS // 4)
@@ -94,24 +78,33 @@ class ByteLevel:
             ids = self.tokenizer.encode(before + word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode_bytes(self, text: str) -> bytes:
-        """The ids of a space and the text, as little-endian unsigned 32-bit integers. A space between two characters that aren't white space begins a word of its own, so the text is cut there."""
-        return b"".join(map(self.marked.__getitem__, _MARKED.split(text)))
+    def encode_marked(self, word: str) -> bytes:
+        """The ids of a space and the word, as little-endian unsigned 32-bit integers."""
+        return self.marked[word]
 
 
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteLevel(path_a), piece_codec.codec(path_b)
         c = self.b
-        pieces = [c.buffer[s : s + n].tobytes() for s, n in zip(c.starts.tolist(), c.lengths.tolist(), strict=True)]
-        self.bytes_b = _Bytes(pieces)
-        self.sizes_a, self.sizes_b = self.a.bytes.lengths.tolist(), self.bytes_b.lengths.tolist()
+        self.texts_b = [c.buffer[s : s + n].tobytes() for s, n in zip(c.starts.tolist(), c.lengths.tolist(), strict=True)]
+        self.sizes_a, self.sizes_b = [len(t) for t in self.a.texts], [len(t) for t in self.texts_b]
         self.names = [str(i) for i in range(max(len(self.sizes_a), len(self.sizes_b)))]
         self.more = ["," + n for n in self.names]
+        self.words = Memo(self._word, 64, WINDOWS)
         self.windows = Memo(self._window, 4 * MEMO_TOKENS, WINDOWS)
 
-    def _window(self, key: tuple[bytes, bytes]) -> tuple[str, bytes]:
-        """The groups as text and the links (A id * 2**32 + B id)."""
+    def _word(self, word: str) -> tuple[bytes, bytes] | None:
+        """The ids of a space and the word by both; None where the bytes of either's tokens differ from them."""
+        raw_a, raw_b = self.a.encode_marked(word), self.b.encode_each(word)
+        data = (" " + word).encode("utf-8", "surrogatepass")
+        for raw, texts in ((raw_a, self.a.texts), (raw_b, self.texts_b)):
+            if b"".join([texts[i] for i in memoryview(raw).cast("I")]) != data:
+                return None
+        return raw_a, raw_b
+
+    def _window(self, key: tuple[bytes, bytes]) -> tuple[str, bytes, int, int]:
+        """The groups as text, the links (A id * 2**32 + B id) and the numbers of A and B ids."""
         b = memoryview(key[1]).cast("I").tolist()
         size_a, size_b, names, more = self.sizes_a, self.sizes_b, self.names, self.more
         parts, links = [], array("q")
@@ -133,24 +126,21 @@ class Aligner:
                     y = b[j]
                     end_b += size_b[y]
                     group_b = names[y]
-        return ";".join(parts), links.tobytes()
+        return ";".join(parts), links.tobytes(), len(key[0]) // 4, len(b)
 
     def align(self, text: str) -> tuple[int, int, str, bytes] | None:
-        """n_a, n_b, the groups as text and the links of a text; None where it counts as without tokens."""
-        raw_a, raw_b = self.a.encode_bytes(text), self.b.encode_each(text)
-        a, b = np.frombuffer(raw_a, "<u4"), np.frombuffer(raw_b, "<u4")
-        data = np.frombuffer((" " + text).encode("utf-8", "surrogatepass"), np.uint8)
-        ends_a, ends_b = np.cumsum(self.a.bytes.lengths[a]), np.cumsum(self.bytes_b.lengths[b])
-        if not self.a.bytes.equal(a, ends_a, data) or not self.bytes_b.equal(b, ends_b, data):
+        """n_a, n_b, the groups as text and the links of a text; None where it counts as without tokens.
+
+        A space between two characters that aren't white space begins a token in both vocabularies, and no token crosses it: the ids of the whole text
+        are those of its marked words, one after the other. It is an anchor, as the bytes before it are verified to be the same.
+        """
+        if piece_codec.MARK in text:  # which B takes for a space
+            return None
+        keys = list(map(self.words.__getitem__, _MARKED.split(text)))
+        if None in keys:
             return None
-        before_a, before_b = np.flatnonzero(self.a.bytes.marked[a[1:]]) + 1, np.flatnonzero(self.bytes_b.marked[b[1:]]) + 1  # tokens before a space-marked one
-        ended = np.zeros((2, len(data) + 1), bool)
-        ended[0, ends_a[before_a - 1]] = ended[1, ends_b[before_b - 1]] = True
-        cut_a = [0, *(4 * before_a[ended[1, ends_a[before_a - 1]]]).tolist(), 4 * len(a)]
-        cut_b = [0, *(4 * before_b[ended[0, ends_b[before_b - 1]]]).tolist(), 4 * len(b)]
-        memo = self.windows
-        found = [memo[raw_a[w:x], raw_b[y:z]] for w, x, y, z in zip(cut_a[:-1], cut_a[1:], cut_b[:-1], cut_b[1:], strict=True)]
-        return len(a), len(b), ";".join([f[0] for f in found]), b"".join([f[1] for f in found])
+        found = list(map(self.windows.__getitem__, keys))
+        return sum([f[2] for f in found]), sum([f[3] for f in found]), ";".join([f[0] for f in found]), b"".join([f[1] for f in found])
 
 
 @lru_cache(maxsize=2)
