@@ -178,15 +178,6 @@ def test_hyetograph_sums_to_the_storm(spark, p, dur):
     assert max(rows, key=lambda r: r.mm)[1] == n // 2
 
 
-def test_rain_on_grid_keeps_its_mass(spark):
-    rows = [(0, i, j, 0.01 * (i + j) - (0.5 if (i, j) == (7, 7) else 0.0)) for i in range(15) for j in range(15)]
-    tiles = spark.createDataFrame(rows, "tile long, row long, col long, z double")
-    heavy = rain.rain_on_grid(tiles, spark.createDataFrame([(0, 100.0, 3.0)], "tile long, p_mm double, dur_h double")).first()
-    light = rain.rain_on_grid(tiles, spark.createDataFrame([(0, 2.0, 3.0)], "tile long, p_mm double, dur_h double")).first()
-    assert abs(heavy.error_pct) < 1 and abs(heavy.rain_mm - 100) < 0.5 and heavy.h_max_m > 0.05
-    assert light.infiltrated_mm >= 0.95 * light.rain_mm
-
-
 def test_verdict(spark):
     rows = [("p", "hand_min_m", 0.4), ("p", "cuenca_aportante_ha", 7.0), ("p", "depresion_prof_max_m", None), ("p", "jrc_occ_lote_pct", 0.0)]
     got = {r.component: r for r in rules.verdict(spark.createDataFrame(rows, "k string, indicator string, value double"), rules.rule_table(spark), "k").collect()}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from torrentia.functions import geometry as G
-from torrentia.operators import graph, gridded, lines, polygons
+from torrentia.operators import distance, graph, gridded, lines, polygons
 
 
 def test_chains_open_and_closed(spark):
@@ -209,3 +209,41 @@ def test_projections_there_and_back(spark):
     assert math.isclose(e.x, 5_500_000.0, abs_tol=1e-6) and math.isclose(e.y, 10_001_965.729, abs_tol=1e-3)
     with pytest.raises(ValueError):
         G.to_degrees(9999, F.lit(0.0), F.lit(0.0))
+
+
+def test_distance_transform_is_exact(spark):
+    """Sparse cells, features outside them, in empty rows and columns, and none."""
+    rnd = random.Random(9)
+    for n_marks in (1, 7, 40):
+        cells = sorted({(rnd.randrange(-4, 16), rnd.randrange(0, 19)) for _ in range(150)})
+        marks = [(rnd.randrange(-9, 22), rnd.randrange(-5, 25)) for _ in range(n_marks)]
+        df = spark.createDataFrame([(r, c, "x") for r, c in cells] + [(None, 3, "y")], "row long, col long, kind string")
+        got = distance.transform(df, spark.createDataFrame(marks + marks[:2], "row long, col long"), 2.0).collect()
+        assert len(got) == len(cells) + 1
+        for g in got:
+            want = None if g.row is None else 2.0 * min(math.hypot(g.row - r, g.col - c) for r, c in marks)
+            assert (g.dist is None) if want is None else math.isclose(g.dist, want, rel_tol=1e-12)
+    none = distance.transform(df, df.select("row", "col").limit(0)).where("row is not null").collect()
+    assert all(g.dist == math.inf for g in none) and distance.transform(df.limit(0), df.select("row", "col")).count() == 0
+
+
+def test_hull_and_calipers(spark):
+    rnd = np.random.default_rng(5)
+    clouds = [rnd.random((n, 2)) * 10 for n in (3, 5, 40, 300)] + [rnd.integers(0, 4, (25, 2)).astype(float) for _ in range(6)]
+    turn = np.linspace(0, 2 * np.pi, 10_000, endpoint=False)
+    clouds += [np.stack([3 * np.cos(turn), np.sin(turn)], 1), np.array([[1.0, 2.0], [4.0, 6.0], [2.5, 4.0]]), np.array([[1.0, 1.0]])]
+    df = spark.createDataFrame([(k, [{"x": float(x), "y": float(y)} for x, y in c]) for k, c in enumerate(clouds)] + [(99, None)], "k long, p array<struct<x:double,y:double>>")
+    for r in df.select("k", G.convex_hull(F.col("p")).alias("h"), G.rotated_rectangle(F.col("p")).alias("b")).collect():
+        if r.k == 99:
+            assert r.h is None and r.b.long is None
+            continue
+        c, h = clouds[r.k], np.array([(p.x, p.y) for p in r.h])
+        if len(h) < 3:
+            assert (r.b.long, r.b.short) == ((5.0, 0.0) if len(h) == 2 else (None, None))
+            continue
+        a, b = h, np.roll(h, -1, 0)
+        cross = (b - a)[:, 0, None] * (c[None, :, 1] - a[:, 1, None]) - (b - a)[:, 1, None] * (c[None, :, 0] - a[:, 0, None])
+        assert (cross > -1e-9).all() and {tuple(p) for p in h} <= {tuple(p) for p in c}
+        u = (b - a) / np.hypot(*(b - a).T)[:, None]
+        w, t = np.ptp(u @ h.T, axis=1), np.ptp(np.stack([-u[:, 1], u[:, 0]], 1) @ h.T, axis=1)
+        assert math.isclose(r.b.long * r.b.short, (w * t).min(), rel_tol=1e-9) and r.b.long >= r.b.short

@@ -102,18 +102,73 @@ def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.array(p(x0, y0), p(x1, y0), p(x1, y1), p(x0, y1))
 
 
-def rotated_rectangle(ring: Column) -> Column:
-    """struct(long, short): the sides of the smallest rectangle round the ring. It has the direction of some two of the points."""
+def _hull(xy: np.ndarray) -> np.ndarray:
+    """The corners of the convex hull, anticlockwise from the least (x, y), by the monotone chain; points on its sides are left out."""
+    points = np.unique(xy[np.lexsort((xy[:, 1], xy[:, 0]))], axis=0).tolist()
+    if len(points) < 3:
+        return np.array(points).reshape(-1, 2)
+
+    def half(run) -> list:
+        out = []
+        for p in run:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    return np.array(half(points) + half(points[::-1]))
+
+
+def _points(ring) -> np.ndarray:
+    return np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2)
+
 
-    def along(a: Column, b: Column) -> Column:
-        ux, uy = (b["x"] - a["x"]) / F.hypot(b["x"] - a["x"], b["y"] - a["y"]), (b["y"] - a["y"]) / F.hypot(b["x"] - a["x"], b["y"] - a["y"])
-        s, t = F.transform(ring, lambda p: p["x"] * ux + p["y"] * uy), F.transform(ring, lambda p: p["y"] * ux - p["x"] * uy)
-        w, h = F.array_max(s) - F.array_min(s), F.array_max(t) - F.array_min(t)
-        return F.struct((w * h).alias("area"), F.greatest(w, h).alias("long"), F.least(w, h).alias("short"))
+def convex_hull(ring: Column) -> Column:
+    """The corners of the convex hull of a ring's, line's or cloud's points, anticlockwise; n log n in the points. NULL stays."""
 
-    pairs = F.flatten(F.transform(ring, lambda a: F.transform(F.filter(ring, lambda b: (a["x"] != b["x"]) | (a["y"] != b["y"])), lambda b: along(a, b))))
-    best = F.array_min(pairs)
-    return F.struct(best["long"].alias("long"), best["short"].alias("short"))
+    @F.pandas_udf("array<struct<x:double,y:double>>")
+    def run(rings: pd.Series) -> pd.Series:
+        return rings.map(lambda r: None if r is None else [{"x": x, "y": y} for x, y in _hull(_points(r)).tolist()])
+
+    return run(ring)
+
+
+def rotated_rectangle(ring: Column) -> Column:
+    """struct(long, short): the sides of the smallest rectangle round the ring, one of which lies on a side of the hull. NULL without two different points.
+
+    Calipers turn round the hull: the corners that lie farthest along, against and across a side only move on from side to side.
+    """
+
+    @F.pandas_udf("long double, short double")
+    def run(rings: pd.Series) -> pd.DataFrame:
+        def sides(points) -> tuple[float | None, float | None]:
+            h = _hull(_points(points)) if points is not None else np.empty((0, 2))
+            if len(h) < 3:
+                return (float(np.hypot(*(h[1] - h[0]))), 0.0) if len(h) == 2 else (None, None)
+            n, corners, best = len(h), h.tolist(), None
+            far, high, back = 0, 0, None
+            for i in range(n):
+                (ax, ay), (bx, by) = corners[i], corners[(i + 1) % n]
+                size = math.hypot(bx - ax, by - ay)
+                ux, uy = (bx - ax) / size, (by - ay) / size
+                along = lambda k: corners[k % n][0] * ux + corners[k % n][1] * uy  # noqa: B023, E731
+                across = lambda k: corners[k % n][1] * ux - corners[k % n][0] * uy  # noqa: B023, E731
+                far = max(far, i + 1)
+                while along(far + 1) > along(far):
+                    far += 1
+                high = max(high, far)
+                while across(high + 1) > across(high):
+                    high += 1
+                back = max(back or 0, high)
+                while along(back + 1) < along(back):
+                    back += 1
+                w, t = along(far) - along(back), across(high) - across(i)
+                best = min(best or (math.inf,), (w * t, max(w, t), min(w, t)))
+            return best[1:]
+
+        return pd.DataFrame([sides(r) for r in rings], columns=["long", "short"])
+
+    return run(ring)
 
 
 def simplified(line: Column, tolerance: float) -> Column:

@@ -146,30 +146,37 @@ def in_zone(cells: DataFrame, zone: DataFrame) -> DataFrame:
 def rasterise(polygons: DataFrame, ring: str, res: float, left: float, top: float, all_touched: bool = False) -> DataFrame:
     """polygons (other columns, ring) to their cells (row, col): those whose centre is inside, or all that the polygon touches.
 
-    Rows are dealt out first, then the stretch of columns that the ring spans in each, so no cell is tried in vain far from the polygon.
+    Rows are dealt out first. In each, the ring's crossings of the row's middle, in order, bound the stretches of columns inside; with all_touched the stretches
+    that the sides pass in the row count as well. So no cell outside is tried.
     """
-    e = G.edges(F.col(ring))
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
     keep = [c for c in polygons.columns if c != ring]
-    rows = F.sequence(F.floor((F.lit(top) - F.array_max(ys)) / res), F.floor((F.lit(top) - F.array_min(ys)) / res))
-    by_row = polygons.withColumn("__edges", e).withColumn("row", F.explode(rows))
-    cols = F.sequence(F.floor((F.array_min(xs) - left) / res), F.floor((F.array_max(xs) - left) / res))
-    cell = by_row.withColumn("col", F.explode(cols))
-    x, y = centre(F.col("row"), F.col("col"), res, left, top)
-    inside = G.contains(F.col(ring), x, y)
+    box = G.box_of(F.col(ring))
+    at = polygons.withColumns({"__edges": G.edges(F.col(ring)), "__box": box})
+    rows = F.sequence(F.floor((F.lit(top) - F.col("__box.y1")) / res), F.floor((F.lit(top) - F.col("__box.y0")) / res))
+    at = at.withColumn("row", F.explode(rows))
+    first, last = F.floor((F.col("__box.x0") - left) / res), F.floor((F.col("__box.x1") - left) / res)
+    _, y = centre(F.col("row"), F.lit(0), res, left, top)
+    crossed = F.filter("__edges", lambda e: (e["a"]["y"] > y) != (e["b"]["y"] > y))
+    xs = F.sort_array(F.transform(crossed, lambda e: e["a"]["x"] + (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"])))
+    at = at.withColumn("__xs", xs)
+    pairs = F.when(F.size("__xs") > 1, F.sequence(F.lit(0), F.size("__xs") - 2, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    column = lambda x: F.ceil((x - left) / res - 0.5)  # noqa: E731  of the first centre at x or after
+    spans = F.transform(pairs, lambda k: F.struct(column(F.get("__xs", k)).alias("lo"), (column(F.get("__xs", k + 1)) - 1).alias("hi")))
     if all_touched:
-        box = [F.lit(left) + F.col("col") * res, F.lit(top) - (F.col("row") + 1) * res, F.lit(left) + (F.col("col") + 1) * res, F.lit(top) - F.col("row") * res]
-        inside = inside | F.exists("__edges", lambda s: _meets(s["a"], s["b"], *box))
-    return cell.where(inside).select(*keep, "row", "col")
-
-
-def _meets(a: Column, b: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
-    """Whether a segment meets a box: by its extent, and as the box's corners aren't all on one side of its line."""
-    side = lambda x, y: F.signum((b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"]))
-    sides = F.array(side(x0, y0), side(x1, y0), side(x0, y1), side(x1, y1))
-    apart = (F.array_min(sides) > 0) | (F.array_max(sides) < 0)
-    reach = (F.greatest(a["x"], b["x"]) >= x0) & (F.least(a["x"], b["x"]) <= x1) & (F.greatest(a["y"], b["y"]) >= y0) & (F.least(a["y"], b["y"]) <= y1)
-    return reach & ~apart
+        low, high = F.lit(top) - (F.col("row") + 1) * res, F.lit(top) - F.col("row") * res
+        reach = F.filter("__edges", lambda e: (F.greatest(e["a"]["y"], e["b"]["y"]) >= low) & (F.least(e["a"]["y"], e["b"]["y"]) <= high))
+
+        def passed(e: Column) -> Column:
+            """The columns of a side's part within the row."""
+            a, b = e["a"], e["b"]
+            t = lambda v: (F.least(F.greatest(v, F.least(a["y"], b["y"])), F.greatest(a["y"], b["y"])) - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0))
+            one, two = (a["x"] + F.coalesce(t(v), F.lit(float(k))) * (b["x"] - a["x"]) for k, v in enumerate((low, high)))
+            return F.struct((F.ceil((F.least(one, two) - left) / res) - 1).alias("lo"), F.floor((F.greatest(one, two) - left) / res).alias("hi"))
+
+        spans = F.concat(spans, F.transform(reach, passed))
+    cut = F.transform(spans, lambda s: F.struct(F.greatest(s["lo"], first).alias("lo"), F.least(s["hi"], last).alias("hi")))
+    cols = F.transform(F.filter(cut, lambda s: s["lo"] <= s["hi"]), lambda s: F.sequence(s["lo"], s["hi"]))
+    return at.select(*keep, "row", F.explode(F.array_distinct(F.flatten(cols))).alias("col"))
 
 
 def cross_profile(lines: DataFrame, x: str, y: str, dx: str, dy: str, half: int = 300, step: int = 5) -> DataFrame:

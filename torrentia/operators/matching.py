@@ -105,17 +105,21 @@ def match_radar(storms: DataFrame, radar: DataFrame, key: str, days: int = 3) ->
 
 
 def overlap_share(sheets: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
-    """sheets (sid, ring) and areas (aid, ring, convex) that overlap, with the per cent of the area that the sheet covers. They meet in the cells of a grid."""
+    """sheets (sid, ring) and areas (aid, ring, convex) that overlap, with the per cent of the area that the sheet covers. They meet in the cells of a grid, and are clipped where their boxes overlap."""
 
     def gridded(df: DataFrame, name: str) -> DataFrame:
         of = lambda f, c: F.floor(f(F.transform("ring", lambda p: p[c])) / cell)
-        df = df.withColumnRenamed("ring", name).withColumn("ring", F.col(name))
+        df = df.withColumnRenamed("ring", name).withColumns({"ring": F.col(name), f"{name}_box": geometry.box_of(F.col(name))})
         df = df.withColumn("gx", F.explode(F.sequence(of(F.array_min, "x"), of(F.array_max, "x")))).withColumn("gy", F.explode(F.sequence(of(F.array_min, "y"), of(F.array_max, "y"))))
         return df.drop("ring")
 
     met = gridded(sheets, "sheet").join(gridded(areas, "area"), ["gx", "gy"]).drop("gx", "gy").dropDuplicates(["sid", "aid"])
-    share = 100 * geometry.overlap_area(F.col("sheet"), F.col("area")) / geometry.area(F.col("area"))
-    return met.select("sid", "aid", share.alias("pct")).where("pct > 0")
+    apart = " or ".join(f"sheet_box.{c}1 <= area_box.{c}0 or area_box.{c}1 <= sheet_box.{c}0" for c in "xy")
+    # a generator works the common part out once: as an expression it would be made again wherever its area names it
+    part = F.explode(F.array(geometry.clipped(F.col("sheet"), F.col("area"))))
+    common = met.where(f"not ({apart})").select("sid", "aid", "area", part.alias("part")).where(F.size("part") > 2)
+    whole = common.select("sid", "aid", F.explode(F.array(geometry.area(F.col("part")))).alias("common"), geometry.area(F.col("area")).alias("whole"))
+    return whole.where("common > 0").select("sid", "aid", (100 * F.col("common") / F.col("whole")).alias("pct"))
 
 
 def merged_lines(lines: DataFrame) -> DataFrame:

@@ -1,9 +1,7 @@
-"""Rain scenarios: grid, hyetograph, point infiltration, and the flow of rain over a small grid."""
+"""Rain scenarios: grid, hyetograph and point infiltration."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,53 +83,3 @@ def point_infiltration(rain: DataFrame, key: str, ks_mm_h: float, deficit: float
 
     end = steps.select(key, F.aggregate("steps", start, step).alias("e"))
     return end.select(key, (F.col("e.f") - 0.1).alias("infiltrated"), F.col("e.h").alias("left_over"))
-
-
-def rain_on_grid(tiles: DataFrame, storms: DataFrame, res: float = 30.0, ks_mm_h: float = 5.0, n_manning: float = 0.05, drain_h: float = 2.0) -> DataFrame:
-    """tiles (tile, row, col, z) with each tile's storm (tile, p_mm, dur_h) to rain, infiltrated, stored and outflow (mm), balance error (%) and the largest depth (m).
-
-    The local inertial scheme on a staggered grid with stability-limited steps, one tile a task; edges are open.
-    """
-    joined = tiles.join(storms, "tile")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = (pdf[k].to_numpy() - pdf[k].min() for k in ("row", "col"))
-        z = np.full((r.max() + 3, c.max() + 3), np.nan)
-        z[r + 1, c + 1] = pdf["z"]
-        inside = ~np.isnan(z)
-        z[~inside] = np.nanmin(z) - 1.0
-        p, dur = float(pdf["p_mm"].iloc[0]) / 1000, float(pdf["dur_h"].iloc[0]) * 3600
-        h, qx, qy = np.zeros_like(z), np.zeros((z.shape[0], z.shape[1] - 1)), np.zeros((z.shape[0] - 1, z.shape[1]))
-        f, rain, taken, out, peak, t, end = np.full_like(z, 1e-4), 0.0, 0.0, 0.0, np.zeros_like(z), 0.0, dur + drain_h * 3600
-        while t < end:
-            deep = max(float(h.max()), 1e-3)
-            dt = min(0.7 * res / (9.81 * deep) ** 0.5, 60.0, end - t, dur - t if t < dur else end)
-            add = np.where(inside, p / dur * dt if t < dur else 0.0, 0.0)
-            h += add
-            rain += add.sum()
-            soak = np.where(inside, np.minimum(ks_mm_h / 3.6e6 * (1 + SUCTION_M * 0.3 / f) * dt, h), 0.0)
-            h -= soak
-            f += soak
-            taken += soak.sum()
-            level = h + z
-            for q, a, b in ((qx, np.s_[:, :-1], np.s_[:, 1:]), (qy, np.s_[:-1, :], np.s_[1:, :])):
-                flow = np.maximum(level[a], level[b]) - np.maximum(z[a], z[b])
-                wet = flow > 1e-5
-                depth = np.where(wet, flow, 1.0)
-                q[:] = np.where(wet, (q - 9.81 * depth * dt * (level[b] - level[a]) / res) / (1 + 9.81 * dt * n_manning**2 * np.abs(q) / depth ** (7 / 3)), 0.0)
-                # no cell gives more than a fifth of its water through one face in a step
-                q[:] = np.clip(q, -h[b] * res / (5 * dt), h[a] * res / (5 * dt))
-            h[:, :-1] -= qx * dt / res
-            h[:, 1:] += qx * dt / res
-            h[:-1, :] -= qy * dt / res
-            h[1:, :] += qy * dt / res
-            out += h[~inside].sum()
-            h[~inside] = 0.0
-            np.maximum(peak, h, out=peak)
-            t += dt
-        n = inside.sum()
-        mm = [v * 1000 / n for v in (rain, taken, h.sum(), out)]
-        error = 100 * (mm[0] - mm[1] - mm[2] - mm[3]) / mm[0] if mm[0] else 0.0
-        return pd.DataFrame([(pdf["tile"].iloc[0], *mm, error, peak[inside].max())], columns=["tile", "rain_mm", "infiltrated_mm", "stored_mm", "outflow_mm", "error_pct", "h_max_m"])
-
-    return joined.groupBy("tile").applyInPandas(run, "tile long, rain_mm double, infiltrated_mm double, stored_mm double, outflow_mm double, error_pct double, h_max_m double")

@@ -121,12 +121,6 @@ def greenampt_point(spark, d):
     return out.select("p_partkey", F.round("infiltrated", 4).alias("infiltrated"), F.round("left_over", 4).alias("left_over"))
 
 
-def rain_on_grid_small(spark, d):
-    cells = _cells(spark, d)
-    storms = cells.groupBy("tile").agg((50.0 + F.pmod(F.sum("cell"), F.lit(100))).alias("p_mm"), F.lit(3.0).alias("dur_h"))
-    return rain.rain_on_grid(cells.select("tile", "row", "col", "z"), storms)
-
-
 def dinf_pointer(spark, d):
     return terrain.dinf_pointer(_cells(spark, d)).select("cell", F.round("angle", 6).alias("angle"), F.round("slope", 6).alias("slope"))
 
@@ -185,7 +179,7 @@ def verdict_missing_inputs(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     d8_pointer, flow_accumulation, stream_cells, hand, watershed, terrain_gradients, wetness_index, fill_depressions, depressions, conditioned_pointer, conditioned_hand, flow_paths, scenario_grid, scenario_hyetograph,
-    greenampt_point, dinf_pointer, dinf_accumulation, breach_depressions, scenario_fingerprints, stale_runs, ensemble_runs, rain_on_grid_small, indicator_rules_verdict, verdict_missing_inputs,
+    greenampt_point, dinf_pointer, dinf_accumulation, breach_depressions, scenario_fingerprints, stale_runs, ensemble_runs, indicator_rules_verdict, verdict_missing_inputs,
 )}
 
 CELLS = f"""c AS (SELECT p_partkey AS cell, (p_partkey - 1) // {WIDTH} AS row, (p_partkey - 1) % {WIDTH} AS col,

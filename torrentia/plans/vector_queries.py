@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from torrentia.functions import geometry as G
-from torrentia.operators import gridded, lines, matching, polygons, terrain
+from torrentia.operators import distance, gridded, lines, matching, polygons, terrain
 from torrentia.plans.terrain_queries import CELLS, FILL, WAYS, WIDTH, _cells, _streams, _table
 from torrentia.scratch import written
 
@@ -119,8 +119,30 @@ def reprojected_boxes(spark, d):
     return b.select("s_suppkey", *[F.round(f"b.{c}", 7).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
+def _marks(spark, d):
+    return _table(spark, d, "part").where("p_size >= 47").select(F.expr(f"(p_partkey - 1) div {WIDTH}").alias("row"), ((F.col("p_partkey") - 1) % WIDTH).alias("col"))
+
+
+def water_distance(spark, d):
+    """From each part's cell to the nearest one of the largest sizes, in cells of 30 m."""
+    return _rounded(distance.transform(_cells(spark, d).select("cell", "row", "col"), _marks(spark, d), 30.0), "dist")
+
+
+def water_buffer(spark, d):
+    """The cells within 70 m of those of the largest sizes."""
+    return distance.buffer(_cells(spark, d).select("cell", "row", "col"), _marks(spark, d), 70.0, 30.0).select("cell")
+
+
+def customer_hulls(spark, d):
+    """The convex hull of each nation's customers' places, and the smallest rectangle round it."""
+    c = _table(spark, d, "customer").groupBy("c_nationkey").agg(F.collect_list(F.struct((F.col("c_acctbal") / 100).alias("x"), ((F.col("c_custkey") % 89) * 1.0).alias("y"))).alias("points"))
+    c = c.withColumn("hull", G.convex_hull(F.col("points"))).withColumn("box", G.rotated_rectangle(F.col("points")))
+    return c.select("c_nationkey", F.size("hull").cast("long").alias("corners"), F.round(G.area(F.col("hull")), 5).alias("area"), F.round("box.long", 5).alias("long"), F.round("box.short", 5).alias("short"))
+
+
 QUERIES = {f.__name__: f for f in (
     depression_polygons, class_polygons, stream_lines, stream_samples, stream_agreement, line_positions, resampled_bilinear, resampled_coarse, web_grid_values, inverse_transverse_mercator, reprojected_boxes,
+    water_distance, water_buffer, customer_hulls,
 )}
 
 # rings told by their corners: of the four cells round a corner one or three have the label where a ring turns, two across a diagonal where it turns twice
@@ -182,7 +204,19 @@ def _forward_sql(source: str, meridian: float, north: float) -> str:
       f2 AS (SELECT *, atan2(t, cos(away)) AS xi, atanh(sin(away) / sqrt(1 + t * t)) AS eta FROM f1), f3 AS (SELECT *, 500000 + {radius!r}::DOUBLE * ({x}) AS x, {north!r} + {radius!r}::DOUBLE * ({y}) AS y FROM f2)"""
 
 
+AWAY_FROM = f"""WITH c AS (SELECT p_partkey AS cell, (p_partkey - 1) // {WIDTH} AS row, (p_partkey - 1) % {WIDTH} AS col, p_size FROM part),
+    d AS (SELECT a.cell, a.row, a.col, 30 * sqrt(min(pow(a.row - b.row, 2) + pow(a.col - b.col, 2))) AS dist FROM c a, c b WHERE b.p_size >= 47 GROUP BY ALL)"""
+# a pair of points bounds the hull if no point lies to its right, nor on its line beyond either end; the smallest rectangle lies on such a side
+HULL = """WITH p AS (SELECT DISTINCT c_nationkey AS k, c_acctbal / 100 AS x, (c_custkey % 89) * 1.0 AS y FROM customer), pr AS (SELECT a.k, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_ FROM p a JOIN p b ON a.k = b.k AND (a.x <> b.x OR a.y <> b.y)),
+    s AS (SELECT pr.*, count(*) FILTER ((bx - ax) * (y - ay) - (by_ - ay) * (x - ax) < 0 OR (bx - ax) * (y - ay) = (by_ - ay) * (x - ax) AND NOT (x BETWEEN least(ax, bx) AND greatest(ax, bx) AND y BETWEEN least(ay, by_) AND greatest(ay, by_))) AS bad FROM pr JOIN p USING (k) GROUP BY ALL HAVING bad = 0),
+    u AS (SELECT *, (bx - ax) / sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS ux, (by_ - ay) / sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS uy FROM s),
+    e AS (SELECT u.k, ax, ay, bx, by_, max(x * ux + y * uy) - min(x * ux + y * uy) AS w, max(y * ux - x * uy) - min(y * ux - x * uy) AS h FROM u JOIN p USING (k) GROUP BY u.k, ax, ay, bx, by_, ux, uy)
+    SELECT k AS c_nationkey, count(*) AS corners, round(sum(ax * by_ - bx * ay) / 2, 5) AS area, round(arg_min(greatest(w, h), w * h), 5) AS long, round(arg_min(least(w, h), w * h), 5) AS short FROM e GROUP BY k"""
+
 SQL = {
+    "water_distance": f"{AWAY_FROM} SELECT cell, row, col, round(dist, 6) AS dist FROM d",
+    "water_buffer": f"{AWAY_FROM} SELECT cell FROM d WHERE dist <= 70",
+    "customer_hulls": HULL,
     "depression_polygons": f"WITH RECURSIVE {CELLS}, {FILL}, sk AS (SELECT fl.cell, row, col, 1 AS value FROM fl JOIN c USING (cell) WHERE f > z), {LABELLED}, {CORNERS}",
     "class_polygons": f"WITH RECURSIVE sk AS (SELECT p_partkey AS cell, (p_partkey - 1) // {WIDTH} AS row, (p_partkey - 1) % {WIDTH} AS col, p_size // 18 AS value FROM part), {LABELLED}, {CORNERS}",
     "stream_lines": f"WITH RECURSIVE {CELLS}, {WAYS}, {LINES} SELECT sid, line, false AS closed, seq, reversed, round(before, 6) AS before, round(total, 6) AS total FROM ln",
