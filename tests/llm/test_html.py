@@ -127,3 +127,23 @@ def test_given_pages_by_a_plain_reading(spark):
         body = re.search(r"<article>(.*?)(</article>|<footer|$)", r.html or "", re.S).group(1)
         body = re.sub(r"</?(p|h1|br)\b[^>]*>", " ", body)
         assert got[r.page_id] == " ".join(html.unescape(re.sub(r"<[^>]*>", "", body)).split())
+
+
+@pytest.mark.parametrize("name", ["share", "search", "notice", "social", "widget"])
+def test_class_words_drop_no_varying_text_of_an_article(spark, name):
+    """Text that varies stays whatever its class; text that all pages have goes; reader comments go."""
+    body = f"<article><p>{{said}}</p><section class='{name}'><p>{{said}} in short {{i}}</p></section><div class='{name}'><p>Follow us here</p></div><div class='comments'><p>nice {{i}}</p></div></article>"
+    said, rows = pages("<nav>menu</nav>" + body)
+    got = texts(spark, rows)
+    assert all(got[i] == f"{t} {t} in short {i}" for i, t in enumerate(said))
+
+
+def test_given_pages_without_article_tags(spark):
+    """The given pages with their article and main tags made plain: the template finds the same text on nearly all of them, and matters."""
+    rows = [(r.page_id, r.url, r.html) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()]
+    masked = [(i, u, h and __import__("re").sub(r"(?i)<(/?)(article|main)\b[^>]*>", r"<\1div>", h)) for i, u, h in rows]
+    whole, plain = texts(spark, rows), texts(spark, masked)
+    assert whole.keys() == plain.keys()
+    same = sum(whole[i] == plain[i] for i in whole)
+    print(same, len(whole))
+    assert same >= 0.9 * len(whole)

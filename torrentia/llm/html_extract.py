@@ -62,7 +62,7 @@ REMARKS = frozenset("comment comments reply replies ad related promo sponsored".
 
 
 #: What `choose` knows of a node.
-CONTAINER, MAIN, IS_ARTICLE, NAMED, HEADING = 1, 2, 4, 8, 16
+CONTAINER, MAIN, IS_ARTICLE, NAMED, HEADING, REMARK = 1, 2, 4, 8, 16, 32
 
 
 class Node:
@@ -127,7 +127,7 @@ class Dom(HTMLParser):
         is_named = bool(words & SKIP_WORDS) and tag not in ("html", "body", "main")
         main = (tag in ("article", "main") or named.get("role") == "main") and not (is_named and words & REMARKS)
         top = tag == "header" and not self._inside_main(parent)
-        flags = CONTAINER * (tag in CONTAINERS) | MAIN * main | IS_ARTICLE * (main and tag == "article") | NAMED * ((is_named and not main) or top) | HEADING * (tag in ("h1", "h2"))
+        flags = CONTAINER * (tag in CONTAINERS) | MAIN * main | IS_ARTICLE * (main and tag == "article") | NAMED * ((is_named and not main) or top) | HEADING * (tag in ("h1", "h2")) | REMARK * bool(words & REMARKS)
         node = Node(tag, f"{tag}.{named.get('class') or ''}" if block else tag, parent, parent.hard or tag in SKIP_TAGS or "hidden" in named, flags)
         if block:
             owner = parent
@@ -297,9 +297,11 @@ def choose(up: list[int], label: list[int], flags: list[int], owner: list[int],
         alive |= within
     if not alive.any():
         alive[:] = True
-    w, left = weigh(alive), alive.copy()
+    w, left, varying = weigh(alive), alive.copy(), weigh(~(np.array(constant, bool) | np.array(few, bool)))
     for i in range(n):
         if flags[i] & NAMED and not holds[i]:
+            if inside[i] >= 0 and not flags[i] & REMARK and varying[i]:
+                continue  # within an article such a name counts only where the pages show that its text is template
             base = inside[i] if inside[i] >= 0 else 0
             if w[i] < MOST * w[base] or (mains and inside[i] < 0):
                 left &= (owner < i) | (owner >= end[i])
