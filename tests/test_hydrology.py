@@ -41,6 +41,45 @@ def flooded(z):
     return out
 
 
+@pytest.mark.parametrize(("seed", "levels", "holes", "reach"), [(4, None, 0, 50), (5, 2, 5, 50), (6, None, 0, 2)])
+def test_breaching_digs_the_cheapest_ditches_whatever_the_tiles(spark, seed, levels, holes, reach):
+    z, cells = surface(spark, seed, levels=levels, holes=holes)
+    n, m = z.shape
+    inside = lambda i, j: 0 <= i < n and 0 <= j < m and not np.isnan(z[i, j])
+    around = lambda p: [(p[0] + a, p[1] + b) for a, b in STEPS]
+    closed = {(i, j) for i in range(n) for j in range(m) if inside(i, j) and all(inside(*q) for q in around((i, j)))}
+    want = z.copy()
+    for pit in closed:
+        floor = z[pit]
+        if any(z[q] < floor for q in around(pit)):
+            continue
+        layer, best = {pit: (0.0, None)}, None
+        layers = [layer]
+        for k in range(1, reach + 1):
+            after = {}
+            for p, (cost, _) in layer.items():
+                if k > 1 and (z[p] < floor or p not in closed):
+                    continue
+                for q in around(p):
+                    if inside(*q):
+                        d = (cost + max(0.0, z[q] - floor), p)
+                        if q not in after or d < after[q]:
+                            after[q] = d
+            layers.append(layer := after)
+            for q, (cost, _) in layer.items():
+                if (z[q] < floor or q not in closed) and (best is None or (cost, k, q) < best):
+                    best = (cost, k, q)
+            if best and k > 12:
+                break
+        if best:
+            at = best[2]
+            for k in range(best[1], -1, -1):
+                want[at] = min(want[at], floor)
+                at = layers[k][at][1]
+    got = {r.cell: r.breached for r in terrain.breach(cells, reach).collect()}
+    assert len(got) == z.size and all((v is None and np.isnan(want.flat[c])) or v == want.flat[c] for c, v in got.items())
+
+
 @pytest.mark.parametrize(("seed", "levels", "holes"), [(1, None, 0), (2, 2, 0), (3, 1, 6)])
 def test_fill_is_the_flood_and_all_cells_drain(spark, seed, levels, holes):
     z, cells = surface(spark, seed, levels=levels, holes=holes)

@@ -1,16 +1,14 @@
 """Terrain hydrology over cell tables (cell, row, col, z): gradients, D8 flow, drainage height, watersheds, depressions.
 
 Neighbourhoods are an equi-join: each cell is dealt to its eight neighbours' places. Filling, draining flats and spreading
-flow run over the whole raster as joins: no result depends on tiles. Breaching alone works tile by tile.
+flow and breaching run over the whole raster as joins: no result depends on tiles.
 """
 
 from __future__ import annotations
 
-import heapq
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -188,36 +186,45 @@ def flow_paths(pointers: DataFrame, starts: DataFrame) -> DataFrame:
     return graph.paths(pointers, starts)
 
 
-def breach(cells: DataFrame, max_dist: int = 50, tile: str = "tile") -> DataFrame:
-    """cells with breached: from each pit the cheapest ditch (by depth dug) to a lower cell or the tile's edge, at most max_dist cells long, is dug."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        z = {(r, c): v for r, c, v in zip(pdf["row"], pdf["col"], pdf["z"], strict=True)}
-        edge = {p for p in z if any((p[0] + dr, p[1] + dc) not in z for _, dr, dc in D8)}
-        pits = sorted((p for p in z if p not in edge and all(z[p[0] + dr, p[1] + dc] >= z[p] for _, dr, dc in D8)), key=lambda p: (z[p], p))
-        for pit in pits:
-            floor, cost, back, queue, end = z[pit], {pit: 0.0}, {pit: None}, [(0.0, 0, pit)], None
-            while queue:
-                c, steps, p = heapq.heappop(queue)
-                if p != pit and (z[p] < floor or p in edge):
-                    end = p
-                    break
-                if steps == max_dist or c > cost[p]:
-                    continue
-                for _, dr, dc in D8:
-                    q = (p[0] + dr, p[1] + dc)
-                    if q in z:
-                        d = c + max(0.0, z[q] - floor)
-                        if d < cost.get(q, float("inf")):
-                            cost[q], back[q] = d, p
-                            heapq.heappush(queue, (d, steps + 1, q))
-            while end is not None:
-                z[end] = min(z[end], floor)
-                end = back[end]
-        return pdf.assign(breached=[z[r, c] for r, c in zip(pdf["row"], pdf["col"], strict=True)])
-
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema) + ", breached double"
-    return cells.groupBy(tile).applyInPandas(run, kind)
+def breach(cells: DataFrame, max_dist: int = 50) -> DataFrame:
+    """cells with breached: from each pit the cheapest ditch of max_dist steps at most to a lower cell, or to one beside a missing one or the edge, is dug to the pit's height.
+
+    A step costs what is dug there. All ditches are found on the surface as it is, over the whole raster, and dug at once, so the result
+    depends on no order and no tiles; of equally dear ditches the one with fewer steps, then with the lesser end is dug, on its way the lesser cells.
+    Rounds of joins go on a step from the cells reached; a way that is dearer than the pit's best end, or than a shorter way to the same cell, isn't followed.
+    """
+    valid = cells.where("z is not null")
+    n = written(neighbours(valid).select("cell", "z", "n_cell", "n_z"))
+    inner = n.groupBy("cell", "z").agg(F.count(F.lit(1)).alias("n"), F.min("n_z").alias("low")).where("n = 8")
+    pits = written(inner.where("low >= z").select(F.col("cell").alias("pit"), F.col("z").alias("floor")))
+    open_ = written(valid.select(F.col("cell").alias("e")).join(inner.select(F.col("cell").alias("e")), "e", "left_anti"))
+    step = n.select(F.col("cell").alias("at"), F.col("n_cell").alias("cell"), "n_z")
+    front = pits.select("pit", "floor", F.col("pit").alias("cell"), F.lit(0.0).alias("cost"))
+    seen, best, layers = front.select("pit", "cell", "cost"), None, []
+    for k in range(1, max_dist + 1):
+        on = front.withColumnRenamed("cell", "at").join(step, "at")
+        cost = F.col("cost") + F.greatest(F.lit(0.0), F.col("n_z") - F.col("floor"))
+        on = on.groupBy("pit", "floor", "cell", "n_z").agg(F.min(F.struct(cost.alias("cost"), F.col("at").alias("back"))).alias("m"))
+        on = on.join(open_, F.col("cell") == F.col("e"), "left").select("pit", "floor", "cell", "m.cost", "m.back", (F.col("e").isNotNull() | (F.col("n_z") < F.col("floor"))).alias("is_end"))
+        known = seen.groupBy("pit", "cell").agg(F.min("cost").alias("was"))
+        now = written(on.join(known, ["pit", "cell"], "left").where("was is null or cost < was").drop("was"))
+        layers.append(now.select("pit", "cell", "back"))
+        ends = now.where("is_end").select("pit", "floor", F.struct("cost", F.lit(k).alias("steps"), "cell").alias("end"))
+        best = written((ends if best is None else best.unionByName(ends)).groupBy("pit", "floor").agg(F.min("end").alias("end")))
+        bound = best.select("pit", F.col("end.cost").alias("bound"))
+        front = written(now.where("not is_end").join(bound, "pit", "left").where("bound is null or cost < bound").select("pit", "floor", "cell", "cost"))
+        seen = written(seen.unionByName(now.select("pit", "cell", "cost")))
+        if not front.limit(1).count():
+            break
+    if best is None:
+        return cells.withColumn("breached", F.col("z"))
+    way, dug = best.where("false").select("pit", "floor", F.col("pit").alias("cell")), []
+    for k in range(len(layers), 0, -1):
+        way = way.unionByName(best.where(F.col("end.steps") == k).select("pit", "floor", "end.cell"))
+        dug.append(way.select("floor", "cell"))
+        way = written(way.join(layers[k - 1], ["pit", "cell"]).select("pit", "floor", F.col("back").alias("cell")))
+    ditch = reduce(lambda a, b: a.union(b), dug).groupBy(F.col("cell").alias("k")).agg(F.min("floor").alias("floor"))
+    return cells.join(ditch, F.col("cell") == F.col("k"), "left").select(*cells.columns, F.least("z", F.coalesce("floor", "z")).alias("breached"))
 
 
 def depressions(filled: DataFrame, res: float = 1.0, area: DataFrame | None = None, lot: DataFrame | None = None) -> DataFrame:

@@ -250,7 +250,15 @@ def _otsu(src: str, key: str, value: str) -> str:
 
 
 NUM = "translate(format('{{:,.{0}f}}', {1}), ',.', '.,')"
+def _cdf(x: str) -> str:
+    """The normal distribution function by the series of erf, which beyond 5 is 1 to sixteen digits."""
+    v = f"(greatest(-5.0, least(5.0, ({x}) / sqrt(2))))"
+    return f"(0.5 + list_sum(list_transform(range(0, 90), lambda k: pow(-1, k) * pow({v}, 2 * k + 1) / (gamma(k + 1) * (2 * k + 1)))) / sqrt(pi()))"
+
+
 SQL = {
+    "hand_uncertainty": f"""WITH p AS (SELECT p_brand, p_type, min(p_retailprice) / 1000 AS h FROM part GROUP BY ALL), g AS (SELECT p_brand, min(h) AS h, greatest(1.0, coalesce(stddev_samp(h), 0)) AS s FROM p GROUP BY p_brand)
+        SELECT p_brand, round(s, 2) AS sigma, round(100 * {_cdf("(0.5 - h) / s")}, 1) AS p_lt05, round(100 * {_cdf("(1 - h) / s")}, 1) AS p_lt1 FROM g""",
     "zonal_stats": f"WITH {CELLS} SELECT zone, round(min(value), 6) AS lo, round(max(value), 6) AS hi, round(avg(value), 6) AS mean, count(value) AS valid, count(*) AS n_cells FROM z GROUP BY zone",
     "zonal_pct_null_policies": f"WITH {CELLS} SELECT zone, round(100 * avg(CAST(coalesce(value <= 36, false) AS INT)), 6) AS of_all, round(100 * avg(CAST(value <= 36 AS INT)), 6) AS of_valid FROM z GROUP BY zone",
     "mode_tiebreak": "SELECT p_brand, p_size, n FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_size) AS k FROM (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY ALL)) WHERE k = 1",

@@ -131,7 +131,8 @@ def dinf_accumulation(spark, d):
 
 
 def breach_depressions(spark, d):
-    return terrain.breach(_cells(spark, d)).select("cell", F.round("breached", 6).alias("breached"))
+    """Ditches of six cells at most."""
+    return terrain.breach(_cells(spark, d), 6).select("cell", F.round("breached", 6).alias("breached"))
 
 
 def scenario_fingerprints(spark, d):
@@ -253,7 +254,15 @@ def _verdict(src: str) -> str:
       coalesce(string_agg(indicator, ',' ORDER BY indicator) FILTER (WHERE gone), '') AS missing FROM ht GROUP BY ALL)"""
 
 
+# ways from each pit in layers of steps, each with its cheapest predecessor; then back along them from the best end
+BREACH = f"""{CELLS}, i8 AS (SELECT cell, z, min(n_z) AS low FROM nb GROUP BY cell, z HAVING count(*) = 8), pt AS (SELECT cell AS pit, z AS flr FROM i8 WHERE low >= z),
+ly AS (SELECT 0 AS k, pit, flr, pit AS cell, CAST(0 AS DOUBLE) AS cost, CAST(NULL AS BIGINT) AS back, false AS done FROM pt
+  UNION ALL SELECT k + 1, pit, flr, n_cell, min(cost + greatest(0, n_z - flr)), arg_min(ly.cell, (cost + greatest(0, n_z - flr), ly.cell)), any_value(n_z < flr OR n_cell NOT IN (SELECT cell FROM i8)) FROM ly JOIN nb ON nb.cell = ly.cell WHERE k < 6 AND NOT done GROUP BY k, pit, flr, n_cell),
+be AS (SELECT pit, flr, arg_min(k, (cost, k, cell)) AS k, arg_min(cell, (cost, k, cell)) AS cell FROM ly WHERE done GROUP BY pit, flr),
+wb AS (SELECT k, pit, flr, cell FROM be UNION ALL SELECT wb.k - 1, wb.pit, wb.flr, ly.back FROM wb JOIN ly ON ly.k = wb.k AND ly.pit = wb.pit AND ly.cell = wb.cell WHERE wb.k > 0)"""
+
 SQL = {
+    "breach_depressions": f"WITH RECURSIVE {BREACH}, dg AS (SELECT cell, min(flr) AS flr FROM wb GROUP BY cell) SELECT c.cell, round(least(z, coalesce(flr, z)), 6) AS breached FROM c LEFT JOIN dg USING (cell)",
     "d8_pointer": f"WITH {CELLS} SELECT cell, next, CAST(code AS INT) AS code, round(length, 6) AS length FROM p",
     "flow_accumulation": f"WITH RECURSIVE {CELLS}, {WAYS} SELECT cell, area FROM ac",
     "stream_cells": f"WITH RECURSIVE {CELLS}, {WAYS} SELECT cell FROM ac WHERE area >= 12",
