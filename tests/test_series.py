@@ -5,6 +5,7 @@ import random
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from torrentia.operators import extremes, matching, series
@@ -102,3 +103,11 @@ def test_scenes_before_and_after(spark):
     assert got == {1: (day(3), day(13)), 2: (day(3), day(13)), 3: (day(27), None)}
     near = {r.event_id: (r.scene, r.days) for r in matching.nearest_within(events, scenes, "k").collect()}
     assert near == {1: (day(13), 1), 2: (day(13), 0), 3: (None, None)}
+
+
+@pytest.mark.parametrize(("n", "part", "full"), [(1, 4, True), (5, 5, True), (5, 7, False), (12, 3, True), (30, 16, False)])
+def test_rolling_sums_in_parts_are_those_of_the_whole(spark, n, part, full):
+    rows = [(k, dt.datetime(1969, 12, 30) + dt.timedelta(hours=i), None if (i * 7 + len(k)) % 11 == 0 else float(i * 13 % 17)) for k in ("a", "bb") for i in range(100)]
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz, mm double")
+    key = lambda r: (r.k, r.t, r.roll)
+    assert sorted(map(key, series.rolling_sum_in_parts(df, ["k"], n, 1.0, full, part=part).collect())) == sorted(map(key, series.rolling_sum(df, ["k"], n, full).collect()))

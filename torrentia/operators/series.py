@@ -42,6 +42,22 @@ def rolling_sum(series: DataFrame, keys: list[str], n: int, full: bool = True, n
     return series.withColumn(name, F.when(F.count("mm").over(frame) == n, total) if full else total)
 
 
+def rolling_sum_in_parts(series: DataFrame, keys: list[str], n: int, step_h: float, full: bool = True, name: str = "roll", part: int = 8192) -> DataFrame:
+    """rolling_sum of a dense series whose keys may be few and long: windows run by key and part of the time, `part` steps long (n at least).
+
+    The last n - 1 steps of a part go to the next one as well, where they only feed the sums; so a series of any length is many tasks, and each step moves twice at most.
+    """
+    part, step_s = max(part, n), round(step_h * 3600)
+    at = F.floor(F.unix_seconds(F.col("t").cast("timestamp")) / step_s)
+    number, place = F.floor(at / part), F.pmod(at, F.lit(part))
+    more = F.when(place >= part - (n - 1), F.array(F.struct(number.alias("part"), F.lit(True).alias("own")), F.struct((number + 1).alias("part"), F.lit(False).alias("own"))))
+    dealt = series.withColumn("__p", F.explode(F.coalesce(more, F.array(F.struct(number.alias("part"), F.lit(True).alias("own"))))))
+    frame = W.partitionBy(*keys, "__p.part").orderBy("t").rowsBetween(-(n - 1), 0)
+    total = F.sum("mm").over(frame)
+    rolled = dealt.withColumn(name, F.when(F.count("mm").over(frame) == n, total) if full else total)
+    return rolled.where("__p.own").drop("__p")
+
+
 def annual_maxima(series: DataFrame, keys: list[str], hours: int, step_h: int, min_days: int = 300) -> DataFrame:
     """Each year's largest rolling total and the first time that has it, for years with enough valid days.
 

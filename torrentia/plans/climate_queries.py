@@ -35,6 +35,11 @@ def series_rolling_full(spark, d):
     return series.rolling_sum(_hourly(spark, d), ["event_type"], 24).select("event_type", "t", F.round("roll", 6).alias("roll"))
 
 
+def series_rolling_parts(spark, d):
+    """The same with windows over parts of the time."""
+    return series.rolling_sum_in_parts(_hourly(spark, d), ["event_type"], 24, 1.0, part=100).select("event_type", "t", F.round("roll", 6).alias("roll"))
+
+
 def series_rolling_partial(spark, d):
     return series.rolling_sum(_hourly(spark, d), ["event_type"], 72, False).select("event_type", "t", F.round("roll", 6).alias("roll"))
 
@@ -107,7 +112,7 @@ def event_nearest_within(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    series_hourly_resample, series_rolling_full, series_rolling_partial, series_step_hours, series_annual_maxima, extremes_gumbel_fit, extremes_return_levels,
+    series_hourly_resample, series_rolling_full, series_rolling_parts, series_rolling_partial, series_step_hours, series_annual_maxima, extremes_gumbel_fit, extremes_return_levels,
     extremes_return_period, extremes_bootstrap_ci, storms_decluster, storm_context_windows, calendar_gaps_anti, upsert_keep_last, full_outer_two_sources,
     event_scene_prepost, event_nearest_within,
 )}
@@ -129,6 +134,7 @@ s AS (SELECT user_id, CAST(ts AS DATE) AS scene FROM events WHERE event_type <>
 SQL = {
     "series_hourly_resample": f"WITH {HOURLY} SELECT event_type, t, round(mm, 6) AS mm FROM h",
     "series_rolling_full": f"WITH {HOURLY} " + ROLL.format("CASE WHEN count(mm) OVER w = 24 THEN sum(mm) OVER w END", 23),
+    "series_rolling_parts": f"WITH {HOURLY} " + ROLL.format("CASE WHEN count(mm) OVER w = 24 THEN sum(mm) OVER w END", 23),
     "series_rolling_partial": f"WITH {HOURLY} " + ROLL.format("sum(mm) OVER w", 71),
     "series_step_hours": f"WITH {HOURLY} SELECT event_type, min(g) AS step_h FROM (SELECT event_type, epoch(lead(t) OVER (PARTITION BY event_type ORDER BY t) - t) / 3600.0 AS g FROM h) GROUP BY ALL",
     "series_annual_maxima": f"WITH {DAILY} SELECT o_orderpriority, CAST(year AS INTEGER) AS year, round(mm, 4) AS mm, day FROM an",
