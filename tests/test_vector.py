@@ -247,3 +247,20 @@ def test_hull_and_calipers(spark):
         u = (b - a) / np.hypot(*(b - a).T)[:, None]
         w, t = np.ptp(u @ h.T, axis=1), np.ptp(np.stack([-u[:, 1], u[:, 0]], 1) @ h.T, axis=1)
         assert math.isclose(r.b.long * r.b.short, (w * t).min(), rel_tol=1e-9) and r.b.long >= r.b.short
+
+
+def test_packed_frames_unpack_to_their_cells(spark):
+    import gzip
+
+    rnd = random.Random(2)
+    rows = [(rnd.choice("xy"), rnd.randrange(-1, 71), rnd.randrange(0, 9), rnd.choice([None, 0, 7, 255])) for _ in range(200)]
+    rows = list({r[:3]: r for r in rows}.values())
+    df = spark.createDataFrame(rows, "kind string, row long, col long, value int")
+    got = {r.kind: r for r in gridded.packed(df, "kind", 70, 8, 16).withColumn("raw", gridded.unpacked(F.col("data"))).collect()}
+    for kind in "xy":
+        want = bytearray(70 * 8)
+        for k, i, j, v in rows:
+            if k == kind and 0 <= i < 70 and j < 8:
+                want[i * 8 + j] = v or 0
+        assert bytes(got[kind].raw) == bytes(want) == gzip.decompress(bytes(got[kind].data))
+    assert gridded.packed(df.limit(0), "kind", 70, 8).count() == 0

@@ -5,8 +5,11 @@ A raster is a table (raster, row, col, value). On disk it is partitioned by tile
 
 from __future__ import annotations
 
+import gzip
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,6 +141,38 @@ def warp(spark: SparkSession, cells: DataFrame, grid: tuple[float, float, float]
     return resample(at, cells, grid, method, size).select(F.col("r").alias("row"), F.col("c").alias("col"), "value")
 
 
+def packed(cells: DataFrame, frame: str, rows: int, cols: int, band: int = 64) -> DataFrame:
+    """cells (frame, row, col, value from 0 to 255) to one row a frame: frame, data, its bytes row by row in gzip; missing cells are 0, and cells off the grid are left out.
+
+    Bands of rows are packed in tasks of their own, as members of the gzip file, which are joined in order.
+    """
+    name = cells.schema[frame].dataType.simpleString()
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = np.zeros((min(band, rows - key[1] * band), cols), np.uint8)
+        here = pdf[pdf["value"].notna()]
+        grid[here["row"].to_numpy(np.int64) - key[1] * band, here["col"].to_numpy(np.int64)] = here["value"].to_numpy(np.float64).astype(np.uint8)
+        return pd.DataFrame({"frame": [key[0]], "band": [key[1]], "data": [gzip.compress(grid.tobytes(), 6, mtime=0)]})
+
+    own = cells.select(F.col(frame).alias("frame"), "row", "col", "value").where(F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1))
+    blank = own.select("frame").distinct().withColumn("band", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((rows - 1) // band).cast("long"))))
+    blank = blank.select("frame", (F.col("band") * band).alias("row"), F.lit(0).cast("long").alias("col"), F.lit(None).cast("double").alias("value"))
+    every = own.select("frame", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("value").cast("double").alias("value")).unionByName(blank)
+    bands = every.withColumn("band", F.expr(f"row div {band}")).groupBy("frame", "band").applyInPandas(pack, f"frame {name}, band long, data binary")
+    members = F.sort_array(F.collect_list(F.struct("band", "data")))
+    return bands.groupBy("frame").agg(F.aggregate(members, F.lit(b""), lambda a, m: F.concat(a, m["data"])).alias("data")).withColumnRenamed("frame", frame)
+
+
+def unpacked(data: Column) -> Column:
+    """The bytes of a packed frame; NULL stays."""
+
+    @F.pandas_udf("binary")
+    def run(frames: pd.Series) -> pd.Series:
+        return frames.map(lambda d: None if d is None else gzip.decompress(d))
+
+    return run(data)
+
+
 def in_zone(cells: DataFrame, zone: DataFrame) -> DataFrame:
     """Cells that the zone (row, col) has."""
     return cells.join(zone.select("row", "col"), ["row", "col"], "left_semi")

@@ -119,6 +119,14 @@ def reprojected_boxes(spark, d):
     return b.select("s_suppkey", *[F.round(f"b.{c}", 7).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
+def packed_frames(spark, d):
+    """Four frames of the parts' sizes, packed and unpacked: their lengths, wet cells and digests."""
+    p = _table(spark, d, "part").select((F.col("p_size") % 4).alias("frame"), F.expr(f"p_partkey div {WIDTH}").alias("row"), (F.col("p_partkey") % WIDTH).alias("col"), F.col("p_size").alias("value"))
+    f = gridded.packed(p, "frame", _rows(p), WIDTH, 16).withColumn("raw", F.hex(gridded.unpacked(F.col("data"))))
+    wet = F.regexp_count(F.regexp_replace("raw", "(..)", "$1,"), F.lit("[^0,].?,|0[^0],")).cast("long")
+    return f.select("frame", (F.length("raw") / 2).cast("long").alias("n_bytes"), wet.alias("n_wet"), F.md5(F.lower("raw").cast("binary")).alias("digest"))
+
+
 def _marks(spark, d):
     return _table(spark, d, "part").where("p_size >= 47").select(F.expr(f"(p_partkey - 1) div {WIDTH}").alias("row"), ((F.col("p_partkey") - 1) % WIDTH).alias("col"))
 
@@ -142,7 +150,7 @@ def customer_hulls(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     depression_polygons, class_polygons, stream_lines, stream_samples, stream_agreement, line_positions, resampled_bilinear, resampled_coarse, web_grid_values, inverse_transverse_mercator, reprojected_boxes,
-    water_distance, water_buffer, customer_hulls,
+    packed_frames, water_distance, water_buffer, customer_hulls,
 )}
 
 # rings told by their corners: of the four cells round a corner one or three have the label where a ring turns, two across a diagonal where it turns twice
@@ -214,6 +222,8 @@ HULL = """WITH p AS (SELECT DISTINCT c_nationkey AS k, c_acctbal / 100 AS x, (c_
     SELECT k AS c_nationkey, count(*) AS corners, round(sum(ax * by_ - bx * ay) / 2, 5) AS area, round(arg_min(greatest(w, h), w * h), 5) AS long, round(arg_min(least(w, h), w * h), 5) AS short FROM e GROUP BY k"""
 
 SQL = {
+    "packed_frames": """WITH f AS (SELECT frame, p_partkey, CASE WHEN p_size % 4 = frame THEN p_size ELSE 0 END AS v FROM part, (SELECT DISTINCT p_size % 4 AS frame FROM part))
+        SELECT frame, count(*) AS n_bytes, count(*) FILTER (v > 0) AS n_wet, md5(string_agg(printf('%02x', CAST(v AS INT)), '' ORDER BY p_partkey)) AS digest FROM f GROUP BY frame""",
     "water_distance": f"{AWAY_FROM} SELECT cell, row, col, round(dist, 6) AS dist FROM d",
     "water_buffer": f"{AWAY_FROM} SELECT cell FROM d WHERE dist <= 70",
     "customer_hulls": HULL,
