@@ -134,7 +134,8 @@ def convex_hull(ring: Column) -> Column:
 
 
 def rotated_rectangle(ring: Column) -> Column:
-    """struct(long, short): the sides of the smallest rectangle round the ring, one of which lies on a side of the hull. NULL without two different points.
+    """struct(long, short): the sides of the smallest rectangle round the ring, one of which lies on a side of the hull; of equal areas (to nine digits, as on all sides of an
+    acute triangle) the least long one. NULL without two different points.
 
     Calipers turn round the hull: the corners that lie farthest along, against and across a side only move on from side to side.
     """
@@ -163,7 +164,7 @@ def rotated_rectangle(ring: Column) -> Column:
                 while along(back + 1) < along(back):
                     back += 1
                 w, t = along(far) - along(back), across(high) - across(i)
-                best = min(best or (math.inf,), (w * t, max(w, t), min(w, t)))
+                best = min(best or (math.inf,), (round(w * t, 9), max(w, t), min(w, t)))
             return best[1:]
 
         return pd.DataFrame([sides(r) for r in rings], columns=["long", "short"])

@@ -219,7 +219,7 @@ HULL = """WITH p AS (SELECT DISTINCT c_nationkey AS k, c_acctbal / 100 AS x, (c_
     s AS (SELECT pr.*, count(*) FILTER ((bx - ax) * (y - ay) - (by_ - ay) * (x - ax) < 0 OR (bx - ax) * (y - ay) = (by_ - ay) * (x - ax) AND NOT (x BETWEEN least(ax, bx) AND greatest(ax, bx) AND y BETWEEN least(ay, by_) AND greatest(ay, by_))) AS bad FROM pr JOIN p USING (k) GROUP BY ALL HAVING bad = 0),
     u AS (SELECT *, (bx - ax) / sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS ux, (by_ - ay) / sqrt(pow(bx - ax, 2) + pow(by_ - ay, 2)) AS uy FROM s),
     e AS (SELECT u.k, ax, ay, bx, by_, max(x * ux + y * uy) - min(x * ux + y * uy) AS w, max(y * ux - x * uy) - min(y * ux - x * uy) AS h FROM u JOIN p USING (k) GROUP BY u.k, ax, ay, bx, by_, ux, uy)
-    SELECT k AS c_nationkey, count(*) AS corners, round(sum(ax * by_ - bx * ay) / 2, 5) AS area, round(arg_min(greatest(w, h), w * h), 5) AS long, round(arg_min(least(w, h), w * h), 5) AS short FROM e GROUP BY k"""
+    SELECT k AS c_nationkey, count(*) AS corners, round(sum(ax * by_ - bx * ay) / 2, 5) AS area, round(arg_min(greatest(w, h), (round(w * h, 9), greatest(w, h))), 5) AS long, round(arg_min(least(w, h), (round(w * h, 9), greatest(w, h))), 5) AS short FROM e GROUP BY k"""
 
 SQL = {
     "packed_frames": """WITH f AS (SELECT frame, p_partkey, CASE WHEN p_size % 4 = frame THEN p_size ELSE 0 END AS v FROM part, (SELECT DISTINCT p_size % 4 AS frame FROM part))
