@@ -49,7 +49,7 @@ SHORT_ROW = 1024  # words that are aligned in one window
 
 
 def _labelled(kmers: np.ndarray) -> np.ndarray:
-    """The k-mers, each mixed with the number of equal ones before it."""
+    """The k-mers, each mixed with the number of equal ones before it; the first of equal ones as it is."""
     order = np.argsort(kmers, kind="stable")
     same = np.concatenate([[False], kmers[order][1:] == kmers[order][:-1]])
     if not same.any():
@@ -58,7 +58,7 @@ def _labelled(kmers: np.ndarray) -> np.ndarray:
     out = kmers.copy()
     nth = (np.arange(len(kmers)) - first).astype(np.uint64)
     with np.errstate(over="ignore"):
-        out[order] = mix64(kmers[order] + nth * np.uint64(0x9E3779B97F4A7C15))
+        out[order] = np.where(same, mix64(kmers[order] + nth * np.uint64(0x9E3779B97F4A7C15)), kmers[order])
     return out
 
 
