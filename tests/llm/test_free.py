@@ -157,8 +157,11 @@ def test_near_classes_against_all_pairs(spark):
     assert near_dedup.classes(df.limit(0)).count() == 0
 
 
-def test_small_families_under_a_shared_header(spark):
-    """Pairs whose shared groups are all large: in such a group every pair across components counts, not only those of pivots."""
+@pytest.mark.parametrize("hot", [2, 10_000])
+def test_small_families_under_a_shared_header(spark, monkeypatch, hot):
+    """Pairs whose shared groups are all large: in such a group every pair across components counts, not only those of pivots; by rare pairs of words too."""
+    monkeypatch.setattr(near_dedup, "HOT", hot)
+    monkeypatch.setattr(near_dedup, "CELL", 16)
     r = random.Random(7)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
     header = " ".join(word() for _ in range(29))
@@ -173,6 +176,51 @@ def test_small_families_under_a_shared_header(spark):
     assert got == {i: (i // 2 * 2, 2) for i in range(120)}
 
 
+def test_pairs_of_a_hot_group_grow_with_its_texts(spark, monkeypatch):
+    """Texts of one long header and words of their own: few pairs are tried, and the near copies among them are found."""
+    tried, whole = [], near_dedup._hot_pairs
+    monkeypatch.setattr(near_dedup, "_hot_pairs", lambda *a: tried.append(near_dedup.materialise(whole(*a))) or tried[-1])
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    header, texts = [word() for _ in range(150)], []
+    for i in range(400):
+        texts.append([*header, *[word() for _ in range(80)]])
+        if i % 40 == 39:
+            texts[-1] = [*texts[-2][:-10], *texts[-1][-10:]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = near_dedup.classes(df).collect()
+    assert {x.doc_id: x.class_id for x in found} == {i: i - (i % 40 == 39) for i in range(400)}
+    assert len(tried) == 1 and 10 <= tried[0].count() < 2000  # of 79,800
+
+
+def test_rare_pairs_lose_no_similar_pair():
+    """However pairs of words are ranked, the shorter of two similar texts has one of its first in the longer one's."""
+    r = random.Random(9)
+    met = 0
+    for _ in range(600):
+        a = [r.randrange(1, 25) for _ in range(r.randint(2, 90))]
+        b = list(a)
+        for _ in range(r.randint(0, len(a) // 4)):
+            i = r.randrange(len(b) + 1)
+            if r.random() < 0.6 and len(b) < len(a) * 1.25:
+                b.insert(i, r.randrange(1, 25))
+            elif i < len(b) > 2:
+                b.pop(i)
+        a, b = sorted((a, b), key=len)
+        n = lcs(a, b)
+        if n >= 0.8 * (len(a) + len(b) - n):
+            counts = np.array([r.randrange(9) for _ in range(64)])
+            (x, early), (y, _) = (near_dedup.rare_pairs(near_dedup.mix64(np.array(t, np.uint64)), counts) for t in (a, b))
+            met += 1
+            assert np.isin(x[:early], y).any()
+    assert met > 200
+
+
+def test_labels_of_first_occurrences_agree():
+    once, twice = np.array([5, 6, 7], np.uint64), np.array([5, 6, 5, 7], np.uint64)
+    assert near_dedup._labelled(once).tolist() == near_dedup._labelled(twice)[[0, 1, 3]].tolist()
+
+
 def test_parities_rule_out_no_similar_pair():
     r = random.Random(6)
     for _ in range(400):

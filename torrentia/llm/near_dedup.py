@@ -14,7 +14,11 @@ both. Where edits are scattered singly, a pair at exactly 0.8 is found with a pr
 Texts equal in words are one class first. In the group of texts that share a sketch, all are aligned with two
 pivots: the most central text (the one whose groups are largest in sum, so a large group's original rather than a
 copy), and the first by a hash. Groups of the same copies have the same pivots mostly, so n copies cost a few n alignments. Then all pairs of a group's texts that are still in different components are
-aligned, whatever the group's size, but for those that can't reach 0.8: by size, or as their words differ in too many
+aligned, whatever the group's size, but for those that can't reach 0.8. In a group of more than HOT texts, such as all that have one header, these are
+found by their rarest pairs of neighbouring words: texts at 0.8 have one of the rarest third (shorter text) and two fifths (longer text) in common, since fewer are broken
+(`rare_pairs`). What a whole group shares is frequent and comes last, so such a group isn't compared pair by pair, and no similar pair is lost. Which order pairs of words have doesn't matter to
+that, as all texts have the same; it follows a table of counts of fixed size. Where the shared part is more than three fifths to two thirds of the texts, the rarest reach into it, and pairs of such a group are tried by size.
+Others are ruled out by size, or as their words differ in too many
 places. Of PARITY bits each is the parity of a text's words that hash to it; a word that doesn't align changes one
 bit, so at 0.8 at most (n + m) / 9 bits differ; and as it breaks three pairs of neighbouring words at most (two of its own text's and
 one of the other's), at most (n + m) / 3 of as many bits for pairs. Pairs with pivots are ruled out alike. So no candidate pair across components is left unchecked.
@@ -44,7 +48,10 @@ SHORT = (2, 16, 3)  # words of a k-mer, sketches, k-mers in each
 LONG = (5, 40, 3)
 SHORT_MOST, LONG_LEAST = 60, 48  # words
 PARITY = 512  # bits
+HOT = 128  # texts of a group whose pairs are all tried
 CELL = 512
+SLOTS, SLOT_BLOCK = 1 << 20, 1 << 14  # counts of pairs of words: 8 MB
+HELD = 1 << 18  # rare pairs in one piece of a task's output
 SHORT_ROW = 1024  # words that are aligned in one window
 
 
@@ -246,26 +253,105 @@ def _features(docs: DataFrame) -> DataFrame:
     return materialise(found.withColumn("rid", F.monotonically_increasing_id()))
 
 
-def _unchecked(members: DataFrame, nodes: DataFrame, label: DataFrame, done: DataFrame) -> DataFrame:
-    """The candidate pairs (a, b) across components that aren't done, less those that sizes or parities rule out.
+def rare_pairs(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rarest of a text's labelled pairs of neighbouring words: so many that it has one in common with every similar text, and how many of them suffice against a longer text.
 
-    A group of more than CELL members is dealt into cells, and each member goes to the pairs of cells that its own is in.
+    Of texts of n <= m words that align in L at least, with 9 L >= 4 (n + m), at most 2 (n - L) + (m - L) pairs of the shorter are broken,
+    that is n / 3, and 2 (m - L) + (n - L), or 0.4 m, of the longer. All texts rank pairs alike, so of one pair more each, one is in both.
     """
-    at = members.join(label, F.col("rid") == F.col("node"), "left").select("key", "rid", "size", F.coalesce("label", "rid").alias("label"))
+    pairs, n = _labelled(shingle_hashes(words, 2)), len(words)
+    order = np.lexsort((pairs, counts[(pairs % np.uint64(len(counts))).astype(np.int64)]))
+    return pairs[order[: 2 * n // 5 + 1]], n // 3 + 1
+
+
+def _pair_counts(texts: DataFrame) -> np.ndarray:
+    """How many pairs of neighbouring words of the texts fall to each of SLOTS: a table of fixed size, added up in tasks and then by blocks."""
+
+    def run(batches):
+        counts = np.zeros(SLOTS, np.int64)
+        for pdf in batches:
+            for t in pdf["text"]:
+                at = (_labelled(shingle_hashes(word_hashes(t), 2)) % np.uint64(SLOTS)).astype(np.int64)
+                if len(at) * 16 < SLOTS:
+                    np.add.at(counts, at, 1)
+                else:
+                    counts += np.bincount(at, minlength=SLOTS)
+        blocks = [(i, x.tobytes()) for i, x in enumerate(counts.reshape(-1, SLOT_BLOCK)) if x.any()]
+        yield pd.DataFrame(blocks, columns=["block", "counts"])
+
+    def total(pdf):
+        return pd.DataFrame({"block": pdf["block"][:1], "counts": [sum(np.frombuffer(x, np.int64) for x in pdf["counts"]).tobytes()]})
+
+    out = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.int64)
+    for row in texts.mapInPandas(run, "block long, counts binary").groupBy("block").applyInPandas(total, "block long, counts binary").collect():
+        out[row.block] = np.frombuffer(row.counts, np.int64)
+    return out.ravel()
+
+
+def _rare_members(hot: DataFrame, slim: DataFrame, docs: DataFrame) -> DataFrame:
+    """hot (rid, label) to (key, rid, label, n, early): the rare pairs of neighbouring words of each text."""
+    at = hot.join(slim.select(F.col("rid").alias("r"), "doc_id", "th"), F.col("rid") == F.col("r")).select("rid", "label", F.col("doc_id").alias("d"), F.col("th").alias("h"))
+    texts = docs.join(at, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select("rid", "label", "text")
+    counts = docs.sparkSession.sparkContext.broadcast(_pair_counts(texts))
+
+    def run(batches):
+        for pdf in batches:
+            held, size = [], 0
+            for rid, label, t in pdf.itertuples(index=False, name=None):
+                words = word_hashes(t)
+                key, early = rare_pairs(words, counts.value)
+                held.append(pd.DataFrame({"key": key.view(np.int64), "rid": rid, "label": label, "n": len(words), "early": np.arange(len(key)) < early}))
+                size += len(key)
+                if size > HELD:
+                    yield pd.concat(held)
+                    held, size = [], 0
+            if held:
+                yield pd.concat(held)
+
+    return materialise(texts.mapInPandas(run, "key long, rid long, label long, n long, early boolean").where("n > 0"))
+
+
+def _sizes(members: DataFrame) -> DataFrame:
+    """Keys (k) whose members are of several components, and how many members they have."""
+    found = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+    return materialise(found.where("l0 <> l1").select(F.col("key").alias("k"), "size"))
+
+
+def _hot_pairs(hot: DataFrame, slim: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of hot texts across components that sizes and rare pairs of words leave open: all similar ones are among them.
+
+    A rare pair with more than CELL texts is dealt into cells, and each text goes to the pairs of cells that its own is in.
+    """
+    members = _rare_members(hot, slim, docs)
+    at = members.join(_sizes(members), F.col("key") == F.col("k")).withColumn("parts", F.expr(f"(size + {CELL - 1}) div {CELL}")).withColumn("cell", F.pmod(F.xxhash64("rid"), "parts"))
+    at = at.select("key", "rid", "label", "n", "early", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    at = at.select("key", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "rid", "label", "n", "early")
+    x, y = at.where("early").alias("x"), at.alias("y")
+    once = (F.col("x.i") == F.col("x.j")) | (F.col("x.cell") != F.col("y.cell"))
+    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    fits = (F.col("x.n") <= F.col("y.n")) & (F.col("x.n") >= SIMILARITY * F.col("y.n")) & (F.col("x.label") != F.col("y.label"))
+    pairs = x.join(y, same & fits & once)
+    return pairs.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
+
+
+def _unchecked(members: DataFrame, nodes: DataFrame, docs: DataFrame, label: DataFrame, done: DataFrame) -> DataFrame:
+    """The candidate pairs (a, b) across components that aren't done, less those that sizes, parities or rare pairs of words rule out.
+
+    In a group of at most HOT members all pairs are tried. Members of larger ones meet where they share a rare pair of words.
+    """
+    at = members.join(label, F.col("rid") == F.col("node"), "left").select("key", "rid", F.coalesce("label", "rid").alias("label"))
     at = materialise(at)
-    split = at.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select(F.col("key").alias("k"))
-    parts = F.expr(f"(size + {CELL - 1}) div {CELL}")
-    at = at.join(materialise(split), F.col("key") == F.col("k")).withColumn("parts", parts).withColumn("cell", F.pmod(F.xxhash64("rid"), "parts"))
+    at = materialise(at.join(_sizes(at), F.col("key") == F.col("k")).select("key", "rid", "label", "size"))
     sides = nodes.select(F.col("rid").alias("r"), "n", "parity")
-    at = materialise(at.join(sides, F.col("rid") == F.col("r")).select("key", "rid", "label", "n", "parity", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")))
     bits = [f"w{w}" for w in range(2 * PARITY // 64)]
-    at = at.select("key", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "rid", "label", "n", *[F.col("parity")[w].alias(b) for w, b in enumerate(bits)])
-    x, y = at.alias("x"), at.alias("y")
+    few = at.where(F.col("size") <= HOT).join(sides, F.col("rid") == F.col("r")).select("key", "rid", "label", "n", *[F.col("parity")[w].alias(b) for w, b in enumerate(bits)])
+    x, y = few.alias("x"), few.alias("y")
     near = _may_link((F.col("x.n"), F.col("y.n")), tuple([F.col(f"{t}.{b}") for b in bits] for t in "xy"))
-    once = (F.col("x.i") == F.col("x.j")) | (F.col("x.cell") != F.col("y.cell"))
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-    pairs = x.join(y, same & (F.col("x.rid") < F.col("y.rid")) & (F.col("x.label") != F.col("y.label")) & once & near)
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rid") < F.col("y.rid")) & (F.col("x.label") != F.col("y.label")) & near)
     pairs = pairs.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
+    hot = materialise(at.where(F.col("size") > HOT).select("rid", "label").distinct())
+    if hot.limit(1).count():
+        pairs = pairs.union(_hot_pairs(hot, nodes, docs)).distinct()
     return materialise(pairs.join(done, ["a", "b"], "left_anti"))
 
 
@@ -319,7 +405,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     slim = nodes.select("rid", "doc_id", "th", "n", "parity")
     links = _verified(done, slim, own)
     label = materialise(components(links))
-    more = _verified(_unchecked(members, nodes, label, done), slim, own)
+    more = _verified(_unchecked(members, nodes, own, label, done), slim, own)
     if more.count():
         label = materialise(components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)))
     lab = nodes.join(label, F.col("rid") == F.col("node"), "left").select("digest", "doc_id", "th", "rid", "size", F.coalesce("label", "rid").alias("label"))
