@@ -50,7 +50,7 @@ SHORT_MOST, LONG_LEAST = 60, 48  # words
 PARITY = 512  # bits
 HOT = 128  # texts of a group whose pairs are all tried
 CELL = 512
-SLOTS, SLOT_BLOCK = 1 << 20, 1 << 14  # counts of pairs of words: 8 MB
+SLOTS, SLOT_BLOCK = 1 << 20, 1 << 14  # counts of pairs of words: 4 MB
 HELD = 1 << 18  # rare pairs in one piece of a task's output
 SHORT_ROW = 1024  # words that are aligned in one window
 
@@ -265,33 +265,37 @@ def rare_pairs(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _pair_counts(texts: DataFrame) -> np.ndarray:
-    """How many pairs of neighbouring words of the texts fall to each of SLOTS: a table of fixed size, added up in tasks and then by blocks."""
+    """How many labelled pairs of neighbouring words of the texts fall to each of SLOTS: a table of fixed size, added up in tasks and then by blocks."""
 
     def run(batches):
         counts = np.zeros(SLOTS, np.int64)
         for pdf in batches:
-            for t in pdf["text"]:
-                at = (_labelled(shingle_hashes(word_hashes(t), 2)) % np.uint64(SLOTS)).astype(np.int64)
-                if len(at) * 16 < SLOTS:
-                    np.add.at(counts, at, 1)
-                else:
-                    counts += np.bincount(at, minlength=SLOTS)
-        blocks = [(i, x.tobytes()) for i, x in enumerate(counts.reshape(-1, SLOT_BLOCK)) if x.any()]
-        yield pd.DataFrame(blocks, columns=["block", "counts"])
+            slots = [_labelled(shingle_hashes(word_hashes(t), 2)) % np.uint64(SLOTS) for t in pdf["text"]]
+            if slots:
+                at, n = np.unique(np.concatenate(slots), return_counts=True)
+                counts[at.astype(np.int64)] += n
+        for block, part in enumerate(counts.reshape(-1, SLOT_BLOCK)):
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pd.DataFrame({"block": [block], "at": [at.astype(np.uint32).tobytes()], "n": [part[at].tobytes()]})
 
     def total(pdf):
-        return pd.DataFrame({"block": pdf["block"][:1], "counts": [sum(np.frombuffer(x, np.int64) for x in pdf["counts"]).tobytes()]})
-
-    out = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.int64)
-    for row in texts.mapInPandas(run, "block long, counts binary").groupBy("block").applyInPandas(total, "block long, counts binary").collect():
-        out[row.block] = np.frombuffer(row.counts, np.int64)
+        out = np.zeros(SLOT_BLOCK, np.int64)
+        for at, n in zip(pdf["at"], pdf["n"], strict=True):
+            out[np.frombuffer(at, np.uint32)] += np.frombuffer(n, np.int64)
+        return pd.DataFrame({"block": pdf["block"][:1], "counts": [np.minimum(out, 2**31 - 1).astype(np.int32).tobytes()]})
+
+    out = np.zeros((SLOTS // SLOT_BLOCK, SLOT_BLOCK), np.int32)
+    for row in texts.mapInPandas(run, "block long, at binary, n binary").groupBy("block").applyInPandas(total, "block long, counts binary").collect():
+        out[row.block] = np.frombuffer(row.counts, np.int32)
     return out.ravel()
 
 
 def _rare_members(hot: DataFrame, slim: DataFrame, docs: DataFrame) -> DataFrame:
-    """hot (rid, label) to (key, rid, label, n, early): the rare pairs of neighbouring words of each text."""
+    """hot (rid, label) to (key, rid, label, n, early): the rare pairs of neighbouring words of each text, less those that no other text can have."""
     at = hot.join(slim.select(F.col("rid").alias("r"), "doc_id", "th"), F.col("rid") == F.col("r")).select("rid", "label", F.col("doc_id").alias("d"), F.col("th").alias("h"))
-    texts = docs.join(at, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select("rid", "label", "text")
+    at = materialise(at)  # as a table, so that few of them are broadcast
+    texts = materialise(docs.join(at, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select("rid", "label", "text"))
     counts = docs.sparkSession.sparkContext.broadcast(_pair_counts(texts))
 
     def run(batches):
@@ -300,15 +304,19 @@ def _rare_members(hot: DataFrame, slim: DataFrame, docs: DataFrame) -> DataFrame
             for rid, label, t in pdf.itertuples(index=False, name=None):
                 words = word_hashes(t)
                 key, early = rare_pairs(words, counts.value)
-                held.append(pd.DataFrame({"key": key.view(np.int64), "rid": rid, "label": label, "n": len(words), "early": np.arange(len(key)) < early}))
-                size += len(key)
+                met = counts.value[(key % np.uint64(SLOTS)).astype(np.int64)] > 1
+                if met.any():
+                    held.append(pd.DataFrame({"key": key.view(np.int64), "rid": rid, "label": label, "n": len(words), "early": np.arange(len(key)) < early})[met])
+                    size += int(met.sum())
                 if size > HELD:
                     yield pd.concat(held)
                     held, size = [], 0
             if held:
                 yield pd.concat(held)
 
-    return materialise(texts.mapInPandas(run, "key long, rid long, label long, n long, early boolean").where("n > 0"))
+    out = materialise(texts.mapInPandas(run, "key long, rid long, label long, n long, early boolean"))
+    discard(texts)
+    return out
 
 
 def _sizes(members: DataFrame) -> DataFrame:
@@ -372,11 +380,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     bits = tuple([F.col(f"p_{x}")[w] for w in range(2 * PARITY // 64)] for x in "ab")
     named = pairs.join(of("a"), "a").join(of("b"), "b").where(_may_link((F.col("n_a"), F.col("n_b")), bits)).drop("p_a", "p_b")
     named = materialise(named)  # as a table, so that the pairs of a hot text can be split in the joins
-    one = named.join(docs, F.col("id_a").eqNullSafe(F.col("doc_id")) & (F.col("th_a") == F.col("th")))
-    one = one.select("a", "b", "id_b", "th_b", F.col("text").alias("text_a"))
-    two = one.join(docs, F.col("id_b").eqNullSafe(F.col("doc_id")) & (F.col("th_b") == F.col("th")))
-    found = materialise(two.select("a", "b", "text_a", F.col("text").alias("text_b")).mapInPandas(run, "a long, b long"))
-    discard(named)
+    asked = [named.select(F.col(x).alias("rid"), F.col(f"id_{x}").alias("d"), F.col(f"th_{x}").alias("h")) for x in "ab"]
+    asked = materialise(asked[0].union(asked[1]).distinct())
+    on = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))
+    texts = materialise(docs.join(asked, on).select("rid", "text"))  # those of the pairs, read once
+    side = lambda x: texts.select(F.col("rid").alias(x), F.col("text").alias(f"text_{x}"))
+    two = named.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    found = materialise(two.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long"))
+    for x in (named, asked, texts):
+        discard(x)
     return found
 
 
