@@ -11,17 +11,17 @@ from pyspark.sql import functions as F
 
 from torrentia.operators import graph
 from torrentia.operators.matching import nearest_segment
-from torrentia.scratch import written
+from torrentia.scratch import large, written
 
 
 def stream_segments(cells: DataFrame, pointers: DataFrame, stream: DataFrame, res: float = 1.0, left: float = 0.0, top: float = 0.0) -> DataFrame:
     """Stream cells (cell) joined to the next one downstream where that is a stream cell too: sid (the cell), a, b (cells), ax, ay, bx, by (centres)."""
     x, y = F.lit(left) + (F.col("col") + 0.5) * res, F.lit(top) - (F.col("row") + 0.5) * res
-    at = cells.join(stream.select(F.col("cell").alias("s")), F.col("cell") == F.col("s")).select("cell", x.alias("x"), y.alias("y"))
+    at = large(cells).join(stream.select(F.col("cell").alias("s")), F.col("cell") == F.col("s")).select("cell", x.alias("x"), y.alias("y"))
     first = at.select(F.col("cell").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     last = at.select(F.col("cell").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"))
     p = pointers.where("next is not null").select(F.col("cell").alias("a"), F.col("next").alias("b"))
-    return p.join(first, "a").join(last, "b").select(F.col("a").alias("sid"), "a", "b", "ax", "ay", "bx", "by")
+    return p.join(large(first), "a").join(large(last), "b").select(F.col("a").alias("sid"), "a", "b", "ax", "ay", "bx", "by")
 
 
 def ordered(segments: DataFrame) -> DataFrame:
@@ -64,6 +64,7 @@ def interpolate(places: DataFrame, lines: DataFrame, cell: float) -> DataFrame:
 
     Segments and places meet by line and stretch of `cell` length, so that a long line is no hot key. Where segments meet the first that has a length has the point; a line without length has no direction.
     """
+    lines, places = large(lines), large(places)
     whole = lines.groupBy(F.col("line").alias("l")).agg(F.max("total").alias("end"))
     p = places.join(whole, F.col("line") == F.col("l")).withColumn("at", F.least(F.greatest(F.col("at"), F.lit(0.0)), F.col("end"))).drop("l", "end")
     p = p.withColumn("piece", F.floor(F.col("at") / cell))
@@ -79,7 +80,7 @@ def project(points: DataFrame, lines: DataFrame, cell: float) -> DataFrame:
     """points (pid, px, py) with the nearest segment's line, the distance along it of the nearest point (at), that point (x, y), and how far it is (dist)."""
     segments = lines.select("sid", F.col("x0").alias("ax"), F.col("y0").alias("ay"), F.col("x1").alias("bx"), F.col("y1").alias("by"))
     near = nearest_segment(points, segments, cell).withColumnsRenamed({"pid": "p", "sid": "s"})
-    met = points.join(near, F.col("pid") == F.col("p")).join(lines, F.col("s") == F.col("sid"))
+    met = large(points).join(near, F.col("pid") == F.col("p")).join(lines, F.col("s") == F.col("sid"))
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(((F.col("px") - F.col("x0")) * dx + (F.col("py") - F.col("y0")) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))))
     return met.select("pid", "line", (F.col("before") + t * F.col("length")).alias("at"), *_between(t), "dist")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from torrentia.operators import graph
-from torrentia.scratch import written
+from torrentia.scratch import large, written
 
 # side of a cell: direction (0 east, 1 north, 2 west, 3 south), its neighbour, its first and last corner, as steps in row (downwards) and column
 SIDES = ((0, 1, 0, 1, 0, 1, 1), (1, 0, 1, 1, 1, 0, 1), (2, -1, 0, 0, 1, 0, 0), (3, 0, -1, 0, 0, 1, 0))
@@ -31,7 +31,7 @@ def regions(cells: DataFrame, value: str = "value") -> DataFrame:
 
 def boundary(cells: DataFrame, label: str = "label") -> DataFrame:
     """cells (row, col, label) to their boundary edges: id, label, way (direction), fr, fc, tr, tc (corners from and to, as row and column lines)."""
-    own = cells.select("row", "col", F.col(label).alias("label")).where("label is not null")
+    own = large(cells.select("row", "col", F.col(label).alias("label")).where("label is not null"))
     kinds = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("way", "nr", "nc", "fr", "fc", "tr", "tc"), s, strict=True)]) for s in SIDES])
     sides = own.select("row", "col", "label", F.explode(kinds).alias("s"))
     plus = lambda a, b: F.col(a) + F.col(f"s.{b}")
