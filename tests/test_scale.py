@@ -16,3 +16,16 @@ def test_neighbours_are_not_broadcast(spark, tmp_path):
     p = terrain.d8_pointer(cells)
     for df in (p, terrain.dinf_pointer(cells), terrain.gradients(cells), terrain.dinf_accumulation(cells, terrain.dinf_pointer(cells)), terrain.hand(cells, p, terrain.streams(terrain.flow_accumulation(p), 5.0))):
         assert "Broadcast" not in _plan(df)
+
+
+def test_grid_of_dense_segments_is_finer():
+    assert matching._first_cell(10.0, 10, 10, 100.0, 100.0, 7.0, 3.0) == 10.0
+    assert matching._first_cell(10.0, 60_000, 900_000, 100.0, 100.0, 7.0, 3.0) < 1.0
+    assert matching._first_cell(10.0, 5, 1000, 0.0, 0.0, 0.0, 0.0) == 10.0
+
+
+def test_nearest_segment_of_equal_segments_and_places(spark):
+    segs = [(9, 0.0, 0.0, 1.0, 0.0), (4, 0.0, 0.0, 1.0, 0.0), (7, 50.0, 0.0, 51.0, 2.0)]
+    pts = [(1, 0.5, 0.25), (2, 0.5, 0.25), (3, 80.0, 2.0), (4, None, 1.0)]
+    got = matching.nearest_segment(spark.createDataFrame(pts, "pid long, px double, py double"), spark.createDataFrame(segs, "sid long, ax double, ay double, bx double, by double"), 10.0)
+    assert {r.pid: (r.sid, r.dist) for r in got.collect()} == {1: (4, 0.25), 2: (4, 0.25), 3: (7, 29.0), 4: (None, None)}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from torrentia.functions import geometry
 from torrentia.operators.graph import components
-from torrentia.scratch import written
+from torrentia.scratch import dealt, large, written
 
 
 def _merged(events: DataFrame, scenes: DataFrame, key: str) -> DataFrame:
@@ -45,19 +45,35 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     return F.hypot(px - (ax + t * dx), py - (ay + t * dy))
 
 
+def _first_cell(cell: float, n: int, places: int, wide: float, high: float, mean_x: float, mean_y: float) -> float:
+    """cell, halved as long as that saves more tries of places in a cell than it adds segments to the grid's cells."""
+    dealt = lambda c: n * (mean_y / c + 3) * (min(mean_x / c, 3 * mean_x / mean_y if mean_y else mean_x / c) + 3)  # noqa: E731  rows of segments in cells
+    cost = lambda c: 4 * dealt(c) + places * dealt(c) / (max(wide / c, 1.0) * max(high / c, 1.0))
+    while cost(cell / 2) < cost(cell):
+        cell /= 2
+    return cell
+
+
 def nearest_segment(points: DataFrame, segments: DataFrame, cell: float) -> DataFrame:
     """points (pid, px, py) with the nearest segment (sid, ax, ay, bx, by), the least sid on ties, and its distance, however far.
 
     Segments are registered in the cells of a grid that they pass, and in the cells around; so a segment nearer than the cell's
-    size is met by an equi-join. Points that meet none so near go to the next round, whose cells are twice as large. Without
+    size is met by an equi-join. Points that meet none so near go to the next round, whose cells are twice as large. The first cells have
+    `cell` or, where segments lie dense, less, so that a point meets few of them. Equal segments count once, and so do equal places. Without
     segments sid and dist are NULL.
     """
-    ends = segments.agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("ax", "ay", "bx", "by")]).first()
-    here = points.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
+    points = points.select("pid", "px", "py").distinct()
+    segments = written(dealt(segments.groupBy("ax", "ay", "bx", "by").agg(F.min("sid").alias("sid"))))
+    length = [F.avg(F.abs(F.col(f"b{c}") - F.col(f"a{c}"))).alias(f"mean_{c}") for c in "xy"]
+    ends = segments.agg(*[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("ax", "ay", "bx", "by")], *length, F.count(F.lit(1)).alias("n")).first()
+    left = written(points.select("px", "py").distinct())
+    here = left.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py"), F.count(F.lit(1))).first()
     if ends[0] is None or here[0] is None:
         return points.select("pid", F.lit(None).cast(segments.schema["sid"].dataType).alias("sid"), F.lit(None).cast("double").alias("dist"))
     span = max(max(ends[k] for k in range(4, 8)), here[1], here[3]) - min(min(ends[k] for k in range(4)), here[0], here[2])
-    found, left = [], points
+    wide, high = (max(ends[4 + k], ends[6 + k]) - min(ends[k], ends[2 + k]) for k in (0, 1))
+    cell = _first_cell(cell, ends["n"], here[4], wide, high, ends["mean_x"], ends["mean_y"])
+    found = []
     while True:
         last = cell > 2 * span  # so large that all meet
         grown = (F.least("ay", "by") - cell, F.greatest("ay", "by") + cell)
@@ -69,13 +85,15 @@ def nearest_segment(points: DataFrame, segments: DataFrame, cell: float) -> Data
         cells = rows.withColumn("cx", F.explode(F.sequence(F.floor(F.least(*xs) / cell) - 1, F.floor(F.greatest(*xs) / cell) + 1)))
         met = left.withColumns({"cx": F.floor(F.col("px") / cell), "cy": F.floor(F.col("py") / cell)}).join(cells, ["cx", "cy"], "left")
         met = met.withColumn("dist", segment_distance(*[F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")]))
-        near = written(met.groupBy("pid", "px", "py").agg(F.min(F.when(F.col("sid").isNotNull(), F.struct("dist", "sid"))).alias("m")))
+        near = written(met.groupBy("px", "py").agg(F.min(F.when(F.col("sid").isNotNull(), F.struct("dist", "sid"))).alias("m")))
         sure = F.lit(True) if last else F.coalesce(F.col("m.dist") <= cell, F.lit(False))
-        found.append(near.where(sure).select("pid", "m.sid", "m.dist"))
-        left = near.where(~sure).select("pid", "px", "py")
+        found.append(near.where(sure).select(F.col("px").alias("x"), F.col("py").alias("y"), "m.sid", "m.dist"))
+        left = near.where(~sure).select("px", "py")
         if last or not left.limit(1).count():
-            return reduce(lambda a, b: a.union(b), found)
+            break
         cell *= 2
+    whole = reduce(lambda a, b: a.union(b), found)
+    return large(points).join(large(whole), F.col("px").eqNullSafe(F.col("x")) & F.col("py").eqNullSafe(F.col("y"))).select("pid", "sid", "dist")
 
 
 def in_order(rows: DataFrame, keys: list[str], contains: str, area: str, tie: str) -> DataFrame:
