@@ -29,3 +29,10 @@ def test_nearest_segment_of_equal_segments_and_places(spark):
     pts = [(1, 0.5, 0.25), (2, 0.5, 0.25), (3, 80.0, 2.0), (4, None, 1.0)]
     got = matching.nearest_segment(spark.createDataFrame(pts, "pid long, px double, py double"), spark.createDataFrame(segs, "sid long, ax double, ay double, bx double, by double"), 10.0)
     assert {r.pid: (r.sid, r.dist) for r in got.collect()} == {1: (4, 0.25), 2: (4, 0.25), 3: (7, 29.0), 4: (None, None)}
+
+
+def test_boxes_of_one_file_are_dealt_out(spark, tmp_path):
+    spark.range(50).selectExpr("id as s_suppkey", "cast(id as double) as s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    df = entry.queries()["reprojected_boxes"](spark, str(tmp_path))
+    assert "Generate" in _plan(df) and "hashpartitioning(s_suppkey" in _plan(df)
+    assert df.agg(F.count(F.lit(1))).first()[0] == 50

@@ -291,11 +291,16 @@ def box_of(points: Column) -> Column:
     return F.struct(of(F.array_min, "x").alias("x0"), of(F.array_min, "y").alias("y0"), of(F.array_max, "x").alias("x1"), of(F.array_max, "y").alias("y1"))
 
 
-def reproject_box(box: Column, source: int, target: int, pieces: int = 21) -> Column:
-    """The envelope of a box in another reference system, with so many pieces a side, since its sides bend."""
+def box_sides(box: Column, pieces: int = 21) -> Column:
+    """Points along the four sides of a box, so many pieces a side."""
     k = F.sequence(F.lit(0), F.lit(pieces))
     at = lambda a, b, i: a + (b - a) * i / pieces
     side = lambda x, y: F.transform(k, lambda i: F.struct(x(i).alias("x"), y(i).alias("y")))
     across, up = (lambda i: at(box["x0"], box["x1"], i)), (lambda i: at(box["y0"], box["y1"], i))
     sides = [side(across, lambda i: box["y0"] + 0 * i), side(across, lambda i: box["y1"] + 0 * i), side(lambda i: box["x0"] + 0 * i, up), side(lambda i: box["x1"] + 0 * i, up)]
-    return box_of(reproject(F.flatten(F.array(*sides)), source, target))
+    return F.flatten(F.array(*sides))
+
+
+def reproject_box(box: Column, source: int, target: int, pieces: int = 21) -> Column:
+    """The envelope of a box in another reference system, with so many pieces a side, since its sides bend. For a table of boxes see gridded.reproject_boxes."""
+    return box_of(reproject(box_sides(box, pieces), source, target))

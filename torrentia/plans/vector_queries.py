@@ -115,7 +115,7 @@ def reprojected_boxes(spark, d):
     s = _table(spark, d, "supplier")
     x, y, w = F.lit(500_000.0) + F.col("s_acctbal") * 10, F.lit(6_000_000.0) + F.col("s_suppkey") * 100.0, (F.col("s_suppkey") % 7 + 3) * 1000.0
     box = F.struct((x - w).alias("x0"), (y - w).alias("y0"), (x + w).alias("x1"), (y + w).alias("y1"))
-    b = s.select("s_suppkey", G.reproject_box(box, UTM, 4326).alias("b"))
+    b = gridded.reproject_boxes(s.select("s_suppkey", box.alias("b")), ["s_suppkey"], "b", UTM, 4326)
     return b.select("s_suppkey", *[F.round(f"b.{c}", 7).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
