@@ -1,5 +1,8 @@
 """Joins, tasks and ties at size: what is dealt to neighbours isn't broadcast, dense segments are met by few points, points on a side agree with the SQL."""
 
+import duckdb
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -31,6 +34,21 @@ def test_nearest_segment_of_equal_segments_and_places(spark):
     assert {r.pid: (r.sid, r.dist) for r in got.collect()} == {1: (4, 0.25), 2: (4, 0.25), 3: (7, 29.0), 4: (None, None)}
 
 
+@pytest.mark.parametrize("name", ["points_in_polygons", "rasterised_centres"])
+def test_points_on_a_side_agree_with_the_sql(spark, tmp_path, name):
+    """Balances in steps of a cent and keys of all remainders put points on the kites' sides; the SQL's doubles decide."""
+    cents = [k * 137 + 9 for k in range(500)]
+    pd.DataFrame({"s_suppkey": range(500), "s_acctbal": [c / 100 for c in cents], "s_nationkey": 0}).to_parquet(f"{tmp_path}/supplier.parquet")
+    places = [(round(c / 100 + dx, 2), k) for c, k in zip(cents, range(500), strict=True) for dx in (s * 100 * (w - v) - 0.3 for s in (-1, 1) for w in (k % 7 + 3,) for v in (0.37, 1.37, 0.315))]
+    pd.DataFrame({"c_custkey": [k % 89 + 97 * 89 * i for i, (_, k) in enumerate(places)], "c_acctbal": [b for b, _ in places]}).to_parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    for t in ("supplier", "customer"):
+        con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    df = entry.queries()[name](spark, str(tmp_path))
+    want = con.execute(entry.oracle_sql()[name]).df()[df.columns]
+    assert sorted(map(tuple, df.collect())) == sorted(want.itertuples(index=False, name=None))
+
+
 def test_boxes_of_one_file_are_dealt_out(spark, tmp_path):
     spark.range(50).selectExpr("id as s_suppkey", "cast(id as double) as s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
     df = entry.queries()["reprojected_boxes"](spark, str(tmp_path))

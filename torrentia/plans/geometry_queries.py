@@ -8,12 +8,20 @@ from torrentia.functions import geometry as G
 from torrentia.streaming import rain
 
 
-def _rings(spark, d):
-    """A kite round each supplier's place."""
+def _rings(spark, d, more=0.0):
+    """A kite round each supplier's place, its ring wider by `more`."""
     s = spark.read.parquet(f"{d}/supplier.parquet")
     x, y, w = F.col("s_acctbal") / 100, (F.col("s_suppkey") % 89).cast("double"), (F.col("s_suppkey") % 7 + 3).cast("double")
     p = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
-    return s.select("s_suppkey", x.alias("x"), y.alias("y"), w.alias("w"), F.array(p(-w, F.lit(0.0)), p(F.lit(0.0), -2 * w), p(w, F.lit(0.0)), p(F.lit(0.0), w)).alias("ring"))
+    return s.select("s_suppkey", x.alias("x"), y.alias("y"), w.alias("w"), F.array(p(-w - more, F.lit(0.0)), p(F.lit(0.0), -2 * (w + more)), p(w + more, F.lit(0.0)), p(F.lit(0.0), w + more)).alias("ring"))
+
+
+#: Points on a side are told by the kite's own inequality, since sums of doubles put them on either side of it: the wider ring finds them.
+EDGE = 1e-6
+
+
+def in_kite(px, py, x, y, w):
+    return ((py >= y) & (F.abs(px - x) < w - (py - y))) | ((py < y) & (F.abs(px - x) < w - (y - py) / 2))
 
 
 def polygon_measures(spark, d):
@@ -26,12 +34,14 @@ def polygon_measures(spark, d):
 def points_in_polygons(spark, d):
     """Customers inside the suppliers' kites; candidates meet in grid cells."""
     size = 10.0
-    rings = _rings(spark, d)
-    cells = rings.withColumn("gx", F.explode(F.sequence(F.floor((F.col("x") - F.col("w")) / size), F.floor((F.col("x") + F.col("w")) / size))))
-    cells = cells.withColumn("gy", F.explode(F.sequence(F.floor((F.col("y") - 2 * F.col("w")) / size), F.floor((F.col("y") + F.col("w")) / size))))
+    rings = _rings(spark, d, EDGE)
+    of = lambda a, b: F.explode(F.sequence(F.floor((a - 2 * EDGE) / size), F.floor((b + 2 * EDGE) / size)))
+    cells = rings.withColumn("gx", of(F.col("x") - F.col("w"), F.col("x") + F.col("w")))
+    cells = cells.withColumn("gy", of(F.col("y") - 2 * F.col("w"), F.col("y") + F.col("w")))
     c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", (F.col("c_acctbal") / 100 + 0.003).alias("px"), (F.col("c_custkey") % 97 + 0.37).cast("double").alias("py"))
     c = c.withColumns({"gx": F.floor(F.col("px") / size), "gy": F.floor(F.col("py") / size)})
-    return c.join(cells, ["gx", "gy"]).where(G.contains(F.col("ring"), F.col("px"), F.col("py"))).select("c_custkey", "s_suppkey")
+    found = c.join(cells, ["gx", "gy"]).where(G.contains(F.col("ring"), F.col("px"), F.col("py")))
+    return found.where(in_kite(*[F.col(n) for n in ("px", "py", "x", "y", "w")])).select("c_custkey", "s_suppkey")
 
 
 def _gauges(spark, d):
