@@ -54,9 +54,17 @@ def _share(x: Column, knots: tuple) -> Column:
     return out.otherwise(1.0)
 
 
+#: Storms of a task: at 72 steps each these are some 2 million rows.
+STORMS = 30_000
+
+
 def hyetograph(storms: DataFrame, key: str) -> DataFrame:
-    """storms (key, p_mm, dur_h) to rain in each step (k from 0, mm): increments of the depth curve, the largest in the middle, then alternately before and after."""
-    s = storms.withColumn("dt_h", F.when(F.col("dur_h") >= 6, 1.0).otherwise(1 / 6)).withColumn("n", F.round(F.col("dur_h") / F.col("dt_h")).cast("int"))
+    """storms (key, p_mm, dur_h) to rain in each step (k from 0, mm): increments of the depth curve, the largest in the middle, then alternately before and after.
+
+    Storms are dealt out by key before their steps are, and stay there: a task never has more than its storms' steps.
+    """
+    n = max(int(storms.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-storms.count() // STORMS))
+    s = storms.repartition(n, key).withColumn("dt_h", F.when(F.col("dur_h") >= 6, 1.0).otherwise(1 / 6)).withColumn("n", F.round(F.col("dur_h") / F.col("dt_h")).cast("int"))
     s = s.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("n"))))
     x = F.col("i") * F.col("dt_h") / F.col("dur_h")
     first = F.col("dt_h") / F.col("dur_h")
