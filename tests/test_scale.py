@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from torrentia.operators import matching, terrain
+from torrentia import scratch
+from torrentia.operators import graph, matching, terrain
 
 
 def _plan(df) -> str:
@@ -21,6 +22,14 @@ def test_neighbours_are_not_broadcast(spark, tmp_path):
         assert "Broadcast" not in _plan(df)
 
 
+def test_stars_are_not_broadcast(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(graph, "written", lambda df: plans.append(_plan(df)) or scratch.written(df))
+    edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (5, 5), (3, 1)], "a long, b long")
+    assert sorted(map(tuple, graph.components(edges).collect())) == [(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)]
+    assert len(plans) > 1 and not any("Broadcast" in p for p in plans)
+
+
 def test_grid_of_dense_segments_is_finer():
     assert matching._first_cell(10.0, 10, 10, 100.0, 100.0, 7.0, 3.0) == 10.0
     assert matching._first_cell(10.0, 60_000, 900_000, 100.0, 100.0, 7.0, 3.0) < 1.0
