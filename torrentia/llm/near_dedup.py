@@ -11,9 +11,9 @@ five-word k-mers, those of up to 60 get 16 sketches of 3 two-word ones. Sizes of
 both. Where edits are scattered singly, a pair at exactly 0.8 is found with a probability of about 0.9, at 0.85 of 0.99 and at 0.9 of
 0.9999; where they stand together, of nearly 1.
 
-Texts equal in words are one class first. In the group of texts that share a sketch, all are aligned with two
-pivots: the most central text (the one whose groups are largest in sum, so a large group's original rather than a
-copy), and the first by a hash. Groups of the same copies have the same pivots mostly, so n copies cost a few n alignments. Then all pairs of a group's texts that are still in different components are
+Texts equal in words are one class first. Each text is aligned with the most central one (whose groups are largest in sum, so a large
+group's original rather than a copy) of all groups of texts that share a sketch with it, so n copies cost n alignments. In groups whose texts are of several components then, all are aligned with
+those of two pivots, the most central text and the first by a hash, that are of other components. Then all pairs of a group's texts that are still in different components are
 aligned, whatever the group's size, but for those that can't reach 0.8. In a group of more than HOT texts, such as all that have one header, these are
 found by their rarest pairs of neighbouring words: texts at 0.8 have one of the rarest third (shorter text) and two fifths (longer text) in common, since fewer are broken
 (`rare_pairs`). What a whole group shares is frequent and comes last, so such a group isn't compared pair by pair, and no similar pair is lost. Which order pairs of words have doesn't matter to
@@ -41,6 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from torrentia.llm.common import col, discard, materialise, mix64, renamed, shingle_hashes, word_hashes
+from torrentia.llm.exact_dedup import maybe_repeated, repeated_filter
 from torrentia.operators.graph import components
 
 SIMILARITY = 0.8
@@ -295,7 +296,7 @@ def _rare_members(hot: DataFrame, slim: DataFrame, docs: DataFrame) -> DataFrame
     """hot (rid, label) to (key, rid, label, n, early): the rare pairs of neighbouring words of each text, less those that no other text can have."""
     at = hot.join(slim.select(F.col("rid").alias("r"), "doc_id", "th"), F.col("rid") == F.col("r")).select("rid", "label", F.col("doc_id").alias("d"), F.col("th").alias("h"))
     at = materialise(at)  # as a table, so that few of them are broadcast
-    texts = materialise(docs.join(at, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select("rid", "label", "text"))
+    texts = _texts(docs, at, "rid", "label")
     counts = docs.sparkSession.sparkContext.broadcast(_pair_counts(texts))
 
     def run(batches):
@@ -347,7 +348,7 @@ def _unchecked(members: DataFrame, nodes: DataFrame, docs: DataFrame, label: Dat
 
     In a group of at most HOT members all pairs are tried. Members of larger ones meet where they share a rare pair of words.
     """
-    at = members.join(label, F.col("rid") == F.col("node"), "left").select("key", "rid", F.coalesce("label", "rid").alias("label"))
+    at = members.select("key", "rid").join(label, F.col("rid") == F.col("node"), "left").select("key", "rid", F.coalesce("label", "rid").alias("label"))
     at = materialise(at)
     at = materialise(at.join(_sizes(at), F.col("key") == F.col("k")).select("key", "rid", "label", "size"))
     sides = nodes.select(F.col("rid").alias("r"), "n", "parity")
@@ -363,6 +364,13 @@ def _unchecked(members: DataFrame, nodes: DataFrame, docs: DataFrame, label: Dat
     return materialise(pairs.join(done, ["a", "b"], "left_anti"))
 
 
+def _texts(docs: DataFrame, asked: DataFrame, *columns: str) -> DataFrame:
+    """The columns and the text of the documents that are asked for (d, h: doc_id and hash of the text), as a written table. A Bloom filter of the hashes keeps most others out of the shuffle."""
+    twice = asked.select("h").union(asked.select("h"))  # the filter has what is there twice
+    near = docs.where(maybe_repeated(docs, "th", repeated_filter(twice, asked.count())))
+    return materialise(near.join(asked, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select(*columns, "text"))
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts are similar."""
 
@@ -382,8 +390,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     named = materialise(named)  # as a table, so that the pairs of a hot text can be split in the joins
     asked = [named.select(F.col(x).alias("rid"), F.col(f"id_{x}").alias("d"), F.col(f"th_{x}").alias("h")) for x in "ab"]
     asked = materialise(asked[0].union(asked[1]).distinct())
-    on = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))
-    texts = materialise(docs.join(asked, on).select("rid", "text"))  # those of the pairs, read once
+    texts = _texts(docs, asked, "rid")  # those of the pairs, read once
     side = lambda x: texts.select(F.col("rid").alias(x), F.col("text").alias(f"text_{x}"))
     two = named.select("a", "b").join(side("a"), "a").join(side("b"), "b")
     found = materialise(two.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long"))
@@ -397,6 +404,34 @@ def _own(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(col(doc_id).cast("long").alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("text"))
 
 
+def _pairs(met: DataFrame) -> DataFrame:
+    """Pairs of texts (rid, p) as (a, b), each once."""
+    return materialise(met.select(F.least("rid", "p").alias("a"), F.greatest("rid", "p").alias("b")).distinct())
+
+
+def _central(scored: DataFrame) -> DataFrame:
+    """scored (key, rid, score) to (rid, p): each text with the most central one of all its groups."""
+    best = scored.groupBy("key").agg(F.max(F.struct("score", "rid")).alias("a")).withColumnRenamed("key", "k")
+    return scored.join(best, F.col("key") == F.col("k")).groupBy("rid").agg(F.max("a")["rid"].alias("p")).where("rid <> p")
+
+
+def _open(scored: DataFrame, label: DataFrame) -> DataFrame:
+    """key, rid, score, label of the groups whose texts are of several components."""
+    at = materialise(scored.join(label, F.col("rid") == F.col("node"), "left").select("key", "rid", "score", F.coalesce("label", "rid").alias("label")))
+    out = materialise(at.join(_sizes(at), F.col("key") == F.col("k")).select("key", "rid", "score", "label"))
+    discard(at)
+    return out
+
+
+def _pivots(open_: DataFrame) -> DataFrame:
+    """(rid, p): each text with those of its group's two pivots, the most central text and the first by a hash, that are of other components."""
+    a, b = F.max(F.struct("score", "rid", "label")), F.min(F.struct(F.xxhash64("rid").alias("h"), F.col("rid"), F.col("label")))
+    pivots = open_.groupBy(F.col("key").alias("k")).agg(a.alias("a"), b.alias("b"))
+    pivots = pivots.select("k", F.array(*[F.struct(f"{x}.rid", f"{x}.label") for x in "ab"]).alias("p"))
+    met = open_.join(pivots, F.col("key") == F.col("k")).select("rid", "label", F.explode(F.filter(F.array_distinct("p"), lambda p: p["label"] != F.col("label"))).alias("p"))
+    return met.select("rid", F.col("p.rid").alias("p"))
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: rid, doc_id, th, class_id (the least doc_id of its class), class_size, kept (one row of each class)."""
     own = _own(docs, doc_id, text)
@@ -406,18 +441,19 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     keyed = nodes.select("rid", F.explode("keys").alias("key"))
     shared = materialise(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("key", "k"))
     members = materialise(keyed.join(shared, F.col("key") == F.col("k")).select("key", "rid", "size"))
-    central = members.groupBy("rid").agg(F.sum("size").alias("score")).withColumnRenamed("rid", "c")
-    hashed = F.struct(F.xxhash64("rid").alias("h"), F.col("rid"))
-    scored = members.join(central, F.col("rid") == F.col("c"))
-    pivots = scored.groupBy("key").agg(F.max(F.struct("score", "rid")).alias("a"), F.min(hashed).alias("b"))
-    pivots = materialise(pivots.select(F.col("key").alias("k"), F.array("a.rid", "b.rid").alias("p")))
-    met = members.join(pivots, F.col("key") == F.col("k")).select("rid", F.explode(F.array_distinct("p")).alias("p")).where("rid <> p")
-    done = materialise(met.select(F.least("rid", "p").alias("a"), F.greatest("rid", "p").alias("b")).distinct())
-
     slim = nodes.select("rid", "doc_id", "th", "n", "parity")
+    central = members.groupBy("rid").agg(F.sum("size").alias("score")).withColumnRenamed("rid", "c")
+    scored = materialise(members.join(central, F.col("rid") == F.col("c")).select("key", "rid", "score"))
+    done = _pairs(_central(scored))
     links = _verified(done, slim, own)
     label = materialise(components(links))
-    more = _verified(_unchecked(members, nodes, own, label, done), slim, own)
+
+    open_ = _open(scored, label)
+    found = materialise(_pairs(_pivots(open_)).join(done, ["a", "b"], "left_anti"))
+    links = _verified(found, slim, own)
+    label = materialise(components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links)))
+
+    more = _verified(_unchecked(open_, nodes, own, label, materialise(done.union(found))), slim, own)
     if more.count():
         label = materialise(components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)))
     lab = nodes.join(label, F.col("rid") == F.col("node"), "left").select("digest", "doc_id", "th", "rid", "size", F.coalesce("label", "rid").alias("label"))
