@@ -147,3 +147,15 @@ def test_given_pages_without_article_tags(spark):
     same = sum(whole[i] == plain[i] for i in whole)
     print(same, len(whole))
     assert same >= 0.9 * len(whole)
+
+
+def test_pages_are_not_shuffled_to_meet_few_templates(spark, monkeypatch):
+    """By a broadcast of the templates, or by a shuffle where they are too large for one: the same texts."""
+    rows = [(k, f"http://h.org/{k}", f"<body><div><p>Always the same line</p></div><div><p>Text {k * 7919 % 101} of page {k}</p></div></body>") for k in range(40)]
+    df = spark.createDataFrame(rows, KIND)
+    small = html_extract.extract(df)
+    monkeypatch.setattr(html_extract, "BROADCAST", -1)
+    shuffled = html_extract.extract(df)
+    plans = [x._jdf.queryExecution().executedPlan().toString() for x in (small, shuffled)]
+    assert "BroadcastHashJoin" in plans[0] and "Exchange hashpartitioning" not in plans[0] and "SortMergeJoin" in plans[1]
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, shuffled.collect()))

@@ -42,6 +42,7 @@ REFERENCES = 3
 VARIED, CONSTANT, Z = 0.5, 0.7, 1.96  # shares, and the width of their intervals
 NEARLY, MOST, ARTICLE = 0.9, 0.8, 40
 BROADCAST = 32 << 20  # most bytes of references that are broadcast
+ENTRY = 64  # bytes of a template's entry, at most
 
 # Fixed values of HTML: elements without content, and elements that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -415,6 +416,9 @@ def content(pages: DataFrame, templates: DataFrame) -> DataFrame:
                 out.append(" ".join(texts[b] for b in kept))
             yield pdf[["page_id", "url"]].assign(text=out)
 
+    size = templates.agg(F.sum(F.size("template"))).first()[0] or 0
+    if size * ENTRY <= BROADCAST:  # else pages and templates meet by a shuffle
+        templates = F.broadcast(templates)
     joined = pages.drop("nodes", "hits", "print").join(templates, F.col("host") == F.col("t_host"), "left")
     return joined.select("page_id", "url", "up", "label", "flags", "owner", "texts", "at", "template").mapInPandas(run, "page_id long, url string, text string")
 
