@@ -33,9 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from torrentia.llm.common import col, renamed, without
+from torrentia.llm.common import Memo, col, renamed, without
 
-CACHE_ENTRIES = 50_000
+CACHE_ENTRIES = 100_000  # of a generation of the memos
+MEMO_CHARS = 64  # of the longest piece that is kept
 ROWS = 256  # whose ids are held at once
 STRETCH = 1 << 17  # tokens decoded at once
 WINDOW = 1 << 14  # characters whose matches are held at once in long words
@@ -118,19 +119,6 @@ def _composed(text: str) -> str:
     return "".join([p if k % 2 else unicodedata.normalize("NFC", p) for k, p in enumerate(_LATER_MARK.split(text))])
 
 
-class _Pieces(dict):
-    """Piece of text -> its ids as bytes; forgets everything when full."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        self[piece] = out = self.encode(piece)
-        return out
-
-
 class Codec:
     """Encoder and decoder for a word-level BPE vocabulary: lower case, with an end-of-word mark."""
 
@@ -146,6 +134,7 @@ class Codec:
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         pattern = pattern.replace(r"\s", _SPACES.pattern[1:-2])
+        self.ascii_pattern = regex.compile("(?V1)" + pattern.replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]"))  # the same on ASCII
         if later := _later_scripts():
             pattern = pattern.replace(r"\p{L}", rf"[\p{{L}}--[{later}]]").replace(r"\p{N}", rf"[\p{{N}}--[{later}]]")
         self.pattern = regex.compile("(?V1)" + pattern)
@@ -165,6 +154,10 @@ class Codec:
                 self.automaton.add_word(inner[t], (i, len(inner[t])))
         self.automaton.make_automaton()
         self.longest = max(len(t) for t in inner.values())
+        self.sizes, self.shorter = [0] * size, [-1] * size  # of each token, the longest one that it begins with
+        for t, (i, n) in self.automaton.items():
+            self.sizes[i] = n
+            self.shorter[i] = next((self.automaton.get(t[:k])[0] for k in range(n - 1, 0, -1) if t[:k] in self.automaton), -1)
 
         texts = [b""] * size
         for t, i in [*vocab.items(), *added.items()]:
@@ -172,7 +165,7 @@ class Codec:
         self.buffer = np.frombuffer(b"".join(texts), np.uint8)
         self.lengths = np.array([len(t) for t in texts])
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
-        self.pieces, self.words = _Pieces(self._piece), _Pieces(self._word)
+        self.pieces, self.words = Memo(self._piece, MEMO_CHARS, CACHE_ENTRIES), Memo(self._word, MEMO_CHARS, CACHE_ENTRIES)
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int, float]]:
         """The tokens that stood at one end while `token` was built: (token, rank that made it, rank that used it up)."""
@@ -204,9 +197,50 @@ class Codec:
             out = self.compatible[key] = self._stays_apart(left, right)
         return out
 
+    def _descent(self, text: str) -> list[int] | None:
+        """The ids of a word, by its longest matches from the left and, where one doesn't fit, by the shorter ones that it begins with; None where that finds none.
+
+        Tokens of which each two neighbours are compatible are the word's only encoding, so it doesn't matter how they were found.
+        """
+        n, matches, known, sizes, shorter = len(text), self.automaton.iter_long, self.compatible, self.sizes, self.shorter
+        ids, pos, left, dead = [], 0, -1, set()
+        while True:
+            token = -1
+            for end, (token, length) in matches(text, pos):
+                if end + 1 - length != pos:
+                    token = -1
+                    break
+                if pos + length not in dead and (left < 0 or (known[left, token] if (left, token) in known else self._fits(left, token))):
+                    ids.append(token)
+                    left, pos, token = token, pos + length, -1
+                else:
+                    break
+            if pos == n:
+                return ids
+            while True:  # the match at pos doesn't fit, or there is none
+                while token >= 0 and (pos + sizes[token] in dead or left >= 0 and not self._fits(left, token)):
+                    token = shorter[token]
+                if token >= 0:
+                    break
+                if not ids:
+                    return None
+                dead.add(pos)
+                token = ids.pop()
+                pos, left = pos - sizes[token], ids[-1] if ids else -1
+                token = shorter[token]
+            ids.append(token)
+            left, pos = token, pos + sizes[token]
+
     def _word(self, word: str) -> bytes:
         text = "".join([self.bytes[b] for b in word.encode("utf-8")]) + self.END
         n = len(text)
+        if n <= WINDOW and (ids := self._descent(text)) is not None:
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return self._searched(text)
+
+    def _searched(self, text: str) -> bytes:
+        """The ids of a word of any length, from all matches at each place."""
+        n = len(text)
         if n > WINDOW:
             at, ids, taken_at, taken_k = _Window(self.automaton, text, self.longest), array("I"), array("q"), array("i")
         else:
@@ -236,8 +270,10 @@ class Codec:
 
     def _piece(self, piece: str) -> bytes:
         text = piece.lower() if piece.isascii() else _composed(piece).translate(_LOWER).lower()
-        if text.isascii() and text.isalpha():
-            return self.words[text]
+        if text.isascii():
+            if text.isalpha():
+                return self.words[text]
+            return b"".join([self.words[w] for w in self.ascii_pattern.findall(text)])
         return b"".join([self.words[w] for w in self.pattern.findall(text)])
 
     def _plain(self, text: str) -> bytes:
