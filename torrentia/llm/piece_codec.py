@@ -95,7 +95,8 @@ class PieceCodec:
         self.lengths = np.array([len(t) for t in texts])
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         space, line = f"[ {MARK}]", "" if any("\n" in t for t in self.ids) else "\n"
-        kin = re.escape("".join(sorted(self._kin())))
+        self.kin = self._kin()
+        kin = re.escape("".join(sorted(self.kin)))
         same, other = f"[{kin}]", f"[^ {MARK}{line}{kin}]"
         self.chunk_at = re.compile(f"{space}+(?:{same}+|{other}*)|{same}+|{other}+" + "|\n+" * bool(line))
         self.cut_at = re.compile(f"(?<!{space}){space}")
@@ -216,7 +217,11 @@ class PieceCodec:
     def encode_each(self, text: str | None) -> bytes:
         """The ids of one text as bytes, chunk by chunk: shorter where the table has most chunks."""
         stretches = self._stretches(" " + text) if text else ()
-        return b"".join([b"".join(map(self.table.__getitem__, self.chunk_at.findall(s))) for s in stretches])
+        return b"".join(map(self.encode_chunks, stretches))
+
+    def encode_chunks(self, text: str) -> bytes:
+        """The ids of a text without the space that is put before whole ones, say of what follows the end of a chunk."""
+        return b"".join(map(self.table.__getitem__, self.chunk_at.findall(text)))
 
     def enclosed(self, ids: np.ndarray) -> np.ndarray:
         return np.concatenate([[self.begin], ids, [self.end]]).astype("<u4")

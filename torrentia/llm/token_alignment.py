@@ -2,8 +2,9 @@
 
 Texts are tokenised whole by both: a space and the text by the byte-level vocabulary A, the text by the piece vocabulary B, which adds
 the space itself. A place where both have a space-marked token is an anchor if the tokens before it end at the same byte, which is
-verified. Anchors split a text into windows of token ids. A window's alignment depends on its ids alone, so it is memoised by the tuple of both: its
-groups (the least stretches of tokens that end together) and its links (the last A token and the last B token of each group).
+verified. So is, within a word, a place between letters and a sign after them that neither vocabulary joins with letters. Anchors split a text into windows of token ids. A window's
+alignment depends on its ids alone, and these on its text alone (no two texts have the same ids), by which it is memoised: its groups (the least stretches of tokens that end together)
+and its links (the last A token and the last B token of each group).
 
 An id pair's count is the number of links in the corpus that have it. The links of each document are written once; their counts come from one
 aggregation, in which each task adds up its own first. Back to the documents go the most frequent pairs as a broadcast table of HOT_PAIRS rows at most, and the rest by a
@@ -35,7 +36,7 @@ from torrentia.llm.common import Memo, col, materialise
 
 HOT_PAIRS = 1 << 18  # rows of a broadcast table, some 20 MB
 WORDS, WINDOWS = 40_000, 100_000  # entries of a generation of the memos
-MEMO_TOKENS = 32  # of the longest window that is kept
+MEMO_CHARS = 64  # of the longest word that is kept
 ROWS = 512  # documents at once
 _MARKED = re.compile(r"(?<=\S) (?=\S)")
 _LATIN = r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
@@ -65,9 +66,9 @@ class ByteLevel:
         self.texts = texts
         ranks = {texts[i]: i for i in spec["model"]["vocab"].values() if i != next(iter(t["id"] for t in spec["added_tokens"]), None)}
         self.merges = tiktoken.Encoding("letters", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
-        self.marked, self.plain = Memo(lambda w: self._cut(w, " "), 64, WORDS), Memo(lambda w: self._cut(w, ""), 64, WORDS // 4)
+        self.marked, self.plain = Memo(lambda w: self.cut(w, " "), 64, WORDS), Memo(lambda w: self.cut(w, ""), 64, WORDS // 4)
 
-    def _cut(self, word: str, before: str) -> bytes:
+    def cut(self, word: str, before: str) -> bytes:
         """The ids of a word that isn't kept. Letters are never in one token with the punctuation or line end after them, so what stands before and after is looked up alone."""
         head, *rest = _PARTS.split(word)
         if rest:
@@ -83,25 +84,63 @@ class ByteLevel:
         return self.marked[word]
 
 
+class LatinPieces:
+    """The pieces of words of Latin letters by the merges of the piece vocabulary, on bytes: those of two-byte characters come first, the others by their scores. The marker is a space."""
+
+    def __init__(self, c: piece_codec.PieceCodec):
+        import tiktoken
+
+        as_bytes = {t: t.replace(piece_codec.MARK, " ").encode("utf-8") for t in c.ids if all(x < "\u0800" or x == piece_codec.MARK for x in t)}
+        letters = [t for t, b in as_bytes.items() if len(t) == 1 and len(b) == 2]
+        pieces = sorted((t for t in as_bytes if len(t) > 1), key=c.rank.__getitem__)
+        ranks = {b: n for n, b in enumerate([*map(as_bytes.get, letters), *[bytes([b]) for b in range(256)], *map(as_bytes.get, pieces)])}
+        single = [c.ids.get(piece_codec.MARK if b == 32 else chr(b), c.byte_ids[b]) if b < 128 else c.byte_ids[b] for b in range(256)]
+        self.ids = [*[c.ids[t] for t in letters], *single, *[c.ids[t] for t in pieces]]
+        self.usable = piece_codec.MARK in c.ids
+        self.merges = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, word: str) -> bytes | None:
+        """The ids of a word of Latin letters, with a space before it or not; None where it may be one piece, which the merges needn't come to."""
+        found = self.merges.encode_ordinary(word)
+        return array("I", [self.ids[n] for n in found]).tobytes() if len(found) > 1 and self.usable else None
+
+
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteLevel(path_a), piece_codec.codec(path_b)
         c = self.b
+        self.latin = LatinPieces(c)
         self.texts_b = [c.buffer[s : s + n].tobytes() for s, n in zip(c.starts.tolist(), c.lengths.tolist(), strict=True)]
         self.sizes_a, self.sizes_b = [len(t) for t in self.a.texts], [len(t) for t in self.texts_b]
         self.names = [str(i) for i in range(max(len(self.sizes_a), len(self.sizes_b)))]
         self.more = ["," + n for n in self.names]
-        self.words = Memo(self._word, 64, WINDOWS)
-        self.windows = Memo(self._window, 4 * MEMO_TOKENS, WINDOWS)
-
-    def _word(self, word: str) -> tuple[bytes, bytes] | None:
-        """The ids of a space and the word by both; None where the bytes of either's tokens differ from them."""
-        raw_a, raw_b = self.a.encode_marked(word), self.b.encode_each(word)
-        data = (" " + word).encode("utf-8", "surrogatepass")
+        kin, ends = c.kin, [x for x in map(chr, range(128)) if _PARTS.search("a" + x) and x not in c.kin]
+        letters = [x for x in map(chr, range(0x250)) if x in kin and _LETTERS.fullmatch(x)]
+        #: Between letters that B joins and what follows of signs that it doesn't join with them: an anchor within a word.
+        self.parts_at = re.compile(f"(?<=[{re.escape(''.join(letters))}])(?=[{re.escape(''.join(ends))}])")
+        self.words, self.parts = Memo(lambda w: self._aligned(w, " "), MEMO_CHARS, WINDOWS), Memo(lambda w: self._aligned(w, ""), MEMO_CHARS, WINDOWS)
+        self.heads = Memo(lambda w: self._whole(w, " "), MEMO_CHARS, WINDOWS)
+
+    def _aligned(self, word: str, before: str) -> tuple[str, bytes, int, int] | None:
+        """The windows of a word, one after the other, that begins with a space or not; None where the bytes of either's tokens differ from it."""
+        head, *rest = self.parts_at.split(word) if len(word) <= MEMO_CHARS else [word]
+        if not rest:
+            return self.heads[word] if before else self._whole(word, before)
+        found = [self.heads[head] if before else self.parts[head], *map(self.parts.__getitem__, rest)]
+        if None in found:
+            return None
+        return ";".join([f[0] for f in found]), b"".join([f[1] for f in found]), sum([f[2] for f in found]), sum([f[3] for f in found])
+
+    def _whole(self, word: str, before: str) -> tuple[str, bytes, int, int] | None:
+        """The window of a word without an anchor in it."""
+        raw_a, raw_b = self.a.cut(word, before), self.latin.encode(before + word) if len(word) <= MEMO_CHARS and _LETTERS.fullmatch(word) else None
+        if raw_b is None:
+            raw_b = self.b.encode_each(word) if before else self.b.encode_chunks(word)
+        data = (before + word).encode("utf-8", "surrogatepass")
         for raw, texts in ((raw_a, self.a.texts), (raw_b, self.texts_b)):
             if b"".join([texts[i] for i in memoryview(raw).cast("I")]) != data:
                 return None
-        return raw_a, raw_b
+        return self._window((raw_a, raw_b))
 
     def _window(self, key: tuple[bytes, bytes]) -> tuple[str, bytes, int, int]:
         """The groups as text, the links (A id * 2**32 + B id) and the numbers of A and B ids."""
@@ -136,10 +175,9 @@ class Aligner:
         """
         if piece_codec.MARK in text:  # which B takes for a space
             return None
-        keys = list(map(self.words.__getitem__, _MARKED.split(text)))
-        if None in keys:
+        found = list(map(self.words.__getitem__, _MARKED.split(text)))
+        if None in found:
             return None
-        found = list(map(self.windows.__getitem__, keys))
         return sum([f[2] for f in found]), sum([f[3] for f in found]), ";".join([f[0] for f in found]), b"".join([f[1] for f in found])
 
 
