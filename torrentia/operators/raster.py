@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from torrentia.scratch import written
+
 KEY = ["raster", "row", "col"]
 
 
@@ -50,7 +52,7 @@ def histogram(cells: DataFrame, keys: list[str], value: str, bins: int = 256) ->
 
 def otsu(cells: DataFrame, keys: list[str], value: str, bins: int = 256) -> DataFrame:
     """The bin centre that maximises the variance between what lies up to it and beyond; the first on ties."""
-    h = histogram(cells, keys, value, bins).withColumn("x", F.col("lo") + (F.col("bin") + 0.5) * F.col("width"))
+    h = written(histogram(cells, keys, value, bins)).withColumn("x", F.col("lo") + (F.col("bin") + 0.5) * F.col("width"))
     upto = W.partitionBy(*keys).orderBy("bin")
     every = W.partitionBy(*keys)
     h = h.withColumns({"w0": F.sum("n").over(upto), "s0": F.sum(F.col("n") * F.col("x")).over(upto), "w": F.sum("n").over(every), "s": F.sum(F.col("n") * F.col("x")).over(every)})
@@ -61,8 +63,11 @@ def otsu(cells: DataFrame, keys: list[str], value: str, bins: int = 256) -> Data
 
 
 def otsu_guarded(cells: DataFrame, keys: list[str], value: str, ceiling: float, fixed: float, most: float = 0.2) -> DataFrame:
-    """The threshold, or `fixed` where it is above `ceiling` or marks more than `most` of the cells."""
-    t = otsu(cells, keys, value)
+    """The threshold, or `fixed` where it is above `ceiling` or marks more than `most` of the cells.
+
+    Thresholds are written first, so that no task holds both the histograms and the sorted cells.
+    """
+    t = written(otsu(cells, keys, value))
     share = cells.join(t, keys).groupBy(*keys, "threshold").agg(F.avg((F.col(value) < F.col("threshold")).cast("int")).alias("share"))
     bad = (F.col("threshold") > ceiling) | (F.col("share") > most)
     return share.select(*keys, F.when(bad, F.lit(fixed)).otherwise(F.col("threshold")).alias("threshold"), bad.alias("is_fixed"))
