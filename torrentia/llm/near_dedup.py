@@ -14,10 +14,12 @@ both. Where edits are scattered singly, a pair at exactly 0.8 is found with a pr
 Texts equal in words are one class first. Each text is aligned with the most central one (whose groups are largest in sum, so a large
 group's original rather than a copy) of all groups of texts that share a sketch with it, so n copies cost n alignments. In groups whose texts are of several components then, all are aligned with
 those of two pivots, the most central text and the first by a hash, that are of other components. Then all pairs of a group's texts that are still in different components are
-aligned, whatever the group's size, but for those that can't reach 0.8. In a group of more than HOT texts, such as all that have one header, these are
-found by their rarest pairs of neighbouring words: texts at 0.8 have one of the rarest third (shorter text) and two fifths (longer text) in common, since fewer are broken
-(`rare_pairs`). What a whole group shares is frequent and comes last, so such a group isn't compared pair by pair, and no similar pair is lost. Which order pairs of words have doesn't matter to
-that, as all texts have the same; it follows a table of counts of fixed size. Where the shared part is more than three fifths to two thirds of the texts, the rarest reach into it, and pairs of such a group are tried by size.
+aligned, whatever the group's size, but for those that can't reach 0.8. In a group of more than HOT texts these are
+found by marks. A mark of a text near its group's most central one (the centre) is a word that one of the two has and the other hasn't. Such differences of two texts differ
+from each other just as the texts do, in (n + m) / 9 words at most at 0.8, so one of the rarest is in both (`_hot_pairs`), and copies of one text with changes of their own don't meet by what they kept. Texts far from
+the centre, such as those that share a header, meet by their rarest pairs of neighbouring words: texts at 0.8 have one of the rarest third (shorter text) and two fifths (longer text) in common, since fewer are broken
+(`rare_pairs`). What a whole group shares is frequent and comes last, so such a group isn't compared pair by pair, and no similar pair is lost. Which order marks have doesn't matter to
+that, as all texts have the same; it follows a table of counts of fixed size. Where the rarest reach into what many share, pairs of those are tried by size.
 Others are ruled out by size, or as their words differ in too many
 places. Of PARITY bits each is the parity of a text's words that hash to it; a word that doesn't align changes one
 bit, so at 0.8 at most (n + m) / 9 bits differ; and as it breaks three pairs of neighbouring words at most (two of its own text's and
@@ -51,8 +53,8 @@ SHORT_MOST, LONG_LEAST = 60, 48  # words
 PARITY = 512  # bits
 HOT = 128  # texts of a group whose pairs are all tried
 CELL = 512
-SLOTS, SLOT_BLOCK = 1 << 20, 1 << 14  # counts of pairs of words: 4 MB
-HELD = 1 << 18  # rare pairs in one piece of a task's output
+SLOTS, SLOT_BLOCK = 1 << 20, 1 << 14  # counts of marks: 4 MB
+HELD = 1 << 18  # rare marks in one piece of a task's output
 SHORT_ROW = 1024  # words that are aligned in one window
 
 
@@ -265,15 +267,32 @@ def rare_pairs(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
     return pairs[order[: 2 * n // 5 + 1]], n // 3 + 1
 
 
-def _pair_counts(texts: DataFrame) -> np.ndarray:
-    """How many labelled pairs of neighbouring words of the texts fall to each of SLOTS: a table of fixed size, added up in tasks and then by blocks."""
+def differences(words: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """The labelled words that one of the two has and the other hasn't. Two texts' differences to one centre differ from each other just as the texts do."""
+    return np.setxor1d(_labelled(words), _labelled(centre))
+
+
+def _marks(centre: int, words: np.ndarray, of_centre: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many words the text and its centre differ in, and what it is to be met by in that centre's group: those words, and its pairs of neighbouring words (empty where that way isn't taken).
+
+    Similar texts of n and m words differ in (n + m) / 9 words at most, n / 4 that is, and their numbers of words that differ from the centre by no more.
+    So pairs with a text of n / 2 differences at most are among texts of 7 n / 8.
+    """
+    differ, n = differences(words, of_centre), len(words)
+    s, salt = len(differ), mix64(np.array([centre], np.int64).view(np.uint64))
+    none = np.empty(0, np.uint64)
+    return s, mix64(differ ^ salt) if 8 * s <= 7 * n else none, _labelled(shingle_hashes(words, 2)) if 2 * s > n or 4 * s <= n else none
+
+
+def _mark_counts(texts: DataFrame) -> np.ndarray:
+    """How many marks of the texts fall to each of SLOTS: a table of fixed size, added up in tasks and then by blocks."""
 
     def run(batches):
         counts = np.zeros(SLOTS, np.int64)
         for pdf in batches:
-            slots = [_labelled(shingle_hashes(word_hashes(t), 2)) % np.uint64(SLOTS) for t in pdf["text"]]
-            if slots:
-                at, n = np.unique(np.concatenate(slots), return_counts=True)
+            for c, t, centre in zip(pdf["c"], pdf["text"], pdf["text_c"], strict=True):
+                _, *marks = _marks(c, word_hashes(t), word_hashes(centre))
+                at, n = np.unique(np.concatenate(marks) % np.uint64(SLOTS), return_counts=True)
                 counts[at.astype(np.int64)] += n
         for block, part in enumerate(counts.reshape(-1, SLOT_BLOCK)):
             at = np.flatnonzero(part)
@@ -293,30 +312,40 @@ def _pair_counts(texts: DataFrame) -> np.ndarray:
 
 
 def _rare_members(hot: DataFrame, slim: DataFrame, docs: DataFrame) -> DataFrame:
-    """hot (rid, label) to (key, rid, label, n, early): the rare pairs of neighbouring words of each text, less those that no other text can have."""
-    at = hot.join(slim.select(F.col("rid").alias("r"), "doc_id", "th"), F.col("rid") == F.col("r")).select("rid", "label", F.col("doc_id").alias("d"), F.col("th").alias("h"))
-    at = materialise(at)  # as a table, so that few of them are broadcast
-    texts = _texts(docs, at, "rid", "label")
-    counts = docs.sparkSession.sparkContext.broadcast(_pair_counts(texts))
+    """hot (c, rid, label) to (key, rid, label, n, s, i, early, by_word): the rare words in which each text and its centre c differ, the i-th rarest of s, or its rare pairs, less those that no other text can have."""
+    of = slim.select(F.col("rid").alias("r"), F.col("doc_id").alias("d"), F.col("th").alias("h"))
+    asked = hot.select("rid").union(hot.select("c")).distinct()
+    asked = materialise(asked.join(of, F.col("rid") == F.col("r")).select("rid", "d", "h"))  # as a table, so that few of them are broadcast
+    own = _texts(docs, asked, "rid")
+    texts = materialise(hot.join(own, "rid").join(own.select(F.col("rid").alias("c"), F.col("text").alias("text_c")), "c").select("c", "rid", "label", "text", "text_c"))
+    counts = docs.sparkSession.sparkContext.broadcast(_mark_counts(texts))
 
     def run(batches):
         for pdf in batches:
             held, size = [], 0
-            for rid, label, t in pdf.itertuples(index=False, name=None):
+            for c, rid, label, t, centre in pdf.itertuples(index=False, name=None):
                 words = word_hashes(t)
-                key, early = rare_pairs(words, counts.value)
-                met = counts.value[(key % np.uint64(SLOTS)).astype(np.int64)] > 1
-                if met.any():
-                    held.append(pd.DataFrame({"key": key.view(np.int64), "rid": rid, "label": label, "n": len(words), "early": np.arange(len(key)) < early})[met])
-                    size += int(met.sum())
+                n = len(words)
+                s, differ, pairs = _marks(c, words, word_hashes(centre))
+                found = [(differ[np.lexsort((differ, counts.value[(differ % np.uint64(SLOTS)).astype(np.int64)]))][: n // 4 + 1], n // 8 + 1, True)]
+                if len(pairs):
+                    found.append((*rare_pairs(words, counts.value), False))
+                for key, early, by_word in found:
+                    met = counts.value[(key % np.uint64(SLOTS)).astype(np.int64)] > 1
+                    if met.any():
+                        key = key if by_word else mix64(key + np.uint64(c))
+                        at = np.arange(len(key))
+                        held.append(pd.DataFrame({"key": key.view(np.int64), "rid": rid, "label": label, "n": n, "s": s, "i": at, "early": at < early, "by_word": by_word})[met])
+                        size += int(met.sum())
                 if size > HELD:
                     yield pd.concat(held)
                     held, size = [], 0
             if held:
                 yield pd.concat(held)
 
-    out = materialise(texts.mapInPandas(run, "key long, rid long, label long, n long, early boolean"))
-    discard(texts)
+    out = materialise(texts.mapInPandas(run, "key long, rid long, label long, n long, s long, i long, early boolean, by_word boolean"))
+    for x in (asked, own, texts):
+        discard(x)
     return out
 
 
@@ -327,30 +356,37 @@ def _sizes(members: DataFrame) -> DataFrame:
 
 
 def _hot_pairs(hot: DataFrame, slim: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of hot texts across components that sizes and rare pairs of words leave open: all similar ones are among them.
+    """Pairs (a, b) of hot texts across components that sizes and rare marks leave open: all similar ones are among them.
 
-    A rare pair with more than CELL texts is dealt into cells, and each text goes to the pairs of cells that its own is in.
+    Where one of two texts is near their centre they meet by the words in which they differ from it. Of x's s_x and y's s_y such words all but
+    (n + m) / 9 are the same, so of either's rarest (s_x - s_y + (n + m) / 9) / 2 and one more, one is in both; unless both have so few that they need
+    none in common. Those and pairs far from the centre meet by pairs of neighbouring words.
+    A mark with more than CELL texts is dealt into cells, and each text goes to the pairs of cells that its own is in.
     """
     members = _rare_members(hot, slim, docs)
     at = members.join(_sizes(members), F.col("key") == F.col("k")).withColumn("parts", F.expr(f"(size + {CELL - 1}) div {CELL}")).withColumn("cell", F.pmod(F.xxhash64("rid"), "parts"))
-    at = at.select("key", "rid", "label", "n", "early", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    at = at.select("key", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "rid", "label", "n", "early")
+    at = materialise(at)
+    own = ["rid", "label", "n", "s", "i", "early", "by_word"]
+    many = at.where("parts > 1").select("key", *own, "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    at = at.where("parts = 1").select("key", *own, "cell", F.col("cell").alias("other")).union(many)
+    at = materialise(at.select("key", F.least("cell", "other").alias("i_cell"), F.greatest("cell", "other").alias("j_cell"), "cell", *own))
     x, y = at.where("early").alias("x"), at.alias("y")
-    once = (F.col("x.i") == F.col("x.j")) | (F.col("x.cell") != F.col("y.cell"))
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-    fits = (F.col("x.n") <= F.col("y.n")) & (F.col("x.n") >= SIMILARITY * F.col("y.n")) & (F.col("x.label") != F.col("y.label"))
-    pairs = x.join(y, same & fits & once)
-    return pairs.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
+    same = F.expr("x.key = y.key and x.i_cell = y.i_cell and x.j_cell = y.j_cell and x.by_word = y.by_word and x.label <> y.label and (x.i_cell = x.j_cell or x.cell <> y.cell)")
+    fits = F.expr("5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)")
+    words = F.expr("(x.s < y.s or x.s = y.s and x.rid < y.rid) and 18 * x.i <= 9 * (x.s - y.s) + x.n + y.n and 18 * y.i <= 9 * (y.s - x.s) + x.n + y.n and (2 * x.s <= x.n or 2 * y.s <= y.n) and 9 * (x.s + y.s) > x.n + y.n")
+    pairs = F.expr("x.n <= y.n and 9 * abs(x.s - y.s) <= x.n + y.n and (2 * x.s > x.n and 2 * y.s > y.n or 9 * (x.s + y.s) <= x.n + y.n)")
+    met = x.join(y, same & fits & F.when(F.col("x.by_word"), words).otherwise(pairs))
+    return met.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
 
 
 def _unchecked(members: DataFrame, nodes: DataFrame, docs: DataFrame, label: DataFrame, done: DataFrame) -> DataFrame:
-    """The candidate pairs (a, b) across components that aren't done, less those that sizes, parities or rare pairs of words rule out.
+    """The candidate pairs (a, b) across components that aren't done, less those that sizes, parities or rare marks rule out.
 
-    In a group of at most HOT members all pairs are tried. Members of larger ones meet where they share a rare pair of words.
+    In a group of at most HOT members all pairs are tried. Members of larger ones meet where they share a rare mark.
     """
-    at = members.select("key", "rid").join(label, F.col("rid") == F.col("node"), "left").select("key", "rid", F.coalesce("label", "rid").alias("label"))
+    at = members.select("key", "rid", "score").join(label, F.col("rid") == F.col("node"), "left").select("key", "rid", "score", F.coalesce("label", "rid").alias("label"))
     at = materialise(at)
-    at = materialise(at.join(_sizes(at), F.col("key") == F.col("k")).select("key", "rid", "label", "size"))
+    at = materialise(at.join(_sizes(at), F.col("key") == F.col("k")).select("key", "rid", "score", "label", "size"))
     sides = nodes.select(F.col("rid").alias("r"), "n", "parity")
     bits = [f"w{w}" for w in range(2 * PARITY // 64)]
     few = at.where(F.col("size") <= HOT).join(sides, F.col("rid") == F.col("r")).select("key", "rid", "label", "n", *[F.col("parity")[w].alias(b) for w, b in enumerate(bits)])
@@ -358,7 +394,9 @@ def _unchecked(members: DataFrame, nodes: DataFrame, docs: DataFrame, label: Dat
     near = _may_link((F.col("x.n"), F.col("y.n")), tuple([F.col(f"{t}.{b}") for b in bits] for t in "xy"))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rid") < F.col("y.rid")) & (F.col("x.label") != F.col("y.label")) & near)
     pairs = pairs.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
-    hot = materialise(at.where(F.col("size") > HOT).select("rid", "label").distinct())
+    wide = at.where(F.col("size") > HOT)
+    centre = wide.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("score", "rid"))["rid"].alias("c"))
+    hot = materialise(wide.join(centre, F.col("key") == F.col("k")).select("c", "rid", "label").distinct())
     if hot.limit(1).count():
         pairs = pairs.union(_hot_pairs(hot, nodes, docs)).distinct()
     return materialise(pairs.join(done, ["a", "b"], "left_anti"))
