@@ -54,6 +54,34 @@ def contains(ring: Column, x: Column, y: Column) -> Column:
     return F.size(F.filter(edges(ring), lambda e: F.coalesce(crosses(e["a"], e["b"]), F.lit(False)))) % 2 == 1
 
 
+def _once(value: Column, of) -> Column:
+    """of(value), with the value worked out once, however often `of` names it."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def slabs(ring: Column, size: float) -> Column:
+    """A ring that doesn't cross itself, cut at the heights of its points and at all whole multiples of size: array<struct<lo, hi, l, ls, r, rs>>, where
+    lo <= y < hi and x lies between the sides l + (y - lo) * ls and r + (y - lo) * rs. A point is in one slab at most."""
+    slope = lambda e: (e["b"]["x"] - e["a"]["x"]) / (e["b"]["y"] - e["a"]["y"])
+    at = lambda e, y: e["a"]["x"] + (y - e["a"]["y"]) * slope(e)
+
+    def levels(ys: Column) -> Column:
+        lines = F.transform(F.sequence(F.floor(F.array_min(ys) / size), F.floor(F.array_max(ys) / size)), lambda k: k * size)
+        return F.array_sort(F.array_distinct(F.filter(F.concat(ys, lines), lambda y: y >= F.array_min(ys))))
+
+    def between(sides: Column, lo: Column, hi: Column) -> Column:
+        spans = F.filter(sides, lambda e: (F.least(e["a"]["y"], e["b"]["y"]) <= lo) & (F.greatest(e["a"]["y"], e["b"]["y"]) >= hi))
+        met = F.array_sort(F.transform(spans, lambda e: F.struct(at(e, (lo + hi) / 2).alias("m"), at(e, lo).alias("x"), slope(e).alias("s"))))
+        pair = lambda a, b: F.struct(lo.alias("lo"), hi.alias("hi"), a["x"].alias("l"), a["s"].alias("ls"), b["x"].alias("r"), b["s"].alias("rs"))
+        return _once(met, lambda m: F.filter(F.zip_with(m, F.slice(m, 2, F.size(m)), pair), lambda p, i: (i % 2 == 0) & p["rs"].isNotNull()))
+
+    def cut(sides: Column) -> Column:
+        heights = _once(F.transform(ring, lambda p: p["y"]), levels)
+        return _once(heights, lambda h: F.flatten(F.zip_with(F.slice(h, 1, F.size(h) - 1), F.slice(h, 2, F.size(h)), lambda lo, hi: between(sides, lo, hi))))
+
+    return _once(edges(ring), cut)
+
+
 def circle(x: Column, y: Column, radius: Column, quarter: int = 64) -> Column:
     """A buffer round a point, with so many points a quarter."""
     step = math.pi / (2 * quarter)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -140,6 +141,25 @@ def overlap_share(sheets: DataFrame, areas: DataFrame, cell: float) -> DataFrame
     return whole.where("common > 0").select("sid", "aid", (100 * F.col("common") / F.col("whole")).alias("pct"))
 
 
+def points_in_rings(points: DataFrame, rings: DataFrame, size: float, also: Column | None = None) -> DataFrame:
+    """points (px, py, ...) with all rings (ring, ...) that they lie in and, where given, for which `also` holds; ring itself is left out.
+
+    Rings are cut in slabs, and these are registered in those cells of a grid that they meet, so points try few rings that they don't lie in, by plain numbers. The size
+    is a power of two, so that cells end where slabs do.
+    """
+    if math.frexp(size)[0] != 0.5:
+        raise ValueError(f"the size of cells is a power of two, not {size}")
+    cut = dealt(rings.where(F.size("ring") > 2)).withColumn("slab", F.explode(geometry.slabs(F.col("ring"), size))).select(*[c for c in rings.columns if c != "ring"], "slab.*")
+    side = lambda a, y: F.col(a) + (y - F.col("lo")) * F.col(f"{a}s")
+    ends = [side(a, F.col(y)) for a in "lr" for y in ("lo", "hi")]
+    cells = cut.withColumn("gx", F.explode(F.sequence(F.floor(F.least(*ends) / size), F.floor(F.greatest(*ends) / size)))).withColumn("gy", F.floor(F.col("lo") / size))
+    placed = points.withColumns({"gx": F.floor(F.col("px") / size), "gy": F.floor(F.col("py") / size)})
+    px, py = F.col("px"), F.col("py")
+    inside = (py >= F.col("lo")) & (py < F.col("hi")) & ((px < side("l", py)) != (px < side("r", py)))
+    met = large(dealt(placed, "gx", "gy")).join(large(dealt(cells, "gx", "gy")), ["gx", "gy"]).where(inside if also is None else inside & also)
+    return met.drop("gx", "gy", "lo", "hi", "l", "ls", "r", "rs")
+
+
 def merged_lines(lines: DataFrame) -> DataFrame:
     """lines (sid, a, b: their end nodes) with the line that each becomes part of (its least sid): lines are merged where just two meet."""
     ends = lines.select("sid", F.explode(F.array("a", "b")).alias("node"))

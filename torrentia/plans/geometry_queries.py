@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from torrentia.functions import geometry as G
+from torrentia.operators import matching
 from torrentia.streaming import rain
 
 
@@ -33,15 +34,9 @@ def polygon_measures(spark, d):
 
 def points_in_polygons(spark, d):
     """Customers inside the suppliers' kites; candidates meet in grid cells."""
-    size = 10.0
-    rings = _rings(spark, d, EDGE)
-    of = lambda a, b: F.explode(F.sequence(F.floor((a - 2 * EDGE) / size), F.floor((b + 2 * EDGE) / size)))
-    cells = rings.withColumn("gx", of(F.col("x") - F.col("w"), F.col("x") + F.col("w")))
-    cells = cells.withColumn("gy", of(F.col("y") - 2 * F.col("w"), F.col("y") + F.col("w")))
     c = spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", (F.col("c_acctbal") / 100 + 0.003).alias("px"), (F.col("c_custkey") % 97 + 0.37).cast("double").alias("py"))
-    c = c.withColumns({"gx": F.floor(F.col("px") / size), "gy": F.floor(F.col("py") / size)})
-    found = c.join(cells, ["gx", "gy"]).where(G.contains(F.col("ring"), F.col("px"), F.col("py")))
-    return found.where(in_kite(*[F.col(n) for n in ("px", "py", "x", "y", "w")])).select("c_custkey", "s_suppkey")
+    found = matching.points_in_rings(c, _rings(spark, d, EDGE), 2.0, also=in_kite(*[F.col(n) for n in ("px", "py", "x", "y", "w")]))
+    return found.select("c_custkey", "s_suppkey")
 
 
 def _gauges(spark, d):
