@@ -349,10 +349,10 @@ def _rare_members(hot: DataFrame, slim: DataFrame, docs: DataFrame) -> DataFrame
     return out
 
 
-def _sizes(members: DataFrame) -> DataFrame:
-    """Keys (k) whose members are of several components, and how many members they have."""
-    found = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-    return materialise(found.where("l0 <> l1").select(F.col("key").alias("k"), "size"))
+def _mixed(members: DataFrame, *more: Column, where: str = "true") -> DataFrame:
+    """Keys (k) whose members are of several components, how many members they have, and what more is asked of them."""
+    found = members.groupBy(F.col("key").alias("k")).agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("l0"), F.max("label").alias("l1"), *more)
+    return materialise(found.where("l0 <> l1").where(where).drop("l0", "l1"))
 
 
 def _hot_pairs(hot: DataFrame, slim: DataFrame, docs: DataFrame) -> DataFrame:
@@ -364,7 +364,8 @@ def _hot_pairs(hot: DataFrame, slim: DataFrame, docs: DataFrame) -> DataFrame:
     A mark with more than CELL texts is dealt into cells, and each text goes to the pairs of cells that its own is in.
     """
     members = _rare_members(hot, slim, docs)
-    at = members.join(_sizes(members), F.col("key") == F.col("k")).withColumn("parts", F.expr(f"(size + {CELL - 1}) div {CELL}")).withColumn("cell", F.pmod(F.xxhash64("rid"), "parts"))
+    sizes = _mixed(members, F.max("early").alias("some_early"), where="some_early")  # of two texts that meet one has the mark early
+    at = members.join(sizes, F.col("key") == F.col("k")).withColumn("parts", F.expr(f"(size + {CELL - 1}) div {CELL}")).withColumn("cell", F.pmod(F.xxhash64("rid"), "parts"))
     at = materialise(at)
     own = ["rid", "label", "n", "s", "i", "early", "by_word"]
     many = at.where("parts > 1").select("key", *own, "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
@@ -386,7 +387,8 @@ def _unchecked(members: DataFrame, nodes: DataFrame, docs: DataFrame, label: Dat
     """
     at = members.select("key", "rid", "score").join(label, F.col("rid") == F.col("node"), "left").select("key", "rid", "score", F.coalesce("label", "rid").alias("label"))
     at = materialise(at)
-    at = materialise(at.join(_sizes(at), F.col("key") == F.col("k")).select("key", "rid", "score", "label", "size"))
+    groups = _mixed(at, F.max(F.struct("score", "rid")).alias("centre"))
+    at = materialise(at.join(groups, F.col("key") == F.col("k")).select("key", "rid", "label", "size", F.col("centre.rid").alias("c")))
     sides = nodes.select(F.col("rid").alias("r"), "n", "parity")
     bits = [f"w{w}" for w in range(2 * PARITY // 64)]
     few = at.where(F.col("size") <= HOT).join(sides, F.col("rid") == F.col("r")).select("key", "rid", "label", "n", *[F.col("parity")[w].alias(b) for w, b in enumerate(bits)])
@@ -394,9 +396,7 @@ def _unchecked(members: DataFrame, nodes: DataFrame, docs: DataFrame, label: Dat
     near = _may_link((F.col("x.n"), F.col("y.n")), tuple([F.col(f"{t}.{b}") for b in bits] for t in "xy"))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rid") < F.col("y.rid")) & (F.col("x.label") != F.col("y.label")) & near)
     pairs = pairs.select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
-    wide = at.where(F.col("size") > HOT)
-    centre = wide.groupBy(F.col("key").alias("k")).agg(F.max(F.struct("score", "rid"))["rid"].alias("c"))
-    hot = materialise(wide.join(centre, F.col("key") == F.col("k")).select("c", "rid", "label").distinct())
+    hot = materialise(at.where(F.col("size") > HOT).select("c", "rid", "label").distinct())
     if hot.limit(1).count():
         pairs = pairs.union(_hot_pairs(hot, nodes, docs)).distinct()
     return materialise(pairs.join(done, ["a", "b"], "left_anti"))
@@ -444,7 +444,7 @@ def _own(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def _pairs(met: DataFrame) -> DataFrame:
     """Pairs of texts (rid, p) as (a, b), each once."""
-    return materialise(met.select(F.least("rid", "p").alias("a"), F.greatest("rid", "p").alias("b")).distinct())
+    return met.select(F.least("rid", "p").alias("a"), F.greatest("rid", "p").alias("b")).distinct()
 
 
 def _central(scored: DataFrame) -> DataFrame:
@@ -454,19 +454,19 @@ def _central(scored: DataFrame) -> DataFrame:
 
 
 def _open(scored: DataFrame, label: DataFrame) -> DataFrame:
-    """key, rid, score, label of the groups whose texts are of several components."""
+    """key, rid, score, label of the groups whose texts are of several components, with pivots: the group's most central text and its first by a hash, each with its label."""
     at = materialise(scored.join(label, F.col("rid") == F.col("node"), "left").select("key", "rid", "score", F.coalesce("label", "rid").alias("label")))
-    out = materialise(at.join(_sizes(at), F.col("key") == F.col("k")).select("key", "rid", "score", "label"))
+    a, b = F.max(F.struct("score", "rid", "label")), F.min(F.struct(F.xxhash64("rid").alias("h"), F.col("rid"), F.col("label")))
+    groups = _mixed(at, a.alias("a"), b.alias("b"))
+    pivots = F.array(*[F.struct(f"{x}.rid", f"{x}.label") for x in "ab"]).alias("pivots")
+    out = materialise(at.join(groups, F.col("key") == F.col("k")).select("key", "rid", "score", "label", pivots))
     discard(at)
     return out
 
 
-def _pivots(open_: DataFrame) -> DataFrame:
-    """(rid, p): each text with those of its group's two pivots, the most central text and the first by a hash, that are of other components."""
-    a, b = F.max(F.struct("score", "rid", "label")), F.min(F.struct(F.xxhash64("rid").alias("h"), F.col("rid"), F.col("label")))
-    pivots = open_.groupBy(F.col("key").alias("k")).agg(a.alias("a"), b.alias("b"))
-    pivots = pivots.select("k", F.array(*[F.struct(f"{x}.rid", f"{x}.label") for x in "ab"]).alias("p"))
-    met = open_.join(pivots, F.col("key") == F.col("k")).select("rid", "label", F.explode(F.filter(F.array_distinct("p"), lambda p: p["label"] != F.col("label"))).alias("p"))
+def _with_pivots(open_: DataFrame) -> DataFrame:
+    """(rid, p): each text with those of its group's pivots that are of other components."""
+    met = open_.select("rid", F.explode(F.filter(F.array_distinct("pivots"), lambda p: p["label"] != F.col("label"))).alias("p"))
     return met.select("rid", F.col("p.rid").alias("p"))
 
 
@@ -482,16 +482,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     slim = nodes.select("rid", "doc_id", "th", "n", "parity")
     central = members.groupBy("rid").agg(F.sum("size").alias("score")).withColumnRenamed("rid", "c")
     scored = materialise(members.join(central, F.col("rid") == F.col("c")).select("key", "rid", "score"))
-    done = _pairs(_central(scored))
+    done = materialise(_pairs(_central(scored)))
     links = _verified(done, slim, own)
     label = materialise(components(links))
 
     open_ = _open(scored, label)
-    found = materialise(_pairs(_pivots(open_)).join(done, ["a", "b"], "left_anti"))
+    found = materialise(_pairs(_with_pivots(open_)).join(done, ["a", "b"], "left_anti"))
     links = _verified(found, slim, own)
     label = materialise(components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links)))
 
-    more = _verified(_unchecked(open_, nodes, own, label, materialise(done.union(found))), slim, own)
+    more = _verified(_unchecked(open_, nodes, own, label, done.union(found)), slim, own)
     if more.count():
         label = materialise(components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)))
     lab = nodes.join(label, F.col("rid") == F.col("node"), "left").select("digest", "doc_id", "th", "rid", "size", F.coalesce("label", "rid").alias("label"))
